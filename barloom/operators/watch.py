@@ -1,0 +1,121 @@
+"""The dump-watch state machine: per symbol IDLE -> WATCHING -> position or COOLDOWN, on columns that windows prepare."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .signals import dump_high_to_low
+from .tape import KEYS, grid
+
+#: Defaults: percentages, minutes and counts.
+PARAMS = {
+    "lookback": 20, "min_drop": 10.0, "hold": 6.0, "max_bounce": 3.5, "max_place": 55.0, "watch_min": 40, "cooldown_min": 20,
+    "entry_bounce": 0.6, "entry_green": 2, "entry_fast": 2.5, "entry_oi": 0.05, "liq_ratio": 0.02,
+    "tp1": 3.5, "tp2": 5.0, "tp1_percent": 50.0, "hard_stop": 12.0, "max_hold_min": 180,
+    "max_adds": 2, "dca_drop": 3.0, "dca_bounce": 0.5, "dca_oi": 0.005, "dca_green": 2, "dca_fast": 2.0, "dca_sizes": (1.2, 1.5),
+}
+EVENTS = "dataset string, symbol string, ts long, event string, price double"
+
+
+def prepare(df: DataFrame, p: dict) -> DataFrame:
+    back = lambda c, n: F.lag(c, n).over(grid())
+    df = dump_high_to_low(df, p["lookback"], p["min_drop"], p["hold"], p["max_bounce"], p["max_place"])
+    oi = lambda n: F.when(back("has_oi", n) if n else F.col("has_oi"), back("oi_total_usd", n) if n else F.col("oi_total_usd"))
+    return df.select(*KEYS, "minute_ts", "open", "high", "low", "close", F.col("dump").isNotNull().alias("dumped"), back("close", 1).alias("c1"), back("close", 2).alias("c2"), oi(0).alias("o0"), oi(1).alias("o1"), oi(2).alias("o2"), F.when(F.col("has_liquidations"), F.col("liq_long_usd")).alias("liq"))
+
+
+def _pct(a: float, b: float) -> float:
+    return (a - b) / b * 100 if b else 0.0
+
+
+def _confirmed(r, low: float, fast_pct: float, green: int, min_oi: float, min_bounce: float) -> bool:
+    if not (r.o0 == r.o0 and r.o1 == r.o1 and r.o2 == r.o2 and r.c2 == r.c2):
+        return False
+    fast = _pct(r.close, r.c1) >= fast_pct
+    rising = fast or (r.close > r.c1) + (r.c1 > r.c2) >= green
+    recovered = _pct(r.o0, r.o1) if fast else _pct(r.o0, r.o2)
+    return rising and recovered >= min_oi and _pct(r.close, low or r.close) >= min_bounce
+
+
+class Machine:
+    """One symbol's state; step() takes a bar and returns what happens on it. Orders fill at the next bar's open."""
+
+    def __init__(self, p: dict):
+        self.p, self.phase, self.until, self.low = p, "IDLE", 0, 0.0
+        self.size = self.entry = self.last = self.opened = 0.0
+        self.adds, self.tp1, self.armed, self.due, self.pending = 0, False, False, False, None
+
+    def _cool(self, ts: int) -> None:
+        self.phase, self.until = "COOLDOWN", ts + self.p["cooldown_min"] * 60_000
+
+    def _settle(self, r, out: list) -> None:
+        kind, self.pending = self.pending, None
+        if kind == "enter":
+            self.phase, self.size, self.entry, self.last, self.opened, self.low = "IN_POSITION", 1.0, r.open, r.open, r.minute_ts, min(r.low, r.open)
+            self.adds, self.tp1, self.armed, self.due = 0, False, False, False
+        elif kind == "tp1":
+            self.size *= 1 - self.p["tp1_percent"] / 100
+        elif kind == "dca":
+            more = self.p["dca_sizes"][min(self.adds - 1, len(self.p["dca_sizes"]) - 1)]
+            self.entry, self.size = (self.entry * self.size + r.open * more) / (self.size + more), self.size + more
+        else:
+            self.size = 0.0
+        out.append((r.minute_ts, f"fill_{kind}", r.open))
+
+    def step(self, r) -> list[tuple[int, str, float]]:
+        p, out, ts = self.p, [], r.minute_ts
+        if self.pending:
+            self._settle(r, out)
+        if self.size and self.armed and r.low <= self.entry:
+            out.append((ts, "stop_hit", min(r.open, self.entry)))
+            self.size = 0.0
+        if not self.size:
+            if self.phase == "IN_POSITION":
+                self._cool(ts)
+            elif self.phase == "COOLDOWN":
+                if ts >= self.until:
+                    self.phase = "IDLE"
+            elif self.phase == "IDLE":
+                if r.dumped:
+                    self.phase, self.until, self.low = "WATCHING", ts + p["watch_min"] * 60_000, r.low
+                    out.append((ts, "dump_detected", r.close))
+            else:
+                self.low = min(self.low, r.low)
+                if ts >= self.until:
+                    self._cool(ts)
+                    out.append((ts, "watch_expired", r.close))
+                elif r.liq == r.liq and r.liq > 0 and _confirmed(r, self.low, p["entry_fast"], p["entry_green"], p["entry_oi"], p["entry_bounce"]) and r.o0 > 0 and r.liq / r.o0 * 100 >= p["liq_ratio"]:
+                    self.pending = "enter"
+                    out.append((ts, "enter", r.close))
+            return out
+        gain = _pct(r.close, self.entry)
+        decided = "tp2" if gain >= p["tp2"] else "hard_stop" if gain <= -p["hard_stop"] else "time_exit" if ts - self.opened >= p["max_hold_min"] * 60_000 else None
+        if decided is None and self.due:
+            self.due, self.armed = False, True
+            out.append((ts, "break_even", self.entry))
+            return out
+        if decided is None and not self.tp1 and gain >= p["tp1"]:
+            self.tp1, self.due, decided = True, True, "tp1"
+        if decided is None:
+            self.low = min(self.low, r.low)
+            dropped = (self.last - self.low) / self.last * 100 if self.last > 0 else 0.0
+            if self.adds < p["max_adds"] and dropped >= p["dca_drop"] and _confirmed(r, self.low, p["dca_fast"], p["dca_green"], p["dca_oi"], p["dca_bounce"]):
+                self.adds, self.last, self.low, decided = self.adds + 1, r.close, r.close, "dca"
+        if decided:
+            self.pending = decided
+            out.append((ts, decided, r.close))
+        return out
+
+
+def dump_watch_fsm(df: DataFrame, params: dict | None = None) -> DataFrame:
+    """(dataset, symbol, ts, event, price) of each symbol's machine. A symbol's bars are one group: some hundred bytes a bar."""
+    p = PARAMS | (params or {})
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        machine = Machine(p)
+        rows = [(r.dataset, r.symbol, *e) for r in g.sort_values("minute_ts").itertuples(index=False) for e in machine.step(r)]
+        return pd.DataFrame(rows, columns=["dataset", "symbol", "ts", "event", "price"])
+
+    return prepare(df, p).groupBy(*KEYS).applyInPandas(run, EVENTS)
