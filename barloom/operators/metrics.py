@@ -25,7 +25,7 @@ def equity_metrics(equity: DataFrame, keys: list[str] | None = None, years: Colu
     r = F.col("_r")
     agg = e.groupBy(*keys).agg(
         F.max_by("equity", "seq").alias("last"), F.min_by("equity", "seq").alias("first"), F.max("_dd").alias("max_drawdown"), F.count("*").alias("points"), F.count_if(F.col("_prev") == 0).alias("zeros"),
-        F.avg("_r").alias("m"), F.stddev_pop("_r").alias("s"), F.sqrt(F.avg(F.least(r, F.lit(0.0)) * F.least(r, F.lit(0.0)))).alias("down"), F.skewness("_r").alias("skew"), F.kurtosis("_r").alias("kurt"), F.count("_r").alias("n"),
+        F.avg("_r").alias("m"), F.stddev_pop("_r").alias("s"), F.sqrt(F.avg(F.when(r < 0, r * r).when(r.isNotNull(), 0.0))).alias("down"), F.skewness("_r").alias("skew"), F.kurtosis("_r").alias("kurt"), F.count("_r").alias("n"),
         ((F.max("bar_ts") - F.min("bar_ts")) / YEAR_MS).alias("span"), F.count_distinct("bar_ts").alias("times"), *([F.first("_years").alias("_years")] if years is not None else []),
     )
     ok = (F.col("points") >= 2) & (F.col("zeros") == 0)

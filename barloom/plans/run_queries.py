@@ -143,7 +143,7 @@ def p15_param_sweep(spark, d) -> DataFrame:
 
 
 _ME = f"""{_E}, r AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, (max(equity) OVER (PARTITION BY run_id ORDER BY seq) - equity) / max(equity) OVER (PARTITION BY run_id ORDER BY seq) AS dd FROM eq WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
-a AS (SELECT run_id, arg_max(equity, seq) AS l, arg_min(equity, seq) AS f, max(dd) AS mdd, avg(r) AS m, stddev_pop(r) AS s, sqrt(avg(least(r, 0) * least(r, 0))) AS dn, count(r) AS n, avg(r * r) AS m2, avg(r * r * r) AS m3, avg(r * r * r * r) AS m4, (max(bar_ts) - min(bar_ts)) / (365.25 * 86400000) AS y, count(DISTINCT bar_ts) AS times, count(*) AS c FROM r GROUP BY 1),
+a AS (SELECT run_id, arg_max(equity, seq) AS l, arg_min(equity, seq) AS f, max(dd) AS mdd, avg(r) AS m, stddev_pop(r) AS s, sqrt(avg(CASE WHEN r < 0 THEN r * r WHEN r IS NOT NULL THEN 0 END)) AS dn, count(r) AS n, avg(r * r) AS m2, avg(r * r * r) AS m3, avg(r * r * r * r) AS m4, (max(bar_ts) - min(bar_ts)) / (365.25 * 86400000) AS y, count(DISTINCT bar_ts) AS times, count(*) AS c FROM r GROUP BY 1),
 k AS (SELECT *, m3 - 3 * m * m2 + 2 * m * m * m AS c3, m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m AS c4 FROM a)
 SELECT run_id, round(l - f, 6) AS pnl, round(mdd, 6) AS max_drawdown, CASE WHEN n > 1 AND s > 0 THEN round(m / s, 6) ELSE 0 END AS sharpe, CASE WHEN n > 1 AND dn > 0 THEN round(m / dn, 6) ELSE 0 END AS sortino, round(coalesce(s, 0), 6) AS returns_stddev,
 CASE WHEN n > 1 AND s > 0 THEN round(c3 / (s * s * s), 5) ELSE 0 END AS returns_skew, CASE WHEN n > 1 AND s > 0 THEN round(c4 / (s * s * s * s), 5) ELSE 0 END AS returns_kurtosis, n AS returns_count, round(ln(CASE WHEN times >= 2 THEN pow(l / f, 1 / y) END), 6) AS log_cagr, round(y, 6) AS elapsed_years FROM k"""
