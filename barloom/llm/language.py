@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 #: Hidden units of each direction; bytes of a piece of a word; documents of each language and words of each document learned from.
 HIDDEN, PIECE, SAMPLE_DOCS, SAMPLE_WORDS = 16, 24, 300, 40
-KEPT_WORDS = 300_000
+#: Words whose labels a task keeps, and characters of the documents that it labels together.
+KEPT_WORDS, GROUP_CHARS = 500_000, 8 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,14 +139,18 @@ class Labeller:
         self.at.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
         self.sums = np.concatenate([self.sums, sums])
 
-    def document(self, text: str | None) -> np.ndarray | None:
-        """Mean probabilities over all positions; None without a letter."""
-        if not text or not any(map(str.isalpha, text)):
-            return None
-        words = text.lower().encode().split()
-        self.learn(set(words))
-        total = self.sums[np.fromiter(map(self.at.__getitem__, words), np.int64)].sum(0, dtype=np.float64)
-        return total[:-1] / total[-1]
+    def documents(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Mean probabilities over all positions of each text, None without a letter; the words of all texts are learned together."""
+        words = [t.lower().encode().split() if t and any(map(str.isalpha, t)) else None for t in texts]
+        self.learn({w for own in words if own for w in own})
+        out = []
+        for own in words:
+            if own:
+                total = self.sums[np.fromiter(map(self.at.__getitem__, own), np.int64)].sum(0, dtype=np.float64)
+                out.append(total[:-1] / total[-1])
+            else:
+                out.append(None)
+        return out
 
     def positions(self, text: str) -> list[str]:
         """The label of every byte of every word, in order."""
@@ -186,11 +191,16 @@ def _predictor(params: dict[str, np.ndarray], labels: list[str], hidden: int):
         net.p = params
         labeller = Labeller(net, labels)
         for batch in batches:
-            lang, score = [], []
-            for text in batch.column("_text").to_pylist():
-                y = labeller.document(text) if labels else None
-                lang.append("und" if y is None else labels[int(y.argmax())])
-                score.append(0.0 if y is None else min(1.0, float(y.max())))
+            texts, lang, score, at = batch.column("_text").to_pylist(), [], [], 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= GROUP_CHARS):
+                    size += len(texts[end] or "")
+                    end += 1
+                for y in labeller.documents(texts[at:end]) if labels else [None] * (end - at):
+                    lang.append("und" if y is None else labels[int(y.argmax())])
+                    score.append(0.0 if y is None else min(1.0, round(float(y.max()), 6)))
+                at = end
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return predict
