@@ -158,13 +158,15 @@ def _pieces(files, path: str, start: int, end: int, size: int = 128 << 10) -> It
             if not data:
                 raise EOFError(f"{path} ends before {end}")
             while data:
-                if out := member.decompress(data, size):
+                out = member.decompress(data, size)
+                while out or member.unconsumed_tail:
                     yield out
-                while member.unconsumed_tail:
-                    yield member.decompress(member.unconsumed_tail, size)
-                data = member.unused_data
+                    out = b"" if member.eof else member.decompress(member.unconsumed_tail, size)
+                    if member.eof and not out:
+                        break
+                data = b""
                 if member.eof:
-                    member = zlib.decompressobj(31)
+                    data, member = member.unused_data, zlib.decompressobj(31)
 
 
 def _reader(root: str):
