@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as f
 from ..operators.simulate import momentum_trades
 from ..operators.tape import bar_index
 
@@ -79,7 +80,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY minute_ts) - 1 A
 
 
 def fixed_trades(spark: SparkSession, sf_dir: str, hold: int = 5) -> DataFrame:
-    """Trades from the momentum signal on every seventh bar, held for `hold` bars: trade_id, symbol, side, entry and exit bar, time and close."""
+    """Trades from the momentum signal on every seventh bar, so that those of a symbol don't overlap, held for `hold` bars: trade_id, symbol, side, entry and exit bar, time and close."""
     b = bar_index(bars_events(spark, sf_dir))
     w = Window.partitionBy("dataset", "symbol").orderBy("minute_ts")
     rising = F.lag("close", 1).over(w) > F.lag("close", 2).over(w)
@@ -118,3 +119,25 @@ def r6(*names: str) -> list[Column]:
 
 def s6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+def _horner(x: str, coefficients: list[float]) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def inverse_sql(p: str) -> str:
+    """SQL of the inverse normal CDF for p in (0, 1)."""
+    low, high, r = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"(({p} - 0.5) * ({p} - 0.5))"
+    tail = lambda q: f"{_horner(q, f.ACKLAM_C)} / {_horner(q, f.ACKLAM_D)}"
+    return f"CASE WHEN {p} < {f.ACKLAM_LOW} THEN {tail(low)} WHEN {p} > {1 - f.ACKLAM_LOW} THEN -({tail(high)}) ELSE {_horner(r, f.ACKLAM_A)} * ({p} - 0.5) / {_horner(r, f.ACKLAM_B)} END"
+
+
+def cdf_sql(x: str) -> str:
+    """SQL of the normal CDF."""
+    z = f"(-({x}) / sqrt(2.0))"
+    t = f"(1 / (1 + 0.5 * abs({z})))"
+    tail = f"{t} * exp(-{z} * {z} + {_horner(t, f.ERFC)})"
+    return f"0.5 * CASE WHEN {z} >= 0 THEN {tail} ELSE 2 - {tail} END"

@@ -11,7 +11,7 @@ from ..operators import reconcile as rc
 from ..operators import research as rs
 from ..operators import simulate as sim
 from ..operators.tape import bar_index, grid
-from .bars import BARS, EQUITY, HOUR, LINES, RUN_TRADES, TRADES, bars_events, bars_lineitem, fixed_trades, query, r6, runs_equity, runs_trades, s6, table
+from .bars import BARS, EQUITY, HOUR, LINES, RUN_TRADES, TRADES, bars_events, bars_lineitem, cdf_sql, fixed_trades, inverse_sql, query, r6, runs_equity, runs_trades, s6, table
 
 _B, _L = f"WITH {BARS}", f"WITH {LINES}"
 _T, _E, _R = f"{_B}, {TRADES} ", f"{_L}, {EQUITY} ", f"{_L}, {RUN_TRADES} "
@@ -211,8 +211,9 @@ def r2_anchored_window(spark, d) -> DataFrame:
     return rs.anchored_window(runs_equity(spark, d), rs.walk_forward_folds(_periods(spark, d), 4)).select("run_id", "fold", "seq", *r6("equity"))
 
 
-_EV = _R + f", {EQUITY}" + _FD + _AW + """, rr AS (SELECT *, equity / lag(equity) OVER (PARTITION BY run_id, fold ORDER BY seq) - 1 AS r FROM aw), ev AS (SELECT run_id, fold, arg_max(equity, seq) - arg_min(equity, seq) AS pnl, CASE WHEN count(r) > 1 AND stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) ELSE 0 END AS sharpe, count(*) AS points FROM rr GROUP BY ALL),
+_EV_TAIL = """, rr AS (SELECT *, equity / lag(equity) OVER (PARTITION BY run_id, fold ORDER BY seq) - 1 AS r FROM aw), ev AS (SELECT run_id, fold, arg_max(equity, seq) - arg_min(equity, seq) AS pnl, CASE WHEN count(r) > 1 AND stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) ELSE 0 END AS sharpe, count(*) AS points FROM rr GROUP BY ALL),
 tt AS (SELECT fd.run_id, fold, count(*) FILTER (entry_ts >= test_from AND exit_ts < test_to) AS n, count(*) FILTER (entry_ts < test_from AND exit_ts >= test_from AND exit_ts < test_to) AS carry FROM fd JOIN rt USING (run_id) GROUP BY ALL), wu AS (SELECT run_id, fold, count(*) FILTER (bar_ts < test_from) AS w FROM eq JOIN fd USING (run_id) GROUP BY ALL)"""
+_EV = _R + f", {EQUITY}" + _FD + _AW + _EV_TAIL
 
 
 @query(_EV + " SELECT run_id, CAST(fold AS INT) AS fold, round(pnl, 6) AS pnl, round(sharpe, 6) AS sharpe, coalesce(n, 0) AS total_trades, points, coalesce(carry, 0) AS carry_in, w AS warmup_steps, points >= 2 AS sufficient FROM ev LEFT JOIN tt USING (run_id, fold) LEFT JOIN wu USING (run_id, fold)")
@@ -267,7 +268,7 @@ def d2_record_if_new(spark, d) -> DataFrame:
     t = table(spark, d, "customer").select(F.col("c_nationkey").alias("family"), F.col("c_mktsegment").alias("fingerprint"), F.col("c_custkey").alias("run_id"), F.col("c_custkey").alias("created_at"))
     half = t.agg(F.max("run_id").alias("top"))
     old = t.crossJoin(F.broadcast(half)).where("run_id <= top / 2").drop("top")  # one row
-    return rs.record_if_new(rs.record_if_new(old.limit(0), old, ["family", "fingerprint"]), t, ["family", "fingerprint"]).select("family", "fingerprint", "run_id")
+    return rs.record_if_new(rs.record_if_new(old.where("false"), old, ["family", "fingerprint"]), t, ["family", "fingerprint"]).select("family", "fingerprint", "run_id")
 
 
 @query()
@@ -277,7 +278,14 @@ def d3_request_fingerprint(spark, d) -> DataFrame:
     return fp.select("run_id", "fingerprint", F.count("*").over(Window.partitionBy("fingerprint")).alias("n"))
 
 
-@query()
+_D4 = _ME.split("\nSELECT run_id")[0] + f""", sh AS (SELECT run_id, CASE WHEN n > 1 AND s > 0 THEN m / s ELSE 0 END AS sr, CASE WHEN n > 1 AND s > 0 THEN c3 / (s * s * s) ELSE 0 END AS sk, CASE WHEN n > 1 AND s > 0 THEN c4 / (s * s * s * s) ELSE 0 END AS ku, n AS t FROM k),
+fa AS (SELECT *, 'f' || CAST(run_id AS BIGINT) % 7 AS family_key, count(*) OVER v AS nt, var_samp(sr) OVER v AS fv FROM sh WINDOW v AS (PARTITION BY CAST(run_id AS BIGINT) % 7)), pb AS (SELECT *, nt >= 5 AND fv > 0 AS emp, greatest(1 - 1 / nt, 1e-9) AS p1, 1 - 1 / (nt * 2.718281828459045) AS p2 FROM fa),
+vs AS (SELECT *, CASE WHEN emp THEN fv ELSE (1 + 0.5 * sr * sr) / t END AS v_sr, {inverse_sql('p1')} AS z1, {inverse_sql('p2')} AS z2 FROM pb), ze AS (SELECT *, CASE WHEN nt <= 1 THEN 0 ELSE sqrt(v_sr) * ({1 - rs.EULER_GAMMA} * z1 + {rs.EULER_GAMMA} * z2) END AS sr0 FROM vs),
+zz AS (SELECT *, (sr - sr0) * sqrt(t - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM ze)
+SELECT run_id, family_key, nt AS n_trials, CASE WHEN emp THEN 'empirical' ELSE 'asymptotic' END AS basis, round(v_sr, 6) AS v_sr, round(sr0, 6) AS sr0, round({cdf_sql('z')}, 6) AS dsr FROM zz"""
+
+
+@query(_D4)
 def d4_deflated_sharpe(spark, d) -> DataFrame:
     return rs.deflated_sharpe(_trials(spark, d), 5).select("run_id", "family_key", "n_trials", "basis", *r6("v_sr", "sr0", "dsr"))
 
@@ -321,7 +329,10 @@ def v1_verdict(spark, d) -> DataFrame:
     return m.select("run_id", rs.verdict(sharpe=0.2).alias("verdict"))
 
 
-@query()
+_HOLD = _R + f", {EQUITY}" + _PD + ", fd AS (SELECT run_id, 0 AS fold, a AS train_from, z - CAST(floor(0.3 * (z - a) + 0.5) AS BIGINT) AS test_from, z AS test_to FROM pd)" + _AW + _EV_TAIL
+
+
+@query(_HOLD + ", wi AS (SELECT fd.run_id, count(*) AS wins FROM fd JOIN rt USING (run_id) WHERE entry_ts >= test_from AND exit_ts < test_to AND realized_pnl > 0 GROUP BY 1) SELECT fd.run_id, CASE WHEN CAST(fd.run_id AS BIGINT) % 3 = 0 THEN 'evaluation_insufficient' WHEN coalesce(w, 0) < 20 THEN 'warmup_insufficient' WHEN coalesce(points, 0) < 2 OR coalesce(n, 0) < 3 THEN 'evaluation_insufficient' WHEN sharpe > 0 AND coalesce(wins, 0) > 0 THEN 'passed' ELSE 'failed' END AS outcome, w AS warmup_steps, points, coalesce(n, 0) AS total_trades FROM fd LEFT JOIN ev USING (run_id, fold) LEFT JOIN tt USING (run_id, fold) LEFT JOIN wu USING (run_id, fold) LEFT JOIN wi ON wi.run_id = fd.run_id")
 def v2_promotion_gate(spark, d) -> DataFrame:
     h = rs.holdout_window(_periods(spark, d), 0.3)
     w = h.select("run_id", F.lit(0).alias("fold"), F.col("ts_from").alias("train_from"), F.col("holdout_from").alias("train_to"), F.col("holdout_from").alias("test_from"), F.col("holdout_to").alias("test_to"))

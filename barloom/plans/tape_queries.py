@@ -12,7 +12,7 @@ from ..operators import indicators as ind
 from ..operators import signals as sig
 from ..operators import tape
 from ..sources import rows as src
-from .bars import BARS, HOUR, TRADES, bars_events, fixed_trades, query, r6, s6, table
+from .bars import BARS, HOUR, TRADES, bars_events, cdf_sql, fixed_trades, inverse_sql, query, r6, s6, table
 
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY minute_ts)"
 START = 1_704_067_200_000
@@ -352,7 +352,7 @@ def t8_except_timestamps(spark, d) -> DataFrame:
     return b.where("symbol = 'click'").select("minute_ts").subtract(b.where("symbol = 'purchase'").select("minute_ts"))
 
 
-@query()
+@query(f"WITH z AS (SELECT c_custkey, {inverse_sql('((c_custkey % 999 + 1) / 1000.0)')} AS z FROM customer) SELECT c_custkey, round(z, 6) AS z, round({cdf_sql('z')}, 6) AS p FROM z")
 def d5_normal_cdf(spark, d) -> DataFrame:
     p = (F.col("c_custkey") % 999 + 1) / 1000.0
     return table(spark, d, "customer").select("c_custkey", F.round(f.normal_inv_cdf(p), 6).alias("z"), F.round(f.normal_cdf(f.normal_inv_cdf(p)), 6).alias("p"))
