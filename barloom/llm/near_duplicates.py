@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, shared_dir, small, stage  # noqa: F401
+from .common import LOWER_AZ, small, stage
 from .graph import components
 
 CHUNK = 4
