@@ -84,14 +84,22 @@ def dca_confirm(df: DataFrame, local_low: Column, done: Column, max_adds: int =
 def exit_rules(trades: DataFrame, bars: DataFrame, take: float, stop: float, max_hold_ms: int) -> DataFrame:
     """trades (trade_id, symbol, entry_ts, entry_price) with the first bar after the entry that exits: take profit before hard stop before time.
 
-    A bar leaves by time at the latest, so bars are met by day buckets of that span, not by a range join.
+    Bars inside the holding time are met by buckets of that span, not by a range join; the bar that leaves by time, however
+    late it comes, is the first at or after the span's end: a union and one window.
     """
-    span = max(max_hold_ms, 1) * 2
-    t = trades.select("trade_id", "symbol", "entry_ts", "entry_price", F.explode(F.sequence(F.floor(F.col("entry_ts") / span), F.floor((F.col("entry_ts") + span) / span))).alias("_bucket"))
+    span = max(max_hold_ms, 1)
+    t = trades.select("trade_id", "symbol", "entry_ts", "entry_price", F.explode(F.sequence(F.floor(F.col("entry_ts") / span), F.floor(F.col("entry_ts") / span) + 1)).alias("_bucket"))
     b = bars.select("symbol", F.col("minute_ts").alias("ts"), "close", F.floor(F.col("minute_ts") / span).alias("_bucket"))
+    inside = t.join(b, ["symbol", "_bucket"]).where((F.col("ts") > F.col("entry_ts")) & (F.col("ts") - F.col("entry_ts") < max_hold_ms)).select("trade_id", "entry_ts", "entry_price", "ts", "close")
+    bar = F.struct(F.col("minute_ts").alias("ts"), "close")
+    ends = trades.select("symbol", (F.col("entry_ts") + max_hold_ms).alias("at"), F.lit(0).alias("o"), F.struct("trade_id", "entry_ts", "entry_price").alias("trade"))
+    rows = bars.select("symbol", F.col("minute_ts").alias("at"), F.lit(1).alias("o"), bar.alias("bar"))
+    ahead = Window.partitionBy("symbol").orderBy("at", "o").rowsBetween(0, Window.unboundedFollowing)
+    both = ends.unionByName(rows, allowMissingColumns=True).withColumn("bar", F.first("bar", ignorenulls=True).over(ahead))
+    late = both.where("o = 0 and bar is not null").select("trade.*", "bar.*")
     change = pct_change("close", "entry_price")
     reason = F.when(change >= take, "take_profit").when(change <= -stop, "hard_stop").when(F.col("ts") - F.col("entry_ts") >= max_hold_ms, "time_exit")
-    hit = t.join(b, ["symbol", "_bucket"]).where("ts > entry_ts").withColumn("reason", reason).where("reason is not null")
+    hit = inside.unionByName(late).withColumn("reason", reason).where("reason is not null")
     first = hit.groupBy("trade_id").agg(F.min(F.struct("ts", "reason", "close")).alias("h")).select("trade_id", F.col("h.ts").alias("exit_ts"), F.col("h.reason").alias("close_reason"), F.col("h.close").alias("exit_price"))
     return trades.join(first, "trade_id", "left")
 

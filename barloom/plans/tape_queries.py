@@ -295,7 +295,7 @@ def s6_dca_confirm(spark, d) -> DataFrame:
     return sig.dca_confirm(b, F.col("ll"), F.pmod("bar_index", F.lit(4))).select("symbol", "minute_ts", "dca_reason")
 
 
-@query(_B + f", {TRADES}, h AS (SELECT trade_id, minute_ts AS ts, close, CASE WHEN (close - entry_price) / entry_price * 100 >= 20 THEN 'take_profit' WHEN (close - entry_price) / entry_price * 100 <= -30 THEN 'hard_stop' WHEN minute_ts - entry_ts >= 36000000 THEN 'time_exit' END AS reason FROM tr JOIN bars USING (symbol) WHERE minute_ts > entry_ts AND minute_ts <= entry_ts + 72000000 AND entry_price <> 0) SELECT tr.trade_id, min(ts) AS exit_ts, arg_min(reason, ts) AS close_reason FROM tr LEFT JOIN (SELECT * FROM h WHERE reason IS NOT NULL) q ON q.trade_id = tr.trade_id GROUP BY tr.trade_id")
+@query(_B + f", {TRADES}, h AS (SELECT trade_id, minute_ts AS ts, close, CASE WHEN (close - entry_price) / entry_price * 100 >= 20 THEN 'take_profit' WHEN (close - entry_price) / entry_price * 100 <= -30 THEN 'hard_stop' WHEN minute_ts - entry_ts >= 36000000 THEN 'time_exit' END AS reason FROM tr JOIN bars USING (symbol) WHERE minute_ts > entry_ts AND entry_price <> 0) SELECT tr.trade_id, min(ts) AS exit_ts, arg_min(reason, ts) AS close_reason FROM tr LEFT JOIN (SELECT * FROM h WHERE reason IS NOT NULL) q ON q.trade_id = tr.trade_id GROUP BY tr.trade_id")
 def s7_exit_rules(spark, d) -> DataFrame:
     t = fixed_trades(spark, d).select("trade_id", "symbol", "entry_ts", "entry_price")
     return sig.exit_rules(t, bars_events(spark, d), 20, 30, 10 * HOUR).select("trade_id", "exit_ts", "close_reason")
