@@ -206,19 +206,29 @@ def _predictor(params: dict[str, np.ndarray], labels: list[str], hidden: int):
     return predict
 
 
+def label(docs: DataFrame, model: Labeller) -> DataFrame:
+    """docs with what the model says of text; identify() has the defined results."""
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")), F.col("text").alias("_text"))
+    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(_predictor(model.net.p, model.labels, model.net.h), schema)
+
+
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, folds: int = 5) -> DataFrame:
     """docs with lang_pred (a learned lang value; `und` if the text is null or has no letter) and score (0 to 1; 0 for und).
 
     Only the text decides. Rows with one text are answered alike. If no row can be learned from, all are und. Columns with
     the names of the results are replaced. An empty table gives an empty result.
     """
-    model = fit(learn_from if learn_from is not None else docs, folds)
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")), F.col("text").alias("_text"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_predictor(model.net.p, model.labels, model.net.h), schema)
+    return label(docs, fit(learn_from if learn_from is not None else docs, folds))
 
 
-def reject(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """docs without those that are und or whose language is less probable than `least` (short clean texts score low, so it is low); columns as given."""
-    found = identify(docs)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+def reject(docs: DataFrame, lift: float = 1.2) -> DataFrame:
+    """docs without those that are und or whose language is less probable than `lift` times chance (1 / number of languages).
+
+    Short clean texts score low, so the lift is small. Columns as given. With one language no text is less probable; with
+    none all texts are und.
+    """
+    model = fit(docs)
+    least = min(1.0, lift / max(1, len(model.labels)))
+    found = label(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
