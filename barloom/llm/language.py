@@ -222,7 +222,7 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, folds: int =
     return label(docs, fit(learn_from if learn_from is not None else docs, folds))
 
 
-def reject(docs: DataFrame, lift: float = 1.2) -> DataFrame:
+def reject(docs: DataFrame, lift: float = 1.1) -> DataFrame:
     """docs without those that are und or whose language is less probable than `lift` times chance (1 / number of languages).
 
     Short clean texts score low, so the lift is small. Columns as given. With one language no text is less probable; with

@@ -252,7 +252,7 @@ def test_language(docs, empty):
 def test_language_rejection(docs):
     scored = language.identify(docs).select("doc_id", "lang_pred", "score").collect()
     labels = len(language.fit(docs).labels)
-    for lift in (1.2, 3.0):
+    for lift in (1.1, 3.0):
         want = sorted(str(r.doc_id) for r in scored if r.lang_pred != "und" and r.score >= min(1.0, lift / labels))
         got = language.reject(docs, lift)
         assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == want
