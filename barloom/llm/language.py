@@ -167,8 +167,11 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
     the rows with a lang whose crc32(doc_id as text) mod folds is not 0), and of these at most sample_words words each."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % folds != 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_docs).select("doc_id").distinct()
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = known.select("lang", "doc_id", F.pmod(F.spark_partition_id(), F.lit(256)).alias("_part"))
+    for keys in (["lang", "_part"], ["lang"]):  # the second ranks at most 256 * sample_docs rows of a language in one task
+        ids = ids.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= sample_docs).drop("_rank")
+    ids = ids.select("doc_id").distinct()
     parts = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
     some = F.slice(F.shuffle(F.array_distinct(F.array_remove(parts, "")), 9), 1, sample_words)
     rows = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", F.array_sort(some).alias("w")).collect()  # bounded by the sample
