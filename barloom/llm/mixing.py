@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, stage, words
@@ -34,12 +34,27 @@ def targets_sql(weights: tuple[int, ...] = (1, 2, 3), sizes: str = "{sizes}") ->
     return TARGETS.format(sizes=sizes, n=len(weights), most=MOST, cases=" ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5) -> DataFrame:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with _key: what tells a row from all others that can be told apart, and the number among its equals."""
+    text = F.coalesce(F.concat(F.lit("t"), F.md5(F.col("text").cast("binary"))), F.lit(""))
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
+    rows = rows.withColumn("_key", own)
+    again = stage(rows.groupBy("_key").count().where("count > 1").select("_key"), "again")
+    if again.isEmpty():
+        return rows
+    again = small(again)
+    number = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))))
+    repeated = rows.join(again, "_key", "left_semi").withColumn("_key", F.concat_ws(":", "_key", number))
+    return rows.join(again, "_key", "left_anti").unionByName(repeated)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5, by_row: bool = False) -> DataFrame:
     """docs with size (words; null text: 0), source_size, target (its source's) and copies (int, 0 to 3).
 
     A document's rate is target / source_size. It gets floor(rate) copies and one more if a draw that its doc_id and the
     seed decide (52 bits of an MD5) is below the fraction, so reruns agree. Rows that share a doc_id share the draw; a null
-    doc_id draws as an empty one; a source without words has target and copies 0. Null is a source of its own, the last.
+    doc_id draws as an empty one. With by_row doc_id, text and a number among equal rows decide, so every row has a draw of
+    its own, also where doc_id is null or repeated. A source without words has target and copies 0. Null is a source of its own, the last.
     Columns with the names of the results are replaced. An empty table gives an empty result.
 
     Only (source, words) are aggregated, with partial sums, so a hot source is no hot task. The ranking of sources runs over
@@ -52,8 +67,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5) ->
     targets = small(stage(docs.sparkSession.sql(targets_sql(weights), sizes=sizes), "targets"), 100_000)
     rows = docs.withColumn("size", size).join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    return rows.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
+    if by_row:
+        rows = _numbered(rows)
+    key = F.col("_key") if by_row else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
+    return rows.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")).drop("_key")
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

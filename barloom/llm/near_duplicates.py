@@ -176,8 +176,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     Texts link if den * |intersection| >= num * |union| of their sets of distinct `width`-word shingles (A-Z lower-cased,
     words between white space; a shorter text is one shingle). Null, empty and blank texts have an empty set and link
-    with nothing. Equal sets are collapsed first, so a large group of copies is one entry; rows with one doc_id are one
-    document. A null doc_id links with nothing and has a null component_id. Other columns are ignored. An empty table
+    with nothing. Equal sets are collapsed first, so a large group of copies is one entry. doc_id has to name one text: rows that
+    repeat it with the same text are one document (deduplicate() takes tables in which it doesn't). A null doc_id links with nothing and has a null component_id. Other columns are ignored. An empty table
     gives an empty result.
 
     Groups of documents that share a key are dealt into cells of bounded size (every pair of a group meets in a cell, so
@@ -210,12 +210,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 
 def deduplicate(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each group of near-duplicates: that with the smallest doc_id. Columns as given."""
-    found = stage(near_duplicates(docs, width, num, den), "near")
-    dropped = small(stage(found.where("not kept").select("doc_id").distinct(), "dropped"))
-    kept = docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left_anti")
-    again = stage(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id. Columns as given.
+
+    Rows are told apart by themselves, not by doc_id: of rows that share a doc_id only those with near-duplicate texts, or with
+    one text, are duplicates. Rows with a null doc_id stay.
+    """
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
-        return kept
-    once = kept.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        found = near_duplicates(docs, width, num, den)
+        dropped = small(stage(found.where("not kept").select("doc_id"), "dropped"))
+        return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = F.when(F.col("doc_id").isNotNull(), F.col("_row"))
+    found = near_duplicates(rows.select(named.alias("doc_id"), "text"), width, num, den).where("doc_id is not null")
+    ids = rows.select("_row", F.col("doc_id").alias("_id"))
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_of"), "n_shingles").join(ids, "_row")
+    linked = stage(found, "near")
+    best = linked.where("n_shingles > 0").groupBy("_of").agg(F.min_by("_row", F.struct("_id", "_row")).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    dropped = linked.join(best, "_of").where("_row <> _best").select("_row")
+    # texts without words link with nothing: they are one row only where doc_id and text are equal
+    bare = rows.select("_row", "text").join(linked.where("n_shingles = 0").select("_row", "_id"), "_row")
+    first = bare.groupBy("_id", "text").agg(F.min("_row").alias("_row"))
+    dropped = dropped.unionByName(bare.select("_row").join(first, "_row", "left_anti"))
+    dropped = small(stage(dropped, "dropped"))
+    return rows.join(dropped, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

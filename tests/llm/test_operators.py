@@ -421,6 +421,27 @@ def test_null_ids(spark):
     assert got == Counter({(None, None, True): 2, (3, 3, True): 1, (4, 3, False): 1})
 
 
+def test_repeated_ids_lose_no_text(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(20)) for c in "xyz")
+    rows = [(5, x), (9, x), (5, y), (2, y), (7, z), (7, z), (7, z + " more"), (8, ""), (8, ""), (8, None), (8, " "), (None, x), (None, "q"), (None, "q")]
+    d = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, extra string").repartition(3)
+    kept = near_duplicates.deduplicate(d)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    last = next(t for i, t in got if i == 7)
+    assert kept.columns == d.columns and last in (z, z + " more")
+    assert got == Counter({(5, x): 1, (2, y): 1, (7, last): 1, (8, ""): 1, (8, None): 1, (8, " "): 1, (None, x): 1, (None, "q"): 2})
+
+
+def test_mixing_draws_by_row(spark):
+    n = 6000
+    d = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 2000, "a b c").otherwise(F.concat(F.lit("a b "), "id")).alias("text"), F.when(F.col("id") < n // 2, "x").otherwise("y").alias("source"))
+    mixed = mixing.mix(d, by_row=True)
+    assert mixed.columns == mixing.mix(d).columns and mixed.count() == n
+    got = mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(r.taken / r.target - 1) < 0.05 for r in got)
+    assert mixing.mix(d.limit(0), by_row=True).count() == 0
+
+
 def test_dense_and_pairwise_forests_agree():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
