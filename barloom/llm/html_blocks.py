@@ -13,14 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|template|iframe|svg|select|button|canvas|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+MARKUP = (
+    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)"
-    r"|[^<]+|<",
-    re.DOTALL | re.IGNORECASE,
+    r"|[^<]+|<"
 )
+COMMENT = r"<!--.*?(?:-->|\Z)"
+#: Only raw text runs to the end of the page where nothing closes it. Within svg nothing is raw text.
+TOKEN = re.compile(rf"{COMMENT}|<(script|style|title|textarea)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|{MARKUP}", re.DOTALL | re.IGNORECASE)
+SVG_TOKEN = re.compile(rf"{COMMENT}|((?!))|{MARKUP}", re.DOTALL | re.IGNORECASE)
+#: Elements whose text is none of the page's.
+DROPPED = frozenset("noscript template iframe svg select button canvas object".split())
+#: Start tags that end an svg, as in the HTML standard.
+LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that hold others; the rest don't count as context.
 HOLDS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
@@ -69,15 +74,63 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             out.append((text, len(text), min(linked, len(text)), off, on, heading))
         parts, linked = [], 0
 
-    for m in TOKEN.finditer(page):
-        tag = m[3]
+    dropping: list[list] = []  # [depth of the stack, tag, whether its close is ahead, open blocks within] of dropped elements
+    last: dict[str, int] = {}  # by dropped element: where its last close stands
+
+    def pop_to(depth: int) -> None:
+        del stack[depth:]
+        while dropping and dropping[-1][0] >= depth:
+            dropping.pop()
+
+    at = 0
+    while at < len(page):
+        m = (SVG_TOKEN if dropping and dropping[-1][1] == "svg" else TOKEN).match(page, at)
+        at, tag = m.end(), m[3]
         if tag is None:
-            if m[1] is None and not m[0].startswith("<") or m[0] == "<":
+            if not dropping and (m[1] is None and not m[0].startswith("<") or m[0] == "<"):
                 parts.append(m[0])
                 if in_link:
                     linked += len(" ".join(html.unescape(m[0]).split()))
             continue
         tag, ends = tag.lower(), bool(m[2])
+        if dropping and not ends:
+            depth, own, closed, _ = dropping[-1]
+            if own == "svg" and tag in LEAVES_SVG or own == tag in ("button", "select") or not closed and tag in BLOCK:
+                pop_to(depth)
+        elif dropping and tag in BLOCK and tag not in HOLDS:
+            # a close that nothing within the dropped element opened is that of an element around it
+            while dropping and not dropping[-1][3].get(tag):
+                pop_to(dropping[-1][0])
+            if dropping and dropping[-1][3].get(tag):
+                dropping[-1][3][tag] -= 1
+        if tag in DROPPED or dropping and tag == "foreignobject":
+            if ends:
+                found = [i for i, (t, _) in enumerate(stack) if t == tag]
+                if found:
+                    pop_to(found[-1])
+            elif not (m[4].endswith("/") and (tag in ("svg", "foreignobject") or dropping and dropping[-1][1] == "svg")):
+                if tag not in last:
+                    last[tag] = max((c.start() for c in re.finditer(rf"</{tag}(?=[\s/>])", page, re.IGNORECASE)), default=-1)
+                dropping.append([len(stack), tag, last[tag] >= at, {}])
+                stack.append((tag, ""))
+            continue
+        if dropping:
+            if tag in HOLDS:
+                if not ends:
+                    stack.append((tag, ""))
+                    continue
+                found = [i for i, (t, _) in enumerate(stack) if t == tag]
+                if not found:
+                    continue
+                inside = found[-1] > dropping[-1][0]
+                if inside or len(dropping) > 1 and found[-1] > dropping[0][0]:
+                    pop_to(found[-1])
+                    continue
+                pop_to(dropping[0][0])
+            else:
+                if tag in BLOCK and not ends:
+                    dropping[-1][3][tag] = dropping[-1][3].get(tag, 0) + 1
+                continue
         if tag == "a":
             in_link = 0 if ends else 1
         elif tag == "br":
@@ -187,7 +240,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """pages with text (main text; empty if none) and n_chars (its code points) in place of html.
 
     Null and empty html give an empty text. Character references are decoded, white space in a block becomes one space, and
-    blocks are joined by a line feed in page order. Unclosed elements end with what holds them. Repeated rows are answered
+    blocks are joined by a line feed in page order. Unclosed elements end with what holds them; text within
+    DROPPED elements is left out, and one that the page never closes ends at the next block. Repeated rows are answered
     alike. Columns with the names of the results are replaced. An empty table gives an empty result.
     """
     rows = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("html", "text", "n_chars")), F.col("html").alias("_html"))

@@ -340,6 +340,27 @@ def test_html(spark):
     assert html_blocks.extract_text(d.limit(0)).count() == 0
 
 
+def test_html_drops_no_more():
+    tree = html_blocks.grow(*html_blocks.labelled_table())
+    body = "Body of words " * 12
+    want = body.strip()
+    for page in (
+        f'<svg class="i"/><article><p>{body}</p></article>',
+        f"<svg class=i><path d=x><p>{body}</p>",
+        f"<article><svg><style>p{{}}</style><title/><text>no</text></svg><p>{body}</p></article>",
+        f"<svg><foreignObject><div>no</div></foreignObject><text>no</text></svg><p>{body}</p>",
+        f"<button-bar></button-bar><p>{body}</p>",
+        f"<select-box><p>{body}</p></select-box>",
+        f"<article><button>Share<p>{body}</p></article>",
+        f"<div><object data=x><param name=y></div><article><p>{body}</p></article>",
+        f"<ul><li><button>no</li></ul><button>no</button><p>{body}</p>",
+        f"<article><p>{body}<button><div>no</div><p>no</p></button></p><select><option>no</select><template><p>no</template><noscript><div>no</div></noscript></article>",
+        f"<canvas><p>no</p></canvas><iframe src=x></iframe><p>{body}</p><script>'</scripty><p>no'</script >",
+        f"<div><template><div>no</div><li>no</li></template><p>{body}</p></div><textarea>no",
+    ):
+        assert html_blocks.main_text(page, tree) == want, page
+
+
 # 9 sharding
 
 
