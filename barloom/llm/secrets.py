@@ -24,8 +24,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Digests by length (MD5, SHA-1, SHA-256, SHA-512), UUIDs, numbers, and identifiers of plain words.
-KNOWN = re.compile(r"([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|[A-Za-z]?[a-z]+([+/_=-]+[A-Za-z]?[a-z]*)*|[A-Z]+([+/_=-]+[A-Z]*)*)")
+#: Digests by length (MD5, SHA-1, SHA-256, SHA-512), UUIDs and numbers.
+KNOWN = re.compile(r"([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+)")
+#: What may be an identifier of plain words in one letter case, if its pieces are words.
+LETTERS = re.compile(r"([+/_=-]*[A-Za-z]?[a-z]+([+/_=-]+[A-Za-z]?[a-z]*)*|[+/_=-]*[A-Z]+([+/_=-]+[A-Z]*)*)")
+APART = re.compile(r"[+/_=-]+")
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -51,11 +54,19 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         return sorted(found)
 
+    def worded(self, run: str) -> bool:
+        """Whether run is an identifier in one letter case whose pieces are all words: each reaches the ratio in lower case.
+        Pieces of one or two letters can't tell and don't count."""
+        if not LETTERS.fullmatch(run):
+            return False
+        pieces = [p.lower() for p in APART.split(run) if len(p) > 2]
+        return bool(pieces) and all(len(p) >= self.ratio * len(self.encode(p)) for p in pieces)
+
     def random(self, text: str) -> list[tuple[int, int, str]]:
         found = []
         for m in RUN.finditer(text):
             run = m[0]
-            if len(run) >= self.least and not KNOWN.fullmatch(run) and len(run) < self.ratio * len(self.encode(run)):
+            if len(run) >= self.least and not KNOWN.fullmatch(run) and len(run) < self.ratio * len(self.encode(run)) and not self.worded(run):
                 found.append((m.start(), 3, m.end()))
         return found
 
@@ -88,7 +99,7 @@ def scan_secrets(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFram
     """docs with n_assign, n_access, n_hex, base_sha256 (of the fixed patterns' spans) and spans (all, kind:start:end in code points).
 
     A null text counts as empty. The random spans come from runs of 20 or more characters under 2.4 characters a token that
-    are no known digest (hexadecimal of 32, 40, 64 or 128 digits, UUID), number or identifier in one letter case. Columns
+    are no known digest (hexadecimal of 32, 40, 64 or 128 digits, UUID), number or identifier of plain words in one letter case. Columns
     with the names of the results are replaced. An empty table gives an empty result.
     """
     rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in MADE), F.col("text").alias("_text"))

@@ -289,6 +289,14 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_of_letters():
+    scanner = secrets.Scanner(secrets.vocabulary())
+    for run in ("qzxvkjwpqhtzmbnrfgdlqkz", "QZXVKJWPQHTZMBNRFGDLQKZ", "qzxvkjwp_qhtzmbnr_fgdlqkz", "plain_words_qzxvkjwpqhtzmbnrfgdlqkzvbxqw"):
+        assert [(a, b) for a, _, b in scanner.random(f"see {run} there")] == [(4, 4 + len(run))]
+    for run in ("some_plain_identifier_of_words_here", "SOME_PLAIN_IDENTIFIER_OF_WORDS", "path/of/the/word/is/it/as", "internationalization", "--------------------", "0123456789ABCDEF" * 2, "0123456789abcdef" * 4):
+        assert not scanner.random(f"see {run} there")
+
+
 # 7 WARC
 
 
