@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Hidden units of each direction; bytes of a piece of a word; documents of each language and words of each document learned from.
 HIDDEN, PIECE, SAMPLE_DOCS, SAMPLE_WORDS = 16, 24, 300, 40
+#: A text is of no language if that is more probable than each language by SLACK / sqrt(byte positions): short texts need more.
+SLACK = 3.0
 #: Words whose labels a task keeps, and characters of the documents that it labels together.
 KEPT_WORDS, GROUP_CHARS = 500_000, 8 << 20
 
@@ -116,8 +118,9 @@ def pieces_of(word: bytes) -> list[bytes]:
 class Labeller:
     """Sums of position probabilities by word, kept up to a bound."""
 
-    def __init__(self, net: BiGRU, labels: list[str]):
-        self.net, self.labels, self.at = net, labels, {}
+    def __init__(self, net: BiGRU, labels: list[str], noise: bool = False):
+        """noise: the last label stands for no language."""
+        self.net, self.labels, self.noise, self.at = net, labels, noise, {}
         self.sums = np.zeros((0, len(labels) + 1), np.float32)
 
     def learn(self, words: set[bytes]) -> None:
@@ -147,7 +150,10 @@ class Labeller:
         for own in words:
             if own:
                 total = self.sums[np.fromiter(map(self.at.__getitem__, own), np.int64)].sum(0, dtype=np.float64)
-                out.append(total[:-1] / total[-1])
+                y = total[:-1] / total[-1]
+                if self.noise:
+                    y[-1] -= SLACK / np.sqrt(total[-1])
+                out.append(y)
             else:
                 out.append(None)
         return out
@@ -162,8 +168,22 @@ class Labeller:
         return out
 
 
-def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Labeller:
-    """Learns from text and lang of at most sample_docs documents of each language (those of the smallest hashes among
+def noise_of(word: str, rng: np.random.Generator) -> str:
+    """A word of no language: the letters of word in another order, random Latin letters, or letters of some other script."""
+    kind = rng.integers(3)
+    if kind == 0:
+        return "".join(rng.permutation(list(word)))
+    if kind == 1:
+        return "".join(map(chr, rng.integers(97, 123, len(word))))
+    while True:
+        base = int(rng.integers(0x250, 0xD800 - 64))
+        letters = [c for c in map(chr, range(base, base + 64)) if c.isalpha()]
+        if letters:
+            return "".join(rng.choice(letters, len(word)))
+
+
+def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, noise: bool = False) -> Labeller:
+    """With noise the last label is `und`, learned from as many words of no language as a language has on average. Learns from text and lang of at most sample_docs documents of each language (those of the smallest hashes among
     the rows with a lang whose crc32(doc_id as text) mod folds is not 0), and of these at most sample_words words each."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % folds != 0))
@@ -176,6 +196,9 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
     some = F.slice(F.shuffle(F.array_distinct(F.array_remove(parts, "")), 9), 1, sample_words)
     rows = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", F.array_sort(some).alias("w")).collect()  # bounded by the sample
     labels = sorted({r["lang"] for r in rows})
+    languages, rng = len(labels), np.random.default_rng(6)
+    if noise and labels:
+        labels = [*labels, "und"]
     net = BiGRU(max(1, len(labels)))
     pieces, target = [], []
     for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]))):
@@ -183,16 +206,20 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
             own = pieces_of(w.encode())
             pieces += own
             target += [labels.index(r["lang"])] * len(own)
+            if noise and rng.random() * languages < 1:
+                own = pieces_of(noise_of(w, rng).encode())
+                pieces += own
+                target += [languages] * len(own)
     if len(labels) > 1:
         net.train(pieces, np.array(target))
-    return Labeller(net, labels)
+    return Labeller(net, labels, noise and bool(labels))
 
 
-def _predictor(params: dict[str, np.ndarray], labels: list[str], hidden: int):
+def _predictor(params: dict[str, np.ndarray], labels: list[str], hidden: int, noise: bool):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = BiGRU(max(1, len(labels)), hidden)
         net.p = params
-        labeller = Labeller(net, labels)
+        labeller = Labeller(net, labels, noise)
         for batch in batches:
             texts, lang, score, at = batch.column("_text").to_pylist(), [], [], 0
             while at < len(texts):
@@ -213,7 +240,7 @@ def label(docs: DataFrame, model: Labeller) -> DataFrame:
     """docs with what the model says of text; identify() has the defined results."""
     rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")), F.col("text").alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_predictor(model.net.p, model.labels, model.net.h), schema)
+    return rows.mapInArrow(_predictor(model.net.p, model.labels, model.net.h, model.noise), schema)
 
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, folds: int = 5) -> DataFrame:
@@ -225,13 +252,16 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, folds: int =
     return label(docs, fit(learn_from if learn_from is not None else docs, folds))
 
 
-def reject(docs: DataFrame, lift: float = 1.1) -> DataFrame:
-    """docs without those that are und or whose language is less probable than `lift` times chance (1 / number of languages).
+def reject(docs: DataFrame, lift: float | None = None) -> DataFrame:
+    """docs without those that are und: without a letter, or of no language by a network that also learns words of none.
 
-    Short clean texts score low, so the lift is small. Columns as given. With one language no text is less probable; with
-    none all texts are und.
+    What is told apart is text from random letters, from other scripts and mostly from languages that were not learned; words with
+    their letters in another order are told apart only in part. The longer a text, the less it takes (SLACK), so short clean texts
+    stay. With a lift there are no words of none: those go that are less probable than `lift` times chance (1 / number of
+    languages). Columns as given. Without a language to learn all texts are und.
     """
-    model = fit(docs)
-    least = min(1.0, lift / max(1, len(model.labels)))
-    found = label(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    model = fit(docs, noise=lift is None)
+    found = label(docs, model).where("lang_pred <> 'und'")
+    if lift is not None:
+        found = found.where(F.col("score") >= min(1.0, lift / max(1, len(model.labels))))
     return found.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,7 +9,7 @@ from barloom.llm.common import stage, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is not told apart, go."""
+    """Documents without a letter, or in no language that is learned from, go."""
     return language.reject(docs)
 
 

@@ -258,6 +258,17 @@ def test_language_rejection(docs):
         assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == want
 
 
+def test_text_of_no_language_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(8)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 10))) for _ in range(n)) for n in (10, 40, 200)]
+    noise += ["это простой русский текст о погоде и природе", "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"]
+    lettered = docs.where("text rlike '[a-zA-Z]'")
+    kept = language.reject(docs.unionByName(spark.createDataFrame([(-i - 1, t, None) for i, t in enumerate(noise)], docs.schema)))
+    assert kept.columns == docs.columns and kept.where("doc_id < 0").count() == 0
+    assert kept.count() >= 0.999 * lettered.count() and kept.where("length(text) < 40").count() >= 0.99 * lettered.where("length(text) < 40").count()
+
+
 def test_positions():
     lab = language.Labeller(language.BiGRU(2), ["a", "b"])
     text = "héllo " + "y" * 60
