@@ -9,11 +9,11 @@ on their full shingle sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, small, stage
@@ -180,8 +180,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     repeat it with the same text are one document (deduplicate() takes tables in which it doesn't). A null doc_id links with nothing and has a null component_id. Other columns are ignored. An empty table
     gives an empty result.
 
-    Groups of documents that share a key are dealt into cells of bounded size (every pair of a group meets in a cell, so
-    none is lost), and equal groups under several keys are compared once.
+    Small groups of documents that share a key are a cell each, in which every pair is compared, and equal groups under several
+    keys are compared once. Groups too large for a cell are merged where they share documents, so that a document stands in one
+    of them, and are compared by _hot_links().
     """
     chunks = chunks or chunks_for(num / den)
     signed = stage(signatures(docs, width, chunks), "signatures")
@@ -194,21 +195,71 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         .where("c > 1")
         .groupBy("c", "all", "g1", "g2")
         .agg(F.min("key").alias("key"))
-        .select("key", F.greatest(F.ceil(F.col("c") / CELL_DOCS), F.ceil(F.col("all") / CELL_SHINGLES)).alias("b"))
+        .select("key", (_slots(F.col("c"), F.col("all")) > 1).alias("hot"))
     )
-    groups = small(stage(groups, "groups"))
-    slot = F.pmod(F.xxhash64("rep", "key"), F.col("b"))
-    members = keyed.join(groups, "key").select("key", "rep", "b", slot.alias("slot")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("other"))
-    members = stage(members.select(F.xxhash64("key", F.least("slot", "other"), F.greatest("slot", "other")).alias("cell"), F.col("rep").alias("doc_id")), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members), "doc_id").select("cell", "doc_id", "text")
-    links = texts.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_linker(width, num, den), "u long, v long")
-    found = components(links)
+    members = stage(keyed.join(small(stage(groups, "groups")), "key").select("key", "rep", "n_shingles", "hot"), "members")
+    cells = members.where("not hot").select(F.xxhash64("key", F.lit(0)).alias("cell"), F.col("rep").alias("doc_id"))
+
+    def links(cells: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(stage(cells, "cells")), "doc_id").select("cell", "doc_id", "text")
+        return texts.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_linker(width, num, den), "u long, v long")
+
+    merged = stage(_merged(members.where("hot")), "merged")
+    if merged.isEmpty():
+        found = components(links(cells))
+    else:
+        found = _hot_links(merged, cells, links)
     classes = reps.select(*sets, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *sets).join(classes, sets, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _slots(docs: Column, shingles: Column) -> Column:
+    """Cells' worth of so many documents and shingles."""
+    return F.greatest(F.ceil(docs / CELL_DOCS), F.ceil(shingles / CELL_SHINGLES)).cast("long")
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """(rep, g, n_shingles): the members of large groups, once each; groups with a member in common are one, g."""
+    each = stage(members.groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.collect_set("key").alias("keys")), "hot")  # a set's keys: 4 a chunk at most
+    same = components(each.select(F.explode("keys").alias("u"), F.array_min("keys").alias("v")))
+    return each.select("rep", "n_shingles", F.array_min("keys").alias("id")).join(small(stage(same, "same")), "id", "left").select("rep", F.coalesce("component", "id").alias("g"), "n_shingles")
+
+
+def _hot_links(merged: DataFrame, cells: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components over all links, in two rounds.
+
+    First a large group is dealt into slots, each a cell together with the group's smallest document: as many rows as members. This joins
+    nearly all copies of one text. Then only pairs whose components differ are left: the members outside the group's largest
+    component are dealt into slots of their own and meet one another and the slots of that component, so the rows of this round are
+    those members times their slots and the largest component's, plus that component times their slots. A pair within the largest component is linked already, so no link that
+    matters is lost.
+    """
+    sizes = merged.groupBy("g").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("all"), F.min("rep").alias("pivot"))
+    sizes = small(stage(sizes.select("g", "pivot", _slots(F.col("c"), F.col("all")).alias("b")), "sizes"))
+    slot = lambda n: F.pmod(F.xxhash64("rep", "g"), n)
+    dealt = merged.join(sizes, "g").select("g", slot(F.col("b")).alias("slot"), F.col("rep").alias("doc_id"))
+    pivots = sizes.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("slot"), F.col("pivot").alias("doc_id"))
+    first = dealt.unionByName(pivots).distinct().select(F.xxhash64("g", F.lit(1), "slot").alias("cell"), "doc_id")
+    found = stage(components(links(cells.unionByName(first))), "linked")
+    named = merged.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", "n_shingles", F.coalesce("component", "rep").alias("of"))
+    named = stage(named, "named")
+    by_component = named.groupBy("g", "of").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("all"))
+    top = by_component.groupBy("g").agg(F.sum("c").alias("n"), F.sum("all").alias("n_all"), F.max(F.struct("c", "all", "of")).alias("top"))
+    top = top.where("n > top.c").select("g", F.col("top.of").alias("largest"), _slots(F.col("n") - F.col("top.c"), F.col("n_all") - F.col("top.all")).alias("p"), _slots(F.col("top.c"), F.col("top.all")).alias("q"))
+    left = named.join(small(stage(top, "open")), "g").select("g", "rep", "p", "q", (F.col("of") == F.col("largest")).alias("inside"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own = F.when(F.col("inside"), slot(F.col("q"))).otherwise(slot(F.col("p")))
+    cross = F.when(F.col("inside"), F.transform(upto(F.col("p")), lambda i: F.xxhash64("g", F.lit(2), i, own))).otherwise(F.transform(upto(F.col("q")), lambda j: F.xxhash64("g", F.lit(2), own, j)))
+    among = F.filter(upto(F.col("p")), lambda i: ~F.col("inside") & (i != own))
+    among = F.transform(among, lambda i: F.xxhash64("g", F.lit(3), F.least(i, own), F.greatest(i, own)))
+    second = stage(left.select(F.explode(F.concat(cross, among)).alias("cell"), F.col("rep").alias("doc_id")), "open-cells")
+    if second.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(links(second)))
+
+
 def deduplicate(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id. Columns as given.
 
