@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A run is reported if it has so many characters at least and fewer characters per token than this.
 LEAST_CHARS, RATIO = 20, 2.4
+#: Characters of a run that are encoded at once.
+PIECE = 1024
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -26,8 +28,6 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Digests by length (MD5, SHA-1, SHA-256, SHA-512), UUIDs and numbers.
 KNOWN = re.compile(r"([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+)")
-#: What may be an identifier of plain words in one letter case, if its pieces are words.
-LETTERS = re.compile(r"([+/_=-]*[A-Za-z]?[a-z]+([+/_=-]+[A-Za-z]?[a-z]*)*|[+/_=-]*[A-Z]+([+/_=-]+[A-Z]*)*)")
 APART = re.compile(r"[+/_=-]+")
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -57,16 +57,21 @@ class Scanner:
     def worded(self, run: str) -> bool:
         """Whether run is an identifier in one letter case whose pieces are all words: each reaches the ratio in lower case.
         Pieces of one or two letters can't tell and don't count."""
-        if not LETTERS.fullmatch(run):
+        parts = [p for p in APART.split(run) if p]
+        if not all(map(str.isalpha, parts)) or not (all(map(str.isupper, parts)) or all(p[1:] == p[1:].lower() for p in parts)):
             return False
-        pieces = [p.lower() for p in APART.split(run) if len(p) > 2]
-        return bool(pieces) and all(len(p) >= self.ratio * len(self.encode(p)) for p in pieces)
+        pieces = [p.lower() for p in parts if len(p) > 2]
+        return bool(pieces) and all(len(p) >= self.ratio * self.tokens(p) for p in pieces)
+
+    def tokens(self, run: str) -> int:
+        """Tokens of a run, counted in pieces of PIECE characters, so that the work is linear in its length."""
+        return sum(len(self.encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
 
     def random(self, text: str) -> list[tuple[int, int, str]]:
         found = []
         for m in RUN.finditer(text):
             run = m[0]
-            if len(run) >= self.least and not KNOWN.fullmatch(run) and len(run) < self.ratio * len(self.encode(run)) and not self.worded(run):
+            if len(run) >= self.least and not KNOWN.fullmatch(run) and len(run) < self.ratio * self.tokens(run) and not self.worded(run):
                 found.append((m.start(), 3, m.end()))
         return found
 

@@ -308,6 +308,51 @@ def test_secrets_of_letters():
         assert not scanner.random(f"see {run} there")
 
 
+def test_secrets_of_long_runs():
+    """Runs that a careless pattern would take for ever, and texts of megabytes."""
+    scanner, rng = secrets.Scanner(secrets.vocabulary()), random.Random(7)
+    for text in ("a" + "-" * 5000 + "1", "A" + "=" * 5000 + "b1", "Name" + "_" * 5000 + "1", "_" * 10_000_000 + "x"):
+        assert not scanner.random(text)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10_000_000))
+    assert scanner.random(f"see {run} there") == [(4, 3, 4 + len(run))]
+
+
+def plain_random(text, encode):
+    """The token test again, without patterns."""
+    allowed, found, at = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        run = text[at:end]
+        digest = all(c in "0123456789abcdefABCDEF" for c in run) and len(run) in (32, 40, 64, 128)
+        fields = run.split("-")
+        uuid = [len(f) for f in fields] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF" for f in fields for c in f)
+        number = not any(c.isalpha() for c in run)
+        parts = "".join(" " if c in "+/_=-" else c for c in run).split()
+        letters = all(p.isalpha() for p in parts) and (all(p == p.upper() for p in parts) or all(p[1:] == p[1:].lower() for p in parts))
+        long = [p.lower() for p in parts if len(p) > 2]
+        worded = letters and long and all(len(p) / len(encode(p)) >= 2.4 for p in long)
+        if len(run) >= 20 and not (digest or uuid or number or worded) and len(run) / len(encode(run)) < 2.4:
+            found.append((at, 3, end))
+        at = max(end, at + 1)
+    return found
+
+
+def test_random_spans_against_brute_force():
+    scanner, rng = secrets.Scanner(secrets.vocabulary()), random.Random(3)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "aB3+/_=-", "xyzXYZ019_-", "0123456789-"]
+    words_ = "some plain identifier words internationalization THE_MAX_VALUE getUserName path/to/file".split()
+    hits = 0
+    for _ in range(400):
+        parts = [rng.choice([" ", "\n", ", ", "é"]).join("".join(rng.choice(a) for _ in range(rng.choice([5, 19, 20, 24, 32, 40, 64]))) for a in rng.sample(alphabets, 2)), rng.choice("_-/").join(rng.sample(words_, 3)), "01234567-89ab-cdef-0123-456789abcdef"]
+        text = " ".join(rng.sample(parts, len(parts)))
+        want = plain_random(text, scanner.encode)
+        assert scanner.random(text) == want
+        hits += len(want)
+    assert hits > 100
+
+
 # 7 WARC
 
 
@@ -455,6 +500,60 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, width, num):
     assert near_duplicates.near_duplicates(empty, width, num, 100).count() == 0
 
 
+def crowded():
+    """A passage that 300 unlike texts share, 300 near copies of a text that link to it, to one another or to none, and exact copies."""
+    rng = random.Random(4)
+    passage, base = [f"p{i}" for i in range(60)], [f"b{i}" for i in range(150)]
+    rows = [(k, " ".join(passage + [f"own{k}x{i}" for i in range(rng.randrange(15, 60))])) for k in range(300)]
+    for k in range(300):
+        now = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 4, 8, 9, 14])):
+            now[at] = f"e{k}x{at}"
+        rows.append((1000 + k, " ".join(now)))
+    return rows + [(2000 + k, rows[k % 3][1]) for k in range(50)]
+
+
+def test_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CELL_DOCS", 24)
+    rows = crowded()
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = components(sets, 85, 100)
+    assert 20 < len({want[1000 + k] for k in range(300)}) < 250
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, stage = Counter(), near_duplicates.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        made[label] += out.count() if "cells" in label else 0
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stage", counted)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(d, 3, 85, 100).collect()}
+    assert got == want and made["open-cells"] > 0
+    monkeypatch.setattr(near_duplicates, "small", lambda df, rows=0: df)
+    assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(d, 3, 85, 100).collect()} == want
+
+
+def test_rows_follow_a_group_of_copies(spark, monkeypatch):
+    """Near copies that link: the rows of the cells grow with the group, not with its square."""
+    monkeypatch.setattr(near_duplicates, "CELL_DOCS", 16)
+    made, stage = Counter(), near_duplicates.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        made[label] += out.count() if "cells" in label else 0
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stage", counted)
+    counts = []
+    for n in (150, 600):
+        made.clear()
+        d = spark.createDataFrame([(k, " ".join(f"w{i}" if i != k % 200 else f"e{k}" for i in range(200))) for k in range(n)], "doc_id long, text string")
+        assert {r.component_id for r in near_duplicates.near_duplicates(d, 3, 85, 100).collect()} == {0}
+        counts.append(sum(made.values()))
+    assert counts[1] < 6 * counts[0]
+
+
 def test_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (3, "a b c d e"), (4, "A B C D E")], "doc_id long, text string")
     got = Counter(tuple(r) for r in near_duplicates.near_duplicates(d).select("doc_id", "component_id", "kept").collect())
