@@ -14,8 +14,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: lower-cases A-Z only.
 LOWER_AZ = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: A table of at most so many rows of a few numbers each may be broadcast (about 64 MB as a hash table).
-BROADCAST_ROWS = 1_000_000
+#: A table of at most so many bytes, by a count of its rows, may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,29 @@ def lower_az(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """(row, more...): the caller's columns as one struct, so that no name of theirs meets one of an operator's own."""
+    return df.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in more.items()))
+
+
+def place_of(df: DataFrame, column: str) -> int:
+    """Where a column stands in the struct of packed()."""
+    return [c.lower() for c in df.columns].index(column.lower())
+
+
+def unpacked(df: DataFrame, *made: str) -> DataFrame:
+    """The caller's columns, but for those that share a name with `made` in whatever case, and then `made`."""
+    names = {m.lower() for m in made}
+    kept = [n for n in df.schema["row"].dataType.names if n.lower() not in names]
+    return df.select(*(F.col("row").getField(n).alias(n) for n in kept), *made)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset (tests on one machine), a new one."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset on one machine (tests), a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,6 +72,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count shows that it is within the bound; else as it is, for a shuffled join. Pass a staged df."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, more: Column | None = None, bytes_: int | None = None) -> DataFrame:
+    """df marked for broadcast if a count shows that it is within the bound; else as it is, for a shuffled join. Pass a staged df.
+
+    A row counts as 24 bytes, 8 for each column and `more` (for arrays and strings)."""
+    row = 24 + 8 * len(df.columns)
+    size = df.agg(F.count("*") * row + F.coalesce(F.sum(more), F.lit(0)) if more is not None else F.count("*") * row).first()[0]
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if bytes_ is None else bytes_) else df

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, small, stage
+from .common import LOWER_AZ, packed, small, stage, unpacked
 from .graph import components
 
 CHUNK = 4
@@ -269,19 +269,19 @@ def deduplicate(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
         found = near_duplicates(docs, width, num, den)
-        dropped = small(stage(found.where("not kept").select("doc_id"), "dropped"))
-        return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    named = F.when(F.col("doc_id").isNotNull(), F.col("_row"))
+        dropped = small(stage(found.where("not kept").select(F.col("doc_id").alias("id")), "dropped"))
+        rows = packed(docs, id=F.col("doc_id").cast("long"))
+        return unpacked(rows.join(dropped, "id", "left_anti"))
+    rows = stage(packed(docs, id=F.col("doc_id"), text=F.col("text")).withColumn("at", F.monotonically_increasing_id()), "rows")
+    named = F.when(F.col("id").isNotNull(), F.col("at"))
     found = near_duplicates(rows.select(named.alias("doc_id"), "text"), width, num, den).where("doc_id is not null")
-    ids = rows.select("_row", F.col("doc_id").alias("_id"))
-    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_of"), "n_shingles").join(ids, "_row")
+    found = found.select(F.col("doc_id").alias("at"), F.col("component_id").alias("of"), "n_shingles").join(rows.select("at", "id"), "at")
     linked = stage(found, "near")
-    best = linked.where("n_shingles > 0").groupBy("_of").agg(F.min_by("_row", F.struct("_id", "_row")).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
-    dropped = linked.join(best, "_of").where("_row <> _best").select("_row")
+    best = linked.where("n_shingles > 0").groupBy("of").agg(F.min_by("at", F.struct("id", "at")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    dropped = linked.join(best, "of").where("at <> best").select("at")
     # texts without words link with nothing: they are one row only where doc_id and text are equal
-    bare = rows.select("_row", "text").join(linked.where("n_shingles = 0").select("_row", "_id"), "_row")
-    first = bare.groupBy("_id", "text").agg(F.min("_row").alias("_row"))
-    dropped = dropped.unionByName(bare.select("_row").join(first, "_row", "left_anti"))
+    bare = rows.select("at", "text").join(linked.where("n_shingles = 0").select("at", "id"), "at")
+    first = bare.groupBy("id", "text").agg(F.min("at").alias("at"))
+    dropped = dropped.unionByName(bare.select("at").join(first, "at", "left_anti"))
     dropped = small(stage(dropped, "dropped"))
-    return rows.join(dropped, "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(rows.join(dropped, "at", "left_anti"))
