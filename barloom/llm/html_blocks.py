@@ -1,11 +1,13 @@
-"""Main text of web pages: flat text blocks, described by word count and link density of themselves and their neighbours and
-by what they stand in, classified by a decision tree that is trained on a small labelled table of blocks.
+"""Main text of web pages: flat text blocks, described by word count and link density of themselves and their neighbours,
+classified by a decision tree that is trained on a small labelled table of pages. What a block stands in is known to the tree
+as further features; the table also has every page with these blanked, so that the tree does without where a page names nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unpacked
+
 MARKUP = (
     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)"
@@ -30,13 +34,25 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Elements that hold others; the rest don't count as context.
 HOLDS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
 OFF = frozenset("aside dialog fieldset footer form menu nav".split())
-OFF_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-list|cookies?|consent|disqus|footer|form|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|alert|pagination|pager|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|side|signup|social|sponsor|sponsored|subscribe|tags|toolbar|topbar|widget)s?(?:$|[\s_-])", re.IGNORECASE)
+#: Class and id names of what is none of the text: as a whole or as a name's last part, and as its first part.
+OFF_LAST = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form login masthead menu modal nav navbar navigation newsletter notice notification alert pagination pager popup promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+OFF_FIRST = frozenset("ad ads advert breadcrumb breadcrumbs comment comments footer menu nav navbar navigation newsletter pagination sidebar".split())
+PARTS = re.compile(r"[a-zA-Z0-9]+")
 HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
 OFF_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu toolbar".split())
 ON_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body-?text|content|entry|main|post|story)(?:$|[\s_-])", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.IGNORECASE)
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "off", "on", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "off", "on", "outside")
+CONTEXT = 7  #: The features from here on tell what a block stands in.
+
+
+def _off_name(names: str) -> bool:
+    for name in names.lower().split():
+        parts = PARTS.findall(name)
+        if parts and (parts[-1] in OFF_LAST or parts[0] in OFF_FIRST):
+            return True
+    return False
 
 
 def _kind(tag: str, attributes: str) -> str:
@@ -50,7 +66,7 @@ def _kind(tag: str, attributes: str) -> str:
             role = value.lower()
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             return "off"
-    if tag in OFF or role in OFF_ROLE or names and tag not in ("body", "html", "article", "main") and OFF_NAME.search(names):
+    if tag in OFF or role in OFF_ROLE or tag not in ("body", "html", "article", "main") and _off_name(names):
         return "off"
     if tag == "header" or names and HEADER_NAME.search(names):
         return "header"
@@ -63,22 +79,31 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     parts: list[str] = []
     linked, in_link, heading = 0, 0, False
     stack: list[tuple[str, str]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # by tag: where it stands in the stack
+    kinds: Counter = Counter()  # of what is open
 
     def close() -> None:
         nonlocal linked, parts
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            kinds = [k for _, k in stack]
-            on = "on" in kinds
-            off = "off" in kinds or "header" in kinds and not (on and heading)
+            on = kinds["on"] > 0
+            off = kinds["off"] > 0 or kinds["header"] > 0 and not (on and heading)
             out.append((text, len(text), min(linked, len(text)), off, on, heading))
         parts, linked = [], 0
 
+    def push(tag: str, kind: str = "") -> None:
+        places[tag].append(len(stack))
+        stack.append((tag, kind))
+        kinds[kind] += 1
+
     dropping: list[list] = []  # [depth of the stack, tag, whether its close is ahead, open blocks within] of dropped elements
     last: dict[str, int] = {}  # by dropped element: where its last close stands
 
     def pop_to(depth: int) -> None:
-        del stack[depth:]
+        while len(stack) > depth:
+            tag, kind = stack.pop()
+            places[tag].pop()
+            kinds[kind] -= 1
         while dropping and dropping[-1][0] >= depth:
             dropping.pop()
 
@@ -105,26 +130,24 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 dropping[-1][3][tag] -= 1
         if tag in DROPPED or dropping and tag == "foreignobject":
             if ends:
-                found = [i for i, (t, _) in enumerate(stack) if t == tag]
-                if found:
-                    pop_to(found[-1])
+                if places[tag]:
+                    pop_to(places[tag][-1])
             elif not (m[4].endswith("/") and (tag in ("svg", "foreignobject") or dropping and dropping[-1][1] == "svg")):
                 if tag not in last:
                     last[tag] = max((c.start() for c in re.finditer(rf"</{tag}(?=[\s/>])", page, re.IGNORECASE)), default=-1)
                 dropping.append([len(stack), tag, last[tag] >= at, {}])
-                stack.append((tag, ""))
+                push(tag)
             continue
         if dropping:
             if tag in HOLDS:
                 if not ends:
-                    stack.append((tag, ""))
+                    push(tag)
                     continue
-                found = [i for i, (t, _) in enumerate(stack) if t == tag]
-                if not found:
+                if not places[tag]:
                     continue
-                inside = found[-1] > dropping[-1][0]
-                if inside or len(dropping) > 1 and found[-1] > dropping[0][0]:
-                    pop_to(found[-1])
+                inside = places[tag][-1] > dropping[-1][0]
+                if inside or len(dropping) > 1 and places[tag][-1] > dropping[0][0]:
+                    pop_to(places[tag][-1])
                     continue
                 pop_to(dropping[0][0])
             else:
@@ -141,10 +164,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             heading = not ends and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
             if tag in HOLDS:
                 if not ends:
-                    stack.append((tag, _kind(tag, m[4])))
-                elif any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                    push(tag, _kind(tag, m[4]))
+                elif places[tag]:
+                    pop_to(places[tag][-1])
     close()
     return out
 
@@ -155,54 +177,79 @@ def features(blocks: list) -> np.ndarray:
     x[:, 0] = [len(b[0].split()) for b in blocks]
     x[:, 1] = [b[2] / b[1] for b in blocks]
     x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
-    x[:, 6:9] = [b[3:6] for b in blocks]
+    off, on = np.array([b[3] for b in blocks]), np.array([b[4] for b in blocks])
+    x[:, 6], x[:, 7], x[:, 8] = [b[5] for b in blocks], off, on
+    x[:, 9] = (on & ~off).any() & ~on  # the page marks its article elsewhere
     return x
 
 
-#: The labelled table: pages of blocks, each (words, link density, off, on, heading, main). Neighbours follow from the order.
-LABELLED = (
-    # an article in its own element, with menu, advert and footer outside
-    [(1, 1, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (8, 0, 1, 0, 0, 0), (9, 0, 0, 1, 1, 1), (60, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (45, 0.1, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (12, 0, 1, 0, 0, 0)],
-    [(3, 1, 1, 0, 0, 0), (5, 0, 0, 1, 1, 1), (20, 0, 0, 1, 0, 1), (3, 1, 0, 1, 0, 1), (30, 0.4, 0, 1, 0, 1), (70, 0, 1, 1, 0, 0), (6, 0, 1, 1, 1, 0)],
-    [(4, 0, 0, 1, 1, 1), (3, 0, 0, 1, 0, 1), (4, 0, 0, 1, 0, 1), (90, 0, 1, 0, 0, 0), (40, 0, 1, 0, 0, 0)],
-    [(9, 0, 0, 1, 1, 1), (60, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (25, 0, 0, 1, 0, 1)],
-    [(2, 0, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (30, 0.9, 1, 1, 0, 0), (4, 0.2, 0, 1, 0, 1)],
-    [(7, 0, 0, 1, 1, 1)],
-    # no such element: long runs of words with few links are the text
-    [(2, 1, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (3, 1, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (55, 0, 0, 0, 0, 1), (80, 0.05, 0, 0, 0, 1), (12, 0, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1), (3, 1, 0, 0, 0, 0), (6, 0.6, 0, 0, 0, 0)],
-    [(1, 1, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0), (6, 0, 0, 0, 1, 1), (35, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 1), (25, 0.1, 0, 0, 0, 1), (4, 0.8, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0)],
-    [(5, 0.9, 0, 0, 0, 0), (90, 0, 0, 0, 0, 1), (75, 0, 0, 0, 0, 1), (7, 0, 0, 0, 0, 1), (66, 0.2, 0, 0, 0, 1), (8, 0.9, 0, 0, 0, 0), (9, 0.7, 0, 0, 0, 0)],
-    [(6, 0, 0, 0, 1, 1), (80, 0, 0, 0, 0, 1), (45, 0, 0, 0, 0, 1)],
-    [(50, 0, 0, 0, 0, 1), (35, 0, 0, 0, 0, 1), (28, 0, 0, 0, 0, 1)],
-    [(3, 0, 1, 0, 0, 0), (65, 0, 0, 0, 0, 1), (9, 0, 1, 0, 0, 0)],
-    [(18, 0, 0, 0, 0, 1)],
-    [(40, 0, 0, 0, 0, 1), (7, 0, 0, 0, 0, 1)],
-    # long notices, comments and forms are not
-    [(40, 0, 1, 0, 0, 0), (55, 0.1, 1, 0, 0, 0), (30, 0, 0, 1, 0, 1), (60, 0, 1, 1, 0, 0), (50, 0, 1, 0, 0, 0)],
-    [(15, 0, 0, 0, 0, 1), (16, 0, 0, 0, 0, 1), (2, 1, 0, 0, 0, 0), (30, 1, 0, 0, 0, 0), (30, 0.9, 0, 0, 0, 0)],
-)
+class _Page:
+    """Writes labelled pages: m() gives main text, whose blocks begin with a mark, a() links and w() other words, of drawn sizes."""
+
+    def __init__(self, seed: int):
+        self.rng = np.random.default_rng(seed)
+
+    def w(self, low: int, high: int) -> str:
+        return " ".join(["word"] * int(self.rng.integers(low, high + 1)))
 
+    def m(self, n: int = 0, tag: str = "p", low: int = 1, high: int = 0) -> str:
+        """n blocks, 2 to 12 if 0; a quarter of them short, unless bounds of their sizes are given."""
+        sizes = [(low, high) if high else ((1, 8), (8, 40), (8, 40), (40, 200))[self.rng.integers(4)] for _ in range(n or self.rng.integers(2, 13))]
+        return "".join(f"<{tag}>\u00a7{self.w(*x)}</{tag}>" for x in sizes)
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+    def h(self, tag: str = "h1") -> str:
+        return self.m(1, tag, 2, 14)
+
+    def a(self, most: int = 3, tag: str = "li") -> str:
+        return "".join(f"<{tag}><a href=x>{self.w(1, most)}</a></{tag}>" for _ in range(self.rng.integers(2, 8)))
+
+
+def labelled_pages(seed: int) -> list[str]:
+    """The small labelled table as pages: with elements that name what they hold, with class names that do, and with neither."""
+    p = _Page(seed)
+    return [
+        f"<nav><ul>{p.a()}</ul></nav><div class=ad>{p.w(4, 18)}</div><article>{p.h()}{p.m()}</article><footer>{p.w(3, 24)}</footer>",
+        f"<nav><ul>{p.a()}</ul></nav><div class=ad>{p.w(4, 18)}</div><article>{p.h()}{p.m(1)}</article><footer>{p.w(3, 24)}</footer>",
+        f"<ul>{p.a()}</ul><div>{p.w(4, 18)}</div>{p.h()}{p.m()}<div>{p.w(3, 24)}</div>",
+        f"<ul>{p.a()}</ul><div>{p.w(4, 18)}</div>{p.h()}{p.m()}<div>{p.w(3, 24)}</div>",
+        f"<ul>{p.a()}</ul>{p.h()}{p.m(2)}<div>{p.w(3, 20)}</div>",
+        f"<header><h1>{p.w(1, 4)}</h1><p>{p.w(2, 8)}</p></header><main>{p.h()}{p.m()}<aside>{p.w(10, 60)}</aside>{p.m()}</main><div id=cookie-notice>{p.w(10, 60)}</div>",
+        f"<div class=menu>{p.a(tag='span')}</div><div class=content>{p.m()}</div><div class=sidebar><p>{p.w(10, 60)}</p>{p.a(6)}</div>",
+        f"<div>{p.a(tag='span')}</div><div>{p.m()}{p.m(1, 'p', 30, 90)}</div><p>{p.w(3, 8)}</p><p>{p.w(2, 6)}</p>",
+        f"<div>{p.a(tag='p')}</div>{p.h('h2')}{p.m()}{p.m(1, 'p', 30, 90)}{p.a(6, 'p')}<p>{p.w(2, 8)}</p>",
+        f"<article>{p.h()}{p.m()}<p>\u00a7{p.w(2, 8)} <a href=x>{p.w(8, 20)}</a></p>{p.m(2)}<p><a href=x>\u00a7{p.w(5, 25)}</a></p>{p.m(2)}<div class=related>{p.a(7)}</div><section class=comments><p>{p.w(10, 80)}</p><p>{p.w(3, 40)}</p></section><form>{p.w(2, 8)}</form></article><footer>{p.w(3, 9)} {p.a(1, 'span')}</footer>",
+        f"<div class=post>{p.h('h2')}{p.m()}<ul>{p.m(4, 'li', 2, 9)}</ul>{p.m(1)}<blockquote>{p.m(1)}</blockquote>{p.m(2)}</div><div class=share>{p.a(1, 'span')}</div>",
+        f"{p.h()}{p.m()}<ul>{p.m(4, 'li', 2, 9)}</ul>{p.m(1)}<blockquote>{p.m(1)}</blockquote>{p.m(1, 'p', 25, 90)}",
+        f"<main><div class=share-price>{p.m(2)}</div>{p.m(1)}<table>{p.m(6, 'td', 1, 5)}</table>{p.m(2)}</main><footer>{p.a()}</footer>",
+        f"{p.m(1, 'p', 15, 90)}", f"{p.m(2, 'p', 15, 90)}", f"<ul>{p.a(4)}</ul>",
+        f"<article><header>{p.h()}<p>{p.w(2, 6)}</p></header>{p.m()}<div class=newsletter><p>{p.w(8, 30)}</p></div>{p.m(1)}</article><div class=comments><p>{p.w(10, 80)}</p><p>{p.w(10, 80)}</p></div>",
+        f"<div class=cookie-banner><p>{p.w(10, 60)}</p></div><div class=entry-content>{p.h()}{p.m()}</div><div id=footer><p>{p.w(3, 24)}</p></div>",
+    ]
+
+
+def labelled_table(draws: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled pages' blocks, in so many draws of their sizes, as rows of features and labels; a second time with blanked context."""
     xs, ys = [], []
-    for page in LABELLED:
-        x = np.zeros((len(page), len(FEATURES)))
-        a = np.array(page, float)
-        x[:, :2], x[:, 6:9] = a[:, :2], a[:, 2:5]
-        x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
-        xs.append(x)
-        ys.append(a[:, 5] > 0)
+    for page in (page for seed in range(draws) for page in labelled_pages(seed)):
+        blocks = blocks_of(page)
+        x = features(blocks)
+        blank = x.copy()
+        blank[:, CONTEXT:] = 0
+        xs += [x, blank]
+        ys += 2 * [np.array([b[0].startswith("\u00a7") for b in blocks])]
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | bool:
-    """A decision tree by Gini impurity: (feature, threshold, tree for values up to it, tree for values above), or a label."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 8) -> tuple | bool:
+    """A decision tree by Gini impurity: (feature, threshold, tree for values up to it, tree for values above), or a label; at least `least` rows on either side."""
     if depth == 0 or y.all() or not y.any():
         return bool(2 * y.sum() > len(y))
     best = None
-    for j in (6, 7, 1, 0, 8, 3, 5, 2, 4):  # of equal splits the first holds: context, then the block's own, then its neighbours'
+    for j in (1, 0, 5, 3, 4, 2, 6, 7, 9, 8):  # of equal splits the first holds: the block's own, its neighbours', then context
         for t in np.unique(x[:, j])[:-1]:
             low = x[:, j] <= t
+            if min(low.sum(), (~low).sum()) < least:
+                continue
             cost = sum(p.sum() * (1 - p.mean()) for p in (y[low].astype(float), y[~low].astype(float)))
             if best is None or cost < best[0] - 1e-9:
                 above = x[~low, j].min()
@@ -211,7 +258,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | bool:
         return bool(2 * y.sum() > len(y))
     _, j, t = best
     low = x[:, j] <= t
-    return (j, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return (j, t, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
 
 
 def classify(tree, row: np.ndarray) -> bool:
@@ -222,16 +269,14 @@ def classify(tree, row: np.ndarray) -> bool:
 
 def main_text(page: str | None, tree) -> str:
     blocks = blocks_of(page or "")
-    if any(b[4] and not b[3] for b in blocks):  # a page that marks its article: what stands outside is none of it
-        blocks = [b if b[4] else (*b[:3], True, *b[4:]) for b in blocks]
     return "\n".join(b[0] for b, row in zip(blocks, features(blocks), strict=True) if classify(tree, row)) if blocks else ""
 
 
 def _extract(tree):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x, tree) for x in batch.column("_html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"])
+            texts = [main_text(x, tree) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["row", "text", "n_chars"])
 
     return extract
 
@@ -242,7 +287,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Null and empty html give an empty text. Character references are decoded, white space in a block becomes one space, and
     blocks are joined by a line feed in page order. Unclosed elements end with what holds them; text within
     DROPPED elements is left out, and one that the page never closes ends at the next block. Repeated rows are answered
-    alike. Columns with the names of the results are replaced. An empty table gives an empty result.
+    alike. Columns with the names of the results, in whatever case, are replaced. An empty table gives an empty result.
     """
-    rows = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("html", "text", "n_chars")), F.col("html").alias("_html"))
-    return rows.mapInArrow(_extract(grow(*labelled_table())), rows.drop("_html").schema.add("text", "string").add("n_chars", "long"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("html", "text", "n_chars")]
+    rows = pages.select(F.struct(*kept).alias("row"), F.col("html").alias("html"))
+    return unpacked(rows.mapInArrow(_extract(grow(*labelled_table())), rows.drop("html").schema.add("text", "string").add("n_chars", "long")), "text", "n_chars")
