@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_az, small, stage
+from .common import let, lower_az, packed, small, stage, unpacked
 
 WINDOW = 13
 #: What separates the words of a text whose A-Z are lower-cased, and what separates them in the text as it is.
 GAP, GAP_AS_IS, WORD_AS_IS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows up to this many (some 30 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: The hash set is broadcast up to this many bytes, counted as small() counts (some 2 million windows); beyond, it is joined by a shuffle.
+BROADCAST_HASHES = 64 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -26,13 +26,26 @@ def _hash(w: Column, at: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, w, items): each distinct window's hash, words and the item_ids that have it. An item of fewer words, but not none, is one window."""
+    """(h, w, n, items): each distinct window's hash, words and number of words, and what stands for the set of the items that have it: a
+    count and two checksums. An item of fewer words, but not none, is one window."""
+    found = _owned(benchmark, window).groupBy("w").agg(_item_set().alias("items"))
+    return found.select(_by_length(window).alias("h"), "w", F.size("w").alias("n"), "items")
+
+
+def _owned(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, w), once for each item and window."""
     w = F.col("w")
     cut = F.when(F.size(w) >= window, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - window + 1, F.lit(1))), lambda i: F.slice(w, i, window))).otherwise(F.array(w))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    found = items.select("item", F.explode(cut).alias("w")).groupBy("w").agg(F.collect_set("item").alias("items"))
-    by_length = F.coalesce(*(F.when(F.size("w") == n, _hash(w, F.lit(0), n)) for n in range(1, window + 1)))
-    return found.select(by_length.alias("h"), "w", "items")
+    return items.select("item", F.explode(cut).alias("w")).distinct()
+
+
+def _item_set() -> Column:
+    return F.struct(F.count("item").alias("c"), F.bit_xor(F.when(F.col("item").isNotNull(), F.xxhash64("item"))).alias("a"), F.bit_xor(F.when(F.col("item").isNotNull(), F.xxhash64("item", F.lit(7)))).alias("b"))
+
+
+def _by_length(window: int) -> Column:
+    return F.coalesce(*(F.when(F.size("w") == n, _hash(F.col("w"), F.lit(0), n)) for n in range(1, window + 1)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -40,49 +53,58 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     A document word inside any occurrence of a benchmark window is hit; contaminated: n_hit > 0 and 20 * n_hit >= n_words.
     A null or empty text has no words and no hits; an empty benchmark hits nothing; items with a null item_id hit words but
-    are not listed. Rows that repeat are answered alike. Columns with the names of the results are replaced.
+    are not listed. Rows that repeat are answered alike. Columns with the names of the results, in whatever case, are replaced.
     """
-    made = ["n_words", "n_hit", "items", "hit_words", "contaminated"]
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
+    return unpacked(_contaminated(docs, benchmark, window), "n_words", "n_hit", "items", "hit_words", "contaminated")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """Documents meet the hashes window by window, without a shuffle; the few hits are staged. Only documents that have some are cut into words
+    again, to compare the words themselves. The item sets of windows are joined in the end, once for each document and set."""
     windows = stage(benchmark_windows(benchmark, window), "windows")
-    lengths = sorted(r[0] for r in windows.select(F.size("w")).distinct().collect()) or [window]  # at most `window` numbers
-    mark = F.xxhash64("text")
+    lengths = sorted(r[0] for r in windows.select("n").distinct().collect()) or [window]  # at most `window` numbers
+    rows = packed(docs, doc=F.col("doc_id"), text=F.col("text"), mark=F.xxhash64("text"))
 
     def hashes(w: Column, n: int) -> Column:
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: _hash(w, i, n))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    scan = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), mark.alias("_mark"), F.explode(let(item_words(F.col("text")), lambda w: F.array(*(hashes(w, n) for n in lengths)))).alias("_all"))
+    texts = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("text"), F.xxhash64("text").alias("mark")).where("text is not null")
+    w = item_words(F.col("text"))
     if len(lengths) == 1:
-        scan = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), mark.alias("_mark"), let(item_words(F.col("text")), lambda w: hashes(w, lengths[0])).alias("_all"))
-    scan = scan.select("_doc", "_mark", F.posexplode("_all").alias("pos", "h"))
-    hits = scan.join(small(windows, BROADCAST_WINDOWS), "h").groupBy("_doc", "_mark").agg(F.collect_set(F.struct("pos", "w", "items")).alias("_hits"))
-    rows = docs.select("*", F.size(item_words(F.col("text"))).cast("long").alias("n_words"), mark.alias("_own"))
-    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_mark")), "left")
-
-    def verified(w: Column) -> Column:
-        return F.filter("_hits", lambda h: F.slice(w, h.pos + 1, F.size(h.w)) == h.w)
-
-    good = F.when(F.col("_hits").isNotNull(), let(item_words(F.col("text")), verified))
-    rows = rows.withColumn("_good", good)
-    places = F.flatten(F.transform("_good", lambda h: F.sequence(h.pos, h.pos + F.size(h.w) - 1)))
-    none = F.expr("cast(array() as array<int>)")
-    rows = rows.withColumn("hit_words", F.coalesce(F.array_sort(F.array_distinct(places)), none))
-    rows = rows.withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_good", lambda h: h["items"])))), F.expr("cast(array() as array<string>)")))
-    rows = rows.withColumn("n_hit", F.size("hit_words").cast("long")).drop("_own", "_doc", "_mark", "_hits", "_good")
-    return rows.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+        scan = texts.select("doc", "mark", F.lit(lengths[0]).alias("n"), let(w, lambda w: hashes(w, lengths[0])).alias("all"))
+    else:
+        scan = texts.select("doc", "mark", F.explode(let(w, lambda w: F.array(*(F.struct(F.lit(n).alias("n"), hashes(w, n).alias("all")) for n in lengths)))).alias("s")).select("doc", "mark", "s.*")
+    scan = scan.select("doc", "mark", "n", F.posexplode("all").alias("pos", "h"))
+    hits = stage(scan.join(small(stage(windows.select("h", "n").distinct(), "hashes"), bytes_=BROADCAST_HASHES), ["h", "n"]), "hits")
+    same = lambda a, b: a.doc.eqNullSafe(b.doc) & (a.mark == b.mark)
+    places = stage(hits.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n", "h")).alias("places")), "places")  # a document's own
+    few = small(places, 24 * F.size("places"))
+    seen = texts.join(few, same(texts, few)).select(few.doc, few.mark, w.alias("all"), F.explode("places").alias("p"))
+    seen = seen.select("doc", "mark", "p.*", F.slice("all", F.col("p.pos") + 1, F.col("p.n")).alias("w"))
+    known = small(windows, 16 * F.col("n"), BROADCAST_HASHES)
+    good = stage(seen.join(known, ["h", "w"]).select("doc", "mark", "pos", seen.n, "items"), "verified")
+    of_set = _owned(benchmark, window).join(windows, "w").where("item is not null").select("items", "item").distinct()
+    named = good.select("doc", "mark", "items").distinct().join(of_set, "items").groupBy("doc", "mark").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    spans = F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)))
+    per = good.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(spans)).alias("hit_words"))
+    per = per.join(named.withColumnsRenamed({"doc": "d", "mark": "m"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("doc", "mark", "hit_words", "names")
+    per = stage(per, "contaminated")
+    per = small(per, 4 * F.size("hit_words") + F.coalesce(F.length(F.array_join("names", "  ")), F.lit(0)))
+    found = rows.join(per, same(rows, per), "left").select(rows.row, F.size(item_words(rows.text)).cast("long").alias("n_words"), "hit_words", "names")
+    found = found.select("row", "n_words", F.coalesce("hit_words", F.expr("cast(array() as array<int>)")).alias("hit_words"), F.coalesce("names", F.expr("cast(array() as array<string>)")).alias("items"))
+    return found.withColumn("n_hit", F.size("hit_words").cast("long")).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the contaminated ones; columns as given. (Columns with the names of contamination()'s results don't come through.)"""
-    found = contamination(docs, benchmark, window)
-    return found.where("not contaminated").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs without the contaminated ones; columns as given."""
+    return unpacked(_contaminated(docs, benchmark, window).where("not contaminated"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the hit words, and the gaps before them, cut out of text; null texts stay null."""
-    found = contamination(docs, benchmark, window)
-    w, gaps = F.array_remove(F.split("text", GAP_AS_IS), ""), F.split("text", WORD_AS_IS)
-    parts = F.transform(F.sequence(F.lit(0), F.col("n_words") - 1), lambda i: F.when(F.array_contains("hit_words", i.cast("int")), "").otherwise(F.concat(F.get("_gaps", i), F.get("_words", i))))
-    cut = F.concat(F.array_join(parts, ""), F.element_at("_gaps", -1))
-    found = found.withColumn("_words", w).withColumn("_gaps", gaps)
-    return found.withColumn("text", F.when(F.col("n_hit") > 0, cut).otherwise(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs with the hit words, and the gaps before them, cut out of text; null texts stay null. Columns as given."""
+    found = _contaminated(docs, benchmark, window).withColumn("text", F.col("row.text"))
+    found = found.withColumn("w", F.array_remove(F.split("text", GAP_AS_IS), "")).withColumn("gaps", F.split("text", WORD_AS_IS))
+    parts = F.transform(F.sequence(F.lit(0), F.col("n_words") - 1), lambda i: F.when(F.array_contains("hit_words", i.cast("int")), "").otherwise(F.concat(F.get("gaps", i), F.get("w", i))))
+    cut = F.concat(F.array_join(parts, ""), F.element_at("gaps", -1))
+    found = found.withColumn("text", F.when(F.col("n_hit") > 0, cut).otherwise(F.col("text")))
+    return found.select(*(F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
