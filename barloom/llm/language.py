@@ -1,5 +1,5 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation
-through time. The network reads a text word by word (lower-cased, a space on either side, long words in pieces), labels every
+through time. The network reads a text word by word (lower-cased, a space on either side, long words in overlapping windows), labels every
 byte position, and the document's probabilities are the mean over all positions. Since a word's labels depend on the word
 alone, a task computes them once for each distinct word it meets.
 """
@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hidden units of each direction; bytes of a piece of a word; documents of each language and words of each document learned from.
-HIDDEN, PIECE, SAMPLE_DOCS, SAMPLE_WORDS = 16, 24, 300, 40
+from .common import packed, place_of, small, stage, unpacked
+
+#: Hidden units of each direction; bytes of a window of a word, and of these on either side those that only another window labels; documents of each language and words of each document learned from.
+HIDDEN, PIECE, MARGIN, SAMPLE_DOCS, SAMPLE_WORDS = 16, 24, 6, 300, 40
 #: A text is of no language if that is more probable than each language by SLACK / sqrt(byte positions): short texts need more.
 SLACK = 3.0
 #: Words whose labels a task keeps, and characters of the documents that it labels together.
@@ -111,8 +113,16 @@ class BiGRU:
         return losses
 
 
-def pieces_of(word: bytes) -> list[bytes]:
-    return [b" " + word[i : i + PIECE] + b" " for i in range(0, len(word), PIECE)]
+def pieces_of(word: bytes) -> list[tuple[bytes, int, int]]:
+    """(window, from, to) of a word between spaces: its windows, and the positions that each labels, so that all together label every one once."""
+    whole = b" " + word + b" "
+    if len(word) <= PIECE:
+        return [(whole, 0, len(whole))]
+    step, out = PIECE - 2 * MARGIN, []
+    for at in range(0, len(whole), step):
+        start, end = max(0, at - MARGIN), min(len(whole), at + step + MARGIN)
+        out.append((whole[start:end], at - start, min(at + step, len(whole)) - start))
+    return out
 
 
 class Labeller:
@@ -128,17 +138,17 @@ class Labeller:
             self.at, self.sums = {}, self.sums[:0]
         new = [w for w in words if w not in self.at]
         sums = np.zeros((len(new), len(self.labels) + 1), np.float32)
-        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
+        by_length: dict[tuple[int, int, int], tuple[list[int], list[bytes]]] = {}
         for i, w in enumerate(new):
-            for p in pieces_of(w):
-                own = by_length.setdefault(len(p), ([], []))
+            for p, a, b in pieces_of(w):
+                own = by_length.setdefault((len(p), a, b), ([], []))
                 own[0].append(i)
                 own[1].append(p)
-        for n, (owner, pieces) in by_length.items():
+        for (n, a, b), (owner, pieces) in by_length.items():
             for s in range(0, len(pieces), 4096):
                 y, _ = self.net.forward(np.frombuffer(b"".join(pieces[s : s + 4096]), np.uint8).reshape(-1, n))
-                np.add.at(sums[:, :-1], owner[s : s + 4096], y.sum(1))
-                np.add.at(sums[:, -1], owner[s : s + 4096], n)
+                np.add.at(sums[:, :-1], owner[s : s + 4096], y[:, a:b].sum(1))
+                np.add.at(sums[:, -1], owner[s : s + 4096], b - a)
         self.at.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
         self.sums = np.concatenate([self.sums, sums])
 
@@ -162,9 +172,10 @@ class Labeller:
         """The label of every byte of every word, in order."""
         out = []
         for w in text.lower().encode().split():
-            for p in pieces_of(w):
-                y = self.net.forward(np.frombuffer(p, np.uint8)[None])[0][0]
-                out += [self.labels[i] for i in y[1:-1].argmax(1)]
+            own = []
+            for p, a, b in pieces_of(w):
+                own += [self.labels[i] for i in self.net.forward(np.frombuffer(p, np.uint8)[None])[0][0][a:b].argmax(1)]
+            out += own[1:-1]
         return out
 
 
@@ -183,18 +194,24 @@ def noise_of(word: str, rng: np.random.Generator) -> str:
 
 
 def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, noise: bool = False) -> Labeller:
-    """With noise the last label is `und`, learned from as many words of no language as a language has on average. Learns from text and lang of at most sample_docs documents of each language (those of the smallest hashes among
-    the rows with a lang whose crc32(doc_id as text) mod folds is not 0), and of these at most sample_words words each."""
+    """Learns from text and lang of at most sample_docs documents of each language (those of the smallest hashes among
+    the rows with a lang whose crc32(doc_id as text) mod folds is not 0; rows equal in lang, doc_id and text are one), and of these at
+    most sample_words words each. With noise the last label is `und`, learned from as many words of no language as a language has on average."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % folds != 0))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = known.select("lang", "doc_id", F.pmod(F.spark_partition_id(), F.lit(256)).alias("_part"))
-    for keys in (["lang", "_part"], ["lang"]):  # the second ranks at most 256 * sample_docs rows of a language in one task
-        ids = ids.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= sample_docs).drop("_rank")
-    ids = ids.select("doc_id").distinct()
+    own = F.xxhash64("text").alias("own")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % folds != 0)).select(F.col("lang").alias("lang"), F.col("doc_id").alias("doc_id"), own, F.col("text").alias("text"))
+    order = [F.xxhash64("doc_id"), "doc_id", "own"]
+    # a task's smallest of each language, then of these the smallest of groups of tasks, then of all: no task ranks more than 256 times the sample of a language
+    picked = known.select("lang", "doc_id", "own", F.spark_partition_id().alias("part"))
+    for part in ("part", F.pmod("part", F.lit(256)), F.lit(0)):
+        keys = Window.partitionBy("lang", part)
+        picked = picked.withColumn("rank", F.dense_rank().over(keys.orderBy(*order))).where(F.col("rank") <= sample_docs)
+        picked = picked.groupBy("lang", "doc_id", "own").agg(F.min("part").alias("part"))
+    picked = small(stage(picked.select("lang", "doc_id", "own"), "picked"), F.length("lang"))  # the sample
     parts = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
     some = F.slice(F.shuffle(F.array_distinct(F.array_remove(parts, "")), 9), 1, sample_words)
-    rows = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", F.array_sort(some).alias("w")).collect()  # bounded by the sample
+    same = known.doc_id.eqNullSafe(picked.doc_id) & (known.lang == picked.lang) & (known.own == picked.own)
+    rows = known.join(picked, same, "left_semi").dropDuplicates(["lang", "doc_id", "own"]).select("lang", "doc_id", F.array_sort(some).alias("w")).collect()  # bounded by the sample
     labels = sorted({r["lang"] for r in rows})
     languages, rng = len(labels), np.random.default_rng(6)
     if noise and labels:
@@ -203,11 +220,11 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
     pieces, target = [], []
     for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]))):
         for w in r["w"]:
-            own = pieces_of(w.encode())
+            own = [p for p, _, _ in pieces_of(w.encode())]
             pieces += own
             target += [labels.index(r["lang"])] * len(own)
             if noise and rng.random() * languages < 1:
-                own = pieces_of(noise_of(w, rng).encode())
+                own = [p for p, _, _ in pieces_of(noise_of(w, rng).encode())]
                 pieces += own
                 target += [languages] * len(own)
     if len(labels) > 1:
@@ -215,13 +232,13 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
     return Labeller(net, labels, noise and bool(labels))
 
 
-def _predictor(params: dict[str, np.ndarray], labels: list[str], hidden: int, noise: bool):
+def _predictor(params: dict[str, np.ndarray], labels: list[str], hidden: int, noise: bool, place: int):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = BiGRU(max(1, len(labels)), hidden)
         net.p = params
         labeller = Labeller(net, labels, noise)
         for batch in batches:
-            texts, lang, score, at = batch.column("_text").to_pylist(), [], [], 0
+            texts, lang, score, at = batch.column(0).field(place).to_pylist(), [], [], 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end] or "") <= GROUP_CHARS):
@@ -231,23 +248,27 @@ def _predictor(params: dict[str, np.ndarray], labels: list[str], hidden: int, no
                     lang.append("und" if y is None else labels[int(y.argmax())])
                     score.append(0.0 if y is None else min(1.0, round(float(y.max()), 6)))
                 at = end
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
     return predict
 
 
+def _labelled(docs: DataFrame, model: Labeller) -> DataFrame:
+    rows = packed(docs)
+    schema = packed(docs).schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(_predictor(model.net.p, model.labels, model.net.h, model.noise, place_of(docs, "text")), schema)
+
+
 def label(docs: DataFrame, model: Labeller) -> DataFrame:
     """docs with what the model says of text; identify() has the defined results."""
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")), F.col("text").alias("_text"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_predictor(model.net.p, model.labels, model.net.h, model.noise), schema)
+    return unpacked(_labelled(docs, model), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, folds: int = 5) -> DataFrame:
     """docs with lang_pred (a learned lang value; `und` if the text is null or has no letter) and score (0 to 1; 0 for und).
 
     Only the text decides. Rows with one text are answered alike. If no row can be learned from, all are und. Columns with
-    the names of the results are replaced. An empty table gives an empty result.
+    the names of the results, in whatever case, are replaced. An empty table gives an empty result.
     """
     return label(docs, fit(learn_from if learn_from is not None else docs, folds))
 
@@ -261,7 +282,7 @@ def reject(docs: DataFrame, lift: float | None = None) -> DataFrame:
     languages). Columns as given. Without a language to learn all texts are und.
     """
     model = fit(docs, noise=lift is None)
-    found = label(docs, model).where("lang_pred <> 'und'")
+    found = _labelled(docs, model).where("lang_pred <> 'und'")
     if lift is not None:
         found = found.where(F.col("score") >= min(1.0, lift / max(1, len(model.labels))))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(found)
