@@ -9,43 +9,60 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, small, stage, unpacked
+
 
 def _by_hash(a: Column, b: Column) -> Column:
     later = F.when(a.g < b.g, -1).when(a.g > b.g, 1).otherwise(0)
     return F.when(a.h < b.h, -1).when(a.h > b.h, 1).otherwise(later)
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 11, bucket_bytes: int = 8 << 20, most_partitions: int = 20_000) -> DataFrame:
+#: What a task holds as one array: a bucket has so many bytes at least and at most; between, BUCKETS of them hold the table.
+LEAST_BYTES, MOST_BYTES, BUCKETS = 8 << 20, 256 << 20, 20_000
+#: Buckets whose offsets one task sums up.
+BLOCK = 4096
+
+
+def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 11, bucket_bytes: int | None = None) -> DataFrame:
     """docs with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard); law `rows`: shard sizes differ by one at most.
 
     Every row is kept: null and empty texts, repeated rows, null ids. Rows that share a doc_id and a text share a bucket.
-    Columns named shard or slot are replaced; any others stay as they are. An empty table gives an empty result.
-    bucket_bytes bounds what a task holds as one array, but for single rows beyond it and copies of one whole row.
+    Columns named shard or slot, in whatever case, are replaced; any others stay as they are. An empty table gives an empty result.
+    A bucket is a task of its own and bounds what that holds as one array, but for single rows beyond it and copies of one whole row. Rows and
+    seed alone decide the order: a bucket is shuffled by the seed plus its number.
     """
-    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "slot")]
+    spark = docs.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
-    buckets = max(1, math.ceil((docs.agg(F.sum(size)).first()[0] or 0) / bucket_bytes))
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    buckets = max(1, math.ceil(total / (bucket_bytes or min(MOST_BYTES, max(LEAST_BYTES, total / BUCKETS)))))
     text = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
-    rows = docs.select(h.alias("h"), F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")).alias("g"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    bucket = F.pmod(F.shiftright("h", 8), F.lit(buckets))
-    counts = rows.select(bucket.alias("bucket")).groupBy("bucket").count()
-    offsets = spark.sql("SELECT bucket AS b, sum(count) OVER (ORDER BY bucket) - count AS offset FROM {counts}", counts=counts)
+    rows = packed(docs, h=h, g=F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("bucket").count()
+    offsets = stage(offsets_of(counts), "offsets").withColumnRenamed("bucket", "b")
     arrays = (
-        rows.withColumn("bucket", bucket)
-        .repartition(min(buckets, most_partitions), "bucket")
+        rows.repartitionById(buckets, "bucket")  # partition number = bucket, on which the seed of Spark's shuffle() also depends
         .groupBy("bucket")
         .agg(F.array_sort(F.collect_list(F.struct("h", "g", "row")), _by_hash).alias("rows"))
-        .sortWithinPartitions("bucket")
         .select("bucket", F.shuffle("rows", seed).alias("rows"))
         .select("bucket", F.posexplode("rows").alias("i", "r"))
     )
     at = F.col("offset") + F.col("i")
-    placed = arrays.join(F.broadcast(offsets), F.col("bucket") == F.col("b"))  # as many rows as buckets
-    return placed.select("r.row.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
+    placed = arrays.join(small(offsets), F.col("bucket") == F.col("b"))
+    return unpacked(placed.select("r.row", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot")), "shard", "slot")
+
+
+def offsets_of(counts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(bucket, count) -> (bucket, offset): the rows in the buckets before it, summed in blocks of buckets and then over the blocks."""
+    counts = stage(counts.select("bucket", F.floor(F.col("bucket") / block).alias("block"), "count"), "counts")
+    within = counts.withColumn("offset", F.sum("count").over(Window.partitionBy("block").orderBy("bucket")) - F.col("count"))
+    sums = counts.groupBy("block").agg(F.sum("count").alias("count"))
+    before = counts.sparkSession.sql("SELECT block, sum(count) OVER (ORDER BY block) - count AS before FROM {sums}", sums=sums)  # a row for each block
+    return within.join(before, "block").select("bucket", (F.col("offset") + F.col("before")).alias("offset"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
