@@ -34,17 +34,20 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    shared = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("held_by"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = rows.join(small(stage(shared, "payloads")), "payload_digest", "left")
+    large = F.col("payload_bytes") >= LEAST_REVISIT
+    shared = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("held_by"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = rows.where(large).join(small(stage(shared, "payloads"), F.lit(64)), "payload_digest", "left")
+    found = found.unionByName(rows.where(~large).withColumn("held_by", F.lit(None).cast(pages.schema["page_id"].dataType)))
     return found.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("held_by")), F.col("held_by")).alias("refers_to"))
 
 
 def chunk_table(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row for each chunk of a record, in order; a revisit has one empty chunk."""
+    """One row for each chunk of a record, in order; a revisit has one empty chunk. A chunk is cut out for its own row: no row holds all."""
     stored = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
     n = F.greatest(F.ceil(F.octet_length(stored) / chunk_bytes), F.lit(1)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk_no"), F.substring(stored, i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk")))
-    return records.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", n.alias("chunks"), F.explode(chunks).alias("c")).select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "chunks", "c.*")
+    about = ["page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
+    numbered = records.select(*about, stored.alias("stored"), n.alias("chunks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    return numbered.select(*about, "chunks", "chunk_no", F.substring("stored", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))
 
 
 def _header(r: dict) -> bytes:
