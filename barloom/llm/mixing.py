@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage, words
+from .common import packed, small, stage, unpacked, words
 
 #: No target exceeds this many times its source's size.
 MOST = 3
@@ -35,17 +35,16 @@ def targets_sql(weights: tuple[int, ...] = (1, 2, 3), sizes: str = "{sizes}") ->
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """rows with _key: what tells a row from all others that can be told apart, and the number among its equals."""
+    """rows (row, doc_id, text, ...) with key: what tells a row from all others that can be told apart, and the number among its equals."""
     text = F.coalesce(F.concat(F.lit("t"), F.md5(F.col("text").cast("binary"))), F.lit(""))
-    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
-    rows = rows.withColumn("_key", own)
-    again = stage(rows.groupBy("_key").count().where("count > 1").select("_key"), "again")
+    rows = rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id"), F.lit("null")), text))
+    again = stage(rows.groupBy("key").count().where("count > 1").select("key"), "again")
     if again.isEmpty():
         return rows
-    again = small(again)
-    number = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))))
-    repeated = rows.join(again, "_key", "left_semi").withColumn("_key", F.concat_ws(":", "_key", number))
-    return rows.join(again, "_key", "left_anti").unionByName(repeated)
+    again = small(again, F.length("key"))
+    number = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    repeated = rows.join(again, "key", "left_semi").withColumn("key", F.concat_ws(":", "key", number))
+    return rows.join(again, "key", "left_anti").unionByName(repeated)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5, by_row: bool = False) -> DataFrame:
@@ -55,25 +54,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5, by
     seed decide (52 bits of an MD5) is below the fraction, so reruns agree. Rows that share a doc_id share the draw; a null
     doc_id draws as an empty one. With by_row doc_id, text and a number among equal rows decide, so every row has a draw of
     its own, also where doc_id is null or repeated. A source without words has target and copies 0. Null is a source of its own, the last.
-    Columns with the names of the results are replaced. An empty table gives an empty result.
+    Columns with the names of the results, in whatever case, are replaced. An empty table gives an empty result.
 
     Only (source, words) are aggregated, with partial sums, so a hot source is no hot task. The ranking of sources runs over
     one row per source. The join back is broadcast when the sources are counted to be few, else shuffled.
     """
-    made = ["size", "source_size", "target", "copies"]
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
+    return unpacked(_mixed(docs, weights, seed, by_row), *MADE)
+
+
+def emit(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5, by_row: bool = True) -> DataFrame:
+    """The mix itself: each row of docs as many times as it has copies; columns as given."""
+    mixed = _mixed(docs, weights, seed, by_row).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return unpacked(mixed)
+
+
+MADE = ("size", "source_size", "target", "copies")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], seed: int, by_row: bool) -> DataFrame:
     size = F.size(words(F.col("text"))).cast("long")
-    sizes = docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = small(stage(docs.sparkSession.sql(targets_sql(weights), sizes=sizes), "targets"), 100_000)
-    rows = docs.withColumn("size", size).join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
+    sizes = docs.select(F.col("source").alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = stage(docs.sparkSession.sql(targets_sql(weights), sizes=sizes), "targets")
+    targets = small(targets, F.coalesce(F.octet_length("mix_source"), F.lit(0)))
+    more = {"doc_id": F.col("doc_id").cast("string"), "source": F.col("source"), "size": size}
+    rows = packed(docs, **more, **({"text": F.col("text")} if by_row else {}))
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     if by_row:
         rows = _numbered(rows)
-    key = F.col("_key") if by_row else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.col("key") if by_row else F.coalesce(F.col("doc_id"), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    return rows.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")).drop("_key")
-
-
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as many times as it has copies."""
-    return mixed.where("copies > 0").select(*(F.col(f"`{c}`") for c in columns), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    return rows.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, packed, unpacked, words
 
 #: Rules as (name, SQL predicate over the measurements that holds when the rule fails); a rule's bit is its place. Append only.
 RULES = (
@@ -75,15 +75,15 @@ def _measure(text: Column) -> Column:
 def ledger(docs: DataFrame) -> DataFrame:
     """docs with the measurements (long) and failed (long): bit i is set if rule i fails.
 
-    A null text counts as empty: no words, which fails few_words. Columns with the names of the results are replaced.
+    A null text counts as empty: no words, which fails few_words. Columns with the names of the results, in whatever case, are
+    replaced. Rows that repeat are measured alike; an empty table gives an empty result.
     """
-    made = [*MEASURES, "failed"]
-    measured = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), _measure(F.col("text")).alias("_m"))
+    measured = packed(docs, m=_measure(F.col("text"))).select("row", "m.*")
     bits = [F.when(F.expr(test), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, test) in enumerate(RULES)]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return measured.select(*(F.col(f"`{c}`") for c in measured.columns if c != "_m"), "_m.*").withColumn("failed", failed.cast("long"))
+    return unpacked(measured.withColumn("failed", failed.cast("long")), *MEASURES, "failed")
 
 
 def verdict(policy: str = "v3") -> Column:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, place_of, unpacked
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A run is reported if it has so many characters at least and fewer characters per token than this.
 LEAST_CHARS, RATIO = 20, 2.4
@@ -80,19 +82,19 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _scan(ranks):
+def _scan(ranks, place: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(ranks.value)
         for batch in batches:
             out = []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(0).field(place).to_pylist():
                 base = scanner.base(text or "")
                 spans = sorted(base + scanner.random(text or ""))
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
             made = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], [*batch.schema.names[:-1], *MADE])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], ["row", *MADE])
 
     return scan
 
@@ -100,24 +102,28 @@ def _scan(ranks):
 MADE = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 
+def _scanned(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))  # a public file of some 50,000 entries
+    rows = packed(docs)
+    schema = packed(docs).schema
+    for name, kind in zip(MADE, ("long", "long", "long", "string", "string"), strict=True):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(_scan(ranks, place_of(docs, "text")), schema)
+
+
 def scan_secrets(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256 (of the fixed patterns' spans) and spans (all, kind:start:end in code points).
 
     A null text counts as empty. The random spans come from runs of 20 or more characters under 2.4 characters a token that
     are no known digest (hexadecimal of 32, 40, 64 or 128 digits, UUID), number or identifier of plain words in one letter case. Columns
-    with the names of the results are replaced. An empty table gives an empty result.
+    with the names of the results, in whatever case, are replaced. Repeated rows are answered alike; an empty table gives an empty result.
     """
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in MADE), F.col("text").alias("_text"))
-    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))  # a public file of some 50,000 entries
-    schema = rows.drop("_text").schema
-    for name, kind in zip(MADE, ("long", "long", "long", "string", "string"), strict=True):
-        schema = schema.add(name, kind)
-    return rows.mapInArrow(_scan(ranks), schema)
+    return unpacked(_scanned(docs, vocabulary_path), *MADE)
 
 
 def mask(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """docs with every span of text replaced by [secret]; other columns as given."""
-    found = scan_secrets(docs.select(F.col("*")), vocabulary_path)
+    found = _scanned(docs, vocabulary_path)
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -133,4 +139,5 @@ def mask(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
 
         return pd.Series([t if t is None else one(t, s) for t, s in zip(text, spans, strict=True)])
 
-    return found.withColumn("text", cut("text", "spans")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = cut(F.col("row.text"), "spans")
+    return found.select(*(text.alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -156,8 +156,8 @@ def test_mixing(docs, empty):
         rate = want[r.source] / sizes[r.source] if sizes[r.source] else 0
         assert r.copies in (math.floor(rate), math.floor(rate) + 1) and draws.setdefault((r.doc_id, r.source), r.copies) == r.copies
     assert sorted((r.doc_id, r.copies) for r in got) == sorted((r.doc_id, r.copies) for r in mixing.mix(docs.repartition(7)).collect())
-    mixed = mixing.mix(docs)
-    assert mixing.emit(mixed, ["doc_id"]).count() == sum(r.copies for r in got)
+    emitted = mixing.emit(docs, by_row=False)
+    assert emitted.columns == docs.columns and emitted.count() == sum(r.copies for r in got)
     assert mixing.mix(empty).count() == 0
 
 
@@ -530,7 +530,7 @@ def test_large_groups(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "stage", counted)
     got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(d, 3, 85, 100).collect()}
     assert got == want and made["open-cells"] > 0
-    monkeypatch.setattr(near_duplicates, "small", lambda df, rows=0: df)
+    monkeypatch.setattr(near_duplicates, "small", lambda df, *more: df)
     assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(d, 3, 85, 100).collect()} == want
 
 
@@ -608,3 +608,47 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {i: c for i, c in label.items() if i != c}
+
+
+# columns of the caller's whose names clash, in whatever case
+
+CLASH = "row Row2 _m N_WORDS mix_source _copy copy _own _doc doc mark n_hit items hit_words _text Score lang_pred Spans _html Text2 SHARD bucket h g at of id key size Copies failed".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, t, lang, s) for i, t, lang, s in corpus()[:20] + corpus()[-16:]]
+    names = CLASH
+    return spark.createDataFrame([(*r, *(f"{n}-{r[0]}" for n in names)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)).repartition(2)
+
+
+def kept_columns(got, docs, *made):
+    want = [c for c in docs.columns if c.lower() not in {m.lower() for m in made}]
+    assert got.columns == [*want, *made]
+    for r in got.select("doc_id", *(c for c in want if c in CLASH)).collect():
+        assert all(r[c] == f"{c}-{r.doc_id}" for c in want if c in CLASH)
+
+
+def test_clashing_names(spark, clashing):
+    d = clashing
+    n = d.count()
+    bench = spark.createDataFrame([(1, corpus()[1][1])], "item_id long, text string")
+    for got, made in (
+        (quality.ledger(d), [*quality.MEASURES, "failed"]),
+        (mixing.mix(d), mixing.MADE),
+        (mixing.mix(d, by_row=True), mixing.MADE),
+        (decontamination.contamination(d, bench), ["n_words", "n_hit", "items", "hit_words", "contaminated"]),
+        (decontamination.remove_spans(d, bench), []),
+        (language.identify(d), ["lang_pred", "score"]),
+        (secrets.scan_secrets(d), secrets.MADE),
+        (secrets.mask(d), []),
+        (sharding.shuffle_into_shards(d, 4), ["shard", "slot"]),
+    ):
+        assert got.count() == n
+        kept_columns(got, d, *made)
+    pages = d.select(F.col("doc_id").alias("page_id"), "doc_id", F.col("lang").alias("url"), F.col("text").alias("html"), *CLASH, F.lit("x").alias("Text"))
+    got = html_blocks.extract_text(pages)
+    assert got.columns == ["page_id", "doc_id", "url", *CLASH, "text", "n_chars"] and got.count() == n
+    for got in (brown.brown_scores(d), near_duplicates.near_duplicates(d)):
+        assert got.count() == n
+    assert warc.round_trip(pages.drop("Text")).count() == n

@@ -26,6 +26,41 @@ def test_stages(spark):
     assert entry.queries()["pipeline"](spark, SF).count() == counts[5]
 
 
+def cases(spark, n=60):
+    """Rows with nulls, empty and very long texts, ties, repeats, repeated ids, and extra columns whose names clash."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(n).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in base]
+    t = rows[0][1]
+    rows += [(900, None, "en", "s", None), (901, "", None, None, 0), (None, t, "en", "s", 1), (None, None, None, None, None), (902, t, "en", "s", 1), (902, t, "en", "s", 1), (902, rows[1][1], "en", None, 1), (903, (t + " ") * 400, "en", "s", 1), (904, "123 456 --", None, "", 1), (905, "x" * 200_000, None, "s", 1)]
+    names = ["row", "Score", "LANG_PRED", "_copy", "copies", "n_words", "Items", "bucket", "at", "id"]
+    return spark.createDataFrame([(*r, *(f"{n}-{r[0]}" for n in names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)).repartition(3), names
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stage_takes_any_rows(spark, at):
+    docs, names = cases(spark)
+    name, f = cp.STAGES[at]
+    got = f(spark, docs, SF)
+    assert got.columns == (docs.columns if at < 4 else [*docs.columns, "shard", "slot"])
+    before = Counter((r.doc_id, r.text) for r in docs.collect())
+    rows = got.collect()
+    assert all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    after = Counter((r.doc_id, r.text) for r in rows)
+    assert set(after) <= set(before)
+    if name == "language_id":
+        assert not any(t is None or not any(map(str.isalpha, t)) for _, t in after)
+    elif name == "near_dedup":
+        assert all(n == 1 for (i, t), n in after.items() if i is not None) and after[(900, None)] == 1
+    elif name == "decontamination":
+        assert after[(900, None)] == 1 and after[(None, None)] == 1
+    elif name == "mixing":
+        assert all(n <= 3 * before[k] for k, n in after.items())
+    else:
+        assert after == before
+    empty = f(spark, docs.limit(0), SF)
+    assert empty.columns == got.columns and empty.count() == 0
+
+
 def text(v):
     return None if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
 
