@@ -41,8 +41,8 @@ def stochastic(df: DataFrame, k: int = 14, d: int = 3, smooth: int = 1, out: str
     return df.withColumn(out, F.when(F.col("_d").isNotNull(), F.struct(F.col("_k").alias("k"), F.col("_d").alias("d")))).drop("_raw", "_k", "_d")
 
 
-def ema(df: DataFrame, period: int = 20, source: str = "close", out: str = "ema", chunk_rows: int | None = None) -> DataFrame:
-    return linear_recurrences(df.withColumn("_x", source_column(source)), [_ema(out, "_x", period)], chunk_rows).drop("_x")
+def ema(df: DataFrame, period: int = 20, source: str = "close", out: str = "ema") -> DataFrame:
+    return linear_recurrences(df.withColumn("_x", source_column(source)), [_ema(out, "_x", period)]).drop("_x")
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, source: str = "close", out: str = "macd") -> DataFrame:
@@ -116,7 +116,7 @@ def validate_requests(requests: list[dict]) -> list[tuple[str, str]]:
 
 
 def indicator_requests(df: DataFrame, requests: list[dict]) -> DataFrame:
-    """df with one column for each distinct request, named by its canonical key. The window ones share one window; EMAs share one grouped pass."""
+    """df with one column for each distinct request, named by its canonical key. All share one partitioning."""
     if issues := validate_requests(requests):
         raise ValueError(str(issues))
     wanted = {indicator_key(*r): r for r in map(resolve, requests)}

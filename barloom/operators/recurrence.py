@@ -1,21 +1,24 @@
-"""Linear recurrences y[t] = a * y[t-1] + b * x[t], seeded by the mean or the sum of the first n values.
+"""Linear recurrences y[t] = a * y[t-1] + b * x[t], seeded by the mean or the sum of the first n values, as window sums.
 
-No window function has them. A symbol's rows run through one grouped numpy pass that computes all recurrences asked for. A
-symbol too long for one task is cut into chunks: each chunk is an affine map of the value that enters it, the few maps of a
-symbol are chained, and the chunks then run in parallel with what enters them.
+From the seed on, a symbol's values are cut into blocks so long that a to the power of a block's length is below e^-REACH. Within a
+block the recurrence is a running sum, y[o] = a^o * sum(c[k] * a^-k), and of all that lies before a block only the end of
+the one before it counts: what lies further back is below the rounding of a double. All windows are partitioned by symbol, so
+any number of recurrences needs one exchange and no Python.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tape import KEYS, PAST, grid
 
+#: e^REACH is far from the largest double, and e^-REACH far below its rounding.
+REACH = 200.0
+
 
 @dataclass(frozen=True)
 class Recurrence:
@@ -26,6 +29,10 @@ class Recurrence:
     b: float
     seed: str = "mean"
 
+    def block(self) -> int:
+        """Values of a block."""
+        return max(2, math.floor(REACH / -math.log(self.a))) if 0 < self.a < 1 else 1 << 60
+
 
 def ema(out: str, x: str, period: int) -> Recurrence:
     k = 2 / (period + 1)
@@ -40,72 +47,26 @@ def wilder_sum(out: str, x: str, period: int) -> Recurrence:
     return Recurrence(out, x, period, 1 - 1 / period, 1.0, "sum")
 
 
-def _run(rank: np.ndarray, seed: np.ndarray, x: np.ndarray, r: Recurrence, y: float = np.nan) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    for i, k in enumerate(rank):
-        if k == r.n:
-            y = seed[i]
-        elif k > r.n and x[i] == x[i]:
-            y = r.a * y + r.b * x[i]
-        out[i] = y if k >= r.n else np.nan
-    return out
-
-
-def _map(rank: np.ndarray, seed: np.ndarray, x: np.ndarray, r: Recurrence) -> tuple[float, float]:
-    """The chunk's last value as slope * entering value + offset."""
-    slope, offset = 1.0, 0.0
-    for i, k in enumerate(rank):
-        if k == r.n:
-            slope, offset = 0.0, seed[i]
-        elif k > r.n and x[i] == x[i]:
-            slope, offset = r.a * slope, r.a * offset + r.b * x[i]
-    return slope, offset
-
-
-def linear_recurrences(df: DataFrame, specs: list[Recurrence], chunk_rows: int | None = None) -> DataFrame:
+def linear_recurrences(df: DataFrame, specs: list[Recurrence]) -> DataFrame:
     """df with a column for each spec, NULL before its seed. x may be NULL only before its first value and is skipped after."""
-    helpers = []
+    kept = df.columns
     for i, r in enumerate(specs):
-        n = F.count(r.x).over(grid(PAST, 0))
-        part = (F.avg if r.seed == "mean" else F.sum)(r.x).over(grid(1 - r.n, 0))
-        df = df.withColumn(f"_n{i}", n).withColumn(f"_s{i}", part)
-        helpers += [f"_n{i}", f"_s{i}"]
-    kept = [c for c in df.columns if c not in helpers]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields] + [f"`{r.out}` double" for r in specs])
-    arrays = lambda g, i, r: (g[f"_n{i}"].to_numpy(), g[f"_s{i}"].to_numpy(float, na_value=np.nan), g[r.x].to_numpy(float, na_value=np.nan))
-
-    def whole(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("minute_ts")
-        made = {r.out: _run(*arrays(g, i, r), r) for i, r in enumerate(specs)}
-        return g[kept].assign(**made)
-
-    if chunk_rows is None:
-        return _nulls(df.groupBy(*KEYS).applyInPandas(whole, schema), specs)
-    df = df.withColumn("_chunk", F.floor((F.row_number().over(grid()) - 1) / chunk_rows).cast("long"))
-
-    def maps(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("minute_ts")
-        pairs = [_map(*arrays(g, i, r), r) for i, r in enumerate(specs)]
-        return pd.DataFrame([[*key, [p[0] for p in pairs], [p[1] for p in pairs]]], columns=[*KEYS, "_chunk", "slope", "offset"])
-
-    def chain(g: pd.DataFrame) -> pd.DataFrame:
-        y, rows = np.zeros(len(specs)), []
-        for c, slope, offset in g.sort_values("_chunk")[["_chunk", "slope", "offset"]].itertuples(index=False):
-            rows.append((c, y.tolist()))
-            y = np.asarray(slope) * y + np.asarray(offset)
-        return pd.DataFrame([[*g[KEYS].iloc[0], c, v] for c, v in rows], columns=[*KEYS, "_chunk", "_in"])
-
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    keys = ", ".join(f"{k} {types[k]}" for k in KEYS)
-    carried = df.groupBy(*KEYS, "_chunk").applyInPandas(maps, f"{keys}, _chunk long, slope array<double>, offset array<double>").groupBy(*KEYS).applyInPandas(chain, f"{keys}, _chunk long, _in array<double>")
-
-    def part(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("minute_ts")
-        start = g["_in"].iloc[0]
-        return g[kept].assign(**{r.out: _run(*arrays(g, i, r), r, start[i]) for i, r in enumerate(specs)})
-
-    return _nulls(df.join(carried, [*KEYS, "_chunk"]).groupBy(*KEYS, "_chunk").applyInPandas(part, schema), specs)
-
-
-def _nulls(df: DataFrame, specs: list[Recurrence]) -> DataFrame:
-    return df.withColumns({r.out: F.when(~F.isnan(r.out), F.col(r.out)) for r in specs})
+        x, at, seed, place, block, own, end = F.col(r.x), f"_n{i}", f"_s{i}", f"_o{i}", f"_b{i}", f"_l{i}", f"_e{i}"
+        df = df.withColumn(at, F.count(x).over(grid(PAST, 0))).withColumn(seed, (F.avg if r.seed == "mean" else F.sum)(x).over(grid(1 - r.n, 0)))
+        since = F.col(at) - r.n
+        on = F.col(at) >= r.n
+        if r.a == 0:  # no memory
+            df = df.withColumn(r.out, F.last(F.when(on & x.isNotNull(), F.when(since == 0, F.col(seed)).otherwise(r.b * x)), ignorenulls=True).over(grid(PAST, 0)))
+            continue
+        size = r.block()
+        df = df.withColumn(block, F.when(on, F.floor(since / size))).withColumn(place, F.when(on, since % size))
+        value = F.when(on & x.isNotNull(), F.when(since == 0, F.col(seed)).otherwise(r.b * x))
+        within = Window.partitionBy(*KEYS, block).orderBy("minute_ts").rowsBetween(PAST, 0)
+        df = df.withColumn(own, F.sum(value * F.pow(F.lit(r.a), -F.col(place))).over(within) * F.pow(F.lit(r.a), F.col(place)))
+        df = df.withColumn(end, F.last(F.when(F.col(place) == size - 1, F.struct(block, own)), ignorenulls=True).over(grid(PAST, 0)))
+        # in a block's last row the newest end is its own; the one before it is then that of the row before
+        before = F.lag(end).over(grid())
+        carried = F.when(F.col(block) > 0, F.when(F.col(f"{end}.{block}") < F.col(block), F.col(f"{end}.{own}")).otherwise(before.getField(own)))
+        y = F.when(x.isNotNull(), F.col(own) + F.coalesce(carried * F.pow(F.lit(r.a), F.col(place) + 1), F.lit(0.0)))
+        df = df.withColumn(r.out, y).withColumn(r.out, F.last(r.out, ignorenulls=True).over(grid(PAST, 0)))
+    return df.select(*(F.col(f"`{c}`") for c in kept), *(r.out for r in specs))

@@ -9,7 +9,6 @@ from barloom.operators import reconcile as rc
 from barloom.operators import recurrence as rec
 from barloom.operators import research as rs
 from barloom.operators import tape
-from barloom.operators.watch import dump_watch_fsm
 from barloom.sources import rows as src
 
 M = 60_000
@@ -65,16 +64,31 @@ def test_indicator_vectors(spark):
     assert column(ind.rsi(up, 3), "rsi")[-1] == 100 and column(ind.rsi(flat, 3), "rsi")[-1] == 100
 
 
-def test_chunked_recurrence(spark):
-    x = np.random.default_rng(1).normal(10, 2, 200)
-    d = bars(spark, x)
-    whole, parts = column(ind.ema(d, 7), "ema"), column(ind.ema(d, 7, chunk_rows=23), "ema")
-    y, want = x[:7].mean(), [None] * 6
+@pytest.mark.parametrize(("period", "n"), [(1, 50), (2, 1200), (7, 3000), (200, 900)])
+def test_recurrence_over_blocks(spark, period, n):
+    x = np.random.default_rng(1).normal(10, 2, n)
+    x[n // 2 :] *= 1e-6  # what lies before must not drown what comes after
+    got = column(ind.ema(bars(spark, x), period), "ema")
+    y, want = x[:period].mean(), [None] * (period - 1)
     want.append(y)
-    for v in x[7:]:
-        y += (v - y) * 2 / 8
+    for v in x[period:]:
+        y += (v - y) * 2 / (period + 1)
         want.append(y)
-    assert whole == pytest.approx(want) and parts == pytest.approx(want)
+    assert got[: period - 1] == want[: period - 1] and got[period - 1 :] == pytest.approx(want[period - 1 :], rel=1e-9)
+
+
+def test_recurrence_skips_nulls(spark):
+    x = [None, None, 1.0, 2.0, 3.0] + [float(i % 5) for i in range(400)]
+    holes = [v if i % 7 or i < 5 else None for i, v in enumerate(x)]
+    d = spark.createDataFrame([("d", "S", i * M, v) for i, v in enumerate(holes)], "dataset string, symbol string, minute_ts long, x double")
+    got = column(rec.linear_recurrences(d, [rec.rma("y", "x", 2)]), "y")
+    y, seen, want = None, [], []
+    for v in holes:
+        if v is not None:
+            seen.append(v)
+            y = sum(seen) / 2 if len(seen) == 2 else 0.5 * y + 0.5 * v if len(seen) > 2 else None
+        want.append(y)
+    assert got == pytest.approx(want)
 
 
 def test_no_look_ahead(spark):
@@ -102,8 +116,41 @@ def test_reconcile_ambiguous(spark):
     assert [r.status for r in rc.reconcile_trades(t, t.limit(1), bars(spark, [1, 2, 3]).withColumn("symbol", F.lit("S"))).collect()] == ["ambiguous"]
 
 
-def test_state_machine(spark):
-    close = [100.0] * 5 + [95, 88, 86, 85.5, 86.5, 88, 89, 92, 94, 94]
-    d = bars(spark, close).withColumn("has_oi", F.lit(True)).withColumn("oi_total_usd", 1000 + F.col("minute_ts") / 1000).withColumn("has_liquidations", F.lit(True)).withColumn("liq_long_usd", F.lit(50.0))
-    got = [r.event for r in dump_watch_fsm(d).orderBy("ts").collect()]
-    assert got[:3] == ["dump_detected", "enter", "fill_enter"] and any(e.startswith(("tp1", "tp2")) for e in got)
+def test_fingerprint_tells_null_and_separators(spark):
+    d = spark.createDataFrame([("d", "S", M, "a|b", None), ("d", "T", M, "null", "x")], "dataset string, symbol string, minute_ts long, p string, q string")
+    prints = {src.dataset_fingerprint(x).first()["fingerprint"] for x in (d, d.withColumn("p", F.when(F.col("p") == "null", F.lit(None)).otherwise(F.col("p"))), d.withColumn("p", F.lit("a")).withColumn("q", F.lit("b|x")), d.withColumn("q", F.coalesce("q", F.lit("null"))))}
+    assert len(prints) == 4
+
+
+def test_written_runs(spark, tmp_path):
+    d = spark.createDataFrame([(f"r{i % 5}", i, float(i)) for i in range(40)], "run_id string, seq long, equity double")
+    src.write_runs(d, str(tmp_path / "runs"), 3)
+    back = spark.read.parquet(str(tmp_path / "runs"))
+    assert sorted(map(tuple, back.select("run_id", "seq", "equity").collect())) == sorted(map(tuple, d.collect())) and back.select("run_bucket").distinct().count() <= 3
+    src.write_json(d, str(tmp_path / "json"))
+    assert spark.read.schema(d.schema).json(str(tmp_path / "json")).count() == 40
+
+
+def test_walk_forward_takes_a_signal(spark):
+    d = bars(spark, [1, 2, 3, 4, 5, 4, 3, 2, 3, 4, 5, 6])
+    folds = rs.walk_forward_folds(spark.createDataFrame([("d", 0, 12 * M)], "run_id string, ts_from long, ts_to long"), 2, "rolling")
+    mine = rs.walk_forward_run(d, folds, F.col("close") > F.lag("close").over(tape.grid()))
+    plain = rs.walk_forward_run(d, folds)
+    assert {(r.fold, r.entry_ts // M) for r in mine.collect()} == {(0, 4), (1, 8), (1, 9), (1, 10), (1, 11)}
+    assert {(r.fold, r.entry_ts // M) for r in plain.collect()} == {(0, 4), (0, 5), (1, 9), (1, 10), (1, 11)}
+
+
+def test_correlation_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i}", "k", f"2024-01-{d + 1:02d}", float(rng.normal())) for i in range(12) for d in range(20) if rng.random() < 0.8]
+    x = spark.createDataFrame(rows, "run_id string, key string, day string, delta double")
+    one, many = ({(r.a_run, r.b_run): (r.overlap, r.rho) for r in rs.pnl_correlation(x, x, 3, block).collect()} for block in (512, 3))
+    assert one == many and len(one) == 132
+    by = {}
+    for r, _, d, v in rows:
+        by.setdefault(r, {})[d] = v
+    for (a, b), (n, rho) in one.items():
+        shared = sorted(by[a].keys() & by[b].keys())
+        assert n == len(shared) and rho == pytest.approx(np.corrcoef([by[a][d] for d in shared], [by[b][d] for d in shared])[0, 1], abs=1e-7)
+    near = {r.run_id: r.nearest for r in rs.novelty_blocks(x, 3, 3).collect()}
+    assert near == {a: min((-abs(rho), b) for (c, b), (_, rho) in one.items() if c == a)[1] for a in by}
