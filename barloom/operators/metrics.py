@@ -37,7 +37,7 @@ def equity_metrics(equity: DataFrame, keys: list[str] | None = None, years: Colu
         *keys, zero(F.col("last") - F.col("first")).alias("pnl"), zero(F.col("max_drawdown")).alias("max_drawdown"),
         zero(F.when(many, F.try_divide(F.col("m"), F.col("s")))).alias("sharpe"), zero(F.when(ok & (F.col("n") > 1) & (F.col("down") > 0), F.try_divide(F.col("m"), F.col("down")))).alias("sortino"),
         zero(F.when(ok, F.col("s"))).alias("returns_stddev"), zero(F.when(many, F.col("skew"))).alias("returns_skew"), zero(F.when(many, F.col("kurt") + 3)).alias("returns_kurtosis"),
-        F.when(ok, F.col("n")).otherwise(0).cast("long").alias("returns_count"), grown.alias("cagr"), elapsed.alias("elapsed_years"),
+        F.when(ok, F.col("n")).otherwise(0).cast("long").alias("returns_count"), grown.alias("cagr"), elapsed.alias("elapsed_years"), "points",
     )
     return out.withColumn("calmar", F.try_divide("cagr", F.when(F.col("max_drawdown") > 0, F.col("max_drawdown"))))
 
@@ -52,16 +52,17 @@ def trade_aggregates() -> list[Column]:
     ]
 
 
-def trade_metrics(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return trades.groupBy(*(keys or ["run_id"])).agg(*trade_aggregates())
+def trade_metrics(trades: DataFrame, keys: list[str] | None = None, custom: dict[str, Column] | None = None) -> DataFrame:
+    """custom: further metrics as aggregates over the trades' columns."""
+    return trades.groupBy(*(keys or ["run_id"])).agg(*trade_aggregates(), *(c.alias(k) for k, c in (custom or {}).items()))
 
 
-def run_metrics(equity: DataFrame, trades: DataFrame, names: list[str] | None = None, keys: list[str] | None = None, years: Column | None = None) -> DataFrame:
-    """The metrics asked for (unknown names are passed over), one row for each run that has equity."""
+def run_metrics(equity: DataFrame, trades: DataFrame, names: list[str] | None = None, keys: list[str] | None = None, years: Column | None = None, custom: dict[str, Column] | None = None) -> DataFrame:
+    """The metrics asked for (unknown names are passed over) and the custom ones, aggregates over the trades; one row for each run that has equity."""
     keys = keys or ["run_id"]
-    out = equity_metrics(equity, keys, years).join(trade_metrics(trades, keys), keys, "left")
+    out = equity_metrics(equity, keys, years).join(trade_metrics(trades, keys, custom), keys, "left")
     out = out.fillna(0.0, ["win_rate", "top_trade_contribution_pct", "expectancy", "sqn"]).fillna(0, ["total_trades"])
-    return out.select(*keys, *(n for n in (names or METRICS) if n in METRICS))
+    return out.select(*keys, *(n for n in (names or METRICS) if n in METRICS or n == "points"), *(custom or {}))
 
 
 def long_form(metrics: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

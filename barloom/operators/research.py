@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, YEAR_MS, canonical_hash, js_round, normal_cdf, normal_inv_cdf, parse_timeframe
 from .metrics import METRICS, long_form, run_metrics
+from .simulate import momentum_trades
 
 EULER_GAMMA = 0.5772156649015329
 MACD_WARMUP = 34
@@ -26,30 +27,53 @@ def walk_forward_folds(runs: DataFrame, folds: int, mode: str = "expanding") ->
     return f.select("run_id", "fold", start.alias("train_from"), at(F.col("fold") + 1).alias("train_to"), at(F.col("fold") + 1).alias("test_from"), at(F.col("fold") + 2).alias("test_to"))
 
 
-def anchored_window(equity: DataFrame, windows: DataFrame) -> DataFrame:
+def fold_anchors(equity: DataFrame, windows: DataFrame) -> DataFrame:
+    """windows (run_id, fold, test_from, test_to) with the last equity point before each (`anchor`; of equal times the last by seq) and the number
+    of distinct times before it (`warmup_steps`): one window over points and folds together, so points are not laid out for each fold."""
+    point = F.struct(*(c for c in equity.columns if c != "run_id"))
+    points = equity.select("run_id", F.col("bar_ts").alias("_at"), F.lit(1).alias("_o"), F.col("seq").alias("_seq"), point.alias("_point"))
+    starts = windows.select("run_id", F.col("test_from").alias("_at"), F.lit(0).alias("_o"), F.struct("fold", "test_from", "test_to").alias("_fold"))
+    w = Window.partitionBy("run_id").orderBy("_at", "_o", "_seq")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    both = points.unionByName(starts, allowMissingColumns=True)
+    both = both.withColumn("_before", F.last(F.when(F.col("_o") == 1, F.col("_at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    new = ((F.col("_o") == 1) & ~F.col("_before").eqNullSafe(F.col("_at"))).cast("long")
+    both = both.withColumn("anchor", F.last("_point", ignorenulls=True).over(past)).withColumn("warmup_steps", F.sum(new).over(past))
+    return both.where("_o = 0").select("run_id", "_fold.*", "anchor", "warmup_steps")
+
+
+def anchored_window(equity: DataFrame, windows: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """Equity points inside each window (run_id, fold, test_from, test_to) and the last one before it (of equal times the last by seq)."""
-    j = equity.join(windows.select("run_id", "fold", "test_from", "test_to"), "run_id")
-    inside = (F.col("bar_ts") >= F.col("test_from")) & (F.col("bar_ts") < F.col("test_to"))
-    before = F.col("bar_ts") < F.col("test_from")
-    w = Window.partitionBy("run_id", "fold", before).orderBy(F.desc("bar_ts"), F.desc("seq"))
-    j = j.where(inside | before).withColumn("_before", before).withColumn("_rn", F.row_number().over(w))
-    return j.where(~F.col("_before") | (F.col("_rn") == 1)).drop("_rn", "_before")
+    f = windows.select(F.col("run_id").alias("_run"), "fold", "test_from", "test_to")
+    inside = (F.col("run_id") == F.col("_run")) & (F.col("bar_ts") >= F.col("test_from")) & (F.col("bar_ts") < F.col("test_to"))
+    a = fold_anchors(equity, windows) if anchors is None else anchors
+    return equity.join(f, inside).drop("_run").unionByName(a.where("anchor is not null").select("run_id", "anchor.*", "fold", "test_from", "test_to"))
 
 
 def evaluate_folds(equity: DataFrame, trades: DataFrame, folds: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Metrics of each (run_id, fold) over its anchored equity and the trades that open and close in it, with points, carried-in trades and warm-up steps."""
     keys = ["run_id", "fold"]
-    e = anchored_window(equity, folds)
-    t = trades.join(folds, "run_id")
-    inside = t.where("entry_ts >= test_from and exit_ts < test_to")
-    carry = t.groupBy(*keys).agg(F.count_if(F.expr("entry_ts < test_from and exit_ts >= test_from and exit_ts < test_to")).alias("carry_in"))
-    warm = equity.join(folds, "run_id").groupBy(*keys).agg(F.count_distinct(F.when(F.col("bar_ts") < F.col("test_from"), F.col("bar_ts"))).alias("warmup_steps"))
-    m = run_metrics(e, inside, names, keys, (F.col("test_to") - F.col("test_from")) / YEAR_MS)
-    points = e.groupBy(*keys).agg(F.count("*").alias("points"))
-    out = m.join(points, keys).join(carry, keys, "left").join(warm, keys, "left").fillna(0, ["carry_in", "warmup_steps"])
+    anchors = fold_anchors(equity, folds)
+    e = anchored_window(equity, folds, anchors)
+    t = trades.join(folds, "run_id").where("exit_ts >= test_from and exit_ts < test_to")
+    inside = t.where("entry_ts >= test_from")
+    carry = t.groupBy(*keys).agg(F.count_if(F.expr("entry_ts < test_from")).alias("carry_in"))
+    m = run_metrics(e, inside, [*(names or METRICS), "points"], keys, (F.col("test_to") - F.col("test_from")) / YEAR_MS)
+    out = m.join(carry, keys, "left").join(anchors.select(*keys, "warmup_steps"), keys, "left").fillna(0, ["carry_in", "warmup_steps"])
     return out.withColumn("sufficient", F.col("points") >= 2)
 
 
+def walk_forward_run(bars: DataFrame, folds: DataFrame, signal: Column | None = None) -> DataFrame:
+    """(dataset, fold, entry_ts, ...): the momentum trades, or those of `signal`, of each fold (run_id = dataset, fold, train_from, test_from, test_to), run over
+    its training and test bars and kept where they are entered in the test. Each fold's bars are a tape of their own, so nothing looks over its edges."""
+    f = folds.select(F.col("run_id").alias("_run"), "fold", "train_from", "test_from", "test_to")
+    inside = (F.col("dataset") == F.col("_run")) & (F.col("minute_ts") >= F.col("train_from")) & (F.col("minute_ts") < F.col("test_to"))
+    each = bars.join(f, inside).withColumn("dataset", F.struct(F.col("dataset").alias("name"), "fold", "test_from")).drop("_run", "fold", "train_from", "test_from", "test_to")
+    t = momentum_trades(each, signal=signal)
+    t = t.select(F.col("dataset.name").alias("_name"), "dataset.fold", "dataset.test_from", *(c for c in t.columns if c != "dataset"))
+    return t.where("entry_ts >= test_from").drop("test_from").withColumnRenamed("_name", "dataset")
+
+
 def aggregate_folds(fold_metrics: DataFrame, names: list[str]) -> DataFrame:
     """(run_id, metric, mean, stddev, min, max, positive_fraction) of the metrics that every fold of the run has."""
     v = long_form(fold_metrics, ["run_id", "fold"], [n for n in names if n in METRICS])
@@ -83,9 +107,9 @@ def history_check(runs: DataFrame, folds: int, novelty_days: int, holdout_days:
 
 
 def smallest_sufficient_tier(tiers: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (request_id, days) with the tier of the fewest common_present_minutes that still cover them; NULL if none does. Tiers are few."""
-    j = requests.join(F.broadcast(tiers), F.col("common_present_minutes") / 1440 >= F.col("days"), "left")
-    return j.groupBy("request_id", "days").agg(F.min_by("tier", "common_present_minutes").alias("tier"))
+    """requests (request_id, days) with the tier of the fewest common_present_minutes (then the smallest name) that still cover them; NULL if none does."""
+    j = requests.join(tiers, F.col("common_present_minutes") / 1440 >= F.col("days"), "left")
+    return j.groupBy("request_id", "days").agg(F.min_by("tier", F.struct("common_present_minutes", "tier")).alias("tier"))
 
 
 def family_key(with_period: bool = True) -> Column:
@@ -121,8 +145,8 @@ def deflation(trials: DataFrame, empirical_min_n: int = 10) -> DataFrame:
 
 def deflated_sharpe(trials: DataFrame, empirical_min_n: int = 10) -> DataFrame:
     """trials (family_key, run_id, sharpe, skew, kurtosis, t_count): each against all trials of its family."""
-    w = Window.partitionBy("family_key")
-    return deflation(trials.withColumn("n_trials", F.count("*").over(w)).withColumn("family_var", F.var_samp("sharpe").over(w)), empirical_min_n)
+    family = trials.groupBy("family_key").agg(F.count("*").alias("n_trials"), F.var_samp("sharpe").alias("family_var"))
+    return deflation(trials.join(family, "family_key"), empirical_min_n)
 
 
 def trial_context_as_of(trials: DataFrame, empirical_min_n: int = 10) -> DataFrame:
@@ -131,66 +155,83 @@ def trial_context_as_of(trials: DataFrame, empirical_min_n: int = 10) -> DataFra
     return deflation(trials.withColumn("n_trials", F.count("*").over(w)).withColumn("family_var", F.var_samp("sharpe").over(w)), empirical_min_n)
 
 
-def _rho() -> Column:
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
-    return F.when((vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy")), (F.col("sxy") - sx * sy / n) / F.sqrt(vx * vy))
+#: Runs of a block; a cell meets two blocks in one masked matrix product.
+BLOCK = 512
+
+
+def _cells(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
+    """Both sides' deltas (run_id, key, day, delta) dealt into cells (key, i, j) of a block of a's runs and one of b's, within a comparability key."""
 
+    def counted(d: DataFrame, name: str) -> DataFrame:
+        return d.groupBy("key").agg(F.greatest(F.ceil(F.approx_count_distinct("run_id", 0.02) / block), F.lit(1)).cast("long").alias(name))
 
-def pnl_correlation(a: DataFrame, b: DataFrame, min_overlap: int = 5) -> DataFrame:
+    n = counted(a, "na").join(counted(b, "nb"), "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("run_id"), F.col(c))
+    rows = ["key", "run_id", "day", "delta"]
+    left = a.join(n, "key").select(*rows, F.lit(0).alias("side"), own("na").alias("i"), upto("nb").alias("j"))
+    return left.unionByName(b.join(n, "key").select(*rows, F.lit(1).alias("side"), own("nb").alias("j"), upto("na").alias("i")))
+
+
+def _rho(g: pd.DataFrame, min_overlap: int) -> tuple[pd.Index, pd.Index, np.ndarray, np.ndarray]:
+    """Runs of either side, their shared days and their correlation on these, NaN below min_overlap days, below two, without variance and for a run with itself."""
+    days = pd.Index(g["day"].unique())
+    m, o = (g[g["side"] == s].pivot(index="run_id", columns="day", values="delta").reindex(columns=days) for s in (0, 1))
+    x, y, mx, my = np.nan_to_num(m.to_numpy(float)), np.nan_to_num(o.to_numpy(float)), m.notna().to_numpy(float), o.notna().to_numpy(float)
+    c, sx, sy, sxx, syy, sxy = mx @ my.T, x @ my.T, mx @ y.T, (x * x) @ my.T, mx @ (y * y).T, x @ y.T
+    with np.errstate(all="ignore"):
+        vx, vy = sxx - sx * sx / c, syy - sy * sy / c
+        rho = np.where((c >= max(2, min_overlap)) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy), (sxy - sx * sy / c) / np.sqrt(vx * vy), np.nan)
+    same = m.index.to_numpy()[:, None] == o.index.to_numpy()[None, :]
+    rho[same], c[same] = np.nan, 0
+    return m.index, o.index, c.astype(np.int64), np.round(rho, 8)
+
+
+def pnl_correlation(a: DataFrame, b: DataFrame, min_overlap: int = 5, block: int = BLOCK) -> DataFrame:
     """(a_run, b_run, overlap, rho) of daily deltas (run_id, key, day, delta) on shared days, within a comparability key; NULL below min_overlap days, below two, or without variance."""
-    x = a.select("key", "day", F.col("run_id").alias("a_run"), F.col("delta").alias("x"))
-    y = b.select("key", "day", F.col("run_id").alias("b_run"), F.col("delta").alias("y"))
-    s = x.join(y, ["key", "day"]).where("a_run <> b_run").groupBy("a_run", "b_run").agg(F.count("*").alias("n"), *(F.sum(e).alias(n) for n, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.expr("x * x")), ("syy", F.expr("y * y")), ("sxy", F.expr("x * y")))))
-    return s.select("a_run", "b_run", F.col("n").alias("overlap"), F.when(F.col("n") >= max(2, min_overlap), F.bround(_rho(), 8)).alias("rho"))
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        left, right, c, rho = _rho(g, min_overlap)
+        i, j = np.nonzero(c)
+        return pd.DataFrame({"a_run": left[i], "b_run": right[j], "overlap": c[i, j], "rho": rho[i, j]})
+
+    out = _cells(a, b, block).groupBy("key", "i", "j").applyInPandas(pairs, "a_run string, b_run string, overlap long, rho double")
+    return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+
+
+def nearest_blocks(a: DataFrame, b: DataFrame, min_overlap: int = 5, block: int = BLOCK) -> DataFrame:
+    """(run_id, nearest, rho, compared) of a's runs among b's by cells of blocks: a hot key becomes many even tasks and pairs are never rows. Ties go to the smallest run_id."""
+
+    def best(g: pd.DataFrame) -> pd.DataFrame:
+        left, right, _, rho = _rho(g, min_overlap)
+        out = []
+        for r, row in zip(left, rho, strict=True):
+            if np.isfinite(row).any():
+                top = np.abs(row)
+                k = min(np.flatnonzero(top == np.nanmax(top)), key=lambda q: right[q])
+                out.append((r, right[k], row[k], int(np.isfinite(row).sum())))
+        return pd.DataFrame(out, columns=["run_id", "nearest", "rho", "compared"])
+
+    found = _cells(a, b, block).groupBy("key", "i", "j").applyInPandas(best, "run_id string, nearest string, rho double, compared long")
+    return found.groupBy("run_id").agg(F.min(F.struct((-F.abs("rho")).alias("neg"), "nearest", "rho")).alias("b"), F.sum("compared").alias("compared")).select("run_id", "b.nearest", "b.rho", "compared")
 
 
 def novelty(candidates: DataFrame, pool: DataFrame, threshold: float = 0.95, min_overlap: int = 5) -> DataFrame:
     """(run_id, status, score, nearest, correlation, compared, duplicate) of each candidate; ties go to the smallest run_id."""
-    c = pnl_correlation(candidates, pool, min_overlap).where("rho is not null")
-    best = c.groupBy("a_run").agg(F.count("*").alias("compared"), F.min(F.struct((-F.abs("rho")).alias("neg"), F.col("b_run").alias("ref"), F.col("rho").alias("rho"))).alias("b"))
+    best = nearest_blocks(candidates, pool, min_overlap).withColumnRenamed("run_id", "a_run")
     days = candidates.groupBy("run_id", "key").agg(F.count("*").alias("days"))
     others = pool.groupBy("key").agg(F.count_distinct("run_id").alias("members"))
     own = pool.select("run_id", "key").distinct().withColumn("own", F.lit(1))
     d = days.join(others, "key", "left").join(own, ["run_id", "key"], "left").join(best, F.col("run_id") == F.col("a_run"), "left")
     rest = F.coalesce("members", F.lit(0)) - F.coalesce("own", F.lit(0))
     status = F.when(F.col("days") < 2, "empty_candidate").when(rest == 0, "empty_pool").when(F.col("a_run").isNull(), "insufficient_overlap").otherwise("resolved")
-    top = -F.col("b.neg")
-    ok = status == "resolved"
-    return d.select("run_id", status.alias("status"), F.when(ok, 1 - top).alias("score"), F.when(ok, F.col("b.ref")).alias("nearest"), F.when(ok, F.col("b.rho")).alias("correlation"), F.when(ok, F.col("compared")).alias("compared"), F.when(ok, top >= threshold).alias("duplicate"))
+    top, ok = F.abs("rho"), status == "resolved"
+    return d.select("run_id", status.alias("status"), F.when(ok, 1 - top).alias("score"), F.when(ok, F.col("nearest")).alias("nearest"), F.when(ok, F.col("rho")).alias("correlation"), F.when(ok, F.col("compared")).alias("compared"), F.when(ok, top >= threshold).alias("duplicate"))
 
 
-def novelty_blocks(deltas: DataFrame, min_overlap: int = 5, block: int = 512) -> DataFrame:
-    """(run_id, nearest, rho, compared) within each comparability key by blocks of runs: a block pair is one masked matrix product, so a hot key
-    becomes many even tasks and pairs are never rows."""
-    blocks = deltas.withColumn("blk", F.pmod(F.xxhash64("run_id"), F.lit(1 << 20)))
-    n = deltas.groupBy("key").agg(F.ceil(F.approx_count_distinct("run_id", 0.02) / block).alias("nb"))
-    d = blocks.join(n, "key").withColumn("blk", F.pmod("blk", F.greatest("nb", F.lit(1))))
-    cells = d.select("key", "run_id", "day", "delta", "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("nb", F.lit(1)).cast("long") - 1)).alias("other")).select("key", "run_id", "day", "delta", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk")
-
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot(index="run_id", columns="day", values="delta")
-        x, mask = np.nan_to_num(m.to_numpy(float)), m.notna().to_numpy(float)
-        c, sx, sxx, sxy = mask @ mask.T, x @ mask.T, (x * x) @ mask.T, x @ x.T
-        with np.errstate(all="ignore"):
-            vx, vy = sxx - sx * sx / c, sxx.T - sx.T * sx.T / c
-            rho = np.where((c >= max(2, min_overlap)) & (vx > 1e-12 * sxx) & (vy > 1e-12 * sxx.T), (sxy - sx * sx.T / c) / np.sqrt(vx * vy), np.nan)
-        np.fill_diagonal(rho, np.nan)
-        blk = g.groupby("run_id")["blk"].first().reindex(m.index).to_numpy()
-        if g["i"].iloc[0] != g["j"].iloc[0]:
-            rho[blk[:, None] == blk[None, :]] = np.nan
-        rho = np.round(rho, 8)
-        out = []
-        for r, row in zip(m.index, rho, strict=True):
-            if np.isfinite(row).any():
-                a = np.abs(row)
-                top = np.nanmax(a)
-                k = min(np.flatnonzero(a == top), key=lambda q: m.index[q])
-                out.append((r, m.index[k], row[k], int(np.isfinite(row).sum())))
-        return pd.DataFrame(out, columns=["run_id", "nearest", "rho", "compared"])
-
-    best = cells.groupBy("key", "i", "j").applyInPandas(pairs, "run_id string, nearest string, rho double, compared long")
-    return best.groupBy("run_id").agg(F.min(F.struct((-F.abs("rho")).alias("neg"), "nearest", "rho")).alias("b"), F.sum("compared").alias("compared")).select("run_id", "b.nearest", "b.rho", "compared")
+def novelty_blocks(deltas: DataFrame, min_overlap: int = 5, block: int = BLOCK) -> DataFrame:
+    """(run_id, nearest, rho, compared) of every run among the others of its comparability key."""
+    return nearest_blocks(deltas, deltas, min_overlap, block)
 
 
 def verdict(sharpe: float = 0, drawdown: float = 1, win_rate: float = 0, trades: int = 1) -> Column:
