@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,51 +26,69 @@ def stream_coverage(rows: DataFrame, width: str = "1 day", delay: str = "2 minut
     return w.groupBy(F.window("ts", width), "symbol", "kind").agg(F.count_if("covered").alias("covered"), F.count("*").alias("bars"))
 
 
-def stream_recurrences(rows: DataFrame, specs: list[Recurrence]) -> DataFrame:
-    """(symbol, minute_ts, <out of each spec>) for rows (symbol, minute_ts, <x of each spec>): the linear recurrences of the
-    batch operator with the state carried from batch to batch. A batch is put in order; rows not after the last one seen are
-    dropped. State: three numbers for each spec."""
+def _in_order(rows: DataFrame, columns: list[str], schema: str, start: list, step: Callable[[list, tuple], tuple[list, list]], delay: str, ttl_ms: int) -> DataFrame:
+    """(symbol, minute_ts, <schema>): for each symbol, step(own state, values of `columns`) -> (own state, results) over its bars in the order of time.
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, *flat = state.get if state.exists else (-1, *[0.0] * (3 * len(specs)))
-        held = [list(flat[3 * i : 3 * i + 3]) for i in range(len(specs))]
-        g = pd.concat(list(parts)).sort_values("minute_ts")
-        g = g[g["minute_ts"] > last].drop_duplicates("minute_ts")
-        out = {s.out: [] for s in specs}
-        for s, h in zip(specs, held, strict=True):
-            for x in g[s.x]:
-                if x == x and x is not None:
-                    h[0] += 1
-                    if h[0] <= s.n:
-                        h[1] += x
-                        h[2] = h[1] / (s.n if s.seed == "mean" else 1)
-                    else:
-                        h[2] = s.a * h[2] + s.b * x
-                out[s.out].append(h[2] if h[0] >= s.n else None)
-        if len(g):
-            state.update((int(g["minute_ts"].iloc[-1]), *[v for h in held for v in h]))
-        yield pd.DataFrame({"symbol": key[0], "minute_ts": g["minute_ts"], **out})
-
-    names = ", ".join(f"{s.out} double" for s in specs)
-    fields = "last long, " + ", ".join(f"v{i} double" for i in range(3 * len(specs)))
-    return rows.groupBy("symbol").applyInPandasWithState(update, f"symbol string, minute_ts long, {names}", fields, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_signals(rows: DataFrame) -> DataFrame:
-    """(symbol, minute_ts, signal) of the momentum condition; state: the last two closes."""
+    Bars wait in the state until the watermark of the event time `ts` has passed them, so those up to `delay` late take their place; of equal
+    minutes the first to come counts. Later ones Spark itself leaves out and counts (numRowsDroppedByWatermark in the query's progress). State: the
+    waiting bars, and what `step` keeps; it goes when a symbol is idle for ttl_ms of event time.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, one, two, n = state.get if state.exists else (-1, 0.0, 0.0, 0)
-        g = pd.concat(list(parts)).sort_values("minute_ts")
-        g = g[g["minute_ts"] > last].drop_duplicates("minute_ts")
+        last, own, held = (state.get[0], *map(json.loads, state.get[1:])) if state.exists else (-1, start, [])
+        mark = state.getCurrentWatermarkMs()
+        waiting = {t: v for t, v in held}
+        for g in parts:
+            for t, *values in g[["minute_ts", *columns]].astype(object).itertuples(index=False):
+                if t > last:
+                    waiting.setdefault(int(t), [None if v is None or v != v else float(v) for v in values])
         out = []
-        for t, close in zip(g["minute_ts"], g["close"], strict=True):
-            out.append(n >= 2 and one > two)
-            last, one, two, n = int(t), float(close), one, n + 1
-        state.update((last, one, two, n))
-        yield pd.DataFrame({"symbol": key[0], "minute_ts": g["minute_ts"], "signal": out})
-
-    return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, minute_ts long, signal boolean", "last long, one double, two double, n long", "append", GroupStateTimeout.NoTimeout)
+        for t in sorted(t for t in waiting if t <= mark):
+            own, made = step(own, tuple(waiting.pop(t)))
+            out.append((key[0], t, *made))
+            last = t
+        held = sorted(waiting.items())
+        if state.hasTimedOut and not held and not out:
+            state.remove()
+        else:
+            state.update((last, json.dumps(own), json.dumps(held)))
+            state.setTimeoutTimestamp(max(mark, held[0][0]) + 1 if held else max(mark, last) + ttl_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "minute_ts", *names])
+
+    rows = rows.select("symbol", "minute_ts", "ts", *dict.fromkeys(columns)).withWatermark("ts", delay)
+    return rows.groupBy("symbol").applyInPandasWithState(update, f"symbol string, minute_ts long, {schema}", "last long, own string, held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_recurrences(rows: DataFrame, specs: list[Recurrence], delay: str = "2 minutes", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    """(symbol, minute_ts, <out of each spec>) for rows (symbol, minute_ts, ts, <x of each spec>): the linear recurrences of the batch operator,
+    with three numbers of state for each."""
+
+    def step(own: list, values: tuple) -> tuple[list, list]:
+        after, out = [], []
+        for s, (n, total, y), x in zip(specs, own, values, strict=True):
+            if x is not None:
+                n += 1
+                if n <= s.n:
+                    total += x
+                    y = total / (s.n if s.seed == "mean" else 1)
+                else:
+                    y = s.a * y + s.b * x
+            after.append([n, total, y])
+            out.append(y if n >= s.n else None)
+        return after, out
+
+    return _in_order(rows, [s.x for s in specs], ", ".join(f"{s.out} double" for s in specs), [[0, 0.0, 0.0]] * len(specs), step, delay, ttl_ms)
+
+
+def stream_signals(rows: DataFrame, delay: str = "2 minutes", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    """(symbol, minute_ts, signal) of the momentum condition for rows (symbol, minute_ts, ts, close); state: the last two closes."""
+
+    def step(own: list, values: tuple) -> tuple[list, list]:
+        return [*own, values[0]][-2:], [len(own) == 2 and None not in own and own[1] > own[0]]
+
+    return _in_order(rows, ["close"], "signal boolean", [], step, delay, ttl_ms)
 
 
 def run_available(stream: DataFrame, path: str) -> None:

@@ -8,13 +8,15 @@ from barloom.streaming import jobs
 
 
 def test_ema_over_batches(spark, tmp_path):
-    rows = [("d", s, i * 60_000, float((i * 7 + len(s)) % 11)) for s in ("A", "BB") for i in range(40)]
-    b = spark.createDataFrame(rows, "dataset string, symbol string, minute_ts long, close double")
-    for part in range(4):
-        b.where((F.col("minute_ts") >= part * 600_000) & (F.col("minute_ts") < (part + 1) * 600_000)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = [("d", s, (i + 1) * 60_000, float((i * 7 + len(s)) % 11)) for s in ("A", "BB") for i in range(40)]
+    b = spark.createDataFrame(rows, "dataset string, symbol string, minute_ts long, close double").withColumn("ts", F.timestamp_millis("minute_ts"))
+    come = F.col("minute_ts") + F.when(F.pmod("minute_ts", F.lit(180_000)) == 0, 300_000).otherwise(0)  # every third bar is five minutes late
+    for part in range(5):
+        b.where((come >= part * 600_000) & (come < (part + 1) * 600_000)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("d", "A", 60_000, 5.0), ("d", "end", 10_000_000, 1.0)], "dataset string, symbol string, minute_ts long, close double").withColumn("ts", F.timestamp_millis("minute_ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # one bar is too late
     s = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
-    jobs.run_available(jobs.stream_recurrences(s, [rec.ema("ema", "close", 5)]), str(tmp_path / "out"))
-    got = {(r.symbol, r.minute_ts): r.ema for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    jobs.run_available(jobs.stream_recurrences(s, [rec.ema("ema", "close", 5)], "10 minutes"), str(tmp_path / "out"))
+    got = {(r.symbol, r.minute_ts): r.ema for r in spark.read.parquet(str(tmp_path / "out")).where("symbol <> 'end'").collect()}
     want = {(r.symbol, r.minute_ts): r.ema for r in ind.ema(b, 5).collect()}
     assert got.keys() == want.keys() and all((got[k] is None or got[k] != got[k]) if v is None else abs(got[k] - v) < 1e-9 for k, v in want.items())
 
