@@ -1,8 +1,7 @@
-"""From decisions to fills, positions and equity: path-free parts as joins and windows, the rest as one state machine per (run, symbol)."""
+"""From decisions to fills, positions and equity, as joins and windows."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +21,8 @@ def attach_fills(decisions: DataFrame, bars: DataFrame, model: str = "next_bar_o
 
 def risk_gate(decisions: DataFrame, profiles: DataFrame) -> DataFrame:
     """decisions (decision_id, profile, kind, side, stop, take, percent, size_hint, equity, open_positions, add_count, mode) with action, reason,
-    notional, stop, take and close_fraction. profiles hold a row for each profile and are few, so they are broadcast."""
-    d = decisions.join(F.broadcast(profiles), "profile", "left")
+    notional, stop, take and close_fraction. profiles hold a row for each profile."""
+    d = decisions.join(profiles, "profile", "left")
     held, kind = F.col("open_positions") > 0, F.col("kind")
     limit = F.when(F.col("mode") == "dca", F.col("dca_max_adds")).otherwise(F.col("scale_max_adds"))
     most = F.when(F.col("mode") == "dca", F.col("dca_max_pct")).otherwise(F.col("scale_max_pct"))
@@ -101,77 +100,6 @@ def momentum_run(rows: DataFrame) -> DataFrame:
     return out.select("dataset", "pnl", (F.col("pnl") / (INITIAL * F.col("n")) * 100).alias("return_pct"), "total_bars", "long_bars", F.coalesce(F.try_divide("wins", "long_bars"), F.lit(0.0)).alias("win_rate"))
 
 
-TRADE_SCHEMA = "run_id string, symbol string, trade_no long, side string, entry_bar_index long, entry_ts long, entry_fill_price double, exit_bar_index long, exit_ts long, exit_fill_price double, size double, fee_paid double, funding double, realized_pnl double, close_reason string, equity_after double"
-
-
-def _simulate(g: pd.DataFrame) -> pd.DataFrame:
-    """One position at a time. Within a bar: pending orders settle at the open, protection is checked, then the bar's own decision is taken."""
-    g = g.sort_values("minute_ts")
-    o, h, lo, c, ts = (g[k].to_numpy() for k in ("open", "high", "low", "close", "minute_ts"))
-    enter, leave, rate = g["enter"].to_numpy(bool), g["leave"].to_numpy(bool), g["rate"].to_numpy(float)
-    p = g.iloc[0]
-    sign, slip, bps = (1.0 if p["side"] == "long" else -1.0), p["slippage_bps"] / 1e4, p["fee_bps"] / 1e4
-    stop, take, pct, same, limit = p["stop"], p["take"], p["size_pct"], p["fill_model"] == "same_bar_close", p["max_hold_bars"]
-    cash, size, entry, opened, paid, funding, out = INITIAL, 0.0, 0.0, -1, 0.0, 0.0, []
-    pending = None
-
-    def close(i, price, reason, costs=True):
-        nonlocal cash, size
-        fill = price * (1 - sign * slip) if costs else price
-        cost = fill * size * bps if costs else 0.0
-        pnl = sign * (fill - entry) * size - paid - cost - funding
-        cash += pnl
-        out.append((p["run_id"], p["symbol"], len(out), p["side"], opened, int(ts[opened]), entry, i, int(ts[i]), fill, size, paid + cost, funding, pnl, reason, cash))
-        size = 0.0
-
-    def settle(i, price):
-        nonlocal size, entry, opened, paid, funding
-        if pending == "enter":
-            entry = price * (1 + sign * slip)
-            size, paid, funding, opened = pct * cash / entry, pct * cash * bps, 0.0, i
-        else:
-            close(i, price, "exit")
-
-    n = len(c)
-    for i in range(n):
-        if pending and not same:
-            settle(i, o[i])
-            pending = None
-        if size and stop == stop and (i > opened or not same):
-            level = entry * (1 - sign * stop)
-            if sign * ((lo if sign > 0 else h)[i] - level) <= 0:
-                close(i, min(o[i], level) if sign > 0 else max(o[i], level), "stop_hit")
-        if size and take == take and (i > opened or not same):
-            level = entry * (1 + sign * take)
-            if sign * ((h if sign > 0 else lo)[i] - level) >= 0:
-                close(i, max(o[i], level) if sign > 0 else min(o[i], level), "take_hit")
-        if size:
-            if leave[i] or i - opened >= limit:
-                pending = "exit"
-        elif enter[i]:
-            pending = "enter"
-        if pending and same:
-            settle(i, c[i])
-            pending = None
-        if size and rate[i] == rate[i]:
-            funding += sign * rate[i] * size * c[i]
-    if size:
-        close(n - 1, c[n - 1], "end_of_data", False)
-    return pd.DataFrame(out, columns=[x.split()[0] for x in TRADE_SCHEMA.split(", ")])
-
-
-def simulate_positions(bars: DataFrame, runs: DataFrame) -> DataFrame:
-    """Trades of every (run, symbol). bars: (symbol, minute_ts, open, high, low, close, enter, leave, rate = funding of the bar as a fraction, run_key);
-    runs: (run_key, run_id, side, fill_model, slippage_bps, fee_bps, stop, take, size_pct, max_hold_bars), stop and take NaN for none.
-
-    Sizes compound with the account, so a (run, symbol) is one numpy pass: about a hundred bytes a bar, 50 MB for a year of
-    minutes. The grid of runs is small and broadcast; groups are many and even. At the end an open position is marked to the
-    last close without a fee; realized pnl = side * (exit - entry) * size - fees - funding.
-    """
-    grid_ = bars.join(F.broadcast(runs), "run_key").drop("run_key")
-    return grid_.groupBy("run_id", "symbol").applyInPandas(_simulate, TRADE_SCHEMA)
-
-
 def param_sweep(bars: DataFrame, lookbacks: list[int], thresholds: list[float]) -> DataFrame:
     """(run_id, symbol, lookback, threshold, long_bars, growth): close[t-1] over close[t-1-lookback] above a threshold holds the bar t.
     Each distinct window is computed once; the grid meets the rows as an array of its points."""
@@ -204,7 +132,7 @@ def pnl_pct() -> Column:
 
 def equity_curve(trades: DataFrame, bars: DataFrame, fee_bps: float = 0) -> DataFrame:
     """(run_id, symbol, seq, bar_ts, equity) of fixed-size trades (run_id, symbol, side, entry_bar, exit_bar, entry_price, exit_price, size):
-    cash and the open position at each close, as running sums of what each bar changes; trades of a run and symbol don't overlap."""
+    cash and the open positions at each close, as running sums of what each bar changes; trades of a run and symbol may overlap."""
     sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
     ends = [F.struct(F.col("entry_bar").alias("bar_index"), (-sign * F.col("size") * F.col("entry_price") - fee(F.col("size") * F.col("entry_price"), fee_bps)).alias("cash"), (sign * F.col("size")).alias("units")), F.struct(F.col("exit_bar").alias("bar_index"), (sign * F.col("size") * F.col("exit_price") - fee(F.col("size") * F.col("exit_price"), fee_bps)).alias("cash"), (-sign * F.col("size")).alias("units"))]
     moves = trades.select("run_id", "symbol", F.explode(F.array(*ends)).alias("m")).groupBy("run_id", "symbol", "m.bar_index").agg(F.sum("m.cash").alias("cash"), F.sum("m.units").alias("units"))

@@ -68,9 +68,9 @@ def as_of(df: DataFrame, kind: str) -> DataFrame:
 
 def kind_window(df: DataFrame, kind: str, lookback: int) -> DataFrame:
     """df with `<kind>_window`: the last `lookback` grid bars up to and with this one, NULL values in gaps."""
-    if lookback <= 0:
-        return df.withColumn(f"{kind}_window", F.array())
     slot = F.struct(F.col("minute_ts").alias("ts"), *(F.when(covered(kind), F.col(v)).alias(v) for v in KINDS[kind][1]))
+    if lookback <= 0:
+        return df.withColumn(f"{kind}_window", F.slice(F.array(slot), 1, 0))
     return df.withColumn(f"{kind}_window", F.collect_list(slot).over(grid(1 - lookback, 0)))
 
 

@@ -80,17 +80,17 @@ b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY minute_ts) - 1 A
 
 
 def fixed_trades(spark: SparkSession, sf_dir: str, hold: int = 5) -> DataFrame:
-    """Trades from the momentum signal on every seventh bar, so that those of a symbol don't overlap, held for `hold` bars: trade_id, symbol, side, entry and exit bar, time and close."""
+    """Trades from the momentum signal on every bar that has it, held for `hold` bars, so that those of a symbol overlap: trade_id, symbol, side, entry and exit bar, time and close."""
     b = bar_index(bars_events(spark, sf_dir))
     w = Window.partitionBy("dataset", "symbol").orderBy("minute_ts")
     rising = F.lag("close", 1).over(w) > F.lag("close", 2).over(w)
-    t = b.withColumn("_on", rising).withColumn("exit_ts", F.lead("minute_ts", hold).over(w)).withColumn("exit_price", F.lead("close", hold).over(w)).where("_on and exit_ts is not null and bar_index % 7 = 0")
+    t = b.withColumn("_on", rising).withColumn("exit_ts", F.lead("minute_ts", hold).over(w)).withColumn("exit_price", F.lead("close", hold).over(w)).where("_on and exit_ts is not null")
     side = F.when(F.pmod(F.col("bar_index"), F.lit(2)) == 0, "long").otherwise("short")
     return t.select(F.concat_ws("-", "symbol", F.col("bar_index").cast("string")).alias("trade_id"), "symbol", side.alias("side"), F.col("bar_index").alias("entry_bar"), (F.col("bar_index") + hold).alias("exit_bar"), F.col("minute_ts").alias("entry_ts"), "exit_ts", F.col("close").alias("entry_price"), "exit_price")
 
 
 TRADES = """tr AS (SELECT symbol || '-' || bar_index AS trade_id, symbol, CASE WHEN bar_index % 2 = 0 THEN 'long' ELSE 'short' END AS side, bar_index AS entry_bar, bar_index + 5 AS exit_bar, minute_ts AS entry_ts, exit_ts, close AS entry_price, exit_price
-  FROM (SELECT *, lag(close, 1) OVER w > lag(close, 2) OVER w AS up, lead(minute_ts, 5) OVER w AS exit_ts, lead(close, 5) OVER w AS exit_price FROM b WINDOW w AS (PARTITION BY symbol ORDER BY minute_ts)) WHERE up AND exit_ts IS NOT NULL AND bar_index % 7 = 0)"""
+  FROM (SELECT *, lag(close, 1) OVER w > lag(close, 2) OVER w AS up, lead(minute_ts, 5) OVER w AS exit_ts, lead(close, 5) OVER w AS exit_price FROM b WINDOW w AS (PARTITION BY symbol ORDER BY minute_ts)) WHERE up AND exit_ts IS NOT NULL)"""
 
 
 def runs_equity(spark: SparkSession, sf_dir: str) -> DataFrame:

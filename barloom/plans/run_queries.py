@@ -93,19 +93,6 @@ def p8_funding_fraction(spark, d) -> DataFrame:
     return sim.funding_fraction(held, 60).select("trade_id", F.round("fraction", 10).alias("fraction"))
 
 
-def _sim_inputs(spark, d):
-    b = bars_events(spark, d)
-    up = F.coalesce(F.lag("close", 1).over(grid()) > F.lag("close", 2).over(grid()), F.lit(False))
-    bars = b.select("symbol", "minute_ts", "open", "high", "low", "close", up.alias("enter"), (~up).alias("leave"), (F.col("funding_rate") / 8).alias("rate"), F.lit("k").alias("run_key"))
-    kinds = [("long", "next_bar_open", 0.1, 0.2), ("short", "next_bar_open", 0.3, 0.3), ("long", "same_bar_close", 0.2, 0.5), ("short", "same_bar_close", float("nan"), float("nan"))]
-    return bars, spark.createDataFrame([("k", f"{s}-{m}", s, m, 5.0, 10.0, stop, take, 0.5, 12) for s, m, stop, take in kinds], "run_key string, run_id string, side string, fill_model string, slippage_bps double, fee_bps double, stop double, take double, size_pct double, max_hold_bars int")
-
-
-@query()
-def p10_simulate_positions(spark, d) -> DataFrame:
-    return sim.simulate_positions(*_sim_inputs(spark, d))
-
-
 @query(_T + ", c AS (SELECT trade_id, symbol, side, entry_price * CASE WHEN side = 'long' THEN 1.0005 ELSE 0.9995 END AS a, exit_price * CASE WHEN side = 'long' THEN 0.9995 ELSE 1.0005 END AS z FROM tr) SELECT trade_id, round(a, 6) AS entry_fill_price, round(z, 6) AS exit_fill_price, round(CASE WHEN side = 'short' THEN a - z ELSE z - a END / a * 100, 6) AS pnl_pct FROM c")
 def p11_replay_trades(spark, d) -> DataFrame:
     t = fixed_trades(spark, d).select("trade_id", "symbol", "side", "entry_ts", "exit_ts")
@@ -146,13 +133,13 @@ _ME = f"""{_E}, r AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, (max(equit
 a AS (SELECT run_id, arg_max(equity, seq) AS l, arg_min(equity, seq) AS f, max(dd) AS mdd, avg(r) AS m, stddev_pop(r) AS s, sqrt(avg(CASE WHEN r < 0 THEN r * r WHEN r IS NOT NULL THEN 0 END)) AS dn, count(r) AS n, avg(r * r) AS m2, avg(r * r * r) AS m3, avg(r * r * r * r) AS m4, (max(bar_ts) - min(bar_ts)) / (365.25 * 86400000) AS y, count(DISTINCT bar_ts) AS times, count(*) AS c FROM r GROUP BY 1),
 k AS (SELECT *, m3 - 3 * m * m2 + 2 * m * m * m AS c3, m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m AS c4 FROM a)
 SELECT run_id, round(l - f, 6) AS pnl, round(mdd, 6) AS max_drawdown, CASE WHEN n > 1 AND s > 0 THEN round(m / s, 6) ELSE 0 END AS sharpe, CASE WHEN n > 1 AND dn > 0 THEN round(m / dn, 6) ELSE 0 END AS sortino, round(coalesce(s, 0), 6) AS returns_stddev,
-CASE WHEN n > 1 AND s > 0 THEN round(c3 / (s * s * s), 5) ELSE 0 END AS returns_skew, CASE WHEN n > 1 AND s > 0 THEN round(c4 / (s * s * s * s), 5) ELSE 0 END AS returns_kurtosis, n AS returns_count, round(ln(CASE WHEN times >= 2 THEN pow(l / f, 1 / y) END), 6) AS log_cagr, round(y, 6) AS elapsed_years FROM k"""
+CASE WHEN n > 1 AND s > 0 THEN round(c3 / (s * s * s), 5) ELSE 0 END AS returns_skew, CASE WHEN n > 1 AND s > 0 THEN round(c4 / (s * s * s * s), 5) ELSE 0 END AS returns_kurtosis, n AS returns_count, round(ln(CASE WHEN times >= 2 THEN pow(l / f, 1 / y) END), 6) AS log_cagr, round(asinh(CASE WHEN times >= 2 AND mdd > 0 THEN (pow(l / f, 1 / y) - 1) / mdd END), 6) AS asinh_calmar, round(y, 6) AS elapsed_years FROM k"""
 
 
 @query(_ME)
 def m1_m17_equity_metrics(spark, d) -> DataFrame:
     m = mt.equity_metrics(runs_equity(spark, d))
-    return m.select("run_id", *r6("pnl", "max_drawdown", "sharpe", "sortino", "returns_stddev"), F.round("returns_skew", 5).alias("returns_skew"), F.round("returns_kurtosis", 5).alias("returns_kurtosis"), "returns_count", F.round(F.log(F.col("cagr") + 1), 6).alias("log_cagr"), *r6("elapsed_years"))
+    return m.select("run_id", *r6("pnl", "max_drawdown", "sharpe", "sortino", "returns_stddev"), F.round("returns_skew", 5).alias("returns_skew"), F.round("returns_kurtosis", 5).alias("returns_kurtosis"), "returns_count", F.round(F.log(F.col("cagr") + 1), 6).alias("log_cagr"), F.round(F.asinh("calmar"), 6).alias("asinh_calmar"), *r6("elapsed_years"))
 
 
 _TM = "avg(CAST(p > 0 AS INT)) AS win_rate, count(*) AS total_trades, sum(p) FILTER (p > 0) / -sum(p) FILTER (p < 0) AS profit_factor, coalesce(max(p) FILTER (p > 0) / sum(p) FILTER (p > 0) * 100, 0) AS top_trade_contribution_pct, avg(p) AS expectancy, CASE WHEN count(*) >= 2 AND stddev_pop(p) > 0 THEN avg(p) / stddev_pop(p) * sqrt(count(*)) ELSE 0 END AS sqn"
@@ -232,11 +219,8 @@ def r4_aggregate_folds(spark, d) -> DataFrame:
 def r5_walk_forward_run(spark, d) -> DataFrame:
     b = bars_lineitem(spark, d)
     span = b.groupBy("dataset").agg(F.min("minute_ts").alias("ts_from"), (F.max("minute_ts") + 86_400_000).alias("ts_to")).withColumn("run_id", F.col("dataset"))
-    folds = rs.walk_forward_folds(span, 2)  # two rows
-    part = b.join(F.broadcast(folds), (F.col("dataset") == F.col("run_id")) & (F.col("minute_ts") >= F.col("train_from")) & (F.col("minute_ts") < F.col("test_to")))
-    each = part.withColumn("dataset", F.col("fold").cast("string"))
-    t = sim.momentum_trades(each).join(F.broadcast(folds.select(F.col("fold").cast("string").alias("dataset"), "test_from")), "dataset").where("entry_ts >= test_from")
-    return t.groupBy(F.col("dataset").cast("int").alias("fold")).agg(F.count("*").alias("long_bars"), F.round(F.sum("ret"), 5).alias("total_return"))
+    t = rs.walk_forward_run(b, rs.walk_forward_folds(span, 2))
+    return t.groupBy("fold").agg(F.count("*").alias("long_bars"), F.round(F.sum("ret"), 5).alias("total_return"))
 
 
 @query(_E + _PD + ", h AS (SELECT *, z - CAST(floor(0.3 * (z - a) + 0.5) AS BIGINT) AS h FROM pd) SELECT run_id, h AS holdout_from, z AS holdout_to, CASE WHEN NOT (a < z AND h < a + 31536000000) THEN 'none' WHEN h <= a AND a + 31536000000 <= z THEN 'full' ELSE 'partial' END AS first_year FROM h")
@@ -257,7 +241,7 @@ def _trials(spark, d) -> DataFrame:
     return m.select("run_id", F.concat(F.lit("f"), (F.col("run_id").cast("long") % 7).cast("string")).alias("family_key"), F.col("sharpe"), F.col("returns_skew").alias("skew"), F.col("returns_kurtosis").alias("kurtosis"), F.col("returns_count").alias("t_count"), F.col("run_id").cast("long").alias("created_at"))
 
 
-@query()
+@query(_E + _PD + """ SELECT run_id, sha256('{"dataset":"lineitem:1d","from":' || a || ',"hint":"momentum","symbols":["' || array_to_string(list_sort([run_id, '0']), '","') || '"],"timeframe":"1d","to":' || z || '}') AS family_key, sha256('{"dataset":"lineitem:1d","hint":"momentum","symbols":["' || array_to_string(list_sort([run_id, '0']), '","') || '"],"timeframe":"1d"}') AS comparability_key FROM pd""")
 def d1_family_key(spark, d) -> DataFrame:
     t = _periods(spark, d).select("run_id", F.lit(None).cast("string").alias("trial_hint"), F.lit("momentum").alias("module_id"), F.lit("lineitem:1d").alias("dataset"), F.array(F.col("run_id"), F.lit("0")).alias("symbols"), F.lit("1d").alias("timeframe"), "ts_from", "ts_to")
     return t.select("run_id", rs.family_key().alias("family_key"), rs.family_key(False).alias("comparability_key"))
@@ -271,7 +255,7 @@ def d2_record_if_new(spark, d) -> DataFrame:
     return rs.record_if_new(rs.record_if_new(old.where("false"), old, ["family", "fingerprint"]), t, ["family", "fingerprint"]).select("family", "fingerprint", "run_id")
 
 
-@query()
+@query(_E + _PD + """, h AS (SELECT run_id, sha256('{"run_id":"' || run_id || '","seed":7,"ts_from":' || a || ',"ts_to":' || z || '}') AS fingerprint FROM pd) SELECT run_id, fingerprint, count(*) OVER (PARTITION BY fingerprint) AS n FROM h""")
 def d3_request_fingerprint(spark, d) -> DataFrame:
     t = _periods(spark, d).withColumn("seed", F.lit(7))
     fp = t.withColumn("fingerprint", rs.request_fingerprint(["run_id", "ts_from", "ts_to", "seed"]))
@@ -311,22 +295,22 @@ def n1_pnl_correlation(spark, d) -> DataFrame:
     return rs.pnl_correlation(x, x, 3).select("a_run", "b_run", "overlap", "rho")
 
 
-@query(_CORR + ", w AS (SELECT a_run, count(*) AS compared, max(abs(rho)) AS top FROM co WHERE rho IS NOT NULL GROUP BY 1), k AS (SELECT run_id, count(*) AS days FROM dk GROUP BY 1) SELECT run_id, CASE WHEN days < 2 THEN 'empty_candidate' WHEN a_run IS NULL THEN 'insufficient_overlap' ELSE 'resolved' END AS status, CASE WHEN days >= 2 AND a_run IS NOT NULL THEN round(1 - top, 8) END AS score, CASE WHEN days >= 2 THEN compared END AS compared, CASE WHEN days >= 2 THEN top >= 0.95 END AS duplicate FROM k LEFT JOIN w ON a_run = run_id")
+@query(_CORR + ", w AS (SELECT a_run, count(*) AS compared, max(abs(rho)) AS top, arg_min(b_run, (-abs(rho), b_run)) AS nearest FROM co WHERE rho IS NOT NULL GROUP BY 1), k AS (SELECT run_id, count(*) AS days FROM dk GROUP BY 1) SELECT run_id, CASE WHEN days < 2 THEN 'empty_candidate' WHEN a_run IS NULL THEN 'insufficient_overlap' ELSE 'resolved' END AS status, CASE WHEN days >= 2 AND a_run IS NOT NULL THEN round(1 - top, 8) END AS score, CASE WHEN days >= 2 THEN nearest END AS nearest, CASE WHEN days >= 2 THEN compared END AS compared, CASE WHEN days >= 2 THEN top >= 0.95 END AS duplicate FROM k LEFT JOIN w ON a_run = run_id")
 def n2_novelty(spark, d) -> DataFrame:
     x = _deltas(spark, d)
-    return rs.novelty(x, x, 0.95, 3).select("run_id", "status", F.round("score", 8).alias("score"), "compared", "duplicate")
+    return rs.novelty(x, x, 0.95, 3).select("run_id", "status", F.round("score", 8).alias("score"), "nearest", "compared", "duplicate")
 
 
-@query(_CORR + " SELECT a_run AS run_id, round(max(abs(rho)), 8) AS top, count(*) AS compared FROM co WHERE rho IS NOT NULL GROUP BY 1")
+@query(_CORR + " SELECT a_run AS run_id, round(max(abs(rho)), 8) AS top, arg_min(b_run, (-abs(rho), b_run)) AS nearest, count(*) AS compared FROM co WHERE rho IS NOT NULL GROUP BY 1")
 def n3_pairwise_novelty(spark, d) -> DataFrame:
     out = rs.novelty_blocks(_deltas(spark, d), 3)
-    return out.select("run_id", F.round(F.abs("rho"), 8).alias("top"), "compared")
+    return out.select("run_id", F.round(F.abs("rho"), 8).alias("top"), "nearest", "compared")
 
 
-@query(_E + ", r AS (SELECT *, equity / lag(equity) OVER (PARTITION BY run_id ORDER BY seq) - 1 AS r FROM eq), s AS (SELECT run_id, CASE WHEN count(r) > 1 AND stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) ELSE 0 END AS sharpe FROM r GROUP BY 1) SELECT run_id, CASE WHEN sharpe > 0.2 THEN 'passed' ELSE 'failed' END AS verdict FROM s")
+@query(_ME.split("\nSELECT run_id")[0] + f", {RUN_TRADES}, z AS (SELECT run_id, {_TM} FROM (SELECT *, realized_pnl AS p FROM rt) GROUP BY 1) SELECT k.run_id, CASE WHEN CASE WHEN n > 1 AND s > 0 THEN m / s ELSE 0 END > 0.05 AND mdd < 0.55 AND coalesce(win_rate, 0) > 0.45 AND coalesce(total_trades, 0) >= 4 THEN 'passed' ELSE 'failed' END AS verdict FROM k LEFT JOIN z USING (run_id)")
 def v1_verdict(spark, d) -> DataFrame:
-    m = mt.equity_metrics(runs_equity(spark, d)).withColumn("win_rate", F.lit(0.5)).withColumn("total_trades", F.lit(3))
-    return m.select("run_id", rs.verdict(sharpe=0.2).alias("verdict"))
+    m = mt.run_metrics(runs_equity(spark, d), runs_trades(spark, d), ["sharpe", "max_drawdown", "win_rate", "total_trades"])
+    return m.select("run_id", rs.verdict(0.05, 0.55, 0.45, 4).alias("verdict"))
 
 
 _HOLD = _R + f", {EQUITY}" + _PD + ", fd AS (SELECT run_id, 0 AS fold, a AS train_from, z - CAST(floor(0.3 * (z - a) + 0.5) AS BIGINT) AS test_from, z AS test_to FROM pd)" + _AW + _EV_TAIL
@@ -347,12 +331,12 @@ def v3_attempt_number(spark, d) -> DataFrame:
     return rs.attempt_number(a).select(F.col("created_at").alias("c_custkey"), "attempt_no")
 
 
-@query("WITH t AS (SELECT p_brand AS tier, CAST(min(p_size) * 1440 * 3 + length(p_brand) AS BIGINT) AS m FROM part GROUP BY 1), r AS (SELECT o_orderkey, o_custkey % 400 AS days FROM orders), c AS (SELECT r.o_orderkey, min(m) AS m FROM r LEFT JOIN t ON m / 1440 >= days GROUP BY 1) SELECT o_orderkey, m AS minutes FROM c")
+@query("WITH t AS (SELECT p_brand AS tier, CAST(min(p_size) * 1440 * 3 + length(p_brand) AS BIGINT) AS m FROM part GROUP BY 1), r AS (SELECT o_orderkey, o_custkey % 400 AS days FROM orders), c AS (SELECT r.o_orderkey, min(m) AS m, arg_min(tier, (m, tier)) AS tier FROM r LEFT JOIN t ON m / 1440 >= days GROUP BY 1) SELECT o_orderkey, tier, m AS minutes FROM c")
 def t4_smallest_sufficient_tier(spark, d) -> DataFrame:
     tiers = table(spark, d, "part").groupBy(F.col("p_brand").alias("tier")).agg((F.min("p_size") * 1440 * 3 + F.length("p_brand")).cast("long").alias("common_present_minutes"))
     req = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 400).alias("days"))
     found = rs.smallest_sufficient_tier(tiers, req)
-    return found.join(F.broadcast(tiers), "tier", "left").select(F.col("request_id").alias("o_orderkey"), F.col("common_present_minutes").alias("minutes"))
+    return found.join(tiers, "tier", "left").select(F.col("request_id").alias("o_orderkey"), "tier", F.col("common_present_minutes").alias("minutes"))
 
 
 @query(_EV + ", lf AS (SELECT run_id, fold, 'pnl' AS metric FROM ev UNION ALL SELECT run_id, fold, 'has_trades' FROM tt WHERE n > 0), c AS (SELECT run_id, count(DISTINCT fold) AS k FROM ev GROUP BY 1) SELECT run_id, metric FROM lf JOIN c USING (run_id) GROUP BY run_id, metric, k HAVING count(DISTINCT fold) = k")
@@ -433,11 +417,14 @@ def c7_first_divergence(spark, d) -> DataFrame:
     return rc.first_divergence(a, b)
 
 
-@query(_T + ", z AS (SELECT trade_id, CASE WHEN side = 'short' THEN -1 ELSE 1 END AS sg, entry_price AS a, exit_price AS x, entry_price * CASE WHEN side = 'long' THEN 1.001 ELSE 0.999 END AS fa, exit_price * CASE WHEN side = 'long' THEN 0.999 ELSE 1.001 END AS fx FROM tr), y AS (SELECT trade_id, sg * (x - a) / a * 100 AS baseline_pct, -(0.5 / fa) * 1e4 AS fee_bps, (sg * (fx - fa) - 0.5 - 0.25) / fa * 100 AS realistic_pct FROM z) SELECT trade_id, round(baseline_pct, 4) AS baseline_pct, round(fee_bps, 4) AS fee_bps, round(realistic_pct, 4) AS realistic_pct FROM y UNION ALL SELECT 'AGGREGATE', round(avg(baseline_pct), 4), round(avg(fee_bps), 4), round(avg(realistic_pct), 4) FROM y")
+_GAP = ("baseline_pct", "fee_bps", "slippage_bps", "funding_bps", "coverage_pct", "realistic_pct", "gap_bps")
+
+
+@query(_T + ", z AS (SELECT trade_id, CASE WHEN side = 'short' THEN -1 ELSE 1 END AS sg, entry_price AS a, exit_price AS x, entry_price * CASE WHEN side = 'long' THEN 1.001 ELSE 0.999 END AS fa, exit_price * CASE WHEN side = 'long' THEN 0.999 ELSE 1.001 END AS fx FROM tr), y AS (SELECT trade_id, sg * (x - a) / a * 100 AS baseline_pct, -(0.5 / fa) * 1e4 AS fee_bps, (sg * (fx - fa) - 0.5 - 0.25) / fa * 100 AS realistic_pct, -((abs(fa - a) + abs(fx - x)) / fa) * 1e4 AS slippage_bps, 0.25 / fa * 1e4 AS funding_bps, 80.0 AS coverage_pct FROM z), gg AS (SELECT *, (realistic_pct - baseline_pct) * 100 AS gap_bps FROM y) SELECT trade_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in _GAP) + " FROM gg UNION ALL SELECT 'AGGREGATE', " + ", ".join(f"round(avg({c}), 4)" for c in _GAP) + " FROM gg")
 def c8_realism_gap(spark, d) -> DataFrame:
     side = F.col("side")
     t = fixed_trades(spark, d).select("trade_id", "symbol", "side", F.col("entry_price").alias("entry_base"), F.col("exit_price").alias("exit_base"), f.fill_price(side, F.lit("open"), F.col("entry_price"), 10).alias("entry_fill_price"), f.fill_price(side, F.lit("close"), F.col("exit_price"), 10).alias("exit_fill_price"), F.lit(1.0).alias("size"), F.lit(0.5).alias("fee_paid"), F.lit(0.25).alias("funding"), F.lit(4).alias("covered_bars"), F.lit(5).alias("held_bars"))
-    return rc.realism_gap(t).select("trade_id", F.round("baseline_pct", 4).alias("baseline_pct"), F.round("fee_bps", 4).alias("fee_bps"), F.round("realistic_pct", 4).alias("realistic_pct"))
+    return rc.realism_gap(t).select("trade_id", *(F.round(c, 4).alias(c) for c in _GAP))
 
 
 @query(_R + ", z AS (SELECT run_id, count(*) AS n, avg(realized_pnl) AS e FROM rt GROUP BY 1) SELECT run_id AS pair, 'expectancy' AS metric, round(0 * e + e, 6) AS delta FROM z UNION ALL SELECT run_id, 'total_trades', 0.0 FROM z")

@@ -340,16 +340,17 @@ def t2_page(spark, d) -> DataFrame:
     return p.withColumn("position", (F.row_number().over(Window.orderBy("symbol", "minute_ts")) + 99).cast("long"))  # one page
 
 
-@query(_B + "SELECT DISTINCT minute_ts FROM bars WHERE symbol IN ('click', 'view')")
+@query(_B + "SELECT DISTINCT minute_ts FROM bars")
 def t6_union_timestamps(spark, d) -> DataFrame:
-    b = bars_events(spark, d)
-    return b.where("symbol = 'click'").select("minute_ts").union(b.where("symbol = 'view'").select("minute_ts")).distinct()
+    return bars_events(spark, d).select("minute_ts").distinct()
 
 
-@query(_B + "SELECT minute_ts FROM bars WHERE symbol = 'click' EXCEPT SELECT minute_ts FROM bars WHERE symbol = 'purchase'")
+@query(_B + "SELECT symbol, minute_ts FROM (SELECT DISTINCT symbol FROM bars) s, (SELECT DISTINCT minute_ts FROM bars) t EXCEPT SELECT symbol, minute_ts FROM bars")
 def t8_except_timestamps(spark, d) -> DataFrame:
+    """The times at which the dataset has a bar and a symbol has none."""
     b = bars_events(spark, d)
-    return b.where("symbol = 'click'").select("minute_ts").subtract(b.where("symbol = 'purchase'").select("minute_ts"))
+    times = b.select("dataset", "minute_ts").distinct().join(src.list_datasets(b, HOUR).select("dataset", F.explode("symbols").alias("symbol")), "dataset")
+    return times.select("symbol", "minute_ts").subtract(b.select("symbol", "minute_ts"))
 
 
 @query(f"WITH z AS (SELECT c_custkey, {inverse_sql('((c_custkey % 999 + 1) / 1000.0)')} AS z FROM customer) SELECT c_custkey, round(z, 6) AS z, round({cdf_sql('z')}, 6) AS p FROM z")

@@ -81,6 +81,7 @@ def merge_kinds(bars: DataFrame, funding: DataFrame, oi: DataFrame) -> DataFrame
 
 
 def list_datasets(rows: DataFrame, step_ms: int = MINUTE_MS) -> DataFrame:
+    """(dataset, symbols, ts_from, ts_to, row_count); a dataset's symbols, thousands at most, are one array."""
     return rows.groupBy("dataset").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"), F.min("minute_ts").alias("ts_from"), (F.max("minute_ts") + step_ms).alias("ts_to"), F.count("*").alias("row_count")).where("row_count > 0")
 
 
@@ -94,13 +95,13 @@ def present_minutes(rows: DataFrame, primary: str) -> DataFrame:
     """By dataset: minutes of the window, of the primary symbol, and common to all symbols."""
     n = rows.groupBy("dataset").agg(F.count_distinct("symbol").alias("n_symbols"), F.min("minute_ts").alias("a"), F.max("minute_ts").alias("b"))
     at = rows.groupBy("dataset", "minute_ts").agg(F.count_distinct("symbol").alias("n"), F.max((F.col("symbol") == primary).cast("int")).alias("p"))
-    return at.join(F.broadcast(n), "dataset").groupBy("dataset").agg(F.first((F.col("b") - F.col("a")) / MINUTE_MS + 1).cast("long").alias("window_minutes"), F.sum("p").cast("long").alias("primary_minutes"), F.count_if(F.col("n") == F.col("n_symbols")).alias("common_minutes"))
+    return at.join(n, "dataset").groupBy("dataset").agg(F.first((F.col("b") - F.col("a")) / MINUTE_MS + 1).cast("long").alias("window_minutes"), F.sum("p").cast("long").alias("primary_minutes"), F.count_if(F.col("n") == F.col("n_symbols")).alias("common_minutes"))
 
 
 def dataset_fingerprint(rows: DataFrame) -> DataFrame:
     """(dataset, fingerprint): rows are hashed, then days of a symbol, symbols, datasets, as a tree without a global sort."""
     values = [c for c in rows.columns if c not in ("dataset", "symbol", "minute_ts")]
-    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ["minute_ts", *values])), 256)
+    row = F.sha2(F.to_json(F.struct("minute_ts", *values), {"ignoreNullFields": "false"}), 256)
     over = lambda key, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, h))), lambda s: s[h]), ","), 256)
     days = rows.select("dataset", "symbol", "minute_ts", F.floor(F.col("minute_ts") / 86_400_000).alias("day"), row.alias("h")).groupBy("dataset", "symbol", "day").agg(over("minute_ts", "h").alias("h"))
     symbols = days.groupBy("dataset", "symbol").agg(over("day", "h").alias("h"))

@@ -82,15 +82,7 @@ def test_protection(spark):
     assert (got["hit_bar"], got["hit_kind"], got["hit_price"]) == (1, "stop", 93.0)
 
 
-def test_simulated_trades_add_up(spark):
-    n = 40
-    bars = spark.createDataFrame([("s", i * 60_000, 100.0 + i % 7, 102.0 + i % 7, 98.0 + i % 7, 101.0 + i % 7, i % 10 == 3, i % 10 == 8, None, "k") for i in range(n)], "symbol string, minute_ts long, open double, high double, low double, close double, enter boolean, leave boolean, rate double, run_key string")
-    nan = float("nan")
-    runs = spark.createDataFrame([("k", "r", "long", "next_bar_open", 5.0, 10.0, nan, nan, 0.5, 100), ("k", "q", "short", "same_bar_close", 0.0, 0.0, nan, nan, 1.0, 100)], "run_key string, run_id string, side string, fill_model string, slippage_bps double, fee_bps double, stop double, take double, size_pct double, max_hold_bars int")
-    got = s.simulate_positions(bars, runs).orderBy("run_id", "trade_no").toPandas()
-    for _, g in got.groupby("run_id"):
-        assert g.equity_after.iloc[-1] == pytest.approx(10_000 + g.realized_pnl.sum())
-    r = got[got.run_id == "r"].iloc[0]
-    assert r.entry_bar_index == 4 and r.entry_fill_price == pytest.approx(104 * 1.0005) and r.exit_bar_index == 9
-    q = got[got.run_id == "q"].iloc[0]
-    assert q.entry_bar_index == 3 and q.entry_fill_price == 104.0
+def test_custom_metric(spark):
+    t = spark.createDataFrame([("r", x) for x in (30.0, -10.0)], "run_id string, realized_pnl double")
+    got = one(m.run_metrics(equity(spark, [100, 120]), t, ["pnl"], custom={"best": F.max("realized_pnl")}))
+    assert got == {"run_id": "r", "pnl": 20.0, "best": 30.0}
