@@ -75,7 +75,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
     else:
         scan = texts.select("doc", "mark", F.explode(let(w, lambda w: F.array(*(F.struct(F.lit(n).alias("n"), hashes(w, n).alias("all")) for n in lengths)))).alias("s")).select("doc", "mark", "s.*")
     scan = scan.select("doc", "mark", "n", F.posexplode("all").alias("pos", "h"))
-    hits = stage(scan.join(small(stage(windows.select("h", "n").distinct(), "hashes"), bytes_=BROADCAST_HASHES), ["h", "n"]), "hits")
+    hits = stage(scan.join(small(stage(windows.select("h").distinct(), "hashes"), bytes_=BROADCAST_HASHES), "h"), "hits")
     same = lambda a, b: a.doc.eqNullSafe(b.doc) & (a.mark == b.mark)
     places = stage(hits.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n", "h")).alias("places")), "places")  # a document's own
     few = small(places, 24 * F.size("places"))
