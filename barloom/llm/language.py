@@ -201,9 +201,9 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
     own = F.xxhash64("text").alias("own")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % folds != 0)).select(F.col("lang").alias("lang"), F.col("doc_id").alias("doc_id"), own, F.col("text").alias("text"))
     order = [F.xxhash64("doc_id"), "doc_id", "own"]
-    # a task's smallest of each language, then of these the smallest of groups of tasks, then of all: no task ranks more than 256 times the sample of a language
+    # a task's smallest of each language, then of these the smallest of groups of tasks, then of all: the last ranks 16 times the sample of a language at most
     picked = known.select("lang", "doc_id", "own", F.spark_partition_id().alias("part"))
-    for part in ("part", F.pmod("part", F.lit(256)), F.lit(0)):
+    for part in ("part", F.pmod("part", F.lit(1024)), F.pmod("part", F.lit(16)), F.lit(0)):
         keys = Window.partitionBy("lang", part)
         picked = picked.withColumn("rank", F.dense_rank().over(keys.orderBy(*order))).where(F.col("rank") <= sample_docs)
         picked = picked.groupBy("lang", "doc_id", "own").agg(F.min("part").alias("part"))

@@ -90,6 +90,43 @@ def test_brown_probabilities_sum_to_one():
         assert own + 10 ** (math.log10(brown.ADDED) - m.total[k]) == pytest.approx(1)
 
 
+def test_brown_score_against_brute_force(docs):
+    """Every text's score again, token by token, from counts by dictionary; only the classes are the operator's own."""
+    rows = corpus()
+    toks = [[*low(t).encode().split(), b""] for _, t, _, _ in rows]
+    train = [ts for (i, *_), ts in zip(rows, toks, strict=True) if crc(i, 7) != 2]
+    count = Counter(w for ts in train for w in ts)
+    top = sorted((w for w in count if w), key=lambda w: (-count[w], w))[: brown.HEAD]
+    head = {w: i for i, w in enumerate(top)}
+    size = brown.HEAD + brown.GROUPS + 1
+    item = lambda w: size - 1 if w == b"" else head[w] if w in head else brown.HEAD + zlib.crc32(w[-3:]) % brown.GROUPS
+    pairs = np.zeros((size, size))
+    for ts in train:
+        for a, b in zip([b"", *ts], ts, strict=False):
+            pairs[item(a), item(b)] += 1
+    cls = brown.exchange(pairs)
+    step, freq, kinds = Counter(), Counter(), Counter(cls[item(w)] for w in count)
+    for ts in train:
+        for a, b in zip([b"", *ts], ts, strict=False):
+            step[cls[item(a)], cls[item(b)]] += 1
+            freq[cls[item(b)]] += 1
+    out = Counter()
+    for (a, _), n in step.items():
+        out[a] += n
+    n = sum(freq.values())
+    want = []
+    for (i, *_), ts in zip(rows, toks, strict=True):
+        s, a = 0.0, cls[-1]
+        for w in ts:
+            k = cls[item(w)]
+            s += math.log10((step[a, k] + brown.PRIOR * (freq[k] + 1) / (n + brown.CLASSES)) / (out[a] + brown.PRIOR))
+            s += math.log10((count[w] + brown.ADDED) / (freq[k] + brown.ADDED * (kinds[k] + 1)))
+            a = k
+        want.append((i, round(s, 5)))
+    got = sorted((r.doc_id, round(r.score, 5)) for r in brown.brown_scores(docs, block_bytes=4000).collect())
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)] and [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], abs=2e-5)
+
+
 def test_exchange_never_lowers_likelihood():
     rng = np.random.default_rng(1)
     a, b = np.repeat([0, 1], 20), np.repeat([0, 1], 20)
@@ -269,6 +306,33 @@ def test_text_of_no_language_goes(spark):
     assert kept.count() >= 0.999 * lettered.count() and kept.where("length(text) < 40").count() >= 0.99 * lettered.where("length(text) < 40").count()
 
 
+def test_learning_sample_is_bounded(spark):
+    """5,000 rows that share one doc_id: the driver takes a document's worth of them."""
+    d = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("the word "), F.col("id") % 900).alias("text"), F.lit("en").alias("lang"))
+    d = d.unionByName(spark.createDataFrame([(8, "le mot " * 9, "fr")], d.schema))
+    taken, collect = [], type(d).collect
+
+    def counted(self):
+        out = collect(self)
+        taken.append(len(out))
+        return out
+
+    try:
+        type(d).collect = counted
+        assert language.fit(d, sample_docs=30).labels == ["en", "fr"]
+    finally:
+        type(d).collect = collect
+    assert max(taken) == 31
+
+
+def test_long_words_are_read_in_overlapping_windows():
+    for n in (1, 24, 25, 60, 1000):
+        word = bytes(97 + i % 26 for i in range(n))
+        pieces = language.pieces_of(word)
+        assert b"".join(p[a:b] for p, a, b in pieces) == b" " + word + b" "
+        assert all(len(p) <= language.PIECE + 2 for p, _, _ in pieces)
+
+
 def test_positions():
     lab = language.Labeller(language.BiGRU(2), ["a", "b"])
     text = "héllo " + "y" * 60
@@ -443,6 +507,17 @@ def test_sharding(docs, empty, tmp_path):
     assert sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in rows if r.doc_id != 2) == sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in again if r.doc_id != 2)
     other = sharding.shuffle_into_shards(docs, 4, seed=12, bucket_bytes=2000).collect()
     assert [r.doc_id for r in sorted(other, key=lambda r: (r.slot, r.shard))] != order
+    order_of = lambda d: sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in sharding.shuffle_into_shards(d, 4, bucket_bytes=2000).collect() if r.doc_id != 2)
+    spark, before = docs.sparkSession, docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    first = order_of(docs)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert order_of(docs.repartition(5)) == first  # neither the session nor the input's partitions decide
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    many = [sharding.shuffle_into_shards(docs.where("doc_id in (0, 1)"), 1, seed=s).where("slot = 0").first().doc_id for s in range(12)]
+    assert set(many) == {0, 1}
+    counts = spark.createDataFrame([(b, (b * 7) % 5 + 1) for b in range(0, 60, 2)], "bucket int, count long")
+    at = {r.bucket: r.offset for r in sharding.offsets_of(counts, 8).collect()}
+    assert at == {b: sum((x * 7) % 5 + 1 for x in range(0, b, 2)) for b in range(0, 60, 2)}
     assert sharding.shuffle_into_shards(empty, 4).count() == 0
     sharding.write_shards(got, str(tmp_path / "s"))
     assert docs.sparkSession.read.parquet(str(tmp_path / "s")).count() == len(rows)
