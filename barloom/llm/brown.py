@@ -1,77 +1,123 @@
 """Brown class-based bigram model: P(w | v) = P(class(w) | class(v)) * P(w | class(w)).
 
-Words are counted in blocks of documents, so that each block meets its own slice of the vocabulary and no task or driver
-needs all of it. Exchange clustering runs over a bounded number of items: the most frequent words, one by one, and all other
-words by their last three bytes, hashed into groups. Every word of the vocabulary so has a class.
+Texts are read once, into chunks: the chunk's words and its texts as places among them. All later steps read chunks, so each
+meets its own slice of the vocabulary and no task or driver needs all of it. Exchange clustering has two steps. In the
+first the most frequent words move one by one, and all others in groups by their last three bytes, so that a bounded table
+of pairs tells every gain. In the second every other word moves by itself: its counts of classes before and after it, over
+all training texts, tell the class that raises the likelihood most.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER_AZ, stage
 
-#: Words that are clustered one by one, groups of the other words, and classes (the last is that of the text's end).
+#: Words that move one by one in the first step, groups of the other words there, and classes (the last is that of the text's end).
 HEAD, GROUPS, CLASSES = 768, 255, 64
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of text in a shuffle partition beyond the session's number of them.
+PARTITION_BYTES = 256 << 20
 #: Added to a word's count within its class, and weight of the class frequencies in the transitions.
 ADDED, PRIOR = 0.5, 50.0
 END = b""
 
 
-def item_of(word: bytes, head: dict[bytes, int]) -> int:
-    """The clustering item of a word: its own, or that of its ending."""
-    found = head.get(word)
-    return HEAD + zlib.crc32(word[-3:]) % GROUPS if found is None else found
+def group_of(word: bytes) -> int:
+    """The item that a word outside the head belongs to in the first step, told by its ending."""
+    return HEAD + zlib.crc32(word[-3:]) % GROUPS
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
     return [*text.translate(LOWER_AZ).split(), END] if text else [END]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, text, train) in order of blocks -> (block, word, n): each block's words, n in training texts."""
-    now, seen = None, Counter()
+class Places(dict):
+    """Words to their places, in order of first sight."""
 
-    def out():
-        for part in itertools.batched(seen.items(), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["block", "word", "n"])
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
 
+
+def _encode(block_bytes: int, id_type: pa.DataType):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text, held_out) -> (chunk, words, ids, doc_id, held_out): the words of a chunk joined by spaces, and its
+        texts as places among them; place 0 is the end, which closes every text. Places are stored byte plane by byte plane."""
+        chunk = TaskContext.get().partitionId() << 33
+        place, rows, ids, held, size = Places({END: 0}), [], [], [], 0
+
+        def out():
+            planes = np.concatenate(rows).view(np.uint8).reshape(-1, 4).T.tobytes()
+            docs = pa.concat_arrays(ids)
+            docs = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+            fields = [pa.array([chunk]), pa.array([b" ".join(list(place)[1:])], pa.binary()), pa.array([planes], pa.binary()), docs, pa.array([bytes(held)], pa.binary())]
+            return pa.RecordBatch.from_arrays(fields, ["chunk", "words", "ids", "doc_id", "held_out"])
+
+        for batch in batches:
+            start = 0
+            for i, (text, left_out) in enumerate(zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                tokens = tokens_of(text)
+                rows.append(np.fromiter(map(place.__getitem__, tokens), np.uint32, len(tokens)))
+                held.append(left_out)
+                size += len(text or b"") + 16
+                if size >= block_bytes:
+                    ids.append(batch.column(0).slice(start, i + 1 - start).cast(id_type))
+                    yield out()
+                    start, chunk = i + 1, chunk + 1
+                    place, rows, ids, held, size = Places({END: 0}), [], [], [], 0
+            if start < batch.num_rows:
+                ids.append(batch.column(0).slice(start).cast(id_type))
+        if rows:
+            yield out()
+
+    return encode
+
+
+def _decode(words: bytes, planes: bytes, held_out: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a chunk, its places, and which of these stand in training texts."""
+    ids = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+    lengths = np.diff(np.flatnonzero(ids == 0), prepend=-1)
+    return [END, *words.split(b" ")] if words else [END], ids, np.repeat(np.frombuffer(held_out, np.uint8) == 0, lengths)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]):
+    """(chunk, words, places, training or not) of each chunk in batches that have these columns first."""
     for batch in batches:
-        for block, text, train in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if block != now:
-                yield from out()
-                now, seen = block, Counter()
-            seen.update(tokens_of(text) if train else dict.fromkeys(tokens_of(text), 0))
-    yield from out()
+        for i in range(batch.num_rows):
+            chunk, words, ids, held = (batch.column(k)[i].as_py() for k in range(4))
+            yield chunk, *_decode(words, ids, held)
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks -> (word, c): counts in training texts."""
+    for _, words, ids, train in _chunks(batches):
+        c = np.bincount(ids[train], minlength=len(words))
+        c[0] = 0
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(at)), pa.array(c[at])], ["word", "c"])
 
 
 def _pairs(head: dict[bytes, int]):
     size = HEAD + GROUPS + 1
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts -> (pair, n): counts of adjacent items, a text's start being an end."""
-        total, end, kept = np.zeros(size * size, np.int64), size - 1, {END: size - 1}
-        for batch in batches:
-            ids = [end]
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                tokens = tokens_of(text)
-                if len(kept) > 500_000:
-                    kept = {END: end}
-                for w in set(tokens).difference(kept):
-                    kept[w] = item_of(w, head)
-                ids += map(kept.__getitem__, tokens)
-            a = np.array(ids, np.int64)
-            total += np.bincount(a[:-1] * size + a[1:], minlength=size * size)
+        """Chunks -> (pair, n): counts of adjacent items in training texts, a text's start being an end."""
+        total = np.zeros(size * size, np.int64)
+        for _, words, ids, train in _chunks(batches):
+            item = np.array([size - 1, *(head[w] if w in head else group_of(w) for w in words[1:])], np.int64)
+            a = item[ids[train]]
+            total += np.bincount(np.concatenate([[size - 1], a[:-1]])[: len(a)] * size + a, minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -127,86 +173,209 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = 8) -> np.
     return np.where(cls == classes, 0, cls)
 
 
-class Model:
-    """What scoring needs beside the vocabulary; a few kilobytes."""
+def first_classes(words: list[bytes], head: dict[bytes, int], cls: np.ndarray) -> np.ndarray:
+    """Classes of a chunk's words (the end first) after the first step."""
+    return np.array([cls[-1], *(cls[head[w] if w in head else group_of(w)] for w in words[1:])], np.int64)
+
+
+def _neighbours(head: dict[bytes, int], cls: np.ndarray):
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks -> (word, seen): for words outside the head, bytes in twos: a class before the word, or CLASSES more for one
+        after it, and how often (in parts of at most 255)."""
+        for _, words, ids, train in _chunks(batches):
+            w = ids[train]
+            k = first_classes(words, head, cls)[w]
+            tail = np.array([False, *(x not in head for x in words[1:])])[w]
+            before, after = np.concatenate([cls[-1:], k[:-1]])[: len(k)], np.concatenate([k[1:], cls[-1:]])[: len(k)]
+            at = w[tail] * (2 * CLASSES)
+            key, n = np.unique(np.concatenate([at + before[tail], at + CLASSES + after[tail]]), return_counts=True)
+            parts = (n + 254) // 255
+            key, share = np.repeat(key, parts), np.full(parts.sum(), 255)
+            share[np.cumsum(parts) - 1] = n - 255 * (parts - 1)
+            own, start = np.unique(key // (2 * CLASSES), return_index=True)
+            seen = np.stack([key % (2 * CLASSES), share], 1).astype(np.uint8).tobytes()
+            ends = np.append(start, len(key)).astype(np.int32) * 2
+            seen = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(seen)])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(own)), seen], ["word", "seen"])
+
+    return neighbours
+
+
+def best_classes(seen: np.ndarray, now: np.ndarray, by_class: np.ndarray) -> np.ndarray:
+    """The second step, all other words staying: for each row of `seen` (counts of classes before, then after) the class that
+    raises the class bigram likelihood most, by its slope; without the word itself in the class it is in `now`."""
+    c, log = seen[:, :CLASSES].sum(1), lambda x: np.log(x + 1.0)
+    flow = log(by_class.sum(0)) + log(by_class.sum(1))
+    gain = seen @ np.concatenate([log(by_class), log(by_class.T)]) - c[:, None] * flow
+    before, after = by_class[:, now].T - seen[:, :CLASSES], by_class[now] - seen[:, CLASSES:]
+    stay = (seen[:, :CLASSES] * log(before.clip(0))).sum(1) + (seen[:, CLASSES:] * log(after.clip(0))).sum(1)
+    stay -= c * (log((by_class.sum(0)[now] - c).clip(0)) + log((by_class.sum(1)[now] - c).clip(0)))
+    gain[np.arange(len(now)), now] = stay + 1e-6
+    gain[:, -1] = -np.inf
+    return np.argmax(gain.round(6), 1)
+
+
+def _move(cls: np.ndarray, by_class: np.ndarray):
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, seen) in order of words -> (word, c, cls). Of a word's rows only the sum is held."""
+        word, held = None, np.zeros(2 * CLASSES)
+
+        def out(words, sums):
+            new = best_classes(sums, np.array([cls[group_of(w)] for w in words], np.int64), by_class)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(sums[:, :CLASSES].sum(1).astype(np.int64)), pa.array(new.astype(np.int32))], ["word", "c", "cls"])
 
-    def __init__(self, head: dict[bytes, int], counts: np.ndarray, kinds: np.ndarray):
-        """counts: pairs of items; kinds: distinct words of each item."""
-        self.head, self.cls = head, exchange(counts)
-        one = np.eye(CLASSES)[self.cls]
-        by_class = one.T @ counts @ one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new = np.append(True, pc.not_equal(batch.column(0).slice(1), batch.column(0).slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)).astype(bool)
+            group = np.cumsum(new) - 1
+            codes = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 2)
+            row = np.repeat(group, [len(p) // 2 for p in parts])
+            sums = np.bincount(row * (2 * CLASSES) + codes[:, 0], codes[:, 1], (group[-1] + 1) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+            kinds = [words[i] for i in np.flatnonzero(new)]
+            if kinds[0] == word:
+                sums[0] += held
+            elif word is not None:
+                yield out([word], held[None])
+            if len(kinds) > 1:
+                yield out(kinds[:-1], sums[:-1])
+            word, held = kinds[-1], sums[-1].copy()
+        if word is not None:
+            yield out([word], held[None])
+
+    return move
+
+
+def _tail_words(head: dict[bytes, int]):
+    def tail_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks -> (chunk, place, word) of words outside the head."""
+        for chunk, words, _, _ in _chunks(batches):
+            at = np.array([i for i, w in enumerate(words) if i and w not in head], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), pa.array(at), pa.array(words, pa.binary()).take(pa.array(at))], ["chunk", "place", "word"])
+
+    return tail_words
+
+
+class Emissions:
+    """Counts of the head and the end and totals of the classes; a few kilobytes."""
+
+    def __init__(self, head: dict[bytes, int], cls: np.ndarray, head_counts: np.ndarray, ends: int, tail_counts: np.ndarray, tail_kinds: np.ndarray):
+        """cls: of the first step's items; tail_counts and tail_kinds: tokens and distinct words by class, of the other words."""
+        self.head, self.cls, self.head_counts, self.ends = head, cls, head_counts, ends
+        counts, kinds = tail_counts + np.bincount(cls[: len(head)], head_counts, CLASSES), tail_kinds + np.bincount(cls[: len(head)], minlength=CLASSES)
+        counts[-1] += ends
+        kinds[-1] += ends > 0
         self.tokens, self.kinds = int(counts.sum()), int(kinds.sum())
-        freq = (by_class.sum(0) + 1) / (by_class.sum() + CLASSES)
-        self.step = np.log10((by_class + PRIOR * freq) / (by_class.sum(1, keepdims=True) + PRIOR))
         # each class has its words and one place for all unknown ones
-        self.total = np.log10(by_class.sum(0) + ADDED * (one.T @ kinds + 1))
-
-
-def _score(model: Model):
-    def score(docs: pa.Table, slice_: pa.Table) -> pa.Table:
-        n, v = model.tokens, model.kinds
-        head, cls = model.head, model.cls
-
-        class Ids(dict):
-            """Words to places in `classes` and `counts`; what the vocabulary lacks is added with count 0."""
-
-            def __missing__(self, w: bytes) -> int:
-                self[w] = len(classes)
-                classes.append(cls[-1] if w == END else cls[item_of(w, head)])
-                counts.append(0)
-                return self[w]
-
-        words, counts = slice_.column("word").to_pylist(), slice_.column("c").to_pylist()
-        classes = [cls[-1] if w == END else cls[item_of(w, head)] for w in words]
-        ids = Ids(zip(words, range(len(words)), strict=True))
-        texts = docs.column("text").cast(pa.binary()).to_pylist()
-        rows = [np.fromiter(map(ids.__getitem__, tokens_of(t)), np.int64) for t in texts]
-        k, c = np.array(classes, np.int64), np.array(counts, np.float64)
-        base, own = np.log10((c + 1) / (n + v + 1)), np.log10(c + ADDED) - model.total[k]
+        self.total = np.log10(counts + ADDED * (kinds + 1))
+
+
+def _paths(model: Emissions, id_type: pa.DataType):
+    n, v, head = model.tokens, model.kinds, model.head
+
+    def paths(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        """A chunk and its known words outside the head -> its texts' classes, and sums that need no transitions."""
         out = []
-        for r in rows:
-            kinds = k[r]
-            before = np.concatenate([[CLASSES - 1], kinds[:-1]])
-            out.append((len(r), int((c[r] > 0).sum()), float(base[r].sum()), float(own[r].sum() + model.step[before, kinds].sum())))
-        t, known, b, s = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(t, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([n] * len(t), pa.int64()), "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64()),
-            "perplexity": pa.array([10 ** min(300.0, -x / y) for x, y in zip(s, t, strict=True)], pa.float64()),
-        })
+        for i in range(chunk.num_rows):
+            held_out = chunk.column("held_out")[i].as_py()
+            words, ids, _ = _decode(chunk.column("words")[i].as_py(), chunk.column("ids")[i].as_py(), held_out)
+            k = first_classes(words, head, model.cls)
+            c = np.array([model.ends, *(model.head_counts[head[w]] if w in head else 0 for w in words[1:])], np.float64)
+            at = known.column("place").to_numpy()
+            k[at], c[at] = known.column("cls").to_numpy(), known.column("c").to_numpy()
+            base, own = np.log10((c + 1) / (n + v + 1)), np.log10(c + ADDED) - model.total[k]
+            ends = np.flatnonzero(ids == 0) + 1
+            starts = np.append(0, ends[:-1])
+            path = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(k[ids].astype(np.uint8).tobytes())])
+            sums = (np.add.reduceat(x[ids], starts) for x in (base, own))
+            doc_ids = chunk.column("doc_id").combine_chunks().slice(i, 1).flatten().cast(id_type)
+            fields = [doc_ids, pa.array(np.frombuffer(held_out, np.uint8) != 0), pa.array(ends - starts), pa.array(np.add.reduceat((c > 0).astype(np.int64)[ids], starts)), *map(pa.array, sums), path]
+            out.append(pa.Table.from_arrays(fields, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "own", "path"]))
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], id_type), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "own": pa.array([], pa.float64()), "path": pa.array([], pa.binary())})
+
+    return paths
+
+
+def _steps(paths: pa.Array) -> np.ndarray:
+    """Pairs of adjacent classes of texts, one by one; every text ends with the end's class and starts after it."""
+    k = np.frombuffer(b"".join(paths.to_pylist()), np.uint8).astype(np.int64)
+    return np.append(CLASSES - 1, k[:-1])[: len(k)] * CLASSES + k
+
+
+def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class paths of texts -> (pair, n)."""
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        total += np.bincount(_steps(batch.column(0)), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+
+def transitions(by_class: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before), drawn to the class frequencies."""
+    freq = (by_class.sum(0) + 1) / (by_class.sum() + CLASSES)
+    return np.log10((by_class + PRIOR * freq) / (by_class.sum(1, keepdims=True) + PRIOR))
+
+
+def _score(tokens: int, step: np.ndarray):
+    flat = step.ravel()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(2).to_numpy()
+            s = batch.column(5).to_numpy() + np.add.reduceat(flat[_steps(batch.column(6))], np.append(0, np.cumsum(n)[:-1]))
+            fields = [*batch.columns[:4], pa.array(np.full(len(n), tokens)), batch.column(4), pa.array(s), pa.array(10 ** np.minimum(300.0, -s / n))]
+            yield pa.RecordBatch.from_arrays(fields, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return score
 
 
-def brown_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _matrix(pairs: DataFrame, size: int) -> np.ndarray:
+    """(pair, n) summed up, as a square matrix; at most size * size rows."""
+    found, m = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toPandas(), np.zeros(size * size)
+    m[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    return m.reshape(size, size)
+
+
+def brown_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES, head_words: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of docs.
 
     The model learns from the rows whose crc32(doc_id as text) mod folds is not held_out; a null doc_id counts as an empty
     one. Tokens: words between white space with A-Z lower-cased, then one end; a null or empty text is its end alone.
     base_score is an add-one unigram's, score the class bigram's log10 probability of the text, in which each class keeps
-    one place for unknown words. Repeated rows are learned from and scored as often as they stand. Without training rows
-    all counts are 0. Other columns are ignored; an empty table gives an empty result.
+    one place for unknown words; an unknown word has the class of the first step's group for its ending. Of the training
+    words the head_words most frequent (HEAD at most) move one by one in the first step, each other one in the second. Repeated rows are
+    learned from and scored as often as they stand. Without training rows all counts are 0. Other columns are ignored; an
+    empty table gives an empty result.
     """
+    if not 0 < head_words <= HEAD:
+        raise ValueError(f"head_words has to be from 1 to {HEAD}")
+    spark, id_name = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    rows = docs.select("doc_id", "text", (crc % folds == held_out).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    dealt = rows.select("block", "text", (~F.col("held_out")).alias("train")).repartition(blocks, "block").sortWithinPartitions("block")
-    seen = stage(dealt.mapInArrow(_count, "block long, word binary, n long"), "block-words")
-    vocabulary = stage(seen.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
-    first = vocabulary.where("length(word) > 0").orderBy(F.desc("c"), "word").limit(HEAD).collect()  # HEAD rows
+    rows = docs.select("doc_id", "text", (crc % folds == held_out).alias("held_out"))
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    chunks = stage(rows.mapInArrow(_encode(block_bytes, id_type), f"chunk long, words binary, ids binary, doc_id array<{id_name}>, held_out binary"), "chunks")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chunks.count() * block_bytes / PARTITION_BYTES))
+    texts = chunks.select("chunk", "words", "ids", "held_out")
+    found = texts.mapInArrow(_vocabulary, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    first = found.orderBy(F.desc("c"), "word").limit(head_words).collect()  # HEAD rows
     head = {bytes(r["word"]): i for i, r in enumerate(first)}
-    of_group = F.when(F.length("word") == 0, F.lit(GROUPS)).otherwise(F.crc32(F.substring("word", -3, 3)) % GROUPS)
-    kinds = np.zeros(HEAD + GROUPS + 1)
-    for g, n in vocabulary.groupBy(of_group).count().collect():  # at most GROUPS + 1 rows
-        kinds[HEAD + g] = n
-    for w, i in head.items():
-        kinds[i] = 1
-        kinds[HEAD + zlib.crc32(w[-3:]) % GROUPS] -= 1
-    found = rows.where("not held_out").select("text").mapInArrow(_pairs(head), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** 20 rows
-    counts = np.zeros(len(kinds) ** 2)
-    counts[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
-    model = Model(head, counts.reshape(len(kinds), -1), kinds)
-    known = seen.select("block", "word").join(vocabulary, "word").select("block", "word", "c")
-    schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(model), schema.format(docs.schema["doc_id"].dataType.simpleString()))
+    counts = _matrix(texts.mapInArrow(_pairs(head), "pair long, n long"), HEAD + GROUPS + 1)  # at most 2 ** 20 rows
+    cls = exchange(counts)
+    one = np.eye(CLASSES)[cls]
+    seen = texts.mapInArrow(_neighbours(head, cls), "word binary, seen binary").repartition(parts, "word").sortWithinPartitions("word")
+    tail = stage(seen.mapInArrow(_move(cls, one.T @ counts @ one), "word binary, c long, cls int"), "tail-words")
+    tail_counts, tail_kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for k, c, n in tail.groupBy("cls").agg(F.sum("c"), F.count("*")).collect():  # at most CLASSES rows
+        tail_counts[k], tail_kinds[k] = c, n
+    model = Emissions(head, cls, np.array([r["c"] for r in first], np.int64), int(counts[:, -1].sum()), tail_counts, tail_kinds)
+    known = texts.mapInArrow(_tail_words(head), "chunk long, place int, word binary").join(tail, "word").select("chunk", "place", "c", "cls")
+    schema = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, base_score double, own double, path binary"
+    both = chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(known.repartition(parts, "chunk").groupBy("chunk"))
+    paths = stage(both.applyInArrow(_paths(model, id_type), schema), "class-paths")
+    step = transitions(_matrix(paths.where("not held_out").select("path").mapInArrow(_transitions, "pair long, n long"), CLASSES))
+    schema = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return paths.mapInArrow(_score(model.tokens, step), schema)

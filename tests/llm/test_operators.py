@@ -77,56 +77,93 @@ def test_brown(docs, empty):
 def test_brown_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     head = {f"w{i}".encode(): i for i in range(5)}
-    size = brown.HEAD + brown.GROUPS + 1
-    counts, kinds = np.zeros((size, size)), np.zeros(size)
-    used = [0, 1, 2, 3, 4, size - 1]
-    counts[np.ix_(used, used)] = rng.integers(0, 9, (6, 6))
-    kinds[used] = 1
-    m = brown.Model(head, counts, kinds)
-    assert (10**m.step).sum(1) == pytest.approx(np.ones(brown.CLASSES))
-    c = counts.sum(0)
+    cls = np.full(brown.HEAD + brown.GROUPS + 1, 3)
+    cls[:5], cls[-1] = [0, 0, 1, 2, 2], brown.CLASSES - 1
+    head_counts, tail = rng.integers(1, 9, 5), [(int(rng.integers(1, 9)), int(k)) for k in rng.integers(0, 4, 30)]
+    tail_counts, tail_kinds = np.zeros(brown.CLASSES), np.zeros(brown.CLASSES)
+    for c, k in tail:
+        tail_counts[k] += c
+        tail_kinds[k] += 1
+    m = brown.Emissions(head, cls, head_counts, 7, tail_counts, tail_kinds)
+    assert m.kinds == 36 and m.tokens == sum(head_counts) + 7 + sum(c for c, _ in tail)
+    words = [*tail, *zip(head_counts.tolist(), cls[:5].tolist(), strict=True), (7, brown.CLASSES - 1)]
     for k in range(brown.CLASSES):
-        own = sum(10 ** (math.log10(c[i] + brown.ADDED) - m.total[k]) for i in used if m.cls[i] == k)
+        own = sum(10 ** (math.log10(c + brown.ADDED) - m.total[k]) for c, j in words if j == k)
         assert own + 10 ** (math.log10(brown.ADDED) - m.total[k]) == pytest.approx(1)
+    step = brown.transitions(rng.integers(0, 5, (brown.CLASSES, brown.CLASSES)).astype(float))
+    assert (10**step).sum(1) == pytest.approx(np.ones(brown.CLASSES))
 
 
-def test_brown_score_against_brute_force(docs):
-    """Every text's score again, token by token, from counts by dictionary; only the classes are the operator's own."""
+@pytest.mark.parametrize("head_words", [15, brown.HEAD])
+def test_brown_score_against_brute_force(docs, head_words):
+    """Every text's score again, token by token, from counts by dictionary; of the first step only the exchange is the operator's own."""
     rows = corpus()
     toks = [[*low(t).encode().split(), b""] for _, t, _, _ in rows]
     train = [ts for (i, *_), ts in zip(rows, toks, strict=True) if crc(i, 7) != 2]
     count = Counter(w for ts in train for w in ts)
-    top = sorted((w for w in count if w), key=lambda w: (-count[w], w))[: brown.HEAD]
+    top = sorted((w for w in count if w), key=lambda w: (-count[w], w))[:head_words]
     head = {w: i for i, w in enumerate(top)}
-    size = brown.HEAD + brown.GROUPS + 1
+    size, end = brown.HEAD + brown.GROUPS + 1, brown.CLASSES - 1
     item = lambda w: size - 1 if w == b"" else head[w] if w in head else brown.HEAD + zlib.crc32(w[-3:]) % brown.GROUPS
+    bigrams = Counter((a, b) for ts in train for a, b in zip([b"", *ts], ts, strict=False))
     pairs = np.zeros((size, size))
-    for ts in train:
-        for a, b in zip([b"", *ts], ts, strict=False):
-            pairs[item(a), item(b)] += 1
-    cls = brown.exchange(pairs)
-    step, freq, kinds = Counter(), Counter(), Counter(cls[item(w)] for w in count)
-    for ts in train:
-        for a, b in zip([b"", *ts], ts, strict=False):
-            step[cls[item(a)], cls[item(b)]] += 1
-            freq[cls[item(b)]] += 1
+    for (a, b), n in bigrams.items():
+        pairs[item(a), item(b)] += n
+    first = brown.exchange(pairs)
+    flow = Counter()
+    for (a, b), n in bigrams.items():
+        flow[first[item(a)], first[item(b)]] += n
+    cls, moved = {}, 0
+    for w in count:
+        cls[w] = k = first[item(w)]
+        if w in head or not w:
+            continue
+        before, after, gain = Counter(), Counter(), {}
+        for (a, b), n in bigrams.items():
+            if b == w:
+                before[first[item(a)]] += n
+            if a == w:
+                after[first[item(b)]] += n
+        for g in range(end):
+            own = 1 if g == k else 0  # a class that the word is in is looked at without it
+            rest = lambda n: math.log(max(n, 0) + 1)
+            gain[g] = sum(n * rest(flow[j, g] - own * n) for j, n in before.items()) + sum(n * rest(flow[g, j] - own * n) for j, n in after.items())
+            gain[g] -= count[w] * sum(rest(sum(flow[x] for x in flow if x[side] == g) - own * count[w]) for side in (0, 1))
+        cls[w] = min(range(end), key=lambda g: (-round(gain[g] + (1e-6 if g == k else 0), 6), g))
+        moved += cls[w] != k
+    assert (moved > 0) == (head_words < brown.HEAD)
+    of = lambda w: cls.get(w, first[item(w)])
+    step, freq, kinds = Counter(), Counter(), Counter(cls.values())
+    for (a, b), n in bigrams.items():
+        step[of(a), of(b)] += n
+        freq[of(b)] += n
     out = Counter()
     for (a, _), n in step.items():
         out[a] += n
     n = sum(freq.values())
     want = []
     for (i, *_), ts in zip(rows, toks, strict=True):
-        s, a = 0.0, cls[-1]
+        s, a = 0.0, end
         for w in ts:
-            k = cls[item(w)]
+            k = of(w)
             s += math.log10((step[a, k] + brown.PRIOR * (freq[k] + 1) / (n + brown.CLASSES)) / (out[a] + brown.PRIOR))
             s += math.log10((count[w] + brown.ADDED) / (freq[k] + brown.ADDED * (kinds[k] + 1)))
             a = k
         want.append((i, round(s, 5)))
-    got = sorted((r.doc_id, round(r.score, 5)) for r in brown.brown_scores(docs, block_bytes=4000).collect())
+    got = sorted((r.doc_id, round(r.score, 5)) for r in brown.brown_scores(docs, block_bytes=4000, head_words=head_words).collect())
     assert [g[0] for g in got] == [w[0] for w in sorted(want)] and [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], abs=2e-5)
 
 
+def test_brown_words_beyond_the_head_find_their_class():
+    """Words that stand where one class stands go there, whatever their ending."""
+    by_class = np.full((brown.CLASSES, brown.CLASSES), 2.0)
+    by_class[0, 1] = by_class[2, 3] = by_class[1, 2] = by_class[3, 0] = 5000
+    seen = np.zeros((2, 2 * brown.CLASSES))
+    seen[0, 0], seen[0, brown.CLASSES + 2] = 3, 3  # after class 0 and before class 2, as class 1
+    seen[1, 2], seen[1, brown.CLASSES] = 1, 1  # as class 3
+    assert brown.best_classes(seen, np.array([7, 1]), by_class).tolist() == [1, 3]
+
+
 def test_exchange_never_lowers_likelihood():
     rng = np.random.default_rng(1)
     a, b = np.repeat([0, 1], 20), np.repeat([0, 1], 20)
