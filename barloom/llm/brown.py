@@ -84,9 +84,13 @@ def _encode(block_bytes: int, id_type: pa.DataType):
     return encode
 
 
+def _places(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+
+
 def _decode(words: bytes, planes: bytes, held_out: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The words of a chunk, its places, and which of these stand in training texts."""
-    ids = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+    ids = _places(planes)
     lengths = np.diff(np.flatnonzero(ids == 0), prepend=-1)
     return [END, *words.split(b" ")] if words else [END], ids, np.repeat(np.frombuffer(held_out, np.uint8) == 0, lengths)
 
@@ -180,23 +184,24 @@ def first_classes(words: list[bytes], head: dict[bytes, int], cls: np.ndarray) -
 
 def _neighbours(head: dict[bytes, int], cls: np.ndarray):
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks -> (word, seen): for words outside the head, bytes in twos: a class before the word, or CLASSES more for one
-        after it, and how often (in parts of at most 255)."""
-        for _, words, ids, train in _chunks(batches):
-            w = ids[train]
-            k = first_classes(words, head, cls)[w]
-            tail = np.array([False, *(x not in head for x in words[1:])])[w]
+        """Chunks -> (word, seen, chunk, place): for words outside the head, bytes in twos: a class before the word, or CLASSES
+        more for one after it, and how often in training texts (in parts of at most 255; empty for words of the others alone)."""
+        for chunk, words, ids, train in _chunks(batches):
+            w, outside = ids[train], np.array([False, *(x not in head for x in words[1:])])
+            k, tail = first_classes(words, head, cls)[w], outside[w]
             before, after = np.concatenate([cls[-1:], k[:-1]])[: len(k)], np.concatenate([k[1:], cls[-1:]])[: len(k)]
             at = w[tail] * (2 * CLASSES)
             key, n = np.unique(np.concatenate([at + before[tail], at + CLASSES + after[tail]]), return_counts=True)
             parts = (n + 254) // 255
             key, share = np.repeat(key, parts), np.full(parts.sum(), 255)
             share[np.cumsum(parts) - 1] = n - 255 * (parts - 1)
-            own, start = np.unique(key // (2 * CLASSES), return_index=True)
+            own = np.flatnonzero(outside)
+            start = np.searchsorted(key, own * (2 * CLASSES))
             seen = np.stack([key % (2 * CLASSES), share], 1).astype(np.uint8).tobytes()
             ends = np.append(start, len(key)).astype(np.int32) * 2
             seen = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(seen)])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(own)), seen], ["word", "seen"])
+            fields = [pa.array(words, pa.binary()).take(pa.array(own)), seen, pa.array(np.full(len(own), chunk)), pa.array(own.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(fields, ["word", "seen", "chunk", "place"])
 
     return neighbours
 
@@ -215,19 +220,54 @@ def best_classes(seen: np.ndarray, now: np.ndarray, by_class: np.ndarray) -> np.
     return np.argmax(gain.round(6), 1)
 
 
-def _move(cls: np.ndarray, by_class: np.ndarray):
+#: A known word of a chunk; `cls` is FIRST more in one of the chunks that hold the word. Stored byte plane by byte plane.
+KNOWN, FIRST = np.dtype([("place", "<u4"), ("c", "<i8"), ("cls", "u1")]), 128
+
+
+def _pack(known: np.ndarray) -> bytes:
+    return known.view(np.uint8).reshape(-1, KNOWN.itemsize).T.tobytes()
+
+
+def _unpack(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(KNOWN.itemsize, -1).T.copy().view(KNOWN).ravel()
+
+
+def _move(cls: np.ndarray, by_class: np.ndarray, at_once: int = 500_000):
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, seen) in order of words -> (word, c, cls). Of a word's rows only the sum is held."""
-        word, held = None, np.zeros(2 * CLASSES)
+        """(word, seen, chunk, place) in order of words -> (chunk, known): each word's count and new class for every chunk that
+        holds it. Of a word's rows the sum and the places are held, 12 bytes for each chunk with it."""
+        word, held, places = None, np.zeros(2 * CLASSES), []
+        chunks, knowns, n = [], [], 0
 
-        def out(words, sums):
+        def add(words, sums, group, chunk, place):
+            nonlocal n
             new = best_classes(sums, np.array([cls[group_of(w)] for w in words], np.int64), by_class)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(sums[:, :CLASSES].sum(1).astype(np.int64)), pa.array(new.astype(np.int32))], ["word", "c", "cls"])
+            known = np.zeros(len(group), KNOWN)
+            known["place"], known["c"], known["cls"] = place, sums[:, :CLASSES].sum(1)[group], new[group]
+            known["cls"][np.unique(group, return_index=True)[1]] += FIRST
+            learned = known["c"] > 0
+            chunks.append(chunk[learned])
+            knowns.append(known[learned])
+            n += learned.sum()
+
+        def held_places():
+            return (np.concatenate(x) for x in zip(*places, strict=True))
+
+        def out():
+            nonlocal n
+            chunk, known = np.concatenate(chunks), np.concatenate(knowns)
+            order = np.lexsort((known["place"], chunk))
+            own, start = np.unique(chunk[order], return_index=True)
+            fields = [pa.array(own), pa.array([_pack(x) for x in np.split(known[order], start[1:])], pa.binary())]
+            chunks.clear()
+            knowns.clear()
+            n = 0
+            return pa.RecordBatch.from_arrays(fields, ["chunk", "known"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words, parts, chunk, place = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             new = np.append(True, pc.not_equal(batch.column(0).slice(1), batch.column(0).slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)).astype(bool)
             group = np.cumsum(new) - 1
             codes = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 2)
@@ -237,62 +277,68 @@ def _move(cls: np.ndarray, by_class: np.ndarray):
             if kinds[0] == word:
                 sums[0] += held
             elif word is not None:
-                yield out([word], held[None])
+                at, where = held_places()
+                add([word], held[None], np.zeros(len(at), np.int64), at, where)
+                places = []
+            last = group == group[-1]
             if len(kinds) > 1:
-                yield out(kinds[:-1], sums[:-1])
+                places.append((chunk[~last], place[~last]))
+                at, where = held_places()
+                add(kinds[:-1], sums[:-1], np.append(np.zeros(len(at) - (~last).sum(), np.int64), group[~last]), at, where)
+                places = []
+            places.append((chunk[last], place[last]))
             word, held = kinds[-1], sums[-1].copy()
+            if n >= at_once:
+                yield out()
         if word is not None:
-            yield out([word], held[None])
+            at, where = held_places()
+            add([word], held[None], np.zeros(len(at), np.int64), at, where)
+        if n:
+            yield out()
 
     return move
 
 
-def _tail_words(head: dict[bytes, int]):
-    def tail_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks -> (chunk, place, word) of words outside the head."""
-        for chunk, words, _, _ in _chunks(batches):
-            at = np.array([i for i, w in enumerate(words) if i and w not in head], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), pa.array(at), pa.array(words, pa.binary()).take(pa.array(at))], ["chunk", "place", "word"])
-
-    return tail_words
-
-
-class Emissions:
-    """Counts of the head and the end and totals of the classes; a few kilobytes."""
+def _light(head: dict[bytes, int], cls: np.ndarray, head_counts: np.ndarray, ends: int):
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks with a class for each word in place of the words, and what is known of the head and the end."""
+        for batch in batches:
+            first, known = [], []
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].as_py()
+                words = [END, *words.split(b" ")] if words else [END]
+                first.append(first_classes(words, head, cls).astype(np.uint8).tobytes())
+                known.append(_pack(np.array([(0, ends, cls[-1]), *((p, head_counts[head[w]], cls[head[w]]) for p, w in enumerate(words) if w in head)], KNOWN)))
+            fields = [*(batch.column(k) for k in ("chunk", "ids", "doc_id", "held_out")), pa.array(first, pa.binary()), pa.array(known, pa.binary())]
+            yield pa.RecordBatch.from_arrays(fields, ["chunk", "ids", "doc_id", "held_out", "first", "known"])
 
-    def __init__(self, head: dict[bytes, int], cls: np.ndarray, head_counts: np.ndarray, ends: int, tail_counts: np.ndarray, tail_kinds: np.ndarray):
-        """cls: of the first step's items; tail_counts and tail_kinds: tokens and distinct words by class, of the other words."""
-        self.head, self.cls, self.head_counts, self.ends = head, cls, head_counts, ends
-        counts, kinds = tail_counts + np.bincount(cls[: len(head)], head_counts, CLASSES), tail_kinds + np.bincount(cls[: len(head)], minlength=CLASSES)
-        counts[-1] += ends
-        kinds[-1] += ends > 0
-        self.tokens, self.kinds = int(counts.sum()), int(kinds.sum())
-        # each class has its words and one place for all unknown ones
-        self.total = np.log10(counts + ADDED * (kinds + 1))
+    return light
 
 
-def _paths(model: Emissions, id_type: pa.DataType):
-    n, v, head = model.tokens, model.kinds, model.head
+def _paths(id_type: pa.DataType):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "log_base", "log_own", "path", "kinds"]
+    types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
 
     def paths(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        """A chunk and its known words outside the head -> its texts' classes, and sums that need no transitions."""
+        """A chunk and its known words -> its texts' classes, and sums that need neither transitions nor totals. The first text
+        carries the number of words by class that have this chunk as their first."""
         out = []
         for i in range(chunk.num_rows):
-            held_out = chunk.column("held_out")[i].as_py()
-            words, ids, _ = _decode(chunk.column("words")[i].as_py(), chunk.column("ids")[i].as_py(), held_out)
-            k = first_classes(words, head, model.cls)
-            c = np.array([model.ends, *(model.head_counts[head[w]] if w in head else 0 for w in words[1:])], np.float64)
-            at = known.column("place").to_numpy()
-            k[at], c[at] = known.column("cls").to_numpy(), known.column("c").to_numpy()
-            base, own = np.log10((c + 1) / (n + v + 1)), np.log10(c + ADDED) - model.total[k]
+            ids, held_out = _places(chunk.column("ids")[i].as_py()), np.frombuffer(chunk.column("held_out")[i].as_py(), np.uint8) != 0
+            k, kinds = np.frombuffer(chunk.column("first")[i].as_py(), np.uint8).copy(), np.zeros(CLASSES, np.int32)
+            c = np.zeros(len(k))
+            for planes in (chunk.column("known")[i].as_py(), *known.column("known").to_pylist()):
+                found = _unpack(planes)
+                c[found["place"]], k[found["place"]] = found["c"], found["cls"] % FIRST
+                kinds += np.bincount(found["cls"][found["cls"] >= FIRST] % FIRST, minlength=CLASSES).astype(np.int32)
             ends = np.flatnonzero(ids == 0) + 1
             starts = np.append(0, ends[:-1])
-            path = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(k[ids].astype(np.uint8).tobytes())])
-            sums = (np.add.reduceat(x[ids], starts) for x in (base, own))
+            path = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(k[ids].tobytes())])
+            sums = [np.add.reduceat(x[ids], starts) for x in ((c > 0).astype(np.int64), np.log10(c + 1), np.log10(c + ADDED))]
             doc_ids = chunk.column("doc_id").combine_chunks().slice(i, 1).flatten().cast(id_type)
-            fields = [doc_ids, pa.array(np.frombuffer(held_out, np.uint8) != 0), pa.array(ends - starts), pa.array(np.add.reduceat((c > 0).astype(np.int64)[ids], starts)), *map(pa.array, sums), path]
-            out.append(pa.Table.from_arrays(fields, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "own", "path"]))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], id_type), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "own": pa.array([], pa.float64()), "path": pa.array([], pa.binary())})
+            fields = [doc_ids, pa.array(held_out), pa.array(ends - starts), *map(pa.array, sums), path, pa.array([kinds.tobytes(), *[None] * (len(ends) - 1)], pa.binary())]
+            out.append(pa.Table.from_arrays(fields, names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in types], names)
 
     return paths
 
@@ -303,13 +349,15 @@ def _steps(paths: pa.Array) -> np.ndarray:
     return np.append(CLASSES - 1, k[:-1])[: len(k)] * CLASSES + k
 
 
-def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class paths of texts -> (pair, n)."""
-    total = np.zeros(CLASSES * CLASSES, np.int64)
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(held_out, path, kinds) -> (at, n): training texts' pairs of adjacent classes, then words by class."""
+    total = np.zeros(CLASSES * CLASSES + CLASSES, np.int64)
     for batch in batches:
-        total += np.bincount(_steps(batch.column(0)), minlength=len(total))
+        total[: CLASSES * CLASSES] += np.bincount(_steps(batch.column(1).filter(pc.invert(batch.column(0)))), minlength=CLASSES * CLASSES)
+        for kinds in batch.column(2).drop_null().to_pylist():
+            total[CLASSES * CLASSES :] += np.frombuffer(kinds, np.int32)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
 
 def transitions(by_class: np.ndarray) -> np.ndarray:
@@ -318,26 +366,32 @@ def transitions(by_class: np.ndarray) -> np.ndarray:
     return np.log10((by_class + PRIOR * freq) / (by_class.sum(1, keepdims=True) + PRIOR))
 
 
-def _score(tokens: int, step: np.ndarray):
-    flat = step.ravel()
+def totals(by_class: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """log10 of what a word's count is divided by within its class, which has its words and one place for all unknown ones."""
+    return np.log10(by_class.sum(0) + ADDED * (kinds + 1))
+
+
+def _score(tokens: int, kinds: int, step: np.ndarray):
+    """step: log10 P(class | class before), less the totals of the class."""
+    flat, one = step.ravel(), math.log10(tokens + kinds + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = batch.column(2).to_numpy()
-            s = batch.column(5).to_numpy() + np.add.reduceat(flat[_steps(batch.column(6))], np.append(0, np.cumsum(n)[:-1]))
-            fields = [*batch.columns[:4], pa.array(np.full(len(n), tokens)), batch.column(4), pa.array(s), pa.array(10 ** np.minimum(300.0, -s / n))]
+            n, base, own = (batch.column(k).to_numpy() for k in (2, 4, 5))
+            s = own + np.add.reduceat(flat[_steps(batch.column(6))], np.append(0, np.cumsum(n)[:-1]))
+            fields = [*batch.columns[:4], *map(pa.array, (np.full(len(n), tokens), base - n * one, s, 10 ** np.minimum(300.0, -s / n)))]
             yield pa.RecordBatch.from_arrays(fields, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return score
 
 
-def _matrix(pairs: DataFrame, size: int) -> np.ndarray:
-    """(pair, n) summed up, as a square matrix; at most size * size rows."""
-    found, m = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toPandas(), np.zeros(size * size)
-    m[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
-    return m.reshape(size, size)
+def _summed(found: DataFrame, key: str, size: int) -> np.ndarray:
+    """(key, n) summed up; at most size rows."""
+    found, total = found.groupBy(key).agg(F.sum("n").alias("n")).toPandas(), np.zeros(size)
+    total[found[key].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    return total
 
 
 def brown_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES, head_words: int = HEAD) -> DataFrame:
@@ -363,19 +417,19 @@ def brown_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes
     found = texts.mapInArrow(_vocabulary, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     first = found.orderBy(F.desc("c"), "word").limit(head_words).collect()  # HEAD rows
     head = {bytes(r["word"]): i for i, r in enumerate(first)}
-    counts = _matrix(texts.mapInArrow(_pairs(head), "pair long, n long"), HEAD + GROUPS + 1)  # at most 2 ** 20 rows
-    cls = exchange(counts)
+    items = HEAD + GROUPS + 1
+    counts = _summed(texts.mapInArrow(_pairs(head), "pair long, n long"), "pair", items * items).reshape(items, items)  # at most 2 ** 20 rows
+    cls, ends = exchange(counts), int(counts[:, -1].sum())
     one = np.eye(CLASSES)[cls]
-    seen = texts.mapInArrow(_neighbours(head, cls), "word binary, seen binary").repartition(parts, "word").sortWithinPartitions("word")
-    tail = stage(seen.mapInArrow(_move(cls, one.T @ counts @ one), "word binary, c long, cls int"), "tail-words")
-    tail_counts, tail_kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, c, n in tail.groupBy("cls").agg(F.sum("c"), F.count("*")).collect():  # at most CLASSES rows
-        tail_counts[k], tail_kinds[k] = c, n
-    model = Emissions(head, cls, np.array([r["c"] for r in first], np.int64), int(counts[:, -1].sum()), tail_counts, tail_kinds)
-    known = texts.mapInArrow(_tail_words(head), "chunk long, place int, word binary").join(tail, "word").select("chunk", "place", "c", "cls")
-    schema = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, base_score double, own double, path binary"
-    both = chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(known.repartition(parts, "chunk").groupBy("chunk"))
-    paths = stage(both.applyInArrow(_paths(model, id_type), schema), "class-paths")
-    step = transitions(_matrix(paths.where("not held_out").select("path").mapInArrow(_transitions, "pair long, n long"), CLASSES))
+    seen = texts.mapInArrow(_neighbours(head, cls), "word binary, seen binary, chunk long, place int").repartition(parts, "word").sortWithinPartitions("word")
+    known = seen.mapInArrow(_move(cls, one.T @ counts @ one), "chunk long, known binary").repartition(parts, "chunk")
+    light = chunks.mapInArrow(_light(head, cls, [r["c"] for r in first], ends), f"chunk long, ids binary, doc_id array<{id_name}>, held_out binary, first binary, known binary")
+    schema = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, log_base double, log_own double, path binary, kinds binary"
+    both = light.repartition(parts, "chunk").groupBy("chunk").cogroup(known.groupBy("chunk"))
+    paths = stage(both.applyInArrow(_paths(id_type), schema), "class-paths")
+    at = _summed(paths.select("held_out", "path", "kinds").mapInArrow(_class_counts, "at long, n long"), "at", CLASSES * CLASSES + CLASSES)
+    by_class, kinds = at[: CLASSES * CLASSES].reshape(CLASSES, CLASSES), at[CLASSES * CLASSES :] + np.bincount(cls[: len(head)], minlength=CLASSES)
+    kinds[-1] += ends > 0
+    step = transitions(by_class) - totals(by_class, kinds)
     schema = f"doc_id {id_name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return paths.mapInArrow(_score(model.tokens, step), schema)
+    return paths.mapInArrow(_score(int(by_class.sum()), int(kinds.sum()), step), schema)

@@ -76,20 +76,13 @@ def test_brown(docs, empty):
 
 def test_brown_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    head = {f"w{i}".encode(): i for i in range(5)}
-    cls = np.full(brown.HEAD + brown.GROUPS + 1, 3)
-    cls[:5], cls[-1] = [0, 0, 1, 2, 2], brown.CLASSES - 1
-    head_counts, tail = rng.integers(1, 9, 5), [(int(rng.integers(1, 9)), int(k)) for k in rng.integers(0, 4, 30)]
-    tail_counts, tail_kinds = np.zeros(brown.CLASSES), np.zeros(brown.CLASSES)
-    for c, k in tail:
-        tail_counts[k] += c
-        tail_kinds[k] += 1
-    m = brown.Emissions(head, cls, head_counts, 7, tail_counts, tail_kinds)
-    assert m.kinds == 36 and m.tokens == sum(head_counts) + 7 + sum(c for c, _ in tail)
-    words = [*tail, *zip(head_counts.tolist(), cls[:5].tolist(), strict=True), (7, brown.CLASSES - 1)]
+    counts, of = rng.integers(1, 9, 30), rng.integers(0, 4, 30)
+    by_class, kinds = np.zeros((brown.CLASSES, brown.CLASSES)), np.bincount(of, minlength=brown.CLASSES)
+    by_class[0] = np.bincount(of, counts, brown.CLASSES)
+    total = brown.totals(by_class, kinds)
     for k in range(brown.CLASSES):
-        own = sum(10 ** (math.log10(c + brown.ADDED) - m.total[k]) for c, j in words if j == k)
-        assert own + 10 ** (math.log10(brown.ADDED) - m.total[k]) == pytest.approx(1)
+        own = sum(10 ** (math.log10(c + brown.ADDED) - total[k]) for c, j in zip(counts, of, strict=True) if j == k)
+        assert own + 10 ** (math.log10(brown.ADDED) - total[k]) == pytest.approx(1)
     step = brown.transitions(rng.integers(0, 5, (brown.CLASSES, brown.CLASSES)).astype(float))
     assert (10**step).sum(1) == pytest.approx(np.ones(brown.CLASSES))
 
