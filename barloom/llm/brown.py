@@ -188,10 +188,11 @@ def _neighbours(head: dict[bytes, int], cls: np.ndarray):
         more for one after it, and how often in training texts (in parts of at most 255; empty for words of the others alone)."""
         for chunk, words, ids, train in _chunks(batches):
             w, outside = ids[train], np.array([False, *(x not in head for x in words[1:])])
-            k, tail = first_classes(words, head, cls)[w], outside[w]
-            before, after = np.concatenate([cls[-1:], k[:-1]])[: len(k)], np.concatenate([k[1:], cls[-1:]])[: len(k)]
-            at = w[tail] * (2 * CLASSES)
-            key, n = np.unique(np.concatenate([at + before[tail], at + CLASSES + after[tail]]), return_counts=True)
+            kind = np.int32 if len(words) < 1 << 24 else np.int64  # keys below 2 ** 31 take half the memory
+            k, tail, end = first_classes(words, head, cls).astype(kind)[w], outside[w], cls[-1:].astype(kind)
+            before, after = np.concatenate([end, k[:-1]])[: len(k)], np.concatenate([k[1:], end])[: len(k)]
+            at = w[tail].astype(kind) * kind(2 * CLASSES)
+            key, n = np.unique(np.concatenate([at + before[tail], at + kind(CLASSES) + after[tail]]), return_counts=True)
             parts = (n + 254) // 255
             key, share = np.repeat(key, parts), np.full(parts.sum(), 255)
             share[np.cumsum(parts) - 1] = n - 255 * (parts - 1)
