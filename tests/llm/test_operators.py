@@ -147,6 +147,14 @@ def test_brown_score_against_brute_force(docs, head_words):
     assert [g[0] for g in got] == [w[0] for w in sorted(want)] and [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], abs=2e-5)
 
 
+def test_brown_without_training_rows(spark):
+    held = [i for i in range(60) if crc(i, 7) == 2]
+    d = spark.createDataFrame([(i, t) for i in held for t in ("a b", None)], "doc_id long, text string")
+    got = brown.brown_scores(d).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((i, n) for i in held for n in (3, 1))
+    assert all((r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and math.isfinite(r.score) for r in got)
+
+
 def test_brown_words_beyond_the_head_find_their_class():
     """Words that stand where one class stands go there, whatever their ending."""
     by_class = np.full((brown.CLASSES, brown.CLASSES), 2.0)
