@@ -209,7 +209,8 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
         picked = picked.groupBy("lang", "doc_id", "own").agg(F.min("part").alias("part"))
     picked = small(stage(picked.select("lang", "doc_id", "own"), "picked"), F.length("lang"))  # the sample
     parts = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
-    some = F.slice(F.shuffle(F.array_distinct(F.array_remove(parts, "")), 9), 1, sample_words)
+    drawn = F.transform(F.array_distinct(F.array_remove(parts, "")), lambda w: F.struct(F.xxhash64("own", w).alias("h"), w.alias("w")))
+    some = F.slice(F.array_sort(drawn), 1, sample_words).getField("w")  # by hash: the same words in every run
     same = known.doc_id.eqNullSafe(picked.doc_id) & (known.lang == picked.lang) & (known.own == picked.own)
     rows = known.join(picked, same, "left_semi").dropDuplicates(["lang", "doc_id", "own"]).select("lang", "doc_id", F.array_sort(some).alias("w")).collect()  # bounded by the sample
     labels = sorted({r["lang"] for r in rows})
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
         labels = [*labels, "und"]
     net = BiGRU(max(1, len(labels)))
     pieces, target = [], []
-    for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]))):
+    for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["w"])):
         for w in r["w"]:
             own = [p for p, _, _ in pieces_of(w.encode())]
             pieces += own

@@ -363,6 +363,13 @@ def test_learning_sample_is_bounded(spark):
     assert max(taken) == 31
 
 
+def test_learning_is_the_same_for_any_dealing(spark):
+    d = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"), F.concat_ws(" ", *(F.md5(F.concat("id", F.lit(str(i)))) for i in range(5))).alias("text"))
+    d = d.withColumn("doc_id", F.col("id") % 150).drop("id")
+    one, other = (language.fit(d.repartition(n, "text"), sample_docs=20, sample_words=3) for n in (3, 7))
+    assert all(np.array_equal(one.net.p[k], other.net.p[k]) for k in one.net.p)
+
+
 def test_long_words_are_read_in_overlapping_windows():
     for n in (1, 24, 25, 60, 1000):
         word = bytes(97 + i % 26 for i in range(n))
