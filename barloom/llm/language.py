@@ -20,7 +20,7 @@ HIDDEN, PIECE, MARGIN, SAMPLE_DOCS, SAMPLE_WORDS = 16, 24, 6, 300, 40
 #: A text is of no language if that is more probable than each language by SLACK / sqrt(byte positions): short texts need more.
 SLACK = 3.0
 #: Words whose labels a task keeps, and characters of the documents that it labels together.
-KEPT_WORDS, GROUP_CHARS = 500_000, 8 << 20
+KEPT_WORDS, GROUP_CHARS = 250_000, 2 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

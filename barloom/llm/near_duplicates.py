@@ -38,7 +38,7 @@ def chunks_for(similarity: float, lost: float = 1e-5, most: int = 40) -> int:
 class Shingles:
     """Texts to sorted arrays of distinct 64-bit shingle hashes. Keeps the hashes of words it has met, up to a bound."""
 
-    def __init__(self, width: int, kept: int = 500_000):
+    def __init__(self, width: int, kept: int = 200_000):
         import xxhash
 
         self.width, self.kept, self.seen, self.hash = width, kept, {}, xxhash.xxh64_intdigest
