@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import running
 from .recurrence import ema as _ema
 from .recurrence import linear_recurrences, rma, wilder_sum
-from .tape import grid, source_column
+from .tape import KEYS, grid, source_column
 
 #: Defaults of each indicator's parameters.
 CATALOG: dict[str, dict[str, float]] = {"sma": {"period": 20}, "ema": {"period": 20}, "rsi": {"period": 14}, "atr": {"period": 14}, "adx": {"period": 14}, "macd": {"fast": 12, "slow": 26, "signal": 9}, "bollinger": {"period": 20, "stddev": 2}, "stochastic": {"k": 14, "d": 3, "smooth": 1}}
@@ -41,47 +42,53 @@ def stochastic(df: DataFrame, k: int = 14, d: int = 3, smooth: int = 1, out: str
     return df.withColumn(out, F.when(F.col("_d").isNotNull(), F.struct(F.col("_k").alias("k"), F.col("_d").alias("d")))).drop("_raw", "_k", "_d")
 
 
-def ema(df: DataFrame, period: int = 20, source: str = "close", out: str = "ema") -> DataFrame:
-    return linear_recurrences(df.withColumn("_x", source_column(source)), [_ema(out, "_x", period)]).drop("_x")
+def ema(df: DataFrame, period: int = 20, source: str = "close", out: str = "ema", span: int | None = None) -> DataFrame:
+    """span, here and below: the stretch of minute_ts that makes a piece of a symbol too long for one task (pieces.piece_span() finds one)."""
+    return linear_recurrences(df.withColumn("_x", source_column(source)), [_ema(out, "_x", period)], span).drop("_x")
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, source: str = "close", out: str = "macd") -> DataFrame:
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, source: str = "close", out: str = "macd", span: int | None = None) -> DataFrame:
     """df with a struct (macd, signal, histogram), NULL until the signal is ready."""
-    df = linear_recurrences(df.withColumn("_x", source_column(source)), [_ema("_f", "_x", fast), _ema("_s", "_x", slow)])
-    df = linear_recurrences(df.withColumn("_line", F.col("_f") - F.col("_s")), [_ema("_sig", "_line", signal)])
+    df = linear_recurrences(df.withColumn("_x", source_column(source)), [_ema("_f", "_x", fast), _ema("_s", "_x", slow)], span)
+    df = linear_recurrences(df.withColumn("_line", F.col("_f") - F.col("_s")), [_ema("_sig", "_line", signal)], span)
     value = F.struct(F.col("_line").alias("macd"), F.col("_sig").alias("signal"), (F.col("_line") - F.col("_sig")).alias("histogram"))
     return df.withColumn(out, F.when(F.col("_sig").isNotNull(), value)).drop("_x", "_f", "_s", "_line", "_sig")
 
 
-def rsi(df: DataFrame, period: int = 14, source: str = "close", out: str = "rsi") -> DataFrame:
-    x = source_column(source)
-    change = x - F.lag(x).over(grid())
-    df = df.withColumn("_up", F.greatest(change, F.lit(0.0))).withColumn("_down", F.greatest(-change, F.lit(0.0)))
-    df = df.withColumn("_up", F.when(change.isNotNull(), F.col("_up"))).withColumn("_down", F.when(change.isNotNull(), F.col("_down")))
-    df = linear_recurrences(df, [rma("_g", "_up", period), rma("_l", "_down", period)])
+def _before(df: DataFrame, columns: dict[str, Column], span: int | None) -> DataFrame:
+    """df with columns of the bar before."""
+    return running(df, {name: ("lag", c) for name, c in columns.items()}, KEYS, "minute_ts", span)
+
+
+def rsi(df: DataFrame, period: int = 14, source: str = "close", out: str = "rsi", span: int | None = None) -> DataFrame:
+    df = _before(df, {"_x": source_column(source)}, span)
+    change = source_column(source) - F.col("_x")
+    df = df.withColumns({"_up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
+    df = linear_recurrences(df, [rma("_g", "_up", period, "_up"), rma("_l", "_down", period, "_up")], span)
     value = F.when(F.col("_l") == 0, 100.0).when(F.col("_g") == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(F.col("_g"), F.col("_l"))))
-    return df.withColumn(out, F.when(F.col("_l").isNotNull(), value)).drop("_up", "_down", "_g", "_l")
+    return df.withColumn(out, F.when(F.col("_l").isNotNull(), value)).drop("_x", "_up", "_down", "_g", "_l")
 
 
-def _true_range(first: bool) -> Column:
-    before = F.lag("close").over(grid())
+def _true_range(before: Column, first: bool) -> Column:
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     return F.when(before.isNotNull(), tr).otherwise(F.col("high") - F.col("low") if first else F.lit(None).cast("double"))
 
 
-def atr(df: DataFrame, period: int = 14, out: str = "atr") -> DataFrame:
-    return linear_recurrences(df.withColumn("_tr", _true_range(False)), [rma(out, "_tr", period)]).drop("_tr")
+def atr(df: DataFrame, period: int = 14, out: str = "atr", span: int | None = None) -> DataFrame:
+    df = _before(df, {"_x": F.col("close")}, span).withColumn("_tr", _true_range(F.col("_x"), False))
+    return linear_recurrences(df, [rma(out, "_tr", period)], span).drop("_x", "_tr")
 
 
-def adx(df: DataFrame, period: int = 14, out: str = "adx") -> DataFrame:
-    up, down = F.col("high") - F.lag("high").over(grid()), F.lag("low").over(grid()) - F.col("low")
-    df = df.withColumn("_tr", _true_range(True))
-    df = df.withColumn("_pdm", F.coalesce(F.when((up > down) & (up > 0), up), F.lit(0.0))).withColumn("_mdm", F.coalesce(F.when((down > up) & (down > 0), down), F.lit(0.0)))
-    df = linear_recurrences(df, [wilder_sum("_t", "_tr", period), wilder_sum("_p", "_pdm", period), wilder_sum("_m", "_mdm", period)])
-    p, m = (F.coalesce(100 * F.try_divide(F.col(c), F.col("_t")), F.lit(0.0)) for c in ("_p", "_m"))
-    dx = F.coalesce(100 * F.try_divide(F.abs(p - m), p + m), F.lit(0.0))
-    df = linear_recurrences(df.withColumn("_dx", F.when(F.col("_t").isNotNull(), dx)), [rma(out, "_dx", period)])
-    return df.drop("_tr", "_pdm", "_mdm", "_t", "_p", "_m", "_dx")
+def adx(df: DataFrame, period: int = 14, out: str = "adx", span: int | None = None) -> DataFrame:
+    df = _before(df, {"_x": F.col("close"), "_high": F.col("high"), "_low": F.col("low")}, span)
+    up, down = F.col("high") - F.col("_high"), F.col("_low") - F.col("low")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    df = df.withColumns({"_tr": _true_range(F.col("_x"), True), "_pdm": zero(F.when((up > down) & (up > 0), up)), "_mdm": zero(F.when((down > up) & (down > 0), down))})
+    df = linear_recurrences(df, [wilder_sum("_t", "_tr", period, "_tr"), wilder_sum("_p", "_pdm", period, "_tr"), wilder_sum("_m", "_mdm", period, "_tr")], span)
+    p, m = (zero(100 * F.try_divide(F.col(c), F.col("_t"))) for c in ("_p", "_m"))
+    dx = zero(100 * F.try_divide(F.abs(p - m), p + m))
+    df = linear_recurrences(df.withColumn("_dx", F.when(F.col("_t").isNotNull(), dx)), [rma(out, "_dx", period)], span)
+    return df.drop("_x", "_high", "_low", "_tr", "_pdm", "_mdm", "_t", "_p", "_m", "_dx")
 
 
 def indicator_key(name: str, params: dict[str, float], source: str) -> str:

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, YEAR_MS, day_of
+from .pieces import running
 
 EQUITY_METRICS = ["pnl", "max_drawdown", "sharpe", "sortino", "returns_stddev", "returns_skew", "returns_kurtosis", "returns_count", "cagr", "calmar", "elapsed_years"]
 TRADE_METRICS = ["win_rate", "total_trades", "profit_factor", "top_trade_contribution_pct", "expectancy", "sqn"]
 METRICS = EQUITY_METRICS + TRADE_METRICS
 
 
-def equity_metrics(equity: DataFrame, keys: list[str] | None = None, years: Column | None = None) -> DataFrame:
+def equity_metrics(equity: DataFrame, keys: list[str] | None = None, years: Column | None = None, span: int | None = None) -> DataFrame:
     """One row for each key. Fewer than two points or an earlier equity of 0 make the returns invalid: count 0, moments 0.
-    Moments are those of the population; kurtosis is Pearson's. `years` (a column of equity) replaces the elapsed time."""
+    Moments are those of the population; kurtosis is Pearson's. `years` (a column of equity) replaces the elapsed time.
+    span: points (of seq) of a piece, for runs too long for one task; see pieces.running()."""
     keys = keys or ["run_id"]
-    w = Window.partitionBy(*keys).orderBy("seq")
-    peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    e = equity.withColumn("_prev", F.lag("equity").over(w)).withColumn("_dd", F.when(peak > 0, (peak - F.col("equity")) / peak).otherwise(0.0))
+    e = running(equity, {"_prev": ("lag", F.col("equity")), "_peak": ("max", F.col("equity"))}, keys, "seq", span)
+    e = e.withColumn("_dd", F.when(F.col("_peak") > 0, (F.col("_peak") - F.col("equity")) / F.col("_peak")).otherwise(0.0))
     e = e.withColumn("_r", F.try_divide(F.col("equity"), F.col("_prev")) - 1)
     if years is not None:
         e = e.withColumn("_years", years)

@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_close_reason, trade_key
+from .pieces import running
 
 IDENTITY = r"(ts|index|count|seed|processed|length|version)$"
 
 
-def floor_closes(points: DataFrame, rows: DataFrame) -> DataFrame:
-    """points (point_id, symbol, ts) with floor_ts and floor_close of the last row at or before ts: a union and one window, no range join."""
+def floor_closes(points: DataFrame, rows: DataFrame, span: int | None = None) -> DataFrame:
+    """points (point_id, symbol, ts) with floor_ts and floor_close of the last row at or before ts: a union and one running value, no range join. span: see pieces.running()."""
     p = points.select("symbol", "ts", F.lit(1).alias("o"), "point_id", F.lit(None).cast("struct<ts:bigint,close:double>").alias("r"))
     r = rows.select("symbol", F.col("minute_ts").alias("ts"), F.lit(0).alias("o"), F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.struct(F.col("minute_ts").alias("ts"), "close").alias("r"))
-    w = Window.partitionBy("symbol").orderBy("ts", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return p.unionByName(r).withColumn("f", F.last("r", ignorenulls=True).over(w)).where("o = 1").select("point_id", "symbol", "ts", F.col("f.ts").alias("floor_ts"), F.col("f.close").alias("floor_close"))
+    both = running(p.unionByName(r), {"f": ("last", F.col("r"))}, ["symbol"], "ts", span, ["o"])
+    return both.where("o = 1").select("point_id", "symbol", "ts", F.col("f.ts").alias("floor_ts"), F.col("f.close").alias("floor_close"))
 
 
-def close_to_close_pnl(trades: DataFrame, rows: DataFrame) -> DataFrame:
+def close_to_close_pnl(trades: DataFrame, rows: DataFrame, span: int | None = None) -> DataFrame:
     """trades (trade_id, symbol, side, entry_ts, exit_ts) with c2c_pct; NULL if a floor row is missing or both are one minute though the times differ."""
     ends = trades.select("trade_id", "symbol", F.explode(F.array(F.struct(F.lit("in").alias("e"), F.col("entry_ts").alias("ts")), F.struct(F.lit("out").alias("e"), F.col("exit_ts").alias("ts")))).alias("x"))
-    f = floor_closes(ends.select(F.struct("trade_id", "x.e").alias("point_id"), "symbol", "x.ts"), rows)
+    f = floor_closes(ends.select(F.struct("trade_id", "x.e").alias("point_id"), "symbol", "x.ts"), rows, span)
     pick = lambda e, c: F.max(F.when(F.col("point_id.e") == e, F.col(c)))
     per = f.groupBy(F.col("point_id.trade_id").alias("trade_id")).agg(pick("in", "floor_ts").alias("a"), pick("in", "floor_close").alias("ca"), pick("out", "floor_ts").alias("b"), pick("out", "floor_close").alias("cb"))
     gain = F.when(F.col("side") == "short", F.col("ca") - F.col("cb")).otherwise(F.col("cb") - F.col("ca"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, YEAR_MS, canonical_hash, js_round, normal_cdf, normal_inv_cdf, parse_timeframe
 from .metrics import METRICS, long_form, run_metrics
+from .pieces import running, var_samp
 from .simulate import momentum_trades
 
 EULER_GAMMA = 0.5772156649015329
@@ -106,10 +107,17 @@ def history_check(runs: DataFrame, folds: int, novelty_days: int, holdout_days:
     return runs.withColumn("required_days", need).withColumn("sufficient", (F.col("ts_to") - F.col("ts_from")) / DAY_MS >= need)
 
 
-def smallest_sufficient_tier(tiers: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (request_id, days) with the tier of the fewest common_present_minutes (then the smallest name) that still cover them; NULL if none does."""
-    j = requests.join(tiers, F.col("common_present_minutes") / 1440 >= F.col("days"), "left")
-    return j.groupBy("request_id", "days").agg(F.min_by("tier", F.struct("common_present_minutes", "tier")).alias("tier"))
+def smallest_sufficient_tier(tiers: DataFrame, requests: DataFrame, span: int = 365 * 1440) -> DataFrame:
+    """requests (request_id, days) with the tier of the fewest common_present_minutes (then the smallest name) that still cover them; NULL if none does.
+
+    The distinct numbers of days are laid among the tiers, from the most minutes down, and each takes the last tier before it; requests then
+    meet theirs by an equi-join. span: minutes of a piece of that scale."""
+    minutes = F.col("common_present_minutes")
+    steps = tiers.where(minutes.isNotNull()).groupBy((-minutes).cast("double").alias("_down")).agg(F.min("tier").alias("tier")).withColumn("_o", F.lit(0))
+    needs = requests.where("days is not null").select("days").distinct().withColumn("_down", (-F.col("days") * 1440).cast("double")).withColumn("_o", F.lit(1))
+    scale = running(steps.unionByName(needs, allowMissingColumns=True).withColumn("_all", F.lit(0)), {"_tier": ("last", F.col("tier"))}, ["_all"], "_down", span, ["_o"])
+    found = scale.where("_o = 1").select("days", F.col("_tier").alias("tier"))
+    return requests.select("request_id", "days").distinct().join(found, "days", "left").select("request_id", "days", "tier")
 
 
 def family_key(with_period: bool = True) -> Column:
@@ -149,10 +157,11 @@ def deflated_sharpe(trials: DataFrame, empirical_min_n: int = 10) -> DataFrame:
     return deflation(trials.join(family, "family_key"), empirical_min_n)
 
 
-def trial_context_as_of(trials: DataFrame, empirical_min_n: int = 10) -> DataFrame:
-    """The same against the trials recorded up to each run (by created_at, then run_id)."""
-    w = Window.partitionBy("family_key").orderBy("created_at", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return deflation(trials.withColumn("n_trials", F.count("*").over(w)).withColumn("family_var", F.var_samp("sharpe").over(w)), empirical_min_n)
+def trial_context_as_of(trials: DataFrame, empirical_min_n: int = 10, span: int | None = None) -> DataFrame:
+    """The same against the trials recorded up to each run (by created_at, a number, then run_id). span: a stretch of created_at that makes a
+    piece of a family too large for one task: counts add up, and means and variances are merged (pieces.running())."""
+    upto = running(trials, {"n_trials": ("count", F.lit(1)), "_m": ("moments", F.col("sharpe"))}, ["family_key"], "created_at", span, ["run_id"])
+    return deflation(upto.withColumn("family_var", var_samp(F.col("_m"))).drop("_m"), empirical_min_n)
 
 
 #: Runs of a block; a cell meets two blocks in one masked matrix product.
@@ -250,8 +259,9 @@ def promotion_gate(candidates: DataFrame, min_warmup: int = 10, min_trades: int
     return candidates.withColumn("outcome", reason.otherwise(verdict(trades=min_trades)))
 
 
-def attempt_number(attempts: DataFrame) -> DataFrame:
-    """attempts (epoch_key, attempt_id, created_at) with attempt_no: distinct attempts of an epoch in the order of their first record; replays keep theirs."""
+def attempt_number(attempts: DataFrame, span: int | None = None) -> DataFrame:
+    """attempts (epoch_key, attempt_id, created_at) with attempt_no: distinct attempts of an epoch in the order of their first record; replays keep theirs.
+    span: a stretch of created_at, a number, that makes a piece of an epoch too large for one task."""
     first = attempts.groupBy("epoch_key", "attempt_id").agg(F.min("created_at").alias("first_at"))
-    n = F.row_number().over(Window.partitionBy("epoch_key").orderBy("first_at", "attempt_id"))
-    return attempts.join(first.withColumn("attempt_no", n), ["epoch_key", "attempt_id"])
+    numbered = running(first, {"attempt_no": ("count", F.lit(1))}, ["epoch_key"], "first_at", span, ["attempt_id"])
+    return attempts.join(numbered.withColumn("attempt_no", F.col("attempt_no").cast("int")), ["epoch_key", "attempt_id"])

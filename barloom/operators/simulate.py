@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, fee, fill_price, protection_levels
+from .pieces import running
 from .signals import momentum_signal
 from .tape import KEYS, funding_as_of, grid
 
@@ -55,33 +56,113 @@ def held_bars(trades: DataFrame, bars: DataFrame, width: int = 1440) -> DataFram
     return _bucketed(trades, width).join(b, ["symbol", "_bucket"]).where("bar_index between entry_bar and exit_bar").drop("_bucket")
 
 
-def protection_hits(trades: DataFrame, bars: DataFrame, first_offset: int = 0) -> DataFrame:
+#: Bars, or blocks, of one block of the next level; levels above the bars.
+FAN, LEVELS = 128, 3
+
+
+def _extremes(bars: DataFrame, fan: int, levels: int) -> list[DataFrame]:
+    """For each level above the bars (symbol, node, children): a node's children with their places, lowest lows and highest highs, in order."""
+    below, out = bars.select("symbol", F.col("bar_index").alias("unit"), "low", "high"), []
+    for _ in range(levels):
+        child = F.struct(F.pmod("unit", F.lit(fan)).cast("int").alias("i"), "low", "high")
+        nodes = below.groupBy("symbol", F.floor(F.col("unit") / fan).alias("node")).agg(F.array_sort(F.collect_list(child)).alias("children"))
+        out.append(nodes)
+        below = nodes.select("symbol", F.col("node").alias("unit"), F.array_min("children.low").alias("low"), F.array_max("children.high").alias("high"))
+    return out
+
+
+def first_touch(ranges: DataFrame, bars: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """ranges (trade_id, symbol, first_bar, last_bar, below, above) -> (trade_id, symbol, bar_index) of those with a bar in [first_bar, last_bar] whose
+    low is at or under `below` or whose high is at or over `above`: the first such bar. bars: symbol, bar_index, low, high.
+
+    Bars stand in blocks of fan, these in blocks of fan, and so on, with the extremes of each. A range is two parts of blocks at each level at most (and whole
+    blocks of the top one), each a row that meets its block by an equi-join; the first part touched is then followed down. So rows go by
+    the logarithm of the bars held.
+    """
+    tables = _extremes(bars, fan, levels)
+    lo, hi, parts = F.col("first_bar"), F.col("last_bar"), []
+    part = lambda level, node, a, z: F.struct(F.lit(level).alias("level"), node.cast("long").alias("node"), a.cast("int").alias("a"), z.cast("int").alias("z"))
+    for level in range(1, levels):
+        first, last = F.floor(lo / fan), F.floor(hi / fan)
+        whole = F.lit(fan - 1)
+        parts.append(F.when(lo <= hi, part(level, first, F.pmod(lo, F.lit(fan)), F.when(first == last, F.pmod(hi, F.lit(fan))).otherwise(whole))))
+        parts.append(F.when((lo <= hi) & (first < last), part(level, last, F.lit(0), F.pmod(hi, F.lit(fan)))))
+        lo, hi = first + 1, last - 1
+    first, last = F.floor(lo / fan), F.floor(hi / fan)
+    top = F.transform(F.sequence(first, last), lambda n: part(levels, n, F.when(n == first, F.pmod(lo, F.lit(fan))).otherwise(0), F.when(n == last, F.pmod(hi, F.lit(fan))).otherwise(fan - 1)))
+    top = F.when(lo <= hi, top)
+    parts = F.filter(F.concat(F.array(*parts), F.coalesce(top, F.slice(F.array(parts[0]), 1, 0))), lambda p: p.isNotNull())
+    rows = ranges.select("trade_id", "symbol", "below", "above", F.explode(parts).alias("p")).select("trade_id", "symbol", "below", "above", "p.*")
+
+    def touched(a: Column, z: Column) -> Column:
+        """The place of the first child from a to z that touches a level; NULL without one."""
+        hit = F.filter("children", lambda c: (c.i >= a) & (c.i <= z) & F.coalesce((c.low <= F.col("below")) | (c.high >= F.col("above")), F.lit(False)))
+        return F.get(hit.i, F.lit(0))
+
+    nodes = tables[0].withColumn("level", F.lit(1))
+    for level, t in enumerate(tables[1:], 2):
+        nodes = nodes.unionByName(t.withColumn("level", F.lit(level)))
+    met = rows.join(nodes, ["symbol", "level", "node"]).withColumn("_i", touched(F.col("a"), F.col("z"))).where("_i is not null")
+    unit = F.col("node") * fan + F.col("_i")
+    start = unit * F.element_at(F.array(*(F.lit(fan**k) for k in range(levels))), F.col("level"))
+    now = met.select("trade_id", "symbol", "below", "above", "level", unit.alias("unit"), start.alias("start"))
+    now = now.groupBy("trade_id").agg(F.min_by(F.struct("symbol", "below", "above", "level", "unit"), "start").alias("f")).select("trade_id", "f.*")
+    for level in range(levels - 1, 0, -1):
+        here = F.col("level") == level + 1
+        spread = -1 - F.pmod(F.xxhash64("trade_id"), F.lit(1024))  # rows that need no step meet no block, dealt evenly
+        t = tables[level - 1].withColumnRenamed("symbol", "_symbol")
+        now = now.withColumn("node", F.when(here, F.col("unit")).otherwise(spread)).join(t.withColumnRenamed("node", "_node"), (F.col("symbol") == F.col("_symbol")) & (F.col("node") == F.col("_node")), "left")
+        below = F.col("unit") * fan + touched(F.lit(0), F.lit(fan - 1))
+        now = now.select("trade_id", "symbol", "below", "above", F.when(here, level).otherwise(F.col("level")).alias("level"), F.when(here, below).otherwise(F.col("unit")).alias("unit"))
+    return now.select("trade_id", "symbol", F.col("unit").cast("long").alias("bar_index"))
+
+
+def protection_hits(trades: DataFrame, bars: DataFrame, first_offset: int = 0, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
     """trades (trade_id, symbol, side, entry_bar, exit_bar, entry_price, stop, take) with hit_bar, hit_kind and hit_price of the first bar that
-    touches a level: the stop before the take, at the open when it gapped through. first_offset 0 checks the entry bar itself, 1 starts after it."""
+    touches a level: the stop before the take, at the open when it gapped through. first_offset 0 checks the entry bar itself, 1 starts after it.
+    The first touch is searched in blocks, so held bars are no rows."""
     stop, take = protection_levels(F.col("entry_price"), F.col("side"), F.col("stop"), F.col("take"))
-    h = held_bars(trades, bars).where(F.col("bar_index") >= F.col("entry_bar") + first_offset)
     long = F.col("side") == "long"
+    ranges = trades.select("trade_id", "symbol", (F.col("entry_bar") + first_offset).alias("first_bar"), F.col("exit_bar").alias("last_bar"), F.when(long, stop).otherwise(take).alias("below"), F.when(long, take).otherwise(stop).alias("above"))
+    found = first_touch(ranges, bars, fan, levels).join(bars.select("symbol", "bar_index", "open", "high", "low"), ["symbol", "bar_index"]).drop("symbol")
+    h = trades.join(found, "trade_id", "left")
     stopped = F.when(long, F.col("low") <= stop).otherwise(F.col("high") >= stop)
-    taken = F.when(long, F.col("high") >= take).otherwise(F.col("low") <= take)
     price = F.when(stopped, F.when(long, F.least("open", stop)).otherwise(F.greatest("open", stop))).otherwise(F.when(long, F.greatest("open", take)).otherwise(F.least("open", take)))
-    hit = F.when(stopped, F.struct("bar_index", F.lit("stop").alias("kind"), price.alias("price"))).when(taken, F.struct("bar_index", F.lit("take").alias("kind"), price.alias("price")))
-    first = h.withColumn("_h", hit).where("_h is not null").groupBy("trade_id").agg(F.min("_h").alias("h"))
-    return trades.join(first.select("trade_id", F.col("h.bar_index").alias("hit_bar"), F.col("h.kind").alias("hit_kind"), F.col("h.price").alias("hit_price")), "trade_id", "left")
+    hit = F.col("bar_index").isNotNull()
+    return h.select(*(F.col(c) for c in trades.columns), F.col("bar_index").alias("hit_bar"), F.when(hit, F.when(stopped, "stop").otherwise("take")).alias("hit_kind"), F.when(hit, price).alias("hit_price"))
 
 
-def funding_accrual(trades: DataFrame, bars: DataFrame, bar_minutes: float, interval_h: float = 8) -> DataFrame:
-    """trades with `funding`: one charge for each held covered bar from the entry bar up to but not including the exit bar; longs pay positive rates."""
+#: A bar's charge for one unit; sums of it are exact, so a difference of two running sums is the sum between them.
+CHARGE = "decimal(38,20)"
+
+
+def _between(trades: DataFrame, bars: DataFrame, charge: Column, counted: Column, last_bar: Column, span: int | None) -> DataFrame:
+    """(trade_id, charge, counted): sums over the bars from entry_bar to before last_bar, as the difference of running sums at its two ends."""
+    ends = F.array(F.struct(F.col("entry_bar").alias("bar_index"), F.lit(-1).alias("sign")), F.struct(F.greatest(last_bar, F.col("entry_bar")).alias("bar_index"), F.lit(1).alias("sign")))
+    points = trades.select("symbol", "trade_id", F.explode(ends).alias("e")).select("symbol", "trade_id", "e.*", F.lit(0).alias("_o"))
+    moves = bars.select("symbol", "bar_index", F.when(counted, charge).cast(CHARGE).alias("_c"), counted.cast("long").alias("_n"), F.lit(1).alias("_o"))
+    both = running(points.unionByName(moves, allowMissingColumns=True), {"_sum": ("sum", F.col("_c")), "_count": ("sum", F.col("_n"))}, ["symbol"], "bar_index", span, ["_o"])
+    signed = lambda c: F.coalesce(F.sum(F.when(F.col("sign") > 0, F.col(c)).otherwise(-F.col(c))), F.lit(0))  # noqa: E731  a product would cut the decimals
+    return both.where("_o = 0").groupBy("trade_id").agg(signed("_sum").cast("double").alias("charge"), signed("_count").alias("counted"))
+
+
+def funding_accrual(trades: DataFrame, bars: DataFrame, bar_minutes: float, interval_h: float = 8, span: int | None = None) -> DataFrame:
+    """trades with `funding`: one charge for each held covered bar from the entry bar up to but not including the exit bar; longs pay positive rates.
+    span: bars of a piece, for symbols too long for one task; see pieces.running()."""
     side = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
-    shown = funding_as_of(bars, int(bar_minutes * 60_000))
-    cost = F.when(F.col("funding_state") == "missing", 0.0).otherwise(side * F.col("funding_point_rate") / (interval_h * 60) * bar_minutes * F.col("size") * F.col("close"))
-    per = held_bars(trades, shown).where("bar_index < exit_bar").groupBy("trade_id").agg(F.sum(cost).alias("funding"), F.count_if(F.col("funding_state") != "missing").alias("covered_bars"))
-    return trades.join(per, "trade_id", "left").fillna(0.0, ["funding"]).fillna(0, ["covered_bars"])
+    shown = funding_as_of(bars, int(bar_minutes * 60_000), None if span is None else int(span * bar_minutes * 60_000))
+    unit = F.col("funding_point_rate") / (interval_h * 60) * bar_minutes * F.col("close")
+    per = _between(trades, shown, unit, F.col("funding_state") != "missing", F.col("exit_bar"), span)
+    out = trades.join(per, "trade_id", "left").withColumn("funding", F.coalesce(side * F.col("size") * F.col("charge"), F.lit(0.0)))
+    return out.withColumn("covered_bars", F.coalesce("counted", F.lit(0)).cast("long")).drop("charge", "counted")
 
 
-def funding_fraction(held: DataFrame, bar_minutes: float = 1, interval_h: float = 8) -> DataFrame:
-    """(trade_id, fraction) of the notional over the held bars; uncovered ones are skipped."""
+def funding_fraction(trades: DataFrame, bars: DataFrame, bar_minutes: float = 1, interval_h: float = 8, span: int | None = None) -> DataFrame:
+    """(trade_id, fraction) of the notional over the held bars, entry and exit bar included; uncovered ones are skipped."""
     side = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
-    return held.groupBy("trade_id").agg(F.coalesce(F.sum(F.when(F.col("has_funding") & F.col("funding_rate").isNotNull(), side * F.col("funding_rate") / (interval_h * 60) * bar_minutes)), F.lit(0.0)).alias("fraction"))
+    on = F.coalesce(F.col("has_funding") & F.col("funding_rate").isNotNull(), F.lit(False))
+    per = _between(trades, bars, F.col("funding_rate") / (interval_h * 60) * bar_minutes, on, F.col("exit_bar") + 1, span)
+    return trades.select("trade_id", "side").join(per, "trade_id", "left").select("trade_id", (side * F.coalesce("charge", F.lit(0.0))).alias("fraction"))
 
 
 def momentum_trades(rows: DataFrame, keys: list[str] | None = None, signal: Column | None = None) -> DataFrame:
@@ -130,32 +211,34 @@ def pnl_pct() -> Column:
     return F.try_divide(gain, F.col("entry_fill_price")) * 100
 
 
-def equity_curve(trades: DataFrame, bars: DataFrame, fee_bps: float = 0) -> DataFrame:
+def equity_curve(trades: DataFrame, bars: DataFrame, fee_bps: float = 0, span: int | None = None) -> DataFrame:
     """(run_id, symbol, seq, bar_ts, equity) of fixed-size trades (run_id, symbol, side, entry_bar, exit_bar, entry_price, exit_price, size):
-    cash and the open positions at each close, as running sums of what each bar changes; trades of a run and symbol may overlap."""
+    cash and the open positions at each close, as running sums of what each bar changes; trades of a run and symbol may overlap.
+    span: bars of a piece, for symbols too long for one task; see pieces.running()."""
     sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
     ends = [F.struct(F.col("entry_bar").alias("bar_index"), (-sign * F.col("size") * F.col("entry_price") - fee(F.col("size") * F.col("entry_price"), fee_bps)).alias("cash"), (sign * F.col("size")).alias("units")), F.struct(F.col("exit_bar").alias("bar_index"), (sign * F.col("size") * F.col("exit_price") - fee(F.col("size") * F.col("exit_price"), fee_bps)).alias("cash"), (-sign * F.col("size")).alias("units"))]
     moves = trades.select("run_id", "symbol", F.explode(F.array(*ends)).alias("m")).groupBy("run_id", "symbol", "m.bar_index").agg(F.sum("m.cash").alias("cash"), F.sum("m.units").alias("units"))
     runs = trades.select("run_id", "symbol").distinct()
     rows = bars.select("symbol", "bar_index", "minute_ts", "close").join(runs, "symbol").join(moves, ["run_id", "symbol", "bar_index"], "left")
-    w = Window.partitionBy("run_id", "symbol").orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
-    cash, units = F.coalesce(F.sum("cash").over(w), F.lit(0.0)), F.coalesce(F.sum("units").over(w), F.lit(0.0))
+    rows = running(rows, {"_cash": ("sum", F.col("cash")), "_units": ("sum", F.col("units"))}, ["run_id", "symbol"], "bar_index", span)
+    cash, units = F.coalesce("_cash", F.lit(0.0)), F.coalesce("_units", F.lit(0.0))
     return rows.select("run_id", "symbol", F.col("bar_index").alias("seq"), F.col("minute_ts").alias("bar_ts"), (INITIAL + cash + units * F.col("close")).alias("equity"))
 
 
-def portfolio_equity(curves: DataFrame, initial: float = INITIAL) -> DataFrame:
+def portfolio_equity(curves: DataFrame, initial: float = INITIAL, span: int | None = None) -> DataFrame:
     """(run_id, bar_ts, seq, equity): at each time of any symbol the sum of all symbols' last equities, `initial` before a symbol's first.
-    Summed as changes, so symbols x times are never laid out."""
-    w = Window.partitionBy("run_id", "symbol").orderBy("bar_ts", "seq")
-    d = curves.withColumn("delta", F.col("equity") - F.lag("equity", 1, initial).over(w)).groupBy("run_id", "bar_ts").agg(F.sum("delta").alias("delta"))
+    Summed as changes, so symbols x times are never laid out. span: a stretch of bar_ts that makes a piece of a run."""
+    d = running(curves, {"_before": ("lag", F.col("equity"))}, ["run_id", "symbol"], "bar_ts", span, ["seq"])
+    d = d.withColumn("delta", F.col("equity") - F.coalesce("_before", F.lit(initial))).groupBy("run_id", "bar_ts").agg(F.sum("delta").alias("delta"))
     n = curves.groupBy("run_id").agg(F.count_distinct("symbol").alias("n"))
-    r = Window.partitionBy("run_id").orderBy("bar_ts")
-    return d.join(n, "run_id").select("run_id", "bar_ts", (F.row_number().over(r) - 1).cast("long").alias("seq"), (F.sum("delta").over(r.rowsBetween(Window.unboundedPreceding, 0)) + initial * F.col("n")).alias("equity"))
+    d = running(d, {"_seq": ("count", F.lit(1)), "_sum": ("sum", F.col("delta"))}, ["run_id"], "bar_ts", span)
+    return d.join(n, "run_id").select("run_id", "bar_ts", (F.col("_seq") - 1).alias("seq"), (F.col("_sum") + initial * F.col("n")).alias("equity"))
 
 
-def merge_run_tables(df: DataFrame, key: str) -> DataFrame:
-    """One run table of per-symbol ones: position by key, then by the order in which symbols were asked for, then by the original order."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy(key, "symbol_pos", "seq")) - 1)
+def merge_run_tables(df: DataFrame, key: str, span: int | None = None) -> DataFrame:
+    """One run table of per-symbol ones: position by key, a number, then by the order in which symbols were asked for, then by the original order.
+    span: a stretch of key that makes a piece of a run too large for one task."""
+    return running(df, {"position": ("count", F.lit(1))}, ["run_id"], key, span, ["symbol_pos", "seq"]).withColumn("position", F.col("position") - 1)
 
 
 def compare_metrics(base: DataFrame, variant: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.rows import KINDS
+from .pieces import running
 
 KEYS = ["dataset", "symbol"]
 
@@ -45,20 +46,22 @@ def funding_change_points(df: DataFrame) -> DataFrame:
     return df.withColumn("_cp", funding_change_point()).where("_cp").drop("_cp")
 
 
-def funding_as_of(df: DataFrame, cadence_ms: int | None = None) -> DataFrame:
+def funding_as_of(df: DataFrame, cadence_ms: int | None = None, span: int | None = None) -> DataFrame:
     """df with funding_state (present, stale, missing), funding_point_ts and funding_point_rate (NULL when missing).
 
-    A bar after the last covered one is stale for one bar of grace; with a cadence the grace is elapsed time.
+    A bar after the last covered one is stale for one bar of grace; with a cadence the grace is elapsed time. span: see pieces.running().
     """
-    on = covered("funding")
-    df = df.withColumn("_on", on).withColumn("_cp", F.when(funding_change_point(), F.struct(F.col("minute_ts").alias("ts"), F.col("funding_rate").alias("rate"))))
-    df = df.withColumn("_point", F.last("_cp", ignorenulls=True).over(grid(PAST, 0)))
-    grace = F.coalesce(F.lag("_on").over(grid()), F.lit(False))
+    df = df.withColumn("_on", covered("funding"))
+    df = running(df, {"_was": ("lag", F.col("_on")), "_rate": ("lag", F.col("funding_rate")), "_ts": ("lag", F.col("minute_ts"))}, KEYS, "minute_ts", span)
+    grace = F.coalesce("_was", F.lit(False))
+    changed = F.col("_on") & (~grace | ~F.col("funding_rate").eqNullSafe(F.col("_rate")))
+    point = F.when(changed, F.struct(F.col("minute_ts").alias("ts"), F.col("funding_rate").alias("rate")))
+    df = running(df, {"_point": ("last", point)}, KEYS, "minute_ts", span)
     if cadence_ms is not None:
-        grace = grace & (F.col("minute_ts") - F.lag("minute_ts").over(grid()) <= cadence_ms)
+        grace = grace & (F.col("minute_ts") - F.col("_ts") <= cadence_ms)
     df = df.withColumn("funding_state", F.when(F.col("_on"), "present").when(grace, "stale").otherwise("missing"))
     shown = F.col("funding_state") != "missing"
-    return df.withColumn("funding_point_ts", F.when(shown, F.col("_point.ts"))).withColumn("funding_point_rate", F.when(shown, F.col("_point.rate"))).drop("_on", "_cp", "_point")
+    return df.withColumn("funding_point_ts", F.when(shown, F.col("_point.ts"))).withColumn("funding_point_rate", F.when(shown, F.col("_point.rate"))).drop("_on", "_was", "_rate", "_ts", "_point")
 
 
 def as_of(df: DataFrame, kind: str) -> DataFrame:

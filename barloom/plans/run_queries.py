@@ -89,8 +89,8 @@ def p7_funding_accrual(spark, d) -> DataFrame:
 
 @query(_T + " SELECT trade_id, round(coalesce(sum(CASE WHEN side = 'long' THEN 1 ELSE -1 END * funding_rate / 480 * 60), 0), 10) AS fraction FROM tr JOIN b USING (symbol) WHERE bar_index BETWEEN entry_bar AND exit_bar GROUP BY 1")
 def p8_funding_fraction(spark, d) -> DataFrame:
-    held = sim.held_bars(fixed_trades(spark, d), bar_index(bars_events(spark, d)).select("symbol", "bar_index", "has_funding", "funding_rate"))
-    return sim.funding_fraction(held, 60).select("trade_id", F.round("fraction", 10).alias("fraction"))
+    b = bar_index(bars_events(spark, d)).select("symbol", "bar_index", "has_funding", "funding_rate")
+    return sim.funding_fraction(fixed_trades(spark, d), b, 60).select("trade_id", F.round("fraction", 10).alias("fraction"))
 
 
 @query(_T + ", c AS (SELECT trade_id, symbol, side, entry_price * CASE WHEN side = 'long' THEN 1.0005 ELSE 0.9995 END AS a, exit_price * CASE WHEN side = 'long' THEN 0.9995 ELSE 1.0005 END AS z FROM tr) SELECT trade_id, round(a, 6) AS entry_fill_price, round(z, 6) AS exit_fill_price, round(CASE WHEN side = 'short' THEN a - z ELSE z - a END / a * 100, 6) AS pnl_pct FROM c")
@@ -136,10 +136,13 @@ SELECT run_id, round(l - f, 6) AS pnl, round(mdd, 6) AS max_drawdown, CASE WHEN
 CASE WHEN n > 1 AND s > 0 THEN round(c3 / (s * s * s), 5) ELSE 0 END AS returns_skew, CASE WHEN n > 1 AND s > 0 THEN round(c4 / (s * s * s * s), 5) ELSE 0 END AS returns_kurtosis, n AS returns_count, round(ln(CASE WHEN times >= 2 THEN pow(l / f, 1 / y) END), 6) AS log_cagr, round(asinh(CASE WHEN times >= 2 AND mdd > 0 THEN (pow(l / f, 1 / y) - 1) / mdd END), 6) AS asinh_calmar, round(y, 6) AS elapsed_years FROM k"""
 
 
+def _metrics(m: DataFrame) -> DataFrame:
+    return m.select("run_id", *r6("pnl", "max_drawdown", "sharpe", "sortino", "returns_stddev"), F.round("returns_skew", 5).alias("returns_skew"), F.round("returns_kurtosis", 5).alias("returns_kurtosis"), "returns_count", F.round(F.log(F.col("cagr") + 1), 6).alias("log_cagr"), F.round(F.asinh("calmar"), 6).alias("asinh_calmar"), *r6("elapsed_years"))
+
+
 @query(_ME)
 def m1_m17_equity_metrics(spark, d) -> DataFrame:
-    m = mt.equity_metrics(runs_equity(spark, d))
-    return m.select("run_id", *r6("pnl", "max_drawdown", "sharpe", "sortino", "returns_stddev"), F.round("returns_skew", 5).alias("returns_skew"), F.round("returns_kurtosis", 5).alias("returns_kurtosis"), "returns_count", F.round(F.log(F.col("cagr") + 1), 6).alias("log_cagr"), F.round(F.asinh("calmar"), 6).alias("asinh_calmar"), *r6("elapsed_years"))
+    return _metrics(mt.equity_metrics(runs_equity(spark, d)))
 
 
 _TM = "avg(CAST(p > 0 AS INT)) AS win_rate, count(*) AS total_trades, sum(p) FILTER (p > 0) / -sum(p) FILTER (p < 0) AS profit_factor, coalesce(max(p) FILTER (p > 0) / sum(p) FILTER (p > 0) * 100, 0) AS top_trade_contribution_pct, avg(p) AS expectancy, CASE WHEN count(*) >= 2 AND stddev_pop(p) > 0 THEN avg(p) / stddev_pop(p) * sqrt(count(*)) ELSE 0 END AS sqn"
@@ -325,10 +328,13 @@ def v2_promotion_gate(spark, d) -> DataFrame:
     return rs.promotion_gate(c, 20, 3).select("run_id", "outcome", "warmup_steps", "points", "total_trades")
 
 
+def _attempts(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("epoch_key"), F.col("c_mktsegment").alias("attempt_id"), F.col("c_custkey").alias("created_at"))
+
+
 @query("WITH f AS (SELECT c_nationkey AS epoch_key, c_mktsegment AS attempt_id, min(c_custkey) AS t FROM customer GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY epoch_key ORDER BY t, attempt_id) AS attempt_no FROM f) SELECT c_custkey, attempt_no FROM customer JOIN n ON epoch_key = c_nationkey AND attempt_id = c_mktsegment")
 def v3_attempt_number(spark, d) -> DataFrame:
-    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("epoch_key"), F.col("c_mktsegment").alias("attempt_id"), F.col("c_custkey").alias("created_at"))
-    return rs.attempt_number(a).select(F.col("created_at").alias("c_custkey"), "attempt_no")
+    return rs.attempt_number(_attempts(spark, d)).select(F.col("created_at").alias("c_custkey"), "attempt_no")
 
 
 @query("WITH t AS (SELECT p_brand AS tier, CAST(min(p_size) * 1440 * 3 + length(p_brand) AS BIGINT) AS m FROM part GROUP BY 1), r AS (SELECT o_orderkey, o_custkey % 400 AS days FROM orders), c AS (SELECT r.o_orderkey, min(m) AS m, arg_min(tier, (m, tier)) AS tier FROM r LEFT JOIN t ON m / 1440 >= days GROUP BY 1) SELECT o_orderkey, tier, m AS minutes FROM c")

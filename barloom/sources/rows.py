@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MINUTE_MS
+from ..operators.pieces import piece_span
 
 ROW_SCHEMA = """symbol string, minute_ts long, open double, high double, low double, close double, volume double, turnover double,
  oi_total_usd double, has_oi boolean, funding_rate double, has_funding boolean, liq_long_usd double, liq_short_usd double,
@@ -121,5 +122,26 @@ def sort_rows(rows: DataFrame) -> DataFrame:
     return rows.orderBy("symbol", "minute_ts")
 
 
-def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
-    return sort_rows(rows).offset(offset).limit(limit)
+def page(rows: DataFrame, offset: int, limit: int, piece_rows: int = 10_000) -> DataFrame:
+    """Rows offset to offset + limit in the order of (symbol, minute_ts), neither NULL.
+
+    Rows are counted by (symbol, stretch of time); only those from the first stretch that holds a row of the page to the last are then sorted, so what is
+    skipped is never held. The bounds, two rows, come to the driver and are filters of the scan.
+    """
+    if limit <= 0:
+        return rows.limit(0)
+    span = piece_span(rows, ["symbol"], "minute_ts", piece_rows)
+    counts = rows.groupBy("symbol", F.floor(F.col("minute_ts") / span).alias("piece")).count()
+    symbols = counts.groupBy("symbol").agg(F.sum("count").alias("n"))
+    before = symbols.select("symbol", (F.sum("n").over(Window.orderBy("symbol")) - F.col("n")).alias("before"))  # a row for each symbol
+    within = F.sum("count").over(Window.partitionBy("symbol").orderBy("piece")) - F.col("count")
+    at = counts.join(before, "symbol").select("symbol", "piece", "count", (F.col("before") + within).alias("start"))
+    held = at.where((F.col("start") < offset + limit) & (F.col("start") + F.col("count") > offset))
+    bounds = held.agg(F.min(F.struct("symbol", "piece", "start")).alias("a"), F.max(F.struct("symbol", "piece")).alias("z")).first()
+    if bounds.a is None:
+        return rows.limit(0)
+    symbol, ts = F.col("symbol"), F.col("minute_ts")
+    after = (symbol > bounds.a.symbol) | (symbol == bounds.a.symbol) & (ts >= bounds.a.piece * span)
+    upto = (symbol < bounds.z.symbol) | (symbol == bounds.z.symbol) & (ts < (bounds.z.piece + 1) * span)
+    near = rows.where((symbol >= bounds.a.symbol) & (symbol <= bounds.z.symbol) & after & upto)
+    return sort_rows(near).offset(offset - bounds.a.start).limit(limit)
