@@ -21,6 +21,76 @@ def test_ema_over_batches(spark, tmp_path):
     assert got.keys() == want.keys() and all((got[k] is None or got[k] != got[k]) if v is None else abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
+SCHEMA = "dataset string, symbol string, minute_ts long, close double"
+
+
+def feed(spark, path, rows):
+    """One file, one batch."""
+    spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_millis("minute_ts")).coalesce(1).write.mode("append").parquet(path)
+
+
+def source(spark, path):
+    schema = spark.createDataFrame([], SCHEMA).withColumn("ts", F.timestamp_millis("minute_ts")).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def out(spark, path, column):
+    return {(r.symbol, r.minute_ts // 60_000): r[column] for r in spark.read.parquet(path).where("symbol <> 'end'").collect()}
+
+
+def bar(symbol, minute, close):
+    return ("d", symbol, minute * 60_000, float(close))
+
+
+def test_restart_goes_on(spark, tmp_path):
+    """A run that ends and another from its checkpoint give what one run over all gives; half of the bars still wait when the first ends."""
+    closes = [(i * 7) % 11 for i in range(30)]
+    a, b = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(3):
+        feed(spark, a, [bar("A", i + 1, closes[i]) for i in range(part * 5, part * 5 + 5)])
+    jobs.run_available(jobs.stream_recurrences(source(spark, a), [rec.ema("ema", "close", 4)], "3 minutes"), b)
+    before = out(spark, b, "ema")
+    assert 0 < len(before) < 15
+    for part in range(3, 6):
+        feed(spark, a, [bar("A", i + 1, closes[i]) for i in range(part * 5, part * 5 + 5)])
+    feed(spark, a, [bar("end", 1000, 1)])
+    jobs.run_available(jobs.stream_recurrences(source(spark, a), [rec.ema("ema", "close", 4)], "3 minutes"), b)
+    got, n, y = out(spark, b, "ema"), 0, 0.0
+    assert sorted(got) == [("A", i + 1) for i in range(30)]
+    for i, c in enumerate(closes):
+        n, y = n + 1, y + c / 4 if i < 4 else 0.6 * y + 0.4 * c
+        v = got["A", i + 1]
+        assert (v is None or v != v) if i < 3 else abs(v - y) < 1e-9
+
+
+def test_late_repeated_and_idle(spark, tmp_path):
+    """A bar beyond the watermark is left out; of equal minutes the first counts; a symbol idle beyond its time starts anew."""
+    a, b = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(spark, a, [bar("A", 1, 1), bar("A", 2, 2), bar("B", 1, 5)])
+    feed(spark, a, [bar("A", 2, 9), bar("A", 3, 3)])  # a repeat
+    feed(spark, a, [bar("end", 100, 1)])
+    feed(spark, a, [bar("end", 101, 1)])  # what is late is told by the watermark of the batch before
+    feed(spark, a, [bar("A", 50, 7)])  # too late: that stands at 95
+    feed(spark, a, [bar("A", 110, 5), bar("A", 111, 6), bar("A", 112, 7)])  # A has been idle for more than 60 minutes: the two closes before are gone
+    feed(spark, a, [bar("end", 500, 1)])
+    q = jobs.run_available(jobs.stream_signals(source(spark, a), "5 minutes", 60 * 60_000), b)
+    got = out(spark, b, "signal")
+    assert got == {("A", 1): False, ("A", 2): False, ("A", 3): True, ("B", 1): False, ("A", 110): False, ("A", 111): False, ("A", 112): True}
+    operators = [o for p in q.recentProgress for o in p["stateOperators"]]
+    assert sum(o["numRowsDroppedByWatermark"] for o in operators) == 1
+
+
+def test_state_written_follows_new_bars(spark, tmp_path):
+    """With many bars waiting, a batch of one bar writes a few rows of state."""
+    a, b = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(spark, a, [bar("A", i, i % 5) for i in range(1, 400)])
+    feed(spark, a, [bar("A", 400, 1)])
+    feed(spark, a, [bar("A", 401, 1)])
+    q = jobs.run_available(jobs.stream_recurrences(source(spark, a), [rec.ema("ema", "close", 4)], "10 hours"), b)
+    wrote = [sum(o["numRowsUpdated"] for o in p["stateOperators"]) for p in q.recentProgress if p["numInputRows"]]
+    assert wrote[0] >= 399 and all(0 < w < 20 for w in wrote[1:])
+
+
 def test_admission(spark):
     req = spark.createDataFrame([(1, "d", 0, 10), (2, "d", 5, 8), (3, "d", 20, 30), (4, "e", 0, 1)], "request_id long, dataset string, ts_from long, ts_to long")
     closed = spark.createDataFrame([("d", 2, 9)], "dataset string, closed_from long, closed_to long")
