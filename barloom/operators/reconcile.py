@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalize_close_reason, trade_key
 from .pieces import running
 
-IDENTITY = r"(ts|index|count|seed|processed|length|version)$"
+IDENTITY = r"(?i)(ts|index|count|seed|processed|length|version)(\[\d+\])?$"
 
 
 def floor_closes(points: DataFrame, rows: DataFrame, span: int | None = None) -> DataFrame:
@@ -52,15 +52,39 @@ def reconcile_summary(rows: DataFrame) -> DataFrame:
     return out.withColumn("match_rate", F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)))
 
 
-def artifact_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(scenario, path, verdict, abs_delta, rel_delta) of the leaves (scenario, path, value) that differ. Numbers move; appearing, vanishing or other values break, and so do moved identities."""
+def _compared(before: DataFrame, after: DataFrame, expected: DataFrame | None) -> DataFrame:
     a, b = (d.select("scenario", "path", F.col("value").alias(n), F.lit(True).alias(f"has_{n}")) for d, n in ((before, "a"), (after, "b")))
     j = a.join(b, ["scenario", "path"], "full")
     x, y = F.col("a").try_cast("double"), F.col("b").try_cast("double")
     moved = F.abs(y - x)
     verdict = F.when(F.col("has_b").isNull(), "removed").when(F.col("has_a").isNull(), "added").when(F.col("a").eqNullSafe(F.col("b")), "same").when(x.isNull() | y.isNull(), "structural").when(F.col("path").rlike(IDENTITY), "identity_moved").otherwise("numeric")
-    out = j.select("scenario", "path", verdict.alias("verdict"), moved.alias("abs_delta"), F.when(x == 0, moved).otherwise(F.try_divide(moved, F.abs(x))).alias("rel_delta"))
-    return out.where("verdict <> 'same'")
+    out = j.select("scenario", "path", verdict.alias("verdict"), moved.alias("abs_delta"), F.when(x == 0, moved).otherwise(F.try_divide(moved, F.abs(x))).alias("rel_delta"), (x.isNotNull() & y.isNotNull()).alias("number"))
+    if expected is not None:
+        out = out.join(expected.select("path", F.lit(True).alias("_expected")).distinct(), "path", "left")
+        out = out.withColumn("verdict", F.when(F.col("_expected") & F.col("verdict").isin(*BREAKS), "declared").otherwise(F.col("verdict"))).drop("_expected")
+    return out
+
+
+BREAKS = ("removed", "added", "structural", "identity_moved")
+
+
+def artifact_diff(before: DataFrame, after: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(scenario, path, verdict, abs_delta, rel_delta) of the leaves (scenario, path, value) that differ. Numbers move; appearing, vanishing or other values break, and so do
+    moved identities; a break at a path in expected (path) is `declared`."""
+    return _compared(before, after, expected).where("verdict <> 'same'").drop("number")
+
+
+def artifact_report(before: DataFrame, after: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(scenario, structural_breaks, numeric_moves, numbers_compared, declared, refreeze_allowed): a scenario may be frozen anew if nothing breaks but what is declared."""
+    is_ = lambda *v: F.count_if(F.col("verdict").isin(*v))
+    out = _compared(before, after, expected).groupBy("scenario").agg(is_(*BREAKS).alias("structural_breaks"), is_("numeric").alias("numeric_moves"), F.count_if("number").alias("numbers_compared"), is_("declared").alias("declared"))
+    return out.withColumn("refreeze_allowed", F.col("structural_breaks") == 0)
+
+
+def stale_exceptions(before: DataFrame, after: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path): declared paths at which no scenario breaks."""
+    seen = artifact_diff(before, after, expected).where("verdict = 'declared'").select("path")
+    return expected.select("path").distinct().join(seen, "path", "left_anti")
 
 
 def largest_movers(diff: DataFrame, n: int) -> DataFrame:

@@ -83,6 +83,36 @@ def aggregate_folds(fold_metrics: DataFrame, names: list[str]) -> DataFrame:
     return a.join(n, "run_id").where("n = folds").drop("n", "folds")
 
 
+def walk_forward_status(folds: DataFrame, fold_metrics: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(run_id, status, reason, requested_folds, completed_folds, insufficient_folds, failed_folds) of runs with folds (run_id, fold).
+
+    A fold in failed (run_id, fold, code) failed; one with metrics that are `sufficient` is completed; any other is insufficient. resolved: all folds
+    completed; partial: some; unavailable: none, for all_folds_failed if any failed, else insufficient_folds. Lists are in the order of folds,
+    failed ones as fold:code.
+    """
+    f = folds.select("run_id", "fold").distinct().join(fold_metrics.select("run_id", "fold", "sufficient"), ["run_id", "fold"], "left")
+    if failed is None:
+        f = f.withColumn("code", F.lit(None).cast("string"))
+    else:
+        f = f.join(failed.groupBy("run_id", "fold").agg(F.min("code").alias("code")), ["run_id", "fold"], "left")
+    done = F.col("code").isNull() & F.coalesce("sufficient", F.lit(False))
+    listed = lambda on, x: F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("fold", x.alias("x"))))), lambda s: s.x)
+    per = f.groupBy("run_id").agg(
+        F.count("*").alias("requested_folds"), F.count_if(done).alias("completed_folds"), listed(F.col("code").isNull() & ~done, F.col("fold")).alias("insufficient_folds"),
+        listed(F.col("code").isNotNull(), F.concat_ws(":", F.col("fold").cast("string"), "code")).alias("failed_folds"),
+    )
+    none = F.col("completed_folds") == 0
+    status = F.when(none, "unavailable").when(F.col("completed_folds") == F.col("requested_folds"), "resolved").otherwise("partial")
+    reason = F.when(none, F.when(F.size("failed_folds") > 0, "all_folds_failed").otherwise("insufficient_folds"))
+    return per.select("run_id", status.alias("status"), reason.alias("reason"), "requested_folds", "completed_folds", "insufficient_folds", "failed_folds")
+
+
+def completed_folds(fold_metrics: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """The folds that count in aggregate_folds(): sufficient and not failed."""
+    done = fold_metrics.where("sufficient")
+    return done if failed is None else done.join(failed.select("run_id", "fold"), ["run_id", "fold"], "left_anti")
+
+
 def common_metrics(fold_metrics_long: DataFrame) -> DataFrame:
     """(run_id, metric) present in all folds of the run."""
     n = fold_metrics_long.groupBy("run_id").agg(F.count_distinct("fold").alias("folds"))
@@ -126,6 +156,20 @@ def family_key(with_period: bool = True) -> Column:
     return canonical_hash(**(fields | ({"from": F.col("ts_from"), "to": F.col("ts_to")} if with_period else {})))
 
 
+def promotion_family_key() -> Column:
+    """Over hint or module, dataset, sorted symbols and timeframe: another period stays in the family."""
+    return canonical_hash(hint=F.coalesce("trial_hint", "module_id"), datasetRef=F.col("dataset"), symbols=F.array_sort("symbols"), timeframe=F.col("timeframe"))
+
+
+def qualification_epoch_key(family: Column, epoch_id: Column, policy_version: Column) -> Column:
+    return canonical_hash(promotionFamilyKey=family, epochId=epoch_id, policyVersion=policy_version)
+
+
+def attempt_identity(request: Column, dataset: Column) -> Column:
+    """Over the fingerprints of a request and of the data it ran on: a replay on the same data is the same attempt."""
+    return canonical_hash(requestFingerprint=request, datasetFingerprint=dataset)
+
+
 def request_fingerprint(columns: list[str]) -> Column:
     return canonical_hash(**{c: F.col(c) for c in columns})
 

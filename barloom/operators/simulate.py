@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
+
 from ..functions.scalars import clamp, fee, fill_price, protection_levels
-from .pieces import running
+from .pieces import ROWS, in_pieces, running
 from .signals import momentum_signal
 from .tape import KEYS, funding_as_of, grid
 
@@ -173,19 +180,46 @@ def momentum_trades(rows: DataFrame, keys: list[str] | None = None, signal: Colu
     return d.select(*KEYS, F.col("_i").cast("long").alias("bar_index"), F.col("minute_ts").alias("entry_ts"), F.col("_p").alias("entry_close"), F.col("close").alias("exit_close"), ((F.col("close") - F.col("_p")) / F.col("_p")).alias("ret"))
 
 
-def momentum_run(rows: DataFrame) -> DataFrame:
-    """(dataset, pnl, return_pct, total_bars, long_bars, win_rate): each symbol compounds 10 000 over its long bars."""
-    t = momentum_trades(rows).groupBy(*KEYS).agg(F.product(1 + F.col("ret")).alias("growth"), F.count("*").alias("long_bars"), F.count_if(F.col("ret") > 0).alias("wins"))
+def vector_signal(bars: DataFrame, strategy: Callable[[pd.DataFrame], Sequence], out: str = "signal", columns: Sequence[str] = ("open", "high", "low", "close", "volume"), kind: str = "boolean", lookback: int | None = None, rows: int = ROWS) -> DataFrame:
+    """bars with a column of a user's own strategy: strategy(bars of one symbol in the order of time, with minute_ts and `columns`) gives one value
+    for each of them, as numpy, pandas or a list.
+
+    A strategy sees a whole symbol; with lookback, the number of bars before it that a value depends on, it sees a piece of `rows` bars at a time with
+    that many before, so a long symbol is many groups. Values at bars whose past is not whole (the first ones) are the strategy's own.
+    """
+
+    def decide(df: DataFrame) -> DataFrame:
+        names, made_type = df.columns, to_arrow_type(DataType.fromDDL(kind))
+        schema = StructType([*df.schema, StructField(out, DataType.fromDDL(kind))])
+
+        def one(g: pa.Table) -> pa.Table:
+            g = g.sort_by("minute_ts")
+            seen = g.column("row").combine_chunks()
+            got = strategy(pd.DataFrame({c: seen.field(c).to_pandas() for c in ("minute_ts", *columns)}))
+            if len(got) != g.num_rows:
+                raise ValueError(f"the strategy gave {len(got)} values for {g.num_rows} bars")
+            return pa.table([*(seen.field(c) for c in names), pa.array(got, made_type, from_pandas=True)], [*names, out])
+
+        return df.select(*KEYS, "minute_ts", F.struct(*names).alias("row")).groupBy(*KEYS).applyInArrow(one, schema)
+
+    bars = bars.drop(out)
+    return decide(bars) if lookback is None else in_pieces(bars, decide, lookback, rows=rows)
+
+
+def momentum_run(rows: DataFrame, signal: Column | None = None) -> DataFrame:
+    """(dataset, pnl, return_pct, total_bars, long_bars, win_rate): each symbol compounds 10 000 over its long bars, those of `signal`."""
+    t = momentum_trades(rows, signal=signal).groupBy(*KEYS).agg(F.product(1 + F.col("ret")).alias("growth"), F.count("*").alias("long_bars"), F.count_if(F.col("ret") > 0).alias("wins"))
     n = rows.groupBy(*KEYS).agg(F.greatest(F.count("*") - 2, F.lit(0)).alias("bars")).join(t, KEYS, "left").fillna(1.0, ["growth"]).fillna(0, ["long_bars", "wins"])
     out = n.groupBy("dataset").agg(F.sum((F.col("growth") - 1) * INITIAL).alias("pnl"), F.count("*").alias("n"), F.sum("bars").alias("total_bars"), F.sum("long_bars").alias("long_bars"), F.sum("wins").alias("wins"))
     return out.select("dataset", "pnl", (F.col("pnl") / (INITIAL * F.col("n")) * 100).alias("return_pct"), "total_bars", "long_bars", F.coalesce(F.try_divide("wins", "long_bars"), F.lit(0.0)).alias("win_rate"))
 
 
-def param_sweep(bars: DataFrame, lookbacks: list[int], thresholds: list[float]) -> DataFrame:
-    """(run_id, symbol, lookback, threshold, long_bars, growth): close[t-1] over close[t-1-lookback] above a threshold holds the bar t.
-    Each distinct window is computed once; the grid meets the rows as an array of its points."""
+def param_sweep(bars: DataFrame, lookbacks: list[int], thresholds: list[float], signal: Callable[[int], Column] | None = None) -> DataFrame:
+    """(run_id, symbol, lookback, threshold, long_bars, growth): close[t-1] over close[t-1-lookback] above a threshold holds the bar t, or
+    signal(lookback), a number as of the bar before, does. Each distinct window is computed once; the grid meets the rows as an array of its points."""
     close1 = F.lag("close").over(grid())
-    feats = [pct_over(close1, F.lag("close", n + 1).over(grid())).alias(f"f{n}") for n in lookbacks]
+    signal = signal or (lambda n: pct_over(close1, F.lag("close", n + 1).over(grid())))
+    feats = [signal(n).alias(f"f{n}") for n in lookbacks]
     ret = F.try_divide(F.col("close") - close1, close1)
     rows = bars.select(*KEYS, ret.alias("ret"), *feats)
     points = F.array(*(F.struct(F.lit(n).alias("lookback"), F.lit(float(t)).alias("threshold"), (F.col(f"f{n}") > t).alias("on")) for n in lookbacks for t in thresholds))

@@ -143,6 +143,26 @@ def window_complete(bars: DataFrame, ts_from: int, ts_to: int, interval: int) ->
     return per.select(*KEYS, F.coalesce(F.col("anchor").isNotNull() & on_grid & (F.col("n") == slots), F.lit(False)).alias("complete"))
 
 
+def windows_complete(bars: DataFrame, windows: DataFrame, interval: int, span: int | None = None) -> DataFrame:
+    """(window_id, complete) for windows (window_id, symbol, ts_from, ts_to): every symbol's bars cover the window on the grid of `interval`, with a bar that holds
+    its left edge, none missing and none between.
+
+    A window is complete if the last bar at or before ts_from reaches over it, the last one before ts_to reaches ts_to, and no two neighbours between
+    them are anything but `interval` apart: the breaks so far are equal at both. So a window is two rows, however long it is.
+    """
+    b = running(bars.select("symbol", F.col("minute_ts").alias("ts")), {"_was": ("lag", F.col("ts"))}, ["symbol"], "ts", span)
+    b = running(b.withColumn("_break", (~F.coalesce(F.col("ts") - F.col("_was") == interval, F.lit(False))).cast("long")), {"breaks": ("sum", F.col("_break"))}, ["symbol"], "ts", span)
+    ends = F.array(F.struct(F.lit("a").alias("end"), F.col("ts_from").alias("ts"), F.lit(1).alias("_o")), F.struct(F.lit("z").alias("end"), F.col("ts_to").alias("ts"), F.lit(-1).alias("_o")))
+    points = windows.select("window_id", "symbol", "ts_from", "ts_to", F.explode(ends).alias("e")).select("window_id", "symbol", "ts_from", "ts_to", "e.*")
+    both = points.unionByName(b.select("symbol", "ts", F.lit(0).alias("_o"), F.struct("ts", "breaks").alias("_bar")), allowMissingColumns=True)
+    met = running(both, {"bar": ("last", F.col("_bar"))}, ["symbol"], "ts", span, ["_o"]).where("_o <> 0")
+    pick = lambda e: F.max(F.when(F.col("end") == e, F.col("bar")))
+    per = met.groupBy("window_id", "symbol", "ts_from", "ts_to").agg(pick("a").alias("a"), pick("z").alias("z"))
+    inside = (F.col("z.ts") + interval >= F.col("ts_to")) & (F.col("a.breaks") == F.col("z.breaks"))
+    ok = (F.col("a.ts") + interval > F.col("ts_from")) & (inside | (F.col("ts_from") >= F.col("ts_to")))  # an empty window has no slots
+    return per.groupBy("window_id").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("complete"))
+
+
 def flow_columns(df: DataFrame) -> DataFrame:
     """df with taker_delta_usd and liq_ratio_pct (0 without open interest)."""
     ratio = F.when(F.col("oi_total_usd") > 0, F.col("liq_long_usd") / F.col("oi_total_usd") * 100).otherwise(0.0)

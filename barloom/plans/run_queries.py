@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from ..operators import metrics as mt
 from ..operators import reconcile as rc
 from ..operators import research as rs
 from ..operators import simulate as sim
+from ..operators import tape
 from ..operators.tape import bar_index, grid
-from .bars import BARS, EQUITY, HOUR, LINES, RUN_TRADES, TRADES, bars_events, bars_lineitem, cdf_sql, fixed_trades, inverse_sql, query, r6, runs_equity, runs_trades, s6, table
+from ..sources.rows import check_timeframe, list_datasets
+from . import tape_queries  # noqa: F401  its SQL is used again below
+from .bars import BARS, EQUITY, HOUR, LINES, RUN_TRADES, SQL, TRADES, bars_events, bars_lineitem, cdf_sql, fixed_trades, inverse_sql, query, r6, runs_equity, runs_trades, s6, table
 
 _B, _L = f"WITH {BARS}", f"WITH {LINES}"
 _T, _E, _R = f"{_B}, {TRADES} ", f"{_L}, {EQUITY} ", f"{_L}, {RUN_TRADES} "
@@ -446,3 +451,127 @@ def p16_outcome_changed(spark, d) -> DataFrame:
     a = runs_trades(spark, d).select(F.col("run_id").alias("pair"), o.alias("ordinal"), F.lit("tp1").alias("close_reason"), "exit_bar_index", "realized_pnl")
     b = a.withColumn("realized_pnl", F.when((F.col("pair").cast("long") % 2 == 0) & (F.col("ordinal") == 1), F.col("realized_pnl") + 1).otherwise(F.col("realized_pnl")))
     return sim.outcome_changed(a, b)
+
+
+_KEYS = "sha256('{\"datasetRef\":\"lineitem:1d\",\"hint\":\"momentum\",\"symbols\":[\"' || array_to_string(list_sort([run_id, '0']), '\",\"') || '\"],\"timeframe\":\"1d\"}')"
+
+
+@query(_E + _PD + f""", k AS (SELECT run_id, a, z, {_KEYS} AS promotion_family_key, sha256('{{"run_id":"' || run_id || '","ts_from":' || a || ',"ts_to":' || z || '}}') AS rf, (SELECT sha256('{{"dataset":"lineitem:1d","row_count":' || count(*) || ',"ts_from":' || min(minute_ts) || ',"ts_to":' || max(minute_ts) + 86400000 || '}}') FROM b) AS df FROM pd)
+SELECT run_id, promotion_family_key, sha256('{{"epochId":"' || strftime(epoch_ms(z), '%Y') || '","policyVersion":"p1","promotionFamilyKey":"' || promotion_family_key || '"}}') AS epoch_key, sha256('{{"datasetFingerprint":"' || df || '","requestFingerprint":"' || rf || '"}}') AS attempt_id FROM k""")
+def d1_promotion_keys(spark, d) -> DataFrame:
+    """The epoch is the year in which a run's data ends; the data's fingerprint is over what the tape holds."""
+    t = _periods(spark, d).select("run_id", F.lit(None).cast("string").alias("trial_hint"), F.lit("momentum").alias("module_id"), F.lit("lineitem:1d").alias("dataset"), F.array(F.col("run_id"), F.lit("0")).alias("symbols"), F.lit("1d").alias("timeframe"), "ts_from", "ts_to")
+    data = list_datasets(bars_lineitem(spark, d), 86_400_000).withColumn("df", rs.request_fingerprint(["dataset", "row_count", "ts_from", "ts_to"])).select("dataset", "df")
+    t = t.withColumn("rf", rs.request_fingerprint(["run_id", "ts_from", "ts_to"])).join(data, "dataset").withColumn("promotion_family_key", rs.promotion_family_key())
+    year = F.date_format(F.timestamp_millis("ts_to"), "yyyy")
+    return t.select("run_id", "promotion_family_key", rs.qualification_epoch_key(F.col("promotion_family_key"), year, F.lit("p1")).alias("epoch_key"), rs.attempt_identity(F.col("rf"), F.col("df")).alias("attempt_id"))
+
+
+_DAY = 86_400_000
+#: Symbols' equity over the hour bars (eq), their trades (rt) and a hold-out of each day, with one day after the end (fd).
+_DAYS = _CURVE + f""", eq AS (SELECT symbol AS run_id, seq, bar_ts, equity FROM cu), rt AS (SELECT symbol AS run_id, entry_ts, exit_ts, CASE WHEN side = 'long' THEN 1 ELSE -1 END * (exit_price - entry_price) AS realized_pnl FROM tr),
+pd AS (SELECT symbol AS run_id, min(minute_ts) AS a, max(minute_ts) + {HOUR} AS z FROM b GROUP BY 1), fd AS (SELECT run_id, f AS fold, a, z, f * {_DAY} AS test_from, (f + 1) * {_DAY} AS test_to FROM (SELECT *, unnest(range(a // {_DAY}, z // {_DAY} + 2)) AS f FROM pd))""" + _AW + _EV_TAIL
+
+
+def _days(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
+    equity = _curve(spark, d).withColumn("run_id", F.col("symbol")).select("run_id", "seq", "bar_ts", "equity")
+    trades = fixed_trades(spark, d).select(F.col("symbol").alias("run_id"), "entry_ts", "exit_ts", (sign * (F.col("exit_price") - F.col("entry_price"))).alias("realized_pnl"))
+    span = bars_events(spark, d).groupBy(F.col("symbol").alias("run_id")).agg(F.min("minute_ts").alias("ts_from"), (F.max("minute_ts") + HOUR).alias("ts_to"))
+    days = span.withColumn("fold", F.explode(F.sequence(F.floor(F.col("ts_from") / _DAY), F.floor(F.col("ts_to") / _DAY) + 1)))
+    return equity, trades, days.withColumn("test_from", F.col("fold") * _DAY).withColumn("test_to", (F.col("fold") + 1) * _DAY)
+
+
+@query(_DAYS + f" SELECT run_id AS symbol, fold AS day, (SELECT count(*) FROM b WHERE symbol = fd.run_id AND minute_ts >= test_from AND minute_ts < test_to) = 24 AS complete FROM fd")
+def a20_windows_complete(spark, d) -> DataFrame:
+    """Every day of every symbol, against the hour bars there are."""
+    _, _, days = _days(spark, d)
+    w = days.select(F.struct("run_id", "fold").alias("window_id"), F.col("run_id").alias("symbol"), F.col("test_from").alias("ts_from"), F.col("test_to").alias("ts_to"))
+    return tape.windows_complete(bars_events(spark, d), w, HOUR).select("window_id.run_id", "window_id.fold", "complete").select(F.col("run_id").alias("symbol"), F.col("fold").alias("day"), "complete")
+
+
+@query(_DAYS + f""", wi AS (SELECT fd.run_id, fold, count(*) AS wins FROM fd JOIN rt USING (run_id) WHERE entry_ts >= test_from AND exit_ts < test_to AND realized_pnl > 0 GROUP BY ALL), hb AS (SELECT fd.run_id, fold, count(*) AS bars FROM fd JOIN b ON symbol = run_id AND minute_ts >= test_from AND minute_ts < test_to GROUP BY ALL),
+cd AS (SELECT fd.*, unnest(['1h', '4h']) AS timeframe FROM fd)
+SELECT cd.run_id AS symbol, fold AS day, timeframe, CASE WHEN NOT (a <= test_from AND test_to <= z) THEN 'holdout_not_covered' WHEN timeframe <> '1h' OR coalesce(bars, 0) <> 24 THEN 'evaluation_insufficient' WHEN coalesce(w, 0) < 100 THEN 'warmup_insufficient' WHEN coalesce(points, 0) < 2 OR coalesce(n, 0) < 3 THEN 'evaluation_insufficient'
+  WHEN sharpe > 0 AND coalesce(wins, 0) > 0 THEN 'passed' ELSE 'failed' END AS outcome FROM cd LEFT JOIN ev USING (run_id, fold) LEFT JOIN tt USING (run_id, fold) LEFT JOIN wu USING (run_id, fold) LEFT JOIN wi USING (run_id, fold) LEFT JOIN hb USING (run_id, fold)""")
+def v2_promotion_gate_from_tape(spark, d) -> DataFrame:
+    """Each day of a symbol as a hold-out, asked for in the tape's own timeframe and in another: whether it is complete and the timeframe right is read off the tape."""
+    equity, trades, days = _days(spark, d)
+    bars = bars_events(spark, d)
+    w = days.select(F.struct("run_id", "fold").alias("window_id"), F.col("run_id").alias("symbol"), F.col("test_from").alias("ts_from"), F.col("test_to").alias("ts_to"))
+    whole = tape.windows_complete(bars, w, HOUR).select("window_id.run_id", "window_id.fold", "complete")
+    datasets = list_datasets(bars, HOUR).select("dataset", F.substring_index("dataset", ":", -1).alias("timeframe"))
+    m = rs.evaluate_folds(equity, trades, days.select("run_id", "fold", "test_from", "test_to"))
+    c = days.withColumnRenamed("test_from", "holdout_from").withColumnRenamed("test_to", "holdout_to").withColumn("dataset", F.lit("events:1h")).withColumn("timeframe", F.explode(F.array(F.lit("1h"), F.lit("4h"))))
+    c = check_timeframe(c, datasets).withColumnRenamed("accepted", "timeframe_equal").join(whole, ["run_id", "fold"], "left").join(m, ["run_id", "fold"], "left")
+    return rs.promotion_gate(c, 100, 3).select(F.col("run_id").alias("symbol"), F.col("fold").alias("day"), "timeframe", "outcome")
+
+
+@query(_DAYS + f""", fl AS (SELECT fd.*, (SELECT count(*) FROM b WHERE symbol = fd.run_id AND minute_ts >= test_from AND minute_ts < test_to) = 0 AS failed FROM fd), st AS (SELECT fl.run_id, fold, failed, NOT failed AND coalesce(points >= 2, false) AS done FROM fl LEFT JOIN ev USING (run_id, fold))
+SELECT run_id AS symbol, CASE WHEN count(*) FILTER (done) = 0 THEN 'unavailable' WHEN bool_and(done) THEN 'resolved' ELSE 'partial' END AS status, count(*) AS requested_folds, count(*) FILTER (done) AS completed_folds,
+  coalesce(array_to_string(list_sort(list(fold) FILTER (NOT failed AND NOT done)), ','), '') AS insufficient_folds, coalesce(string_agg(fold || ':no_rows', ',' ORDER BY fold) FILTER (failed), '') AS failed_folds FROM st GROUP BY 1""")
+def r4_walk_forward_status(spark, d) -> DataFrame:
+    """A fold for each day; one without a bar fails."""
+    equity, trades, days = _days(spark, d)
+    f = days.select("run_id", "fold", "test_from", "test_to")
+    held = bars_events(spark, d).select(F.col("symbol").alias("run_id"), F.floor(F.col("minute_ts") / _DAY).alias("fold")).distinct()
+    failed = f.select("run_id", "fold").join(held, ["run_id", "fold"], "left_anti").withColumn("code", F.lit("no_rows"))
+    out = rs.walk_forward_status(f, rs.evaluate_folds(equity, trades, f, ["pnl"]), failed)
+    return out.select(F.col("run_id").alias("symbol"), "status", "requested_folds", "completed_folds", F.array_join(F.transform("insufficient_folds", lambda x: x.cast("string")), ",").alias("insufficient_folds"), F.array_join("failed_folds", ",").alias("failed_folds"))
+
+
+def _expected(spark, d) -> DataFrame:
+    """Declared paths: those of one nation's customers."""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").where("c_nationkey = 3").select(F.concat(F.lit("run."), k.cast("string"), F.when(k % 5 == 0, ".count").otherwise(".pnl")).alias("path"))
+
+
+_DECLARED = f"WITH {_LEAF}, ex AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_nationkey = 3), dv AS (SELECT df.*, CASE WHEN ex.k IS NOT NULL AND verdict IN ('removed', 'added', 'structural', 'identity_moved') THEN 'declared' ELSE verdict END AS shown FROM df LEFT JOIN ex USING (k))"
+
+
+@query(_DECLARED + " SELECT scenario, count(*) FILTER (shown IN ('removed', 'added', 'structural', 'identity_moved')) AS structural_breaks, count(*) FILTER (shown = 'numeric') AS numeric_moves, count(*) FILTER (verdict IN ('same', 'numeric', 'identity_moved')) AS numbers_compared, count(*) FILTER (shown = 'declared') AS declared, count(*) FILTER (shown IN ('removed', 'added', 'structural', 'identity_moved')) = 0 AS refreeze_allowed FROM dv GROUP BY 1")
+def c4_artifact_report(spark, d) -> DataFrame:
+    return rc.artifact_report(*_leaves(spark, d), _expected(spark, d))
+
+
+@query(_DECLARED + " SELECT 'run.' || c_custkey || CASE WHEN c_custkey % 5 = 0 THEN '.count' ELSE '.pnl' END AS path FROM customer WHERE c_nationkey = 3 AND c_custkey NOT IN (SELECT k FROM dv WHERE shown = 'declared')")
+def c4_stale_exceptions(spark, d) -> DataFrame:
+    return rc.stale_exceptions(*_leaves(spark, d), _expected(spark, d))
+
+
+def _pump(g: pd.DataFrame):
+    """Ten percent over five bars, with volume: a strategy as a user writes it, over the bars of one symbol."""
+    c = g["close"].to_numpy()
+    past = np.r_[np.full(min(5, len(c)), np.nan), c[:-5]]
+    with np.errstate(all="ignore"):
+        change = np.where(past == 0, 0.0, (c - past) / past * 100)
+    return (change >= 10) & (g["volume"].to_numpy() >= 2)
+
+
+@query(SQL["s2_pump_signal"])
+def u1_vector_strategy(spark, d) -> DataFrame:
+    return sim.vector_signal(bars_events(spark, d), _pump, columns=["close", "volume"]).select("symbol", "minute_ts", "signal")
+
+
+@query(SQL["s2_pump_signal"])
+def u1_vector_strategy_in_pieces(spark, d) -> DataFrame:
+    return sim.vector_signal(bars_events(spark, d), _pump, columns=["close", "volume"], lookback=5, rows=128).select("symbol", "minute_ts", "signal")
+
+
+def _rising(g: pd.DataFrame):
+    c = g["close"].shift(1)
+    return (c > c.shift(1)).to_numpy()
+
+
+@query(SQL["p9_momentum_run"])
+def u2_vector_strategy_run(spark, d) -> DataFrame:
+    rows = sim.vector_signal(bars_events(spark, d), _rising, "rising", ["close"])
+    return sim.momentum_run(rows, F.col("rising")).select(F.round("pnl", 4).alias("pnl"), F.round("return_pct", 6).alias("return_pct"), "total_bars", "long_bars", F.round("win_rate", 6).alias("win_rate"))
+
+
+@query(_B + ", v AS (SELECT symbol, close, lag(close) OVER w AS c1, avg(close) OVER (PARTITION BY symbol ORDER BY minute_ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m3, avg(close) OVER (PARTITION BY symbol ORDER BY minute_ts ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS m8 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY minute_ts)), p AS (SELECT symbol, (close - c1) / c1 AS ret, unnest([3, 3, 8, 8]) AS lookback, unnest([0, 5, 0, 5]) AS threshold, unnest([(c1 - m3) / m3 * 100, (c1 - m3) / m3 * 100, (c1 - m8) / m8 * 100, (c1 - m8) / m8 * 100]) AS x FROM v) SELECT symbol, lookback, CAST(threshold AS DOUBLE) AS threshold, count(*) AS long_bars, round(ln(product(1 + ret)), 6) AS log_growth FROM p WHERE x > threshold AND ret IS NOT NULL GROUP BY ALL")
+def p15_param_sweep_of_signal(spark, d) -> DataFrame:
+    """A sweep of a user's own signal: the last close over the mean of the closes before the bar."""
+    mean = lambda n: F.avg("close").over(grid(-n, -1))
+    out = sim.param_sweep(bars_events(spark, d), [3, 8], [0, 5], lambda n: sim.pct_over(F.lag("close").over(grid()), mean(n)))
+    return out.select("symbol", "lookback", "threshold", "long_bars", F.round(F.log("growth"), 6).alias("log_growth"))
