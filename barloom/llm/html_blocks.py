@@ -1,6 +1,7 @@
 """Main text of web pages: flat text blocks, described by word count and link density of themselves and their neighbours,
-classified by a decision tree that is trained on a small labelled table of pages. What a block stands in is known to the tree
-as further features; the table also has every page with these blanked, so that the tree does without where a page names nothing.
+classified by decision trees that are trained on a small labelled table of pages. What a block stands in is known to the trees
+as further features. There are two: one for pages that mark their article, one for all others. In the labelled pages of the first
+the same kinds of blocks stand inside and outside the article, so it learns from the marks and not from what articles often look like.
 """
 
 from __future__ import annotations
@@ -43,14 +44,17 @@ OFF_ROLE = frozenset("navigation banner contentinfo complementary search form di
 ON_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body-?text|content|entry|main|post|story)(?:$|[\s_-])", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.IGNORECASE)
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "off", "on", "outside")
-CONTEXT = 7  #: The features from here on tell what a block stands in.
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "off", "on", "outside", "off_somewhere")
+#: What may follow the first part of a name in OFF_FIRST: ad-slot is an advert, ad-hoc-query is none.
+CONTAINERS = frozenset("area bar block body bottom box center col column container content desktop footer form group header holder horizontal inner item items layer left link links list main mobile nav outer panel primary right row secondary section side slot space thread title top unit vertical view widget wrap wrapper zone".split())
 
 
 def _off_name(names: str) -> bool:
     for name in names.lower().split():
         parts = PARTS.findall(name)
-        if parts and (parts[-1] in OFF_LAST or parts[0] in OFF_FIRST):
+        if not parts or "and" in parts:
+            continue
+        if parts[-1] in OFF_LAST or parts[0] in OFF_FIRST and all(p in CONTAINERS or p in OFF_FIRST or p.isdigit() for p in parts[1:]):
             return True
     return False
 
@@ -180,80 +184,122 @@ def features(blocks: list) -> np.ndarray:
     off, on = np.array([b[3] for b in blocks]), np.array([b[4] for b in blocks])
     x[:, 6], x[:, 7], x[:, 8] = [b[5] for b in blocks], off, on
     x[:, 9] = (on & ~off).any() & ~on  # the page marks its article elsewhere
+    x[:, 10] = off.any()
     return x
 
 
+def marked(blocks: list) -> bool:
+    """Whether the page marks an article that has text."""
+    return any(b[4] and not b[3] for b in blocks)
+
+
 class _Page:
-    """Writes labelled pages: m() gives main text, whose blocks begin with a mark, a() links and w() other words, of drawn sizes."""
+    """Writes labelled pages of drawn sizes: text blocks of the article begin with a mark, others don't."""
 
     def __init__(self, seed: int):
         self.rng = np.random.default_rng(seed)
 
+    def one(self, *of):
+        return of[self.rng.integers(len(of))]
+
+    def some(self, *of: str) -> str:
+        """A drawn half of the given parts, in their order."""
+        return "".join(x for x in of if self.rng.random() < 0.5)
+
     def w(self, low: int, high: int) -> str:
         return " ".join(["word"] * int(self.rng.integers(low, high + 1)))
 
-    def m(self, n: int = 0, tag: str = "p", low: int = 1, high: int = 0) -> str:
-        """n blocks, 2 to 12 if 0; a quarter of them short, unless bounds of their sizes are given."""
-        sizes = [(low, high) if high else ((1, 8), (8, 40), (8, 40), (40, 200))[self.rng.integers(4)] for _ in range(n or self.rng.integers(2, 13))]
-        return "".join(f"<{tag}>\u00a7{self.w(*x)}</{tag}>" for x in sizes)
+    def size(self) -> str:
+        return self.w(*self.one((1, 8), (8, 40), (8, 40), (40, 200)))
+
+    def a(self, most: int = 3, tag: str = "li", mark: str = "") -> str:
+        """A list of links."""
+        return "".join(f"<{tag}><a href=x>{mark}{self.w(1, most)}</a></{tag}>" for _ in range(self.rng.integers(2, 8)))
+
+    def any(self, mark: str, n: int = 0) -> str:
+        """n blocks of all kinds, 1 to 10 if 0, each of which may stand in an article or out of it."""
+        out = ""
+        for _ in range(n or self.rng.integers(1, 11)):
+            h = self.one("h1", "h2", "h3")
+            out += self.one(
+                f"<p>{mark}{self.size()}</p>", f"<p>{mark}{self.size()}</p>", f"<p>{mark}{self.w(1, 9)}</p>", f"<{h}>{mark}{self.w(1, 14)}</{h}>", f"<{h}><a href=x>{mark}{self.w(1, 12)}</a></{h}>",
+                f"<ul>{self.a(6, 'li', mark)}</ul>", f"<p><a href=x>{mark}{self.w(1, 25)}</a></p>", f"<p>{mark}{self.w(2, 12)} <a href=x>{self.w(2, 20)}</a></p>", f"<div>{self.a(3, 'span', mark)}</div>",
+                f"<ul><li>{mark}{self.w(1, 9)}</li><li>{mark}{self.w(1, 30)}</li></ul>", f"<table><tr><td>{mark}{self.w(1, 4)}</td><td>{mark}{self.w(1, 4)}</td></tr></table>", f"<blockquote>{mark}{self.size()}</blockquote>",
+            )
+        return out
+
+    def text(self, n: int = 0) -> str:
+        """n blocks of an article on a page that marks nothing, 2 to 12 if 0: paragraphs, a quarter of them short, and now and then a heading or a linked line among them."""
+        out = ""
+        for _ in range(n or self.rng.integers(2, 13)):
+            out += self.one(*(f"<p>\u00a7{self.size()}</p>",) * 6, f"<h2>\u00a7{self.w(2, 12)}</h2><p>\u00a7{self.w(20, 120)}</p>", f"<h2><a href=x>\u00a7{self.w(2, 12)}</a></h2><p>\u00a7{self.w(20, 120)}</p>", f"<p>\u00a7{self.w(20, 60)}</p><p><a href=x>\u00a7{self.w(4, 20)}</a></p><p>\u00a7{self.w(20, 60)}</p>")
+        return out
 
-    def h(self, tag: str = "h1") -> str:
-        return self.m(1, tag, 2, 14)
 
-    def a(self, most: int = 3, tag: str = "li") -> str:
-        return "".join(f"<{tag}><a href=x>{self.w(1, most)}</a></{tag}>" for _ in range(self.rng.integers(2, 8)))
+#: Names of an article's element and of what is none of it, as pages have them.
+ON_TAGS = ("article", "main", "div class=content", "div role=main", "div class=post", "div class=entry-content", "section id=main")
+OFF_TAGS = ("nav", "aside", "footer", "form", "div class=ad", "div class=sidebar", "div class=related", "section class=comments", "div class=share", "div class=newsletter", "div id=cookie-notice", "div class=menu")
 
 
-def labelled_pages(seed: int) -> list[str]:
-    """The small labelled table as pages: with elements that name what they hold, with class names that do, and with neither."""
-    p = _Page(seed)
+def _in(tag: str, inner: str) -> str:
+    return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+
+def marked_page(p: _Page) -> str:
+    """A page that marks its article: any blocks inside, any in what is off, and any outside; each of these but the article may be missing."""
+    off = lambda: _in(p.one(*OFF_TAGS), p.any("", p.one(1, 2, 4)))
+    head = p.one("", "", f"<header>{p.any('', 1)}</header>")
+    inner = p.some(f"<h1>\u00a7{p.w(1, 14)}</h1>") + p.any("\u00a7") + p.some(off()) + p.some(p.any("\u00a7"))
+    return head + p.some(off(), p.any("", p.one(1, 3)), off()) + _in(p.one(*ON_TAGS), inner + p.some(off())) + p.some(off(), p.any("", p.one(1, 3)), off())
+
+
+def plain_pages(p: _Page) -> list[str]:
+    """Pages that mark no article: their menus, adverts and footers are named, or nothing is."""
+    heading = f"<h1>\u00a7{p.w(2, 14)}</h1>"
+    named = p.some(f"<nav><ul>{p.a()}</ul></nav>", f"<header><p>{p.w(1, 8)}</p></header>") + heading + p.text() + p.some(f"<aside>{p.w(10, 60)}</aside>", f"<footer>{p.w(3, 24)}</footer>", f"<footer>{p.a(2, 'span')}</footer>")
     return [
-        f"<nav><ul>{p.a()}</ul></nav><div class=ad>{p.w(4, 18)}</div><article>{p.h()}{p.m()}</article><footer>{p.w(3, 24)}</footer>",
-        f"<nav><ul>{p.a()}</ul></nav><div class=ad>{p.w(4, 18)}</div><article>{p.h()}{p.m(1)}</article><footer>{p.w(3, 24)}</footer>",
-        f"<ul>{p.a()}</ul><div>{p.w(4, 18)}</div>{p.h()}{p.m()}<div>{p.w(3, 24)}</div>",
-        f"<ul>{p.a()}</ul><div>{p.w(4, 18)}</div>{p.h()}{p.m()}<div>{p.w(3, 24)}</div>",
-        f"<ul>{p.a()}</ul>{p.h()}{p.m(2)}<div>{p.w(3, 20)}</div>",
-        f"<header><h1>{p.w(1, 4)}</h1><p>{p.w(2, 8)}</p></header><main>{p.h()}{p.m()}<aside>{p.w(10, 60)}</aside>{p.m()}</main><div id=cookie-notice>{p.w(10, 60)}</div>",
-        f"<div class=menu>{p.a(tag='span')}</div><div class=content>{p.m()}</div><div class=sidebar><p>{p.w(10, 60)}</p>{p.a(6)}</div>",
-        f"<div>{p.a(tag='span')}</div><div>{p.m()}{p.m(1, 'p', 30, 90)}</div><p>{p.w(3, 8)}</p><p>{p.w(2, 6)}</p>",
-        f"<div>{p.a(tag='p')}</div>{p.h('h2')}{p.m()}{p.m(1, 'p', 30, 90)}{p.a(6, 'p')}<p>{p.w(2, 8)}</p>",
-        f"<article>{p.h()}{p.m()}<p>\u00a7{p.w(2, 8)} <a href=x>{p.w(8, 20)}</a></p>{p.m(2)}<p><a href=x>\u00a7{p.w(5, 25)}</a></p>{p.m(2)}<div class=related>{p.a(7)}</div><section class=comments><p>{p.w(10, 80)}</p><p>{p.w(3, 40)}</p></section><form>{p.w(2, 8)}</form></article><footer>{p.w(3, 9)} {p.a(1, 'span')}</footer>",
-        f"<div class=post>{p.h('h2')}{p.m()}<ul>{p.m(4, 'li', 2, 9)}</ul>{p.m(1)}<blockquote>{p.m(1)}</blockquote>{p.m(2)}</div><div class=share>{p.a(1, 'span')}</div>",
-        f"{p.h()}{p.m()}<ul>{p.m(4, 'li', 2, 9)}</ul>{p.m(1)}<blockquote>{p.m(1)}</blockquote>{p.m(1, 'p', 25, 90)}",
-        f"<main><div class=share-price>{p.m(2)}</div>{p.m(1)}<table>{p.m(6, 'td', 1, 5)}</table>{p.m(2)}</main><footer>{p.a()}</footer>",
-        f"{p.m(1, 'p', 15, 90)}", f"{p.m(2, 'p', 15, 90)}", f"<ul>{p.a(4)}</ul>",
-        f"<article><header>{p.h()}<p>{p.w(2, 6)}</p></header>{p.m()}<div class=newsletter><p>{p.w(8, 30)}</p></div>{p.m(1)}</article><div class=comments><p>{p.w(10, 80)}</p><p>{p.w(10, 80)}</p></div>",
-        f"<div class=cookie-banner><p>{p.w(10, 60)}</p></div><div class=entry-content>{p.h()}{p.m()}</div><div id=footer><p>{p.w(3, 24)}</p></div>",
-    ]
-
-
-def labelled_table(draws: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The labelled pages' blocks, in so many draws of their sizes, as rows of features and labels; a second time with blanked context."""
-    xs, ys = [], []
-    for page in (page for seed in range(draws) for page in labelled_pages(seed)):
-        blocks = blocks_of(page)
-        x = features(blocks)
-        blank = x.copy()
-        blank[:, CONTEXT:] = 0
-        xs += [x, blank]
-        ys += 2 * [np.array([b[0].startswith("\u00a7") for b in blocks])]
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 8) -> tuple | bool:
+        named, named, f"<nav>{p.a()}</nav>{heading}{p.text()}", f"<div id=cookie-notice>{p.w(10, 60)}</div>{heading}{p.text()}<div id=footer><p>{p.w(3, 24)}</p></div>",
+        f"<ul>{p.a()}</ul><div>{p.w(4, 18)}</div>{heading}{p.text()}<div>{p.w(3, 24)}</div>", f"<ul>{p.a()}</ul>{heading}{p.text(2)}<div>{p.w(3, 20)}</div>",
+        f"<div>{p.a(3, 'span')}</div><div>{p.text()}<p>\u00a7{p.w(30, 90)}</p></div><p>{p.w(3, 8)}</p><p>{p.w(2, 6)}</p>", f"<div>{p.a(3, 'p')}</div>{heading}{p.text()}<p>\u00a7{p.w(30, 90)}</p>{p.a(6, 'p')}<p>{p.w(2, 8)}</p>",
+        f"{heading}{p.text()}", f"{heading}{p.text()}<ul><li>\u00a7{p.w(2, 9)}</li><li>\u00a7{p.w(2, 9)}</li></ul>{p.text(2)}", f"<ul>{p.a()}</ul>{heading}{p.text()}", f"{p.text(2)}",
+        f"<p>\u00a7{p.w(1, 12)}</p>", f"<p>\u00a7{p.w(8, 90)}</p>", f"<p>\u00a7{p.w(2, 30)}</p><p>\u00a7{p.w(2, 30)}</p>", f"<ul>{p.a(4)}</ul>", f"<div>{p.a(3, 'span')}</div>",
+    ]
+
+
+def labelled_tables(draws: int = 12) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The labelled pages' blocks as rows of features and labels: pages that mark their article, and others."""
+    out = []
+    for marks in (True, False):
+        xs, ys = [], []
+        for seed in range(draws):
+            p = _Page(seed)
+            for page in [marked_page(p) for _ in range(16)] if marks else plain_pages(p):
+                blocks = blocks_of(page)
+                if blocks and marked(blocks) == marks:
+                    xs.append(features(blocks))
+                    ys.append(np.array([b[0].startswith("\u00a7") for b in blocks]))
+        out.append((np.concatenate(xs), np.concatenate(ys)))
+    return tuple(out)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 8) -> tuple | bool:
     """A decision tree by Gini impurity: (feature, threshold, tree for values up to it, tree for values above), or a label; at least `least` rows on either side."""
     if depth == 0 or y.all() or not y.any():
         return bool(2 * y.sum() > len(y))
-    best = None
-    for j in (1, 0, 5, 3, 4, 2, 6, 7, 9, 8):  # of equal splits the first holds: the block's own, its neighbours', then context
-        for t in np.unique(x[:, j])[:-1]:
-            low = x[:, j] <= t
-            if min(low.sum(), (~low).sum()) < least:
-                continue
-            cost = sum(p.sum() * (1 - p.mean()) for p in (y[low].astype(float), y[~low].astype(float)))
-            if best is None or cost < best[0] - 1e-9:
-                above = x[~low, j].min()
-                best = (cost, j, (t + above) / 2)
+    best, n = None, len(y)
+    for j in (8, 7, 9, 10, 1, 0, 5, 3, 4, 2, 6):  # of equal splits the first holds: context, then the block's own features, then its neighbours'
+        order = np.argsort(x[:, j], kind="stable")
+        v, hits = x[order, j], np.cumsum(y[order])
+        at = np.flatnonzero(v[1:] > v[:-1])  # a split after each of these rows
+        at = at[(at + 1 >= least) & (n - at - 1 >= least)]
+        if not len(at):
+            continue
+        low, below = at + 1.0, hits[at].astype(float)
+        above = hits[-1] - below
+        cost = below * (1 - below / low) + above * (1 - above / (n - low))
+        k = int(np.argmin(cost))
+        if best is None or cost[k] < best[0] - 1e-9:
+            best = (cost[k], j, (v[at[k]] + v[at[k] + 1]) / 2)
     if best is None:
         return bool(2 * y.sum() > len(y))
     _, j, t = best
@@ -261,21 +307,29 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 8) -> tuple
     return (j, t, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
 
 
+def trained() -> tuple:
+    """The two trees: for pages that mark their article, and for others."""
+    return tuple(grow(x, y) for x, y in labelled_tables())
+
+
 def classify(tree, row: np.ndarray) -> bool:
     while not isinstance(tree, bool):
         tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
     return tree
 
 
-def main_text(page: str | None, tree) -> str:
+def main_text(page: str | None, trees: tuple) -> str:
     blocks = blocks_of(page or "")
-    return "\n".join(b[0] for b, row in zip(blocks, features(blocks), strict=True) if classify(tree, row)) if blocks else ""
+    if not blocks:
+        return ""
+    tree = trees[0] if marked(blocks) else trees[1]
+    return "\n".join(b[0] for b, row in zip(blocks, features(blocks), strict=True) if classify(tree, row))
 
 
-def _extract(tree):
+def _extract(trees: tuple):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x, tree) for x in batch.column(1).to_pylist()]
+            texts = [main_text(x, trees) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["row", "text", "n_chars"])
 
     return extract
@@ -291,4 +345,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("html", "text", "n_chars")]
     rows = pages.select(F.struct(*kept).alias("row"), F.col("html").alias("html"))
-    return unpacked(rows.mapInArrow(_extract(grow(*labelled_table())), rows.drop("html").schema.add("text", "string").add("n_chars", "long")), "text", "n_chars")
+    return unpacked(rows.mapInArrow(_extract(trained()), rows.drop("html").schema.add("text", "string").add("n_chars", "long")), "text", "n_chars")

@@ -493,9 +493,9 @@ def test_warc(spark, tmp_path):
 
 
 def test_html(spark):
-    tree = html_blocks.grow(*html_blocks.labelled_table())
-    x, y = html_blocks.labelled_table()
-    assert sum(html_blocks.classify(tree, r) == bool(t) for r, t in zip(x, y, strict=True)) / len(y) > 0.95
+    trees = html_blocks.trained()
+    for tree, (x, y) in zip(trees, html_blocks.labelled_tables(), strict=True):
+        assert sum(html_blocks.classify(tree, r) == bool(t) for r, t in zip(x, y, strict=True)) / len(y) > 0.95
     long = "Word after word " * 12
     pages = {
         f"<html><head><title>T</title><style>p{{}}</style><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><!-- c --><div class='ad'>Buy {long}</div><article><h1>A &amp; B</h1><p><b>One<br>two&nbsp; three<p>{long}<form>f <input></form><section class=comments><p>{long}</section></article><footer>&copy; x</footer></body>": f"A & B\nOne two three\n{long.strip()}",
@@ -506,7 +506,7 @@ def test_html(spark):
         "<script>alert(1)": "",
     }
     for page, want in pages.items():
-        assert html_blocks.main_text(page, tree) == want
+        assert html_blocks.main_text(page, trees) == want
     d = spark.createDataFrame([(i, "u", p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_blocks.extract_text(d).collect()}
     assert got == {i: (t, len(t)) for i, t in enumerate(pages.values())}
@@ -514,7 +514,7 @@ def test_html(spark):
 
 
 def test_html_drops_no_more():
-    tree = html_blocks.grow(*html_blocks.labelled_table())
+    trees = html_blocks.trained()
     body = "Body of words " * 12
     want = body.strip()
     for page in (
@@ -531,7 +531,7 @@ def test_html_drops_no_more():
         f"<canvas><p>no</p></canvas><iframe src=x></iframe><p>{body}</p><script>'</scripty><p>no'</script >",
         f"<div><template><div>no</div><li>no</li></template><p>{body}</p></div><textarea>no",
     ):
-        assert html_blocks.main_text(page, tree) == want, page
+        assert html_blocks.main_text(page, trees) == want, page
 
 
 # 9 sharding
@@ -549,10 +549,10 @@ def test_sharding(docs, empty, tmp_path):
     order = [r.doc_id for r in sorted(rows, key=lambda r: (r.slot, r.shard))]
     assert order != sorted(order)
     again = sharding.shuffle_into_shards(docs, 4, bucket_bytes=2000).collect()
-    assert sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in rows if r.doc_id != 2) == sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in again if r.doc_id != 2)
+    assert sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in rows) == sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in again)
     other = sharding.shuffle_into_shards(docs, 4, seed=12, bucket_bytes=2000).collect()
     assert [r.doc_id for r in sorted(other, key=lambda r: (r.slot, r.shard))] != order
-    order_of = lambda d: sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in sharding.shuffle_into_shards(d, 4, bucket_bytes=2000).collect() if r.doc_id != 2)
+    order_of = lambda d: sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in sharding.shuffle_into_shards(d, 4, bucket_bytes=2000).collect())
     spark, before = docs.sparkSession, docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     first = order_of(docs)
     spark.conf.set("spark.sql.shuffle.partitions", "7")
