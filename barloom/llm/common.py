@@ -72,10 +72,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, more: Column | None = None, bytes_: int | None = None) -> DataFrame:
-    """df marked for broadcast if a count shows that it is within the bound; else as it is, for a shuffled join. Pass a staged df.
-
-    A row counts as 24 bytes, 8 for each column and `more` (for arrays and strings)."""
+def counted_bytes(df: DataFrame, more: Column | None = None) -> int:
+    """The size of df by a count: a row is 24 bytes, 8 for each column and `more` (for arrays and strings)."""
     row = 24 + 8 * len(df.columns)
-    size = df.agg(F.count("*") * row + F.coalesce(F.sum(more), F.lit(0)) if more is not None else F.count("*") * row).first()[0]
-    return F.broadcast(df) if size <= (BROADCAST_BYTES if bytes_ is None else bytes_) else df
+    return df.agg(F.count("*") * row + F.coalesce(F.sum(more), F.lit(0)) if more is not None else F.count("*") * row).first()[0]
+
+
+def small(df: DataFrame, more: Column | None = None, bytes_: int | None = None) -> DataFrame:
+    """df marked for broadcast if counted_bytes() shows that it is within the bound; else as it is, for a shuffled join. Pass a staged df."""
+    return F.broadcast(df) if counted_bytes(df, more) <= (BROADCAST_BYTES if bytes_ is None else bytes_) else df

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_az, packed, small, stage, unpacked
+from . import common
+from .common import counted_bytes, let, lower_az, packed, small, stage, unpacked
 
 WINDOW = 13
 #: What separates the words of a text whose A-Z are lower-cased, and what separates them in the text as it is.
 GAP, GAP_AS_IS, WORD_AS_IS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The hash set is broadcast up to this many bytes, counted as small() counts (some 2 million windows); beyond, it is joined by a shuffle.
+#: The hash set is broadcast up to this many bytes, counted as small() counts (some 2 million windows); beyond, in parts of that size, with a pass over the
+#: documents for each. So are the marks of documents with hits; beyond, their rows are met by a shuffle.
 BROADCAST_HASHES = 64 << 20
 
 
@@ -75,11 +77,19 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
     else:
         scan = texts.select("doc", "mark", F.explode(let(w, lambda w: F.array(*(F.struct(F.lit(n).alias("n"), hashes(w, n).alias("all")) for n in lengths)))).alias("s")).select("doc", "mark", "s.*")
     scan = scan.select("doc", "mark", "n", F.posexplode("all").alias("pos", "h"))
-    hits = stage(scan.join(small(stage(windows.select("h").distinct(), "hashes"), bytes_=BROADCAST_HASHES), "h"), "hits")
+    hashes_ = stage(windows.select("h").distinct(), "hashes")
+    passes = max(1, -(-counted_bytes(hashes_) // BROADCAST_HASHES)) if BROADCAST_HASHES else 1
+    parts = [F.broadcast(hashes_.where(F.pmod("h", F.lit(passes)) == i)) if BROADCAST_HASHES else hashes_ for i in range(passes)]
+    hits = scan.join(parts[0], "h")
+    for part in parts[1:]:
+        hits = hits.unionByName(scan.join(part, "h"))
+    hits = stage(hits, "hits")
     same = lambda a, b: a.doc.eqNullSafe(b.doc) & (a.mark == b.mark)
     places = stage(hits.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n", "h")).alias("places")), "places")  # a document's own
     few = small(places, 24 * F.size("places"))
-    seen = texts.join(few, same(texts, few)).select(few.doc, few.mark, w.alias("all"), F.explode("places").alias("p"))
+    marks = small(stage(places.select("mark").distinct(), "marks"), bytes_=BROADCAST_HASHES)
+    with_hits = texts.join(marks, "mark", "left_semi")  # so that only their texts are shuffled where the hits are not broadcast
+    seen = with_hits.join(few, same(with_hits, few)).select(few.doc, few.mark, w.alias("all"), F.explode("places").alias("p"))
     seen = seen.select("doc", "mark", "p.*", F.slice("all", F.col("p.pos") + 1, F.col("p.n")).alias("w"))
     known = small(windows, 16 * F.col("n"), BROADCAST_HASHES)
     good = stage(seen.join(known, ["h", "w"]).select("doc", "mark", "pos", seen.n, "items"), "verified")
@@ -89,8 +99,14 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFra
     per = good.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(spans)).alias("hit_words"))
     per = per.join(named.withColumnsRenamed({"doc": "d", "mark": "m"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("doc", "mark", "hit_words", "names")
     per = stage(per, "contaminated")
-    per = small(per, 4 * F.size("hit_words") + F.coalesce(F.length(F.array_join("names", "  ")), F.lit(0)))
-    found = rows.join(per, same(rows, per), "left").select(rows.row, F.size(item_words(rows.text)).cast("long").alias("n_words"), "hit_words", "names")
+    shown = lambda row, text: (row, F.size(item_words(text)).cast("long").alias("n_words"))
+    if counted_bytes(per, 4 * F.size("hit_words") + F.coalesce(F.length(F.array_join("names", "  ")), F.lit(0))) <= common.BROADCAST_BYTES:
+        per = F.broadcast(per)
+        found = rows.join(per, same(rows, per), "left").select(*shown(rows.row, rows.text), "hit_words", "names")
+    else:  # rows without hits are not shuffled
+        hit, clean = rows.join(marks, "mark", "left_semi"), rows.join(marks, "mark", "left_anti")
+        found = hit.join(per, same(hit, per), "left").select(*shown(hit.row, hit.text), "hit_words", "names")
+        found = found.unionByName(clean.select(*shown(clean.row, clean.text)), allowMissingColumns=True)
     found = found.select("row", "n_words", F.coalesce("hit_words", F.expr("cast(array() as array<int>)")).alias("hit_words"), F.coalesce("names", F.expr("cast(array() as array<string>)")).alias("items"))
     return found.withColumn("n_hit", F.size("hit_words").cast("long")).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
