@@ -22,6 +22,8 @@ def _by_hash(a: Column, b: Column) -> Column:
 
 #: What a task holds as one array: a bucket has so many bytes at least and at most; between, BUCKETS of them hold the table.
 LEAST_BYTES, MOST_BYTES, BUCKETS = 8 << 20, 256 << 20, 20_000
+#: A row that occurs more often than this is counted, and its copies are dealt over the buckets.
+COPIES = 1000
 #: Buckets whose offsets one task sums up.
 BLOCK = 4096
 
@@ -29,18 +31,18 @@ BLOCK = 4096
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 11, bucket_bytes: int | None = None) -> DataFrame:
     """docs with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard); law `rows`: shard sizes differ by one at most.
 
-    Every row is kept: null and empty texts, repeated rows, null ids. Rows that share a doc_id and a text share a bucket.
+    Every row is kept: null and empty texts, repeated rows, null ids. Up to COPIES equal rows share a bucket; more are numbered and dealt over all.
     Columns named shard or slot, in whatever case, are replaced; any others stay as they are. An empty table gives an empty result.
-    A bucket is a task of its own and bounds what that holds as one array, but for single rows beyond it and copies of one whole row. Rows and
+    A bucket is a task of its own and bounds what that holds as one array, but for single rows beyond it. Rows (all their columns) and
     seed alone decide the order: a bucket is shuffled by the seed plus its number.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, math.ceil(total / (bucket_bytes or min(MOST_BYTES, max(LEAST_BYTES, total / BUCKETS)))))
-    text = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
-    rows = packed(docs, h=h, g=F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")))
+    rows = packed(docs)
+    whole = F.to_json("row") if "map<" in docs.schema.simpleString() else F.col("row")  # maps have no hash of their own
+    rows = _dealt(rows.withColumns({"h": F.xxhash64(F.lit(seed), whole), "g": F.xxhash64(F.lit(seed + 1), whole)}))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("bucket").count()
     offsets = stage(offsets_of(counts), "offsets").withColumnRenamed("bucket", "b")
@@ -56,6 +58,19 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 11, bucke
     return unpacked(placed.select("r.row", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot")), "shard", "slot")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (row, h, g) with another h for each copy of a row that occurs more than COPIES times. Its copies are counted and made anew from the count,
+    so a task that runs again deals them alike."""
+    many = stage(rows.groupBy("h", "g").count().where(F.col("count") > COPIES), "copies")
+    if many.isEmpty():
+        return rows
+    many = small(many)
+    one = rows.join(many, ["h", "g"]).groupBy("h", "g").agg(F.first("row").alias("row"), F.first("count").alias("n"))
+    copies = one.select("row", "g", F.col("h").alias("all"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    copies = copies.select("row", F.xxhash64("all", "k").alias("h"), F.xxhash64("g", "k").alias("g"))
+    return rows.join(many, ["h", "g"], "left_anti").select("row", "h", "g").unionByName(copies)
+
+
 def offsets_of(counts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(bucket, count) -> (bucket, offset): the rows in the buckets before it, summed in blocks of buckets and then over the blocks."""
     counts = stage(counts.select("bucket", F.floor(F.col("bucket") / block).alias("block"), "count"), "counts")
