@@ -68,7 +68,7 @@ def text(v):
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
