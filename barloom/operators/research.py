@@ -226,10 +226,20 @@ def _cells(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
     return left.unionByName(b.join(n, "key").select(*rows, F.lit(1).alias("side"), own("nb").alias("j"), upto("na").alias("i")))
 
 
+def _self_cells(a: DataFrame, block: int) -> DataFrame:
+    """The same for one side against itself: a cell for each unordered pair of blocks, i <= j; a block meets itself as side 0 alone. So a run's deltas stand in
+    as many cells as there are blocks, half of what two sides take."""
+    n = a.groupBy("key").agg(F.greatest(F.ceil(F.approx_count_distinct("run_id", 0.02) / block), F.lit(1)).cast("long").alias("n"))
+    d = a.join(n, "key").withColumn("own", F.pmod(F.xxhash64("run_id"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return d.select("key", "run_id", "day", "delta", (F.col("own") > F.col("other")).cast("int").alias("side"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def _rho(g: pd.DataFrame, min_overlap: int) -> tuple[pd.Index, pd.Index, np.ndarray, np.ndarray]:
     """Runs of either side, their shared days and their correlation on these, NaN below min_overlap days, below two, without variance and for a run with itself."""
     days = pd.Index(g["day"].unique())
     m, o = (g[g["side"] == s].pivot(index="run_id", columns="day", values="delta").reindex(columns=days) for s in (0, 1))
+    if "i" in g and len(o) == 0 and (g["i"] == g["j"]).all():  # a block against itself
+        o = m
     x, y, mx, my = np.nan_to_num(m.to_numpy(float)), np.nan_to_num(o.to_numpy(float)), m.notna().to_numpy(float), o.notna().to_numpy(float)
     c, sx, sy, sxx, syy, sxy = mx @ my.T, x @ my.T, mx @ y.T, (x * x) @ my.T, mx @ (y * y).T, x @ y.T
     with np.errstate(all="ignore"):
@@ -252,26 +262,50 @@ def pnl_correlation(a: DataFrame, b: DataFrame, min_overlap: int = 5, block: int
     return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
+def correlated_pairs(deltas: DataFrame, at_least: float, min_overlap: int = 5, block: int = BLOCK) -> DataFrame:
+    """(a_run, b_run, overlap, rho), a_run < b_run: the pairs of runs of a comparability key with |rho| >= at_least, once each. Others never leave their cell."""
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        left, right, c, rho = _rho(g, min_overlap)
+        with np.errstate(invalid="ignore"):
+            i, j = np.nonzero(np.abs(rho) >= at_least)
+        out = pd.DataFrame({"a_run": np.minimum(left[i].to_numpy(object), right[j].to_numpy(object)), "b_run": np.maximum(left[i].to_numpy(object), right[j].to_numpy(object)), "overlap": c[i, j], "rho": rho[i, j]})
+        return out.drop_duplicates(["a_run", "b_run"])
+
+    return _self_cells(deltas, block).groupBy("key", "i", "j").applyInPandas(pairs, "a_run string, b_run string, overlap long, rho double")
+
+
+def _best_of(left: pd.Index, right: pd.Index, rho: np.ndarray) -> list[tuple]:
+    """(run, nearest, rho, compared) of each row that has a number; ties go to the smallest run_id."""
+    out = []
+    for r, row in zip(left, rho, strict=True):
+        if np.isfinite(row).any():
+            top = np.abs(row)
+            k = min(np.flatnonzero(top == np.nanmax(top)), key=lambda q: right[q])
+            out.append((r, right[k], row[k], int(np.isfinite(row).sum())))
+    return out
+
+
 def nearest_blocks(a: DataFrame, b: DataFrame, min_overlap: int = 5, block: int = BLOCK) -> DataFrame:
     """(run_id, nearest, rho, compared) of a's runs among b's by cells of blocks: a hot key becomes many even tasks and pairs are never rows. Ties go to the smallest run_id."""
 
     def best(g: pd.DataFrame) -> pd.DataFrame:
         left, right, _, rho = _rho(g, min_overlap)
-        out = []
-        for r, row in zip(left, rho, strict=True):
-            if np.isfinite(row).any():
-                top = np.abs(row)
-                k = min(np.flatnonzero(top == np.nanmax(top)), key=lambda q: right[q])
-                out.append((r, right[k], row[k], int(np.isfinite(row).sum())))
-        return pd.DataFrame(out, columns=["run_id", "nearest", "rho", "compared"])
+        return pd.DataFrame(_best_of(left, right, rho), columns=["run_id", "nearest", "rho", "compared"])
+
+    return _nearest(_cells(a, b, block).groupBy("key", "i", "j").applyInPandas(best, NEAREST))
+
+
+NEAREST = "run_id string, nearest string, rho double, compared long"
+
 
-    found = _cells(a, b, block).groupBy("key", "i", "j").applyInPandas(best, "run_id string, nearest string, rho double, compared long")
+def _nearest(found: DataFrame) -> DataFrame:
     return found.groupBy("run_id").agg(F.min(F.struct((-F.abs("rho")).alias("neg"), "nearest", "rho")).alias("b"), F.sum("compared").alias("compared")).select("run_id", "b.nearest", "b.rho", "compared")
 
 
 def novelty(candidates: DataFrame, pool: DataFrame, threshold: float = 0.95, min_overlap: int = 5) -> DataFrame:
     """(run_id, status, score, nearest, correlation, compared, duplicate) of each candidate; ties go to the smallest run_id."""
-    best = nearest_blocks(candidates, pool, min_overlap).withColumnRenamed("run_id", "a_run")
+    best = (novelty_blocks(pool, min_overlap) if candidates is pool else nearest_blocks(candidates, pool, min_overlap)).withColumnRenamed("run_id", "a_run")
     days = candidates.groupBy("run_id", "key").agg(F.count("*").alias("days"))
     others = pool.groupBy("key").agg(F.count_distinct("run_id").alias("members"))
     own = pool.select("run_id", "key").distinct().withColumn("own", F.lit(1))
@@ -283,8 +317,14 @@ def novelty(candidates: DataFrame, pool: DataFrame, threshold: float = 0.95, min
 
 
 def novelty_blocks(deltas: DataFrame, min_overlap: int = 5, block: int = BLOCK) -> DataFrame:
-    """(run_id, nearest, rho, compared) of every run among the others of its comparability key."""
-    return nearest_blocks(deltas, deltas, min_overlap, block)
+    """(run_id, nearest, rho, compared) of every run among the others of its comparability key. Each unordered pair of blocks is one cell, which answers for both."""
+
+    def best(g: pd.DataFrame) -> pd.DataFrame:
+        left, right, _, rho = _rho(g, min_overlap)
+        out = _best_of(left, right, rho) + ([] if (g["i"] == g["j"]).all() else _best_of(right, left, rho.T))
+        return pd.DataFrame(out, columns=["run_id", "nearest", "rho", "compared"])
+
+    return _nearest(_self_cells(deltas, block).groupBy("key", "i", "j").applyInPandas(best, NEAREST))
 
 
 def verdict(sharpe: float = 0, drawdown: float = 1, win_rate: float = 0, trades: int = 1) -> Column:

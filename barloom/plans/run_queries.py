@@ -14,9 +14,9 @@ from ..operators import research as rs
 from ..operators import simulate as sim
 from ..operators import tape
 from ..operators.tape import bar_index, grid
-from ..sources.rows import check_timeframe, list_datasets
+from ..sources.rows import check_timeframe, list_datasets, record_in_ledger, write_bars
 from . import tape_queries  # noqa: F401  its SQL is used again below
-from .bars import BARS, EQUITY, HOUR, LINES, RUN_TRADES, SQL, TRADES, bars_events, bars_lineitem, cdf_sql, fixed_trades, inverse_sql, query, r6, runs_equity, runs_trades, s6, table
+from .bars import BARS, EQUITY, HOUR, LINES, RUN_TRADES, SQL, TRADES, bars_events, bars_lineitem, cdf_sql, fixed_trades, inverse_sql, query, r6, runs_equity, runs_trades, s6, shared_folder, table
 
 _B, _L = f"WITH {BARS}", f"WITH {LINES}"
 _T, _E, _R = f"{_B}, {TRADES} ", f"{_L}, {EQUITY} ", f"{_L}, {RUN_TRADES} "
@@ -575,3 +575,31 @@ def p15_param_sweep_of_signal(spark, d) -> DataFrame:
     mean = lambda n: F.avg("close").over(grid(-n, -1))
     out = sim.param_sweep(bars_events(spark, d), [3, 8], [0, 5], lambda n: sim.pct_over(F.lag("close").over(grid()), mean(n)))
     return out.select("symbol", "lookback", "threshold", "long_bars", F.round(F.log("growth"), 6).alias("log_growth"))
+
+
+@query(_CORR + " SELECT a_run, b_run, overlap, rho FROM co WHERE a_run < b_run AND abs(rho) >= 0.3")
+def n1_correlated_pairs(spark, d) -> DataFrame:
+    return rs.correlated_pairs(_deltas(spark, d), 0.3, 3, 16)
+
+
+@query(SQL["n3_pairwise_novelty"])
+def n3_novelty_in_small_blocks(spark, d) -> DataFrame:
+    out = rs.novelty_blocks(_deltas(spark, d), 3, 8)
+    return out.select("run_id", F.round(F.abs("rho"), 8).alias("top"), "nearest", "compared")
+
+
+@query(SQL["d2_record_if_new"])
+def d2_ledger_on_disk(spark, d) -> DataFrame:
+    """Two batches into a ledger of files, the second with all keys of the first again."""
+    t = table(spark, d, "customer").select(F.col("c_nationkey").alias("family"), F.col("c_mktsegment").alias("fingerprint"), F.col("c_custkey").alias("run_id"), F.col("c_custkey").alias("created_at"))
+    half, path = t.agg(F.max("run_id").alias("top")), shared_folder(spark, "ledger")
+    record_in_ledger(path, t.crossJoin(F.broadcast(half)).where("run_id <= top / 2").drop("top"), ["family", "fingerprint"], 8)  # one row
+    return record_in_ledger(path, t, ["family", "fingerprint"], 8).select("family", "fingerprint", "run_id")
+
+
+@query(SQL["p9_momentum_run"])
+def a7_run_over_stored_bars(spark, d) -> DataFrame:
+    """The flagship over bars stored in buckets of symbols: no row of them is exchanged."""
+    path = shared_folder(spark, "bars")
+    stored = write_bars(bars_events(spark, d), path.rsplit("/", 1)[1].replace("-", "_"), path, 8)
+    return sim.momentum_run(stored).select(F.round("pnl", 4).alias("pnl"), F.round("return_pct", 6).alias("return_pct"), "total_bars", "long_bars", F.round("win_rate", 6).alias("win_rate"))

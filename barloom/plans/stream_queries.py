@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import recurrence as rec
 from ..streaming import jobs
-from .bars import BARS, HOUR, bars_events, query, r6, table
+from .bars import BARS, HOUR, bars_events, query, r6, shared_folder, table
 from .tape_queries import _RB, _ema
 
 _B = f"WITH {BARS} "
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="barloom-")
-    return f"{root.rstrip('/')}/barloom-{label}-{uuid.uuid4().hex}"
-
-
 #: Files of the replay; a bar of every fifth hour comes up to LATE with the next file; and the symbol of the last row, which moves the watermark past all bars.
 FILES, LATE, END = 4, 12 * HOUR, "~end"
 
 
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars as a stream of several files that overlap in time, a file for each batch."""
-    path = _folder(spark, "bars")
+    path = shared_folder(spark, "bars")
     b = bars_events(spark, sf_dir).withColumn("ts", F.timestamp_millis("minute_ts"))
     span = b.agg(F.min("minute_ts").alias("a"), F.max("minute_ts").alias("z")).first()
     if span.a is not None:
@@ -47,7 +35,7 @@ def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _result(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    path = _folder(spark, label)
+    path = shared_folder(spark, label)
     jobs.run_available(stream, path)
     return spark.read.schema(stream.schema).parquet(path).where(F.col("symbol") != END)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +117,44 @@ def write_runs(df: DataFrame, path: str, buckets: int = 64) -> None:
     df.withColumn("run_bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets))).repartition("run_bucket").sortWithinPartitions("run_id").write.mode("append").partitionBy("run_bucket").parquet(path)
 
 
+def write_bars(bars: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """bars as a table in buckets of (dataset, symbol), each one file in the order of time, so that windows and joins by symbol read it without
+    an exchange; the table, read back."""
+    keys = ["dataset", "symbol"]
+    dealt = bars.repartition(buckets, *keys).sortWithinPartitions(*keys, "minute_ts")
+    dealt.write.mode("errorifexists").option("path", path).bucketBy(buckets, *keys).sortBy(*keys, "minute_ts").saveAsTable(name)
+    return bars.sparkSession.table(name)
+
+
+def ledger_bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets))
+
+
+def record_in_ledger(path: str, new: DataFrame, keys: list[str], buckets: int = 64) -> DataFrame:
+    """Adds the rows of new (with created_at and run_id) whose key the ledger at path lacks, the first of each key, and returns the ledger.
+
+    The ledger lies in folders by a bucket of the key. Only buckets that new has keys of are read, and what is added are further files
+    there: no file is written again, and those of other buckets are not touched. One writer at a time.
+    """
+    spark = new.sparkSession
+    new = new.withColumn("ledger_bucket", ledger_bucket(keys, buckets))
+    first = new.groupBy(*keys, "ledger_bucket").agg(F.min_by(F.struct(*new.columns), F.struct("created_at", "run_id")).alias("r")).select("r.*")
+    schema = new.schema
+    try:
+        old = spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None
+    if old is not None:
+        touched = [r[0] for r in new.select("ledger_bucket").distinct().collect()]  # `buckets` numbers at most
+        known = old.where(F.col("ledger_bucket").isin(touched)).select(*keys)
+        same = reduce(lambda a, b: a & b, [first[k].eqNullSafe(known[k]) for k in keys])
+        first = first.join(known, same, "left_anti")
+    first.repartition("ledger_bucket").write.mode("append").partitionBy("ledger_bucket").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
