@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import packed, place_of, small, stage, unpacked
 
 #: Hidden units of each direction; bytes of a window of a word, and of these on either side those that only another window labels; documents of each language and words of each document learned from.
+#: Characters of a word that are learned from, at most; labelling reads all of them.
+LEARNT_CHARS = 64
 HIDDEN, PIECE, MARGIN, SAMPLE_DOCS, SAMPLE_WORDS = 16, 24, 6, 300, 40
 #: A text is of no language if that is more probable than each language by SLACK / sqrt(byte positions): short texts need more.
 SLACK = 3.0
@@ -196,7 +198,7 @@ def noise_of(word: str, rng: np.random.Generator) -> str:
 def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, noise: bool = False) -> Labeller:
     """Learns from text and lang of at most sample_docs documents of each language (those of the smallest hashes among
     the rows with a lang whose crc32(doc_id as text) mod folds is not 0; rows equal in lang, doc_id and text are one), and of these at
-    most sample_words words each. With noise the last label is `und`, learned from as many words of no language as a language has on average."""
+    most sample_words words each, of a longer word the first LEARNT_CHARS characters; so the sample's size is bounded. With noise the last label is `und`, learned from as many words of no language as a language has on average."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     own = F.xxhash64("text").alias("own")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % folds != 0)).select(F.col("lang").alias("lang"), F.col("doc_id").alias("doc_id"), own, F.col("text").alias("text"))
@@ -209,7 +211,7 @@ def fit(docs: DataFrame, folds: int = 5, sample_docs: int = SAMPLE_DOCS, sample_
         picked = picked.groupBy("lang", "doc_id", "own").agg(F.min("part").alias("part"))
     picked = small(stage(picked.select("lang", "doc_id", "own"), "picked"), F.length("lang"))  # the sample
     parts = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
-    drawn = F.transform(F.array_distinct(F.array_remove(parts, "")), lambda w: F.struct(F.xxhash64("own", w).alias("h"), w.alias("w")))
+    drawn = F.transform(F.array_distinct(F.array_remove(parts, "")), lambda w: F.struct(F.xxhash64("own", w).alias("h"), F.left(w, F.lit(LEARNT_CHARS)).alias("w")))
     some = F.slice(F.array_sort(drawn), 1, sample_words).getField("w")  # by hash: the same words in every run
     same = known.doc_id.eqNullSafe(picked.doc_id) & (known.lang == picked.lang) & (known.own == picked.own)
     rows = known.join(picked, same, "left_semi").dropDuplicates(["lang", "doc_id", "own"]).select("lang", "doc_id", F.array_sort(some).alias("w")).collect()  # bounded by the sample
