@@ -32,6 +32,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   (failed & {quality.POLICIES['v3']}) = 0 AS kept, failed FROM f"""
 
 
+def _ablations() -> str:
+    per = ", ".join(f"('{p}', '{name}', {mask}, {quality.BITS[name]})" for p, mask in quality.POLICIES.items() for name, _ in quality.RULES if mask & quality.BITS[name])
+    n = "CAST(count(*) FILTER ({}) AS BIGINT) AS {}".format
+    return f"""
+WITH led AS ({_op2()}), per AS (SELECT * FROM (VALUES {per}) AS v(policy, rule, mask, bit))
+SELECT policy, rule, {n('failed & bit > 0', 'failing')}, {n('failed & mask = bit', 'sole')}, {n('failed & mask = 0', 'kept')}, {n('failed & mask & ~bit = 0', 'kept_without')} FROM per LEFT JOIN led ON true GROUP BY policy, rule"""
+
+
 def _op3() -> str:
     return f"""
 WITH d AS (SELECT doc_id, source, CAST(len({_words('text')}) AS BIGINT) AS size FROM documents),
@@ -147,6 +155,7 @@ SELECT * FROM r WHERE rank <= 10"""
 
 SQL = {
     "op2_quality_ledger": _op2(),
+    "quality_ablations": _ablations(),
     "op3_source_mix": _op3(),
     "op4_decontamination": _op4(),
     "op7_warc": OP7,

@@ -19,6 +19,11 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.verdict("v3").alias("kept"), "failed")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, over the ledger of all documents."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -98,5 +103,5 @@ def op13_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_brown_scores, op2_quality_ledger, op3_source_mix, op4_decontamination, op5_language, op6_secrets, op7_warc, op8_html_text, op9_shards, op10_near_duplicates, op11_periodic_runs, op12_spelling_variants, op13_top_vectors)
+    for f in (op1_brown_scores, op2_quality_ledger, op3_source_mix, op4_decontamination, op5_language, op6_secrets, op7_warc, op8_html_text, op9_shards, op10_near_duplicates, op11_periodic_runs, op12_spelling_variants, op13_top_vectors, quality_ablations)
 }

@@ -7,7 +7,33 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import common, decontamination, html_blocks, periodic_runs, queries, sharding, spelling, topk
+from barloom.llm import common, decontamination, html_blocks, language, periodic_runs, queries, sharding, spelling, topk
+
+# 5 language
+
+
+def test_language_equals_the_network_over_whole_texts(spark):
+    """lang_pred and score by one forward pass over every window of every word of a text, position by position, without the labeller's sums."""
+    rng = random.Random(9)
+    stems = {"en": ["the", "thing", "with", "hand"], "fr": ["où", "été", "eux", "ça"], "de": ["über", "straße", "nicht"]}
+    rows = [(i, " ".join(rng.choice(stems[lang]) + rng.choice(["", "s", "en"]) for _ in range(rng.randint(1, 30))), lang) for i in range(90) for lang in [rng.choice(list(stems))]]
+    rows += [(200, "w" * 200_000, "en"), (201, None, "en"), (202, "12 !", "fr"), (203, "", None), (204, "Où THE " * 500, None), (205, "x" * 23 + " " + "y" * 24 + " " + "é" * 25, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(d, sample_docs=20, sample_words=10)
+    assert max(len(w) for r in rows for w in (r[1] or "").split()) > language.LEARNT_CHARS
+    for r in language.label(d.select("doc_id", "text"), model).collect():
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total, n = np.zeros(len(model.labels)), 0
+        for w, times in Counter(r.text.lower().encode().split()).items():
+            for piece, a, b in language.pieces_of(w):
+                total += times * model.net.forward(np.frombuffer(piece, np.uint8)[None])[0][0][a:b].sum(0)
+                n += times * (b - a)
+            assert sum(b - a for _, a, b in language.pieces_of(w)) == len(w) + 2
+        y = total / n
+        assert abs(r.score - y.max()) < 1e-4 and y[model.labels.index(r.lang_pred)] > y.max() - 1e-4
+
 
 # 8 HTML
 
