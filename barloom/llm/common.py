@@ -42,6 +42,11 @@ def packed(df: DataFrame, **more: Column) -> DataFrame:
     return df.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in more.items()))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """packed()'s row as something that can be hashed: maps have no hash of their own."""
+    return F.to_json("row") if "map<" in df.schema.simpleString() else F.col("row")
+
+
 def place_of(df: DataFrame, column: str) -> int:
     """Where a column stands in the struct of packed()."""
     return [c.lower() for c in df.columns].index(column.lower())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, small, stage, unpacked, words
+from .common import packed, small, stage, unpacked, whole_row, words
 
 #: No target exceeds this many times its source's size.
 MOST = 3
@@ -35,16 +35,23 @@ def targets_sql(weights: tuple[int, ...] = (1, 2, 3), sizes: str = "{sizes}") ->
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """rows (row, doc_id, text, ...) with key: what tells a row from all others that can be told apart, and the number among its equals."""
+    """rows (row, doc_id, text, ...) with key: what tells a row from all others that can be told apart, and the number among its equals.
+
+    Rows whose doc_id and text occur once have these as key. Of all others equal rows are counted and made anew from the count, so many copies of
+    one row are no hot task, and a task that runs again numbers them alike."""
     text = F.coalesce(F.concat(F.lit("t"), F.md5(F.col("text").cast("binary"))), F.lit(""))
     rows = rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id"), F.lit("null")), text))
     again = stage(rows.groupBy("key").count().where("count > 1").select("key"), "again")
     if again.isEmpty():
         return rows
     again = small(again, F.length("key"))
-    number = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
-    repeated = rows.join(again, "key", "left_semi").withColumn("key", F.concat_ws(":", "key", number))
-    return rows.join(again, "key", "left_anti").unionByName(repeated)
+    whole = whole_row(rows)
+    equal = rows.join(again, "key", "left_semi").groupBy("key", F.xxhash64(whole).alias("h"), F.xxhash64(F.lit(1), whole).alias("g"))
+    copies = equal.agg(F.first(F.struct(*(c for c in rows.columns if c != "key"))).alias("r"), F.count("*").alias("n"))
+    copies = copies.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    key = F.concat_ws(":", *(F.col(c).cast("string") for c in ("key", "h", "g", "k")))
+    repeated = copies.select(*(F.col(f"r.{c}") if c != "key" else key.alias("key") for c in rows.columns))
+    return rows.join(again, "key", "left_anti").select(*rows.columns).unionByName(repeated)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5, by_row: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, small, stage, unpacked
+from .common import packed, small, stage, unpacked, whole_row
 
 
 def _by_hash(a: Column, b: Column) -> Column:
@@ -41,7 +41,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 11, bucke
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, math.ceil(total / (bucket_bytes or min(MOST_BYTES, max(LEAST_BYTES, total / BUCKETS)))))
     rows = packed(docs)
-    whole = F.to_json("row") if "map<" in docs.schema.simpleString() else F.col("row")  # maps have no hash of their own
+    whole = whole_row(docs)
     rows = _dealt(rows.withColumns({"h": F.xxhash64(F.lit(seed), whole), "g": F.xxhash64(F.lit(seed + 1), whole)}))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("bucket").count()

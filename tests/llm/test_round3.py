@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import common, decontamination, html_blocks, language, periodic_runs, queries, sharding, spelling, topk
+from barloom.llm import common, decontamination, html_blocks, language, mixing, periodic_runs, queries, sharding, spelling, topk
 
 # 5 language
 
@@ -303,3 +303,22 @@ def test_products_are_exact():
 def test_queries_are_registered():
     for n in (11, 12, 13):
         assert any(q.startswith(f"op{n}_") for q in queries.QUERIES)
+
+
+# 3 mixing
+
+
+def test_mix_of_many_copies(spark):
+    """Every copy of a row has a draw of its own, the input's partitions decide nothing, and no window ranks the copies."""
+    rows = [(1, "a b c", "hot", "x")] * 3000 + [(1, "a b c", "hot", str(i)) for i in range(50)] + [(i, "w " * 20, "cold", "y") for i in range(2, 40)] + [(None, None, None, None)] * 7
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string")
+    count = lambda df: Counter((r.doc_id, r.text, r.source, r.extra) for r in mixing.emit(df).collect())
+    one = count(d.repartition(3))
+    assert one == count(d.orderBy("extra").repartition(7))
+    mixed = mixing.mix(d, by_row=True)
+    assert mixed.count() == len(rows)
+    copies = Counter(r.copies for r in mixed.where("doc_id = 1").collect())
+    assert len(copies) > 1 and one[(1, "a b c", "hot", "x")] == sum(r.copies for r in mixed.where("extra = 'x'").collect())
+    per = mixed.where("source = 'hot'").agg(F.sum(F.col("size") * F.col("copies")), F.first("target")).first()
+    assert abs(per[0] - per[1]) < 0.1 * per[1]
+    assert "row_number" not in mixed._jdf.queryExecution().optimizedPlan().toString()
