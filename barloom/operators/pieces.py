@@ -7,13 +7,13 @@ windows partitioned by key and piece meet an exchange on both. Two ways lead ove
   totals of the pieces are a table of one row each, scanned by key and joined back.
 - `in_pieces`: a frame of n rows needs n rows of the pieces before. Rows are numbered by `running`, cut into pieces of equal
   length, and those near an edge are copied to the next piece; any function over windows of that length then runs unchanged.
+
+The data are read twice and three times, so what is costly to make is better stored first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +29,15 @@ def piece_span(df: DataFrame, keys: list[str], order: str, rows: int = ROWS) ->
     return max(1, int(rows / dense)) if dense else 1
 
 
+#: The column of a row's piece.
+PIECE = "_piece"
+
+
+def cut(df: DataFrame, order: str, span: int | None) -> DataFrame:
+    """df with each row's piece, for calls in a row that share their exchange; as it is where it has that already, or without a span."""
+    return df if span is None or PIECE in df.columns else df.withColumn(PIECE, F.floor(F.col(order) / span))
+
+
 def _present(x: Column) -> Column:
     return F.struct(x.alias("x"))
 
@@ -38,19 +47,21 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[str
 
     Kinds: sum, count, max and min of x; last: the newest x that is not NULL; lag: x of the row before; moments: a struct (n, mean, m2) of
     the x that are not NULL, m2 being the sum of squared distances from the mean, by pairwise merging of pieces (Chan). `order` is a number that is
-    not NULL; with span None a key is one piece. Sums of nothing are NULL, counts 0.
+    not NULL; with span None a key is one piece. With a span no key is NULL. Sums of nothing are NULL, counts 0.
+
+    Rows are exchanged by key and piece, once for any number of calls that share cut()'s column; the totals are a second reading of df.
     """
     kept = df.columns
     local_keys = list(keys)
     if span is not None:
-        df, local_keys = df.withColumn("_piece", F.floor(F.col(order) / span)), [*keys, "_piece"]
+        df, local_keys = cut(df, order, span), [*keys, PIECE]
     by = [order, *(then or [])]
     w = Window.partitionBy(*local_keys).orderBy(*by)
     upto = w.rowsBetween(PAST, 0)
     x = {name: f"_x{i}" for i, name in enumerate(values)}
     df = df.withColumns({x[n]: v for n, (_, v) in values.items()})
     own, total, carry, merged = {}, {}, {}, {}
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(PAST, -1)
+    earlier = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(PAST, -1)
     newest = F.struct(*by)
     for i, (name, (kind, _)) in enumerate(values.items()):
         c, t, o, b = F.col(x[name]), f"_t{i}", F.col(f"_l{i}"), F.col(f"_c{i}")
@@ -80,9 +91,7 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[str
     else:
         totals = df.groupBy(*local_keys).agg(*(a.alias(n) for n, a in total.items()))
         carried = totals.select(*local_keys, *(c.alias(n) for n, c in carry.items()))
-        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(local_keys)])
-        carried = carried.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(local_keys)), *carry)
-        out = df.join(carried, on, "left").withColumns(own)
+        out = df.join(carried, local_keys, "left").withColumns(own)  # by the columns that the windows need
     rest = [c for c in kept if c not in values]
     return out.select(*(F.col(f"`{c}`") for c in rest), *(m.alias(n) for n, m in merged.items()))
 

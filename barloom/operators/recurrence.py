@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pieces import running
+from .pieces import PIECE, cut, running
 from .tape import KEYS, PAST
 
 #: e^REACH is far from the largest double, and e^-REACH far below its rounding.
@@ -64,10 +64,8 @@ def linear_recurrences(df: DataFrame, specs: list[Recurrence], span: int | None
     for r in specs:
         groups.setdefault((r.counts or r.x, r.n, r.a), []).append(r)
     counted = {c: f"_n{i}" for i, c in enumerate(dict.fromkeys(g[0] for g in groups))}
-    df = running(df, {n: ("count", F.col(c)) for c, n in counted.items()}, KEYS, "minute_ts", span)
-    keys = KEYS
-    if span is not None:
-        df, keys = df.withColumn("_piece", F.floor(F.col("minute_ts") / span)), [*KEYS, "_piece"]
+    keys = KEYS if span is None else [*KEYS, PIECE]
+    df = running(cut(df, "minute_ts", span), {n: ("count", F.col(c)) for c, n in counted.items()}, KEYS, "minute_ts", span)
     own: dict[str, str] = {}
     for g, ((counts, n, a), members) in enumerate(groups.items()):
         at, present, block, place = F.col(counted[counts]), F.col(counts).isNotNull(), f"_b{g}", f"_o{g}"
@@ -117,16 +115,14 @@ def _with_pieces_before(df: DataFrame, groups: dict, counted: dict[str, str], ow
     steps = lambda counts, n: F.greatest(F.col(counted[counts]) - n, F.lit(0))
     last = F.max_by(F.struct(*(F.col(n) for n in counted.values()), *(F.col(y) for y in own.values())), "minute_ts")
     pieces = df.groupBy(*keys).agg(last.alias("_end"))
-    earlier = Window.partitionBy(*KEYS).orderBy("_piece").rowsBetween(PAST, -1)
+    earlier = Window.partitionBy(*KEYS).orderBy(PIECE).rowsBetween(PAST, -1)
     pieces = pieces.withColumn("_ends", F.collect_list("_end").over(earlier))
     incoming = {}
     for (counts, n, a), members in groups.items():
         for r in members:
             y, c = own[r.out], counted[counts]
             incoming[f"_in_{y}"] = F.aggregate("_ends", F.struct(F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("y")), _composed(y, c, n, a))
-    carried = pieces.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)), *(v.alias(k) for k, v in incoming.items()))
-    on = (F.col("_k0").eqNullSafe(F.col(keys[0]))) & (F.col("_k1").eqNullSafe(F.col(keys[1]))) & (F.col("_k2") == F.col(keys[2]))
-    df = df.join(carried, on, "left")
+    df = df.join(pieces.select(*keys, *(v.alias(k) for k, v in incoming.items())), keys, "left")
     total = {}
     for (counts, n, a), members in groups.items():
         for r in members:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.rows import KINDS
-from .pieces import running
+from .pieces import PIECE, cut, running
 
 KEYS = ["dataset", "symbol"]
 
@@ -51,7 +51,8 @@ def funding_as_of(df: DataFrame, cadence_ms: int | None = None, span: int | None
 
     A bar after the last covered one is stale for one bar of grace; with a cadence the grace is elapsed time. span: see pieces.running().
     """
-    df = df.withColumn("_on", covered("funding"))
+    hidden = [] if span is None or PIECE in df.columns else [PIECE]
+    df = cut(df, "minute_ts", span).withColumn("_on", covered("funding"))
     df = running(df, {"_was": ("lag", F.col("_on")), "_rate": ("lag", F.col("funding_rate")), "_ts": ("lag", F.col("minute_ts"))}, KEYS, "minute_ts", span)
     grace = F.coalesce("_was", F.lit(False))
     changed = F.col("_on") & (~grace | ~F.col("funding_rate").eqNullSafe(F.col("_rate")))
@@ -61,7 +62,7 @@ def funding_as_of(df: DataFrame, cadence_ms: int | None = None, span: int | None
         grace = grace & (F.col("minute_ts") - F.col("_ts") <= cadence_ms)
     df = df.withColumn("funding_state", F.when(F.col("_on"), "present").when(grace, "stale").otherwise("missing"))
     shown = F.col("funding_state") != "missing"
-    return df.withColumn("funding_point_ts", F.when(shown, F.col("_point.ts"))).withColumn("funding_point_rate", F.when(shown, F.col("_point.rate"))).drop("_on", "_was", "_rate", "_ts", "_point")
+    return df.withColumn("funding_point_ts", F.when(shown, F.col("_point.ts"))).withColumn("funding_point_rate", F.when(shown, F.col("_point.rate"))).drop("_on", "_was", "_rate", "_ts", "_point", *hidden)
 
 
 def as_of(df: DataFrame, kind: str) -> DataFrame:

@@ -49,10 +49,24 @@ def test_running(bars, span):
     assert pieces.running(bars.limit(0), values, KEYS, "minute_ts", span).count() == 0
 
 
-def test_running_with_null_keys_and_ties(spark):
-    d = spark.createDataFrame([(None, 5, "b", 1.0), (None, 5, "a", 2.0), ("k", 9, "a", 4.0), (None, 90, "a", 8.0)], "k string, t long, u string, x double")
+def test_running_with_ties_and_one_exchange(spark, bars):
+    d = spark.createDataFrame([("n", 5, "b", 1.0), ("n", 5, "a", 2.0), ("k", 9, "a", 4.0), ("n", 90, "a", 8.0)], "k string, t long, u string, x double")
     got = pieces.running(d, {"s": ("sum", F.col("x"))}, ["k"], "t", 10, ["u"])
-    assert sorted((str(r.k), r.t, r.u, r.s) for r in got.collect()) == [("None", 5, "a", 2.0), ("None", 5, "b", 3.0), ("None", 90, "a", 11.0), ("k", 9, "a", 4.0)]
+    assert sorted(tuple(r) for r in got.select("k", "t", "u", "s").collect()) == [("k", 9, "a", 4.0), ("n", 5, "a", 2.0), ("n", 5, "b", 3.0), ("n", 90, "a", 11.0)]
+    whole = pieces.running(d.unionByName(d.limit(1).withColumn("k", F.lit(None).cast("string"))), {"s": ("sum", F.col("x"))}, ["k"], "t", None, ["u"])
+    assert whole.count() == 5
+    chain = pieces.cut(bars.drop("gap"), "minute_ts", 7 * M)
+    for name, kind in (("a", "sum"), ("b", "lag"), ("c", "last")):
+        chain = pieces.running(chain, {name: (kind, F.col("close"))}, KEYS, "minute_ts", 7 * M)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = chain._jdf.queryExecution().executedPlan().toString()
+        rows = [line for line in plan.splitlines() if "hashpartitioning(dataset" in line and "_piece" in line]
+        assert len(rows) <= 1 + 2 * 3  # the rows once for all calls, and for each call its totals and what they carry, a row for each piece
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def scalar(x, r):
