@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .pieces import PIECE, cut, running
 from .recurrence import ema as _ema
 from .recurrence import linear_recurrences, rma, wilder_sum
@@ -51,7 +52,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, source:
     """df with a struct (macd, signal, histogram), NULL until the signal is ready."""
     df, hidden = _cut(df, span)
     df = linear_recurrences(df.withColumn("_x", source_column(source)), [_ema("_f", "_x", fast), _ema("_s", "_x", slow)], span)
-    df = linear_recurrences(df.withColumn("_line", F.col("_f") - F.col("_s")), [_ema("_sig", "_line", signal)], span)
+    df = linear_recurrences(_kept(df.withColumn("_line", F.col("_f") - F.col("_s")), span), [_ema("_sig", "_line", signal)], span)
     value = F.struct(F.col("_line").alias("macd"), F.col("_sig").alias("signal"), (F.col("_line") - F.col("_sig")).alias("histogram"))
     return df.withColumn(out, F.when(F.col("_sig").isNotNull(), value)).drop("_x", "_f", "_s", "_line", "_sig", *hidden)
 
@@ -61,6 +62,11 @@ def _cut(df: DataFrame, span: int | None) -> tuple[DataFrame, list[str]]:
     return cut(df, "minute_ts", span), [] if span is None or PIECE in df.columns else [PIECE]
 
 
+def _kept(df: DataFrame, span: int | None) -> DataFrame:
+    """In pieces each step reads what the one before gives several times, so it is stored."""
+    return df if span is None else stored(df, "pieces")
+
+
 def _before(df: DataFrame, columns: dict[str, Column], span: int | None) -> DataFrame:
     """df with columns of the bar before."""
     return running(df, {name: ("lag", c) for name, c in columns.items()}, KEYS, "minute_ts", span)
@@ -71,7 +77,7 @@ def rsi(df: DataFrame, period: int = 14, source: str = "close", out: str = "rsi"
     df = _before(df, {"_x": source_column(source)}, span)
     change = source_column(source) - F.col("_x")
     df = df.withColumns({"_up": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_down": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
-    df = linear_recurrences(df, [rma("_g", "_up", period, "_up"), rma("_l", "_down", period, "_up")], span)
+    df = linear_recurrences(_kept(df, span), [rma("_g", "_up", period, "_up"), rma("_l", "_down", period, "_up")], span)
     value = F.when(F.col("_l") == 0, 100.0).when(F.col("_g") == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(F.col("_g"), F.col("_l"))))
     return df.withColumn(out, F.when(F.col("_l").isNotNull(), value)).drop("_x", "_up", "_down", "_g", "_l", *hidden)
 
@@ -84,7 +90,7 @@ def _true_range(before: Column, first: bool) -> Column:
 def atr(df: DataFrame, period: int = 14, out: str = "atr", span: int | None = None) -> DataFrame:
     df, hidden = _cut(df, span)
     df = _before(df, {"_x": F.col("close")}, span).withColumn("_tr", _true_range(F.col("_x"), False))
-    return linear_recurrences(df, [rma(out, "_tr", period)], span).drop("_x", "_tr", *hidden)
+    return linear_recurrences(_kept(df, span), [rma(out, "_tr", period)], span).drop("_x", "_tr", *hidden)
 
 
 def adx(df: DataFrame, period: int = 14, out: str = "adx", span: int | None = None) -> DataFrame:
@@ -93,10 +99,10 @@ def adx(df: DataFrame, period: int = 14, out: str = "adx", span: int | None = No
     up, down = F.col("high") - F.col("_high"), F.col("_low") - F.col("low")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     df = df.withColumns({"_tr": _true_range(F.col("_x"), True), "_pdm": zero(F.when((up > down) & (up > 0), up)), "_mdm": zero(F.when((down > up) & (down > 0), down))})
-    df = linear_recurrences(df, [wilder_sum("_t", "_tr", period, "_tr"), wilder_sum("_p", "_pdm", period, "_tr"), wilder_sum("_m", "_mdm", period, "_tr")], span)
+    df = linear_recurrences(_kept(df, span), [wilder_sum("_t", "_tr", period, "_tr"), wilder_sum("_p", "_pdm", period, "_tr"), wilder_sum("_m", "_mdm", period, "_tr")], span)
     p, m = (zero(100 * F.try_divide(F.col(c), F.col("_t"))) for c in ("_p", "_m"))
     dx = zero(100 * F.try_divide(F.abs(p - m), p + m))
-    df = linear_recurrences(df.withColumn("_dx", F.when(F.col("_t").isNotNull(), dx)), [rma(out, "_dx", period)], span)
+    df = linear_recurrences(_kept(df.withColumn("_dx", F.when(F.col("_t").isNotNull(), dx)), span), [rma(out, "_dx", period)], span)
     return df.drop("_x", "_high", "_low", "_tr", "_pdm", "_mdm", "_t", "_p", "_m", "_dx", *hidden)
 
 

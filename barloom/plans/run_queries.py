@@ -15,8 +15,9 @@ from ..operators import simulate as sim
 from ..operators import tape
 from ..operators.tape import bar_index, grid
 from ..sources.rows import check_timeframe, list_datasets, record_in_ledger, write_bars
+from ..sources.store import shared_folder
 from . import tape_queries  # noqa: F401  its SQL is used again below
-from .bars import BARS, EQUITY, HOUR, LINES, RUN_TRADES, SQL, TRADES, bars_events, bars_lineitem, cdf_sql, fixed_trades, inverse_sql, query, r6, runs_equity, runs_trades, s6, shared_folder, table
+from .bars import BARS, EQUITY, HOUR, LINES, RUN_TRADES, SQL, TRADES, bars_events, bars_lineitem, cdf_sql, fixed_trades, inverse_sql, query, r6, runs_equity, runs_trades, s6, table
 
 _B, _L = f"WITH {BARS}", f"WITH {LINES}"
 _T, _E, _R = f"{_B}, {TRADES} ", f"{_L}, {EQUITY} ", f"{_L}, {RUN_TRADES} "

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import recurrence as rec
 from ..streaming import jobs
-from .bars import BARS, HOUR, bars_events, query, r6, shared_folder, table
+from ..sources.store import shared_folder
+from .bars import BARS, HOUR, bars_events, query, r6, table
 from .tape_queries import _RB, _ema
 
 _B = f"WITH {BARS} "
