@@ -27,11 +27,11 @@ def equity_metrics(equity: DataFrame, keys: list[str] | None = None, years: Colu
     agg = e.groupBy(*keys).agg(
         F.max_by("equity", "seq").alias("last"), F.min_by("equity", "seq").alias("first"), F.max("_dd").alias("max_drawdown"), F.count("*").alias("points"), F.count_if(F.col("_prev") == 0).alias("zeros"),
         F.avg("_r").alias("m"), F.stddev_pop("_r").alias("s"), F.sqrt(F.avg(F.when(r < 0, r * r).when(r.isNotNull(), 0.0))).alias("down"), F.skewness("_r").alias("skew"), F.kurtosis("_r").alias("kurt"), F.count("_r").alias("n"),
-        ((F.max("bar_ts") - F.min("bar_ts")) / YEAR_MS).alias("span"), F.count_distinct("bar_ts").alias("times"), *([F.first("_years").alias("_years")] if years is not None else []),
+        ((F.max("bar_ts") - F.min("bar_ts")) / YEAR_MS).alias("span"), (F.max("bar_ts") > F.min("bar_ts")).alias("times"), *([F.first("_years").alias("_years")] if years is not None else []),
     )
     ok = (F.col("points") >= 2) & (F.col("zeros") == 0)
     many = ok & (F.col("n") > 1) & (F.col("s") > 0)
-    elapsed = F.col("_years") if years is not None else F.when(F.col("times") >= 2, F.col("span"))
+    elapsed = F.col("_years") if years is not None else F.when(F.col("times"), F.col("span"))
     grown = F.when((elapsed > 0) & (F.col("first") > 0) & (F.col("last") > 0), F.pow(F.col("last") / F.col("first"), F.try_divide(F.lit(1.0), elapsed)) - 1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = agg.select(
