@@ -14,6 +14,8 @@ The data are read twice and three times, so what is costly to make is better sto
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[str
     upto = w.rowsBetween(PAST, 0)
     x = {name: f"_x{i}" for i, name in enumerate(values)}
     df = df.withColumns({x[n]: v for n, (_, v) in values.items()})
-    own, total, carry, merged = {}, {}, {}, {}
+    own, total, carry, merged, scanned = {}, {}, {}, {}, []
     earlier = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(PAST, -1)
     newest = F.struct(*by)
     for i, (name, (kind, _)) in enumerate(values.items()):
@@ -81,7 +83,7 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[str
         elif kind == "moments":
             three = lambda f: F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("m2")) if f is None else F.struct(F.count(c).over(f).alias("n"), F.avg(c).over(f).alias("mean"), (F.var_pop(c).over(f) * F.count(c).over(f)).alias("m2"))
             own[f"_l{i}"], total[t] = three(upto), three(None)
-            carry[f"_c{i}"] = F.reduce(F.collect_list(t).over(earlier), _nothing(), chan)
+            scanned.append((f"_c{i}", t))
             merged[name] = chan(F.coalesce(b, _nothing()), o)
         else:
             raise ValueError(f"unknown kind {kind}")
@@ -90,12 +92,38 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[str
         out = df.withColumns(own)
     else:
         totals = df.groupBy(*local_keys).agg(*(a.alias(n) for n, a in total.items()))
-        carried = totals.select(*local_keys, *(c.alias(n) for n, c in carry.items()))
+        carried = totals.select(*local_keys, *(c.alias(n) for n, c in carry.items()), *(t for _, t in scanned))
+        for name, t in scanned:
+            carried = _moments_before(carried, t, name, keys)
         out = df.join(carried, local_keys, "left").withColumns(own)  # by the columns that the windows need
     rest = [c for c in kept if c not in values]
     return out.select(*(F.col(f"`{c}`") for c in rest), *(m.alias(n) for n, m in merged.items()))
 
 
+#: Pieces of a stretch, and stretches of a longer one, that moments are merged over; levels of these.
+FAN, LEVELS = 64, 3
+
+
+def _moments_before(totals: DataFrame, t: str, name: str, keys: list[str]) -> DataFrame:
+    """totals (keys, PIECE, ...), a row for each piece, with `name` in place of the moments t: those of all pieces before. A piece merges the pieces before it in its
+    stretch of FAN, these the stretches before in theirs, and so on: FAN * LEVELS at most for each piece, however many there are; above the levels, all that is left."""
+    merge = lambda c: F.reduce(c, _nothing(), chan)
+    parts, below, at = [], totals.select(*keys, F.col(PIECE).alias("_at0"), F.col(t).alias("_m")), totals
+    for level in range(LEVELS):
+        up, here = f"_at{level + 1}", f"_at{level}"
+        stretch = [*keys, up] if level < LEVELS - 1 else keys
+        rows = below.withColumn(up, F.floor(F.col(here) / FAN))
+        before = F.collect_list("_m").over(Window.partitionBy(*stretch).orderBy(here).rowsBetween(PAST, -1))
+        found = rows.select(*keys, here, merge(before).alias(f"_b{level}"))
+        at = at.withColumn(here, F.col(PIECE)) if level == 0 else at.withColumn(here, F.floor(F.col(f"_at{level - 1}") / FAN))
+        at = at.join(found, [*keys, here])
+        parts.append(F.col(f"_b{level}"))
+        of = F.transform(F.array_sort(F.collect_list(F.struct(here, "_m"))), lambda p: p["_m"])
+        below = rows.groupBy(*keys, up).agg(merge(of).alias("_m"))
+    all_before = reduce(chan, reversed(parts))
+    return at.withColumn(name, all_before).drop(t, *(f"_{x}{k}" for x in ("at", "b") for k in range(LEVELS)))
+
+
 def _nothing() -> Column:
     return F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("m2"))
 
