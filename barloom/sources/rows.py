@@ -76,10 +76,10 @@ def dedup_minutes(rows: DataFrame, arrival: str = "seq") -> DataFrame:
 
 
 def merge_kinds(bars: DataFrame, funding: DataFrame, oi: DataFrame) -> DataFrame:
-    """bars with turnover = close * volume and the funding and open interest of the very same minute; of repeated minutes the last (by seq) counts."""
+    """bars with turnover = close * volume and the funding and open interest of the very same minute; of repeated minutes the last value (by seq) counts."""
     keys = ["symbol", "minute_ts"]
-    f = funding.groupBy(*keys).agg(F.max_by("funding_rate", "seq").alias("funding_rate"))
-    o = oi.groupBy(*keys).agg(F.max_by("oi_total_usd", "seq").alias("oi_total_usd"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    f, o = funding.groupBy(*keys).agg(last("funding_rate")), oi.groupBy(*keys).agg(last("oi_total_usd"))
     out = bars.join(f, keys, "left").join(o, keys, "left")
     return out.select("*", (F.col("close") * F.col("volume")).alias("turnover"), F.col("funding_rate").isNotNull().alias("has_funding"), F.col("oi_total_usd").isNotNull().alias("has_oi"))
 
