@@ -15,7 +15,7 @@ from ..operators import tape
 from ..operators.pieces import in_pieces, piece_span
 from . import run_queries as runs
 from . import tape_queries as tapes
-from .bars import HOUR, SQL, bars_events, fixed_trades, query, r6, runs_equity
+from .bars import HOUR, SQL, bars_events, fixed_trades, query, r6, runs_equity, rounded
 
 #: Bars of a piece here; the tables have some hundred to some thousand bars for each symbol.
 ROWS = 128
@@ -35,7 +35,7 @@ def h1_ema_in_pieces(spark, d) -> DataFrame:
 @query(SQL["i5_macd"])
 def h1_macd_in_pieces(spark, d) -> DataFrame:
     b = bars_events(spark, d)
-    return ind.macd(b, span=_span(b)).select("symbol", "minute_ts", *(F.round(f"macd.{c}", 6).alias(c) for c in ("macd", "signal", "histogram")))
+    return ind.macd(b, span=_span(b)).select("symbol", "minute_ts", *(rounded(f"macd.{c}", 6).alias(c) for c in ("macd", "signal", "histogram")))
 
 
 @query(SQL["i6_rsi"])
@@ -58,19 +58,19 @@ def h1_adx_in_pieces(spark, d) -> DataFrame:
 
 @query(SQL["i1_sma"])
 def h2_sma_in_pieces(spark, d) -> DataFrame:
-    return in_pieces(bars_events(spark, d), lambda b: b.withColumn("sma", F.round(ind.sma(10), 6)), 9, rows=ROWS).select("symbol", "minute_ts", "sma")
+    return in_pieces(bars_events(spark, d), lambda b: b.withColumn("sma", rounded(ind.sma(10), 6)), 9, rows=ROWS).select("symbol", "minute_ts", "sma")
 
 
 @query(SQL["i2_bollinger"])
 def h2_bollinger_in_pieces(spark, d) -> DataFrame:
     out = in_pieces(bars_events(spark, d), lambda b: b.withColumn("v", ind.bollinger()), 19, rows=ROWS)
-    return out.select("symbol", "minute_ts", *(F.round(f"v.{c}", 6).alias(c) for c in ("lower", "middle", "upper")))
+    return out.select("symbol", "minute_ts", *(rounded(f"v.{c}", 6).alias(c) for c in ("lower", "middle", "upper")))
 
 
 @query(SQL["i3_stochastic"])
 def h2_stochastic_in_pieces(spark, d) -> DataFrame:
     out = in_pieces(bars_events(spark, d), lambda b: ind.stochastic(b, 14, 3, 3), 14 + 3 + 3 - 3, rows=ROWS)
-    return out.select("symbol", "minute_ts", F.round("stochastic.k", 6).alias("k"), F.round("stochastic.d", 6).alias("d"))
+    return out.select("symbol", "minute_ts", rounded("stochastic.k", 6).alias("k"), rounded("stochastic.d", 6).alias("d"))
 
 
 @query(SQL["s2_pump_signal"])
@@ -81,7 +81,7 @@ def h2_pump_in_pieces(spark, d) -> DataFrame:
 @query(SQL["s4_dump_high_to_low"])
 def h2_dump_in_pieces(spark, d) -> DataFrame:
     out = in_pieces(bars_events(spark, d), lambda b: sig.dump_high_to_low(b, 10), 9, rows=ROWS).where("dump is not null")
-    return out.select("symbol", "minute_ts", F.round("dump.drop_high_low", 6).alias("drop_high_low"), "dump.highest_ts", "dump.low_ts", F.round("dump.bounce", 6).alias("bounce"))
+    return out.select("symbol", "minute_ts", rounded("dump.drop_high_low", 6).alias("drop_high_low"), "dump.highest_ts", "dump.low_ts", rounded("dump.bounce", 6).alias("bounce"))
 
 
 @query(SQL["a14_closed_candles"])
@@ -100,19 +100,19 @@ def h3_funding_in_pieces(spark, d) -> DataFrame:
 def h3_accrual_in_pieces(spark, d) -> DataFrame:
     b = tape.bar_index(bars_events(spark, d))
     out = sim.funding_accrual(fixed_trades(spark, d).withColumn("size", F.lit(2.0)), b, 60, span=ROWS)
-    return out.select("trade_id", F.round("funding", 10).alias("funding"), "covered_bars")
+    return out.select("trade_id", rounded("funding", 10).alias("funding"), "covered_bars")
 
 
 @query(SQL["p12_equity_curve"])
 def h3_equity_in_pieces(spark, d) -> DataFrame:
     t = fixed_trades(spark, d).withColumn("size", F.lit(1.0)).withColumn("run_id", F.lit("r"))
     out = sim.equity_curve(t, tape.bar_index(bars_events(spark, d)), 10, ROWS)
-    return out.select("symbol", "seq", "bar_ts", F.round("equity", 5).alias("equity"))
+    return out.select("symbol", "seq", "bar_ts", rounded("equity", 5).alias("equity"))
 
 
 @query(SQL["p13_portfolio_equity"])
 def h3_portfolio_in_pieces(spark, d) -> DataFrame:
-    return sim.portfolio_equity(runs._curve(spark, d), span=ROWS * HOUR).select("bar_ts", "seq", F.round("equity", 6).alias("equity"))
+    return sim.portfolio_equity(runs._curve(spark, d), span=ROWS * HOUR).select("bar_ts", "seq", rounded("equity", 6).alias("equity"))
 
 
 @query(SQL["p14_merge_run_tables"])
@@ -128,7 +128,7 @@ def h3_metrics_in_pieces(spark, d) -> DataFrame:
 
 @query(SQL["d6_trial_context_as_of"])
 def h3_family_in_pieces(spark, d) -> DataFrame:
-    return rs.trial_context_as_of(runs._trials(spark, d), 5, 7).select("run_id", "n_trials", "basis", F.round("v_sr", 8).alias("v_sr"))
+    return rs.trial_context_as_of(runs._trials(spark, d), 5, 7).select("run_id", "n_trials", "basis", rounded("v_sr", 8).alias("v_sr"))
 
 
 @query(SQL["v3_attempt_number"])
