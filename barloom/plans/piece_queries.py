@@ -29,7 +29,7 @@ def _span(bars: DataFrame) -> int:
 @query(SQL["i4_ema"])
 def h1_ema_in_pieces(spark, d) -> DataFrame:
     b = bars_events(spark, d)
-    return ind.ema(b, 20, span=_span(b)).select("symbol", "minute_ts", *r6("ema"))
+    return ind.ema(b, 20, span=_span(b)).select("symbol", "minute_ts", F.when(F.col("close").isNotNull(), rounded("ema", 6)).alias("ema"))
 
 
 @query(SQL["i5_macd"])
