@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +21,15 @@ def floor_closes(points: DataFrame, rows: DataFrame, span: int | None = None) ->
     return both.where("o = 1").select("point_id", "symbol", "ts", F.col("f.ts").alias("floor_ts"), F.col("f.close").alias("floor_close"))
 
 
-def close_to_close_pnl(trades: DataFrame, rows: DataFrame, span: int | None = None) -> DataFrame:
-    """trades (trade_id, symbol, side, entry_ts, exit_ts) with c2c_pct; NULL if a floor row is missing or both are one minute though the times differ."""
+def close_to_close_pnl(trades: DataFrame, rows: DataFrame, span: int | None = None, divide: Callable[[Column, Column], Column] = F.try_divide) -> DataFrame:
+    """trades (trade_id, symbol, side, entry_ts, exit_ts) with c2c_pct; NULL if a floor row is missing or both are one minute though the times differ. divide says what a close of 0 gives, NULL at first."""
     ends = trades.select("trade_id", "symbol", F.explode(F.array(F.struct(F.lit("in").alias("e"), F.col("entry_ts").alias("ts")), F.struct(F.lit("out").alias("e"), F.col("exit_ts").alias("ts")))).alias("x"))
     f = floor_closes(ends.select(F.struct("trade_id", "x.e").alias("point_id"), "symbol", "x.ts"), rows, span)
     pick = lambda e, c: F.max(F.when(F.col("point_id.e") == e, F.col(c)))
     per = f.groupBy(F.col("point_id.trade_id").alias("trade_id")).agg(pick("in", "floor_ts").alias("a"), pick("in", "floor_close").alias("ca"), pick("out", "floor_ts").alias("b"), pick("out", "floor_close").alias("cb"))
     gain = F.when(F.col("side") == "short", F.col("ca") - F.col("cb")).otherwise(F.col("cb") - F.col("ca"))
     lost = (F.col("entry_ts") != F.col("exit_ts")) & (F.col("a") == F.col("b"))
-    return trades.join(per, "trade_id", "left").withColumn("c2c_pct", F.when(~lost, F.try_divide(gain, F.col("ca")) * 100)).drop("a", "b", "ca", "cb")
+    return trades.join(per, "trade_id", "left").withColumn("c2c_pct", F.when(~lost, divide(gain, F.col("ca")) * 100)).drop("a", "b", "ca", "cb")
 
 
 def reconcile_trades(paper: DataFrame, backtest: DataFrame, rows: DataFrame, tol: float = 1e-3) -> DataFrame:
@@ -118,15 +120,15 @@ def first_divergence(a: DataFrame, b: DataFrame, fields: list[str] = FIELDS) ->
     return j.withColumn("field", first).where("field is not null").groupBy("run_id").agg(F.min(F.struct("ordinal", "field")).alias("d")).select("run_id", "d.ordinal", "d.field")
 
 
-def realism_gap(trades: DataFrame) -> DataFrame:
+def realism_gap(trades: DataFrame, divide: Callable[[Column, Column], Column] = F.try_divide) -> DataFrame:
     """trades (symbol, trade_id, side, entry_base, exit_base, entry_fill_price, exit_fill_price, size, fee_paid, funding, covered_bars, held_bars) ->
-    baseline, drags and gap of each, and the mean of each as row AGGREGATE."""
+    baseline, drags and gap of each, and the mean of each as row AGGREGATE. divide says what a price of 0 gives, NULL at first."""
     notional = F.col("size") * F.col("entry_fill_price")
     sign = F.when(F.col("side") == "short", -1.0).otherwise(1.0)
-    base = sign * F.try_divide(F.col("exit_base") - F.col("entry_base"), F.col("entry_base")) * 100
-    real = F.try_divide(sign * (F.col("exit_fill_price") - F.col("entry_fill_price")) * F.col("size") - F.col("fee_paid") - F.col("funding"), notional) * 100
+    base = sign * divide(F.col("exit_base") - F.col("entry_base"), F.col("entry_base")) * 100
+    real = divide(sign * (F.col("exit_fill_price") - F.col("entry_fill_price")) * F.col("size") - F.col("fee_paid") - F.col("funding"), notional) * 100
     slip = F.abs(F.col("entry_fill_price") - F.col("entry_base")) + F.abs(F.col("exit_fill_price") - F.col("exit_base"))
-    d = trades.select("trade_id", base.alias("baseline_pct"), (-F.try_divide(F.col("fee_paid"), notional) * 1e4).alias("fee_bps"), (-F.try_divide(slip * F.col("size"), notional) * 1e4).alias("slippage_bps"), (F.try_divide(F.col("funding"), notional) * 1e4).alias("funding_bps"), F.coalesce(F.try_divide(F.col("covered_bars"), F.col("held_bars")) * 100, F.lit(0.0)).alias("coverage_pct"), real.alias("realistic_pct"))
+    d = trades.select("trade_id", base.alias("baseline_pct"), (-divide(F.col("fee_paid"), notional) * 1e4).alias("fee_bps"), (-divide(slip * F.col("size"), notional) * 1e4).alias("slippage_bps"), (divide(F.col("funding"), notional) * 1e4).alias("funding_bps"), F.coalesce(F.try_divide(F.col("covered_bars"), F.col("held_bars")) * 100, F.lit(0.0)).alias("coverage_pct"), real.alias("realistic_pct"))
     d = d.withColumn("gap_bps", (F.col("realistic_pct") - F.col("baseline_pct")) * 100)
     out = d.rollup("trade_id").agg(*(F.avg(c).alias(c) for c in d.columns[1:]))
     return out.withColumn("trade_id", F.coalesce("trade_id", F.lit("AGGREGATE")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as f
 from ..operators import indicators as ind
 from ..operators import metrics as mt
 from ..operators import reconcile as rc
@@ -139,4 +140,4 @@ def h3_attempts_in_pieces(spark, d) -> DataFrame:
 @query(SQL["c2_close_to_close_pnl"])
 def h3_close_to_close_in_pieces(spark, d) -> DataFrame:
     t = fixed_trades(spark, d).withColumn("entry_ts", F.col("entry_ts") + 600_000).withColumn("exit_ts", F.col("exit_ts") + 600_000)
-    return rc.close_to_close_pnl(t, bars_events(spark, d), ROWS * HOUR).select("trade_id", *r6("c2c_pct"))
+    return rc.close_to_close_pnl(t, bars_events(spark, d), ROWS * HOUR, f.ieee_divide).select("trade_id", *r6("c2c_pct"))
