@@ -26,6 +26,8 @@ from .common import LOWER_AZ, stage
 #: Words that move one by one in the first step, groups of the other words there, and classes (the last is that of the text's end).
 HEAD, GROUPS, CLASSES = 768, 255, 64
 BLOCK_BYTES = 8 << 20
+#: Places of a chunk that are looked at together, and texts that leave their batch together: what numpy and Python widen is no more than these.
+SLICE, TEXTS = 1 << 18, 256
 #: Bytes of text in a shuffle partition beyond the session's number of them.
 PARTITION_BYTES = 256 << 20
 #: Added to a word's count within its class, and weight of the class frequencies in the transitions.
@@ -50,6 +52,13 @@ class Places(dict):
         return found
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes | None, bool]]:
+    """(text, held_out) of a batch's rows."""
+    for at in range(0, batch.num_rows, TEXTS):
+        part = batch.slice(at, TEXTS)
+        yield from zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True)
+
+
 def _encode(block_bytes: int, id_type: pa.DataType):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text, held_out) -> (chunk, words, ids, doc_id, held_out): the words of a chunk joined by spaces, and its
@@ -66,7 +75,7 @@ def _encode(block_bytes: int, id_type: pa.DataType):
 
         for batch in batches:
             start = 0
-            for i, (text, left_out) in enumerate(zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for i, (text, left_out) in enumerate(_texts(batch)):
                 tokens = tokens_of(text)
                 rows.append(np.fromiter(map(place.__getitem__, tokens), np.uint32, len(tokens)))
                 held.append(left_out)
@@ -84,11 +93,31 @@ def _encode(block_bytes: int, id_type: pa.DataType):
     return encode
 
 
-def _places(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+def _places(planes: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+
+
+def _slices(n: int) -> Iterator[slice]:
+    return (slice(at, min(at + SLICE, n)) for at in range(0, n, SLICE))
+
+
+def _taken(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """x[at]; of the places only a slice at a time is widened."""
+    out = np.empty(len(at), x.dtype)
+    for s in _slices(len(at)):
+        out[s] = x[at[s]]
+    return out
+
+
+def _counted(at: np.ndarray, size: int) -> np.ndarray:
+    """How often each of size numbers stands in at."""
+    total = np.zeros(size, np.int64)
+    for s in _slices(len(at)):
+        total += np.bincount(at[s], minlength=size)
+    return total
 
 
-def _decode(words: bytes, planes: bytes, held_out: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _decode(words: bytes, planes: pa.Buffer, held_out: pa.Buffer) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The words of a chunk, its places, and which of these stand in training texts."""
     ids = _places(planes)
     lengths = np.diff(np.flatnonzero(ids == 0), prepend=-1)
@@ -99,14 +128,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
     """(chunk, words, places, training or not) of each chunk in batches that have these columns first."""
     for batch in batches:
         for i in range(batch.num_rows):
-            chunk, words, ids, held = (batch.column(k)[i].as_py() for k in range(4))
-            yield chunk, *_decode(words, ids, held)
+            chunk, words, ids, held = (batch.column(k)[i] for k in range(4))
+            yield chunk.as_py(), *_decode(words.as_py(), ids.as_buffer(), held.as_buffer())
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks -> (word, c): counts in training texts."""
     for _, words, ids, train in _chunks(batches):
-        c = np.bincount(ids[train], minlength=len(words))
+        c = _counted(ids[train], len(words))
         c[0] = 0
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(at)), pa.array(c[at])], ["word", "c"])
@@ -119,9 +148,13 @@ def _pairs(head: dict[bytes, int]):
         """Chunks -> (pair, n): counts of adjacent items in training texts, a text's start being an end."""
         total = np.zeros(size * size, np.int64)
         for _, words, ids, train in _chunks(batches):
-            item = np.array([size - 1, *(head[w] if w in head else group_of(w) for w in words[1:])], np.int64)
-            a = item[ids[train]]
-            total += np.bincount(np.concatenate([[size - 1], a[:-1]])[: len(a)] * size + a, minlength=size * size)
+            item = np.array([size - 1, *(head[w] if w in head else group_of(w) for w in words[1:])], np.int32)
+            a = _taken(item, ids[train])
+            pair = np.concatenate([item[:1], a[:-1]])[: len(a)]
+            pair *= size
+            pair += a
+            for s in _slices(len(pair)):
+                total += np.bincount(pair[s], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -188,19 +221,30 @@ def _neighbours(head: dict[bytes, int], cls: np.ndarray):
         more for one after it, and how often in training texts (in parts of at most 255; empty for words of the others alone)."""
         for chunk, words, ids, train in _chunks(batches):
             w, outside = ids[train], np.array([False, *(x not in head for x in words[1:])])
+            del ids, train
             kind = np.int32 if len(words) < 1 << 24 else np.int64  # keys below 2 ** 31 take half the memory
-            k, tail, end = first_classes(words, head, cls).astype(kind)[w], outside[w], cls[-1:].astype(kind)
-            before, after = np.concatenate([end, k[:-1]])[: len(k)], np.concatenate([k[1:], end])[: len(k)]
-            at = w[tail].astype(kind) * kind(2 * CLASSES)
-            key, n = np.unique(np.concatenate([at + before[tail], at + kind(CLASSES) + after[tail]]), return_counts=True)
-            parts = (n + 254) // 255
-            key, share = np.repeat(key, parts), np.full(parts.sum(), 255)
-            share[np.cumsum(parts) - 1] = n - 255 * (parts - 1)
-            own = np.flatnonzero(outside)
-            start = np.searchsorted(key, own * (2 * CLASSES))
-            seen = np.stack([key % (2 * CLASSES), share], 1).astype(np.uint8).tobytes()
+            k = _taken(first_classes(words, head, cls).astype(np.uint8), w)  # the text before a text, and the one after all, end with the end's class
+            tail = np.flatnonzero(_taken(outside, w)).astype(np.int32)
+            key, end = np.empty(2 * len(tail), kind), np.uint8(cls[-1])
+            for s in _slices(len(tail)):
+                at = tail[s]
+                base = w[at].astype(kind) * kind(2 * CLASSES)
+                key[2 * s.start : 2 * s.stop : 2] = base + np.where(at > 0, k[at - 1], end)
+                key[2 * s.start + 1 : 2 * s.stop : 2] = base + kind(CLASSES) + np.where(at + 1 < len(k), k[np.minimum(at + 1, len(k) - 1)], end)
+            del w, k, tail
+            key.sort()
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]).astype(np.int32)
+            n, key = np.diff(starts, append=np.int32(len(key))), key[starts]
+            parts = (n + np.int32(254)) // np.int32(255)
+            last = np.cumsum(parts) - 1
+            own, key = np.flatnonzero(outside), np.repeat(key, parts)
+            start = np.searchsorted(key, (own * (2 * CLASSES)).astype(kind))
+            seen = np.empty((len(key), 2), np.uint8)
+            seen[:, 0], seen[:, 1] = key % kind(2 * CLASSES), 255
+            seen[last, 1] = n - 255 * (parts - 1)
             ends = np.append(start, len(key)).astype(np.int32) * 2
             seen = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(seen)])
+            del key, starts, n, parts, last
             fields = [pa.array(words, pa.binary()).take(pa.array(own)), seen, pa.array(np.full(len(own), chunk)), pa.array(own.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(fields, ["word", "seen", "chunk", "place"])
 
@@ -325,7 +369,7 @@ def _paths(id_type: pa.DataType):
         carries the number of words by class that have this chunk as their first."""
         out = []
         for i in range(chunk.num_rows):
-            ids, held_out = _places(chunk.column("ids")[i].as_py()), np.frombuffer(chunk.column("held_out")[i].as_py(), np.uint8) != 0
+            ids, held_out = _places(chunk.column("ids")[i].as_buffer()), np.frombuffer(chunk.column("held_out")[i].as_py(), np.uint8) != 0
             k, kinds = np.frombuffer(chunk.column("first")[i].as_py(), np.uint8).copy(), np.zeros(CLASSES, np.int32)
             c = np.zeros(len(k))
             for planes in (chunk.column("known")[i].as_py(), *known.column("known").to_pylist()):
@@ -334,8 +378,8 @@ def _paths(id_type: pa.DataType):
                 kinds += np.bincount(found["cls"][found["cls"] >= FIRST] % FIRST, minlength=CLASSES).astype(np.int32)
             ends = np.flatnonzero(ids == 0) + 1
             starts = np.append(0, ends[:-1])
-            path = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(k[ids].tobytes())])
-            sums = [np.add.reduceat(x[ids], starts) for x in ((c > 0).astype(np.int64), np.log10(c + 1), np.log10(c + ADDED))]
+            path = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(_taken(k, ids))])
+            sums = [np.add.reduceat(_taken(x, ids), starts) for x in ((c > 0).astype(np.int64), np.log10(c + 1), np.log10(c + ADDED))]
             doc_ids = chunk.column("doc_id").combine_chunks().slice(i, 1).flatten().cast(id_type)
             fields = [doc_ids, pa.array(held_out), pa.array(ends - starts), *map(pa.array, sums), path, pa.array([kinds.tobytes(), *[None] * (len(ends) - 1)], pa.binary())]
             out.append(pa.Table.from_arrays(fields, names))

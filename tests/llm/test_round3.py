@@ -4,10 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import common, decontamination, html_blocks, language, mixing, periodic_runs, queries, sharding, spelling, topk
+from barloom.llm import brown, common, decontamination, html_blocks, language, mixing, periodic_runs, queries, sharding, spelling, topk
 
 # 5 language
 
@@ -322,3 +323,23 @@ def test_mix_of_many_copies(spark):
     per = mixed.where("source = 'hot'").agg(F.sum(F.col("size") * F.col("copies")), F.first("target")).first()
     assert abs(per[0] - per[1]) < 0.1 * per[1]
     assert "row_number" not in mixed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_brown_chunk_of_short_words_in_bounded_memory():
+    """op1: a chunk of three million words, a step of which took up to 40 bytes for each."""
+    import tracemalloc
+
+    n, kinds = 3_000_000, 150_000
+    rng = np.random.default_rng(0)
+    ids = (rng.zipf(1.3, n) % kinds).astype(np.uint32)
+    ids[-1] = 0
+    words = [b"w%x" % i for i in range(1, kinds)]
+    planes, held = ids.view(np.uint8).reshape(-1, 4).T.tobytes(), bytes((rng.random((ids == 0).sum()) < 0.15).astype(np.uint8))
+    chunk = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([b" ".join(words)], pa.binary()), pa.array([planes], pa.binary()), pa.array([held], pa.binary())], ["chunk", "words", "ids", "held_out"])
+    head, cls = {w: i for i, w in enumerate(words[: brown.HEAD])}, np.append(np.arange(brown.HEAD + brown.GROUPS) % (brown.CLASSES - 1), brown.CLASSES - 1)
+    for step, most in ((brown._vocabulary, 18), (brown._pairs(head), 28), (brown._neighbours(head, cls), 18)):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in step(iter([chunk])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < most * n
