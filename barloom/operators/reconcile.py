@@ -130,5 +130,6 @@ def realism_gap(trades: DataFrame, divide: Callable[[Column, Column], Column] =
     slip = F.abs(F.col("entry_fill_price") - F.col("entry_base")) + F.abs(F.col("exit_fill_price") - F.col("exit_base"))
     d = trades.select("trade_id", base.alias("baseline_pct"), (-divide(F.col("fee_paid"), notional) * 1e4).alias("fee_bps"), (-divide(slip * F.col("size"), notional) * 1e4).alias("slippage_bps"), (divide(F.col("funding"), notional) * 1e4).alias("funding_bps"), F.coalesce(F.try_divide(F.col("covered_bars"), F.col("held_bars")) * 100, F.lit(0.0)).alias("coverage_pct"), real.alias("realistic_pct"))
     d = d.withColumn("gap_bps", (F.col("realistic_pct") - F.col("baseline_pct")) * 100)
-    out = d.rollup("trade_id").agg(*(F.avg(c).alias(c) for c in d.columns[1:]))
+    mean = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c)  # noqa: E731  of one value itself, as a sum would lose the sign of a zero
+    out = d.rollup("trade_id").agg(*map(mean, d.columns[1:]))
     return out.withColumn("trade_id", F.coalesce("trade_id", F.lit("AGGREGATE")))
