@@ -209,8 +209,9 @@ def vector_signal(bars: DataFrame, strategy: Callable[[pd.DataFrame], Sequence],
 def momentum_run(rows: DataFrame, signal: Column | None = None) -> DataFrame:
     """(dataset, pnl, return_pct, total_bars, long_bars, win_rate): each symbol compounds 10 000 over its long bars, those of `signal`."""
     t = momentum_trades(rows, signal=signal).groupBy(*KEYS).agg(F.product(1 + F.col("ret")).alias("growth"), F.count("*").alias("long_bars"), F.count_if(F.col("ret") > 0).alias("wins"))
-    n = rows.groupBy(*KEYS).agg(F.greatest(F.count("*") - 2, F.lit(0)).alias("bars")).join(t, KEYS, "left").fillna(1.0, ["growth"]).fillna(0, ["long_bars", "wins"])
-    out = n.groupBy("dataset").agg(F.sum((F.col("growth") - 1) * INITIAL).alias("pnl"), F.count("*").alias("n"), F.sum("bars").alias("total_bars"), F.sum("long_bars").alias("long_bars"), F.sum("wins").alias("wins"))
+    n = rows.groupBy(*KEYS).agg(F.greatest(F.count("*") - 2, F.lit(0)).alias("bars")).join(t, KEYS, "left").fillna(0, ["long_bars", "wins"])
+    growth = F.coalesce("growth", F.lit(1.0))  # fillna() would take a growth of NaN, as prices without end make it, for none
+    out = n.groupBy("dataset").agg(F.sum((growth - 1) * INITIAL).alias("pnl"), F.count("*").alias("n"), F.sum("bars").alias("total_bars"), F.sum("long_bars").alias("long_bars"), F.sum("wins").alias("wins"))
     return out.select("dataset", "pnl", (F.col("pnl") / (INITIAL * F.col("n")) * 100).alias("return_pct"), "total_bars", "long_bars", F.coalesce(F.try_divide("wins", "long_bars"), F.lit(0.0)).alias("win_rate"))
 
 
