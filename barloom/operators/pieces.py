@@ -58,7 +58,7 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: list[str
     if span is not None:
         df, local_keys = cut(df, order, span), [*keys, PIECE]
     by = [order, *(then or [])]
-    w = Window.partitionBy(*local_keys).orderBy(*by)
+    w = Window.partitionBy(*local_keys).orderBy(F.asc_nulls_last(order), *by[1:])  # the order of tape.grid()
     upto = w.rowsBetween(PAST, 0)
     x = {name: f"_x{i}" for i, name in enumerate(values)}
     df = df.withColumns({x[n]: v for n, (_, v) in values.items()})

@@ -74,8 +74,8 @@ def linear_recurrences(df: DataFrame, specs: list[Recurrence], span: int | None
         # a row without a value stands where the next one will, and is read one step back
         steps = F.greatest(at - n + F.when(present, 0).otherwise(1), F.lit(0))
         df = df.withColumns({block: F.floor(steps / size), place: steps % size, f"_d{g}": F.greatest(at - n, F.lit(0)) - steps})
-        within = Window.partitionBy(*keys, block).orderBy("minute_ts").rowsBetween(PAST, 0)
-        before = Window.partitionBy(*keys).orderBy(block, "minute_ts").rowsBetween(PAST, -1)  # blocks follow time, so the order of `within` serves
+        within = Window.partitionBy(*keys, block).orderBy(F.asc_nulls_last("minute_ts")).rowsBetween(PAST, 0)
+        before = Window.partitionBy(*keys).orderBy(block, F.asc_nulls_last("minute_ts")).rowsBetween(PAST, -1)  # blocks follow time, so the order of `within` serves
         if a == 0:  # no memory: only the newest value
             value = {r.out: F.when(present, F.when(at <= n, F.col(r.x) / (n if r.seed == "mean" else 1)).otherwise(r.b * F.col(r.x))) for r in members}
             df = df.withColumns({own[r.out]: F.when(at <= n, F.sum(value[r.out]).over(before.rowsBetween(PAST, 0))).otherwise(F.last(value[r.out], ignorenulls=True).over(before.rowsBetween(PAST, 0))) for r in members})

@@ -16,7 +16,8 @@ KEYS = ["dataset", "symbol"]
 
 
 def grid(low: int | None = None, high: int | None = None):
-    w = Window.partitionBy(*KEYS).orderBy("minute_ts")
+    """The rows of a symbol in the order of time, or a frame of them; those without a time come last."""
+    w = Window.partitionBy(*KEYS).orderBy(F.asc_nulls_last("minute_ts"))
     return w if low is None else w.rowsBetween(low, high)
 
 
